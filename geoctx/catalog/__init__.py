@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ["records", "spatial", "lookups"]
+_GROUPS = ["records", "spatial", "lookups", "evaluation"]
 
 
 def _catalogs():

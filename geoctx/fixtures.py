@@ -189,5 +189,10 @@ def with_sql(names: str, query: str, extra: str = "") -> str:
     parts = [f"{n} AS ({SQL[n]})" for n in ordered]
     if extra:
         parts.append(extra)
-    recursive = "RECURSIVE " if "RECURSIVE" in extra else ""
-    return f"WITH {recursive}" + ",\n".join(parts).replace("RECURSIVE ", "") + "\n" + query
+    query = query.strip()
+    if query.startswith("WITH "):
+        parts.append(query[len("WITH "):])
+        query = ""
+    recursive = "RECURSIVE " if "RECURSIVE " in extra else ""
+    head = ",\n".join(parts).replace("RECURSIVE ", "")
+    return f"WITH {recursive}{head}\n{query}"
