@@ -293,7 +293,7 @@ LOG = """log AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, even
 
 def _log(spark, d):
     """Line numbers per run, ranked in day buckets so that a long run is not one task."""
-    day = F.floor(F.unix_seconds("ts") / 86400)
+    day = F.date_diff("ts", F.lit("1970-01-01").cast("date"))
     return ranking.bucket_rank(fx.train_log(spark, d), ["run"], day, [F.col("ts"), F.col("event_id")], "epoch")
 
 

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoctx.functions.arrays import let, total
 from geoctx.operators import ranking
 
 
 def softmax(logits, temperature: float = 1.0) -> Column:
     x = F.col(logits) if isinstance(logits, str) else logits
-    top = F.array_max(x)
-    powers = F.transform(x, lambda v: F.exp((v - top) / temperature))
-    return F.transform(powers, lambda v: v / F.aggregate(powers, F.lit(0.0), lambda s, w: s + w))
+    shifted = let(
+        F.struct(x.alias("x"), F.array_max(x).alias("top")),
+        lambda s: F.transform(s["x"], lambda v: F.exp((v - s["top"]) / temperature)))
+    return let(shifted, lambda p: let(
+        F.struct(p.alias("p"), total(p).alias("t")), lambda s: F.transform(s["p"], lambda v: v / s["t"])))
 
 
 def at(array, index) -> Column:
@@ -65,8 +68,8 @@ def softened_kl(df: DataFrame, keys: Sequence[str], logits: str, target: str, te
     """Per row: target (log target - input), both softmaxed at ``temperature``, times its square."""
     t = df.select(*keys, softmax(logits, temperature).alias("_p"), softmax(target, temperature).alias("_t"))
     terms = F.zip_with("_p", "_t", lambda p, q: q * (F.log(q) - p) * temperature**2)
-    total = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
-    return t.select(*keys, (total / F.size(terms) if reduction == "mean" else total).alias("loss"))
+    loss = total(terms)
+    return t.select(*keys, (loss / F.size(terms) if reduction == "mean" else loss).alias("loss"))
 
 
 def silog_loss(df: DataFrame, group: str, pred: str = "pred", target: str = "gt", eps: float = 1e-4) -> DataFrame:
