@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ["records", "spatial", "lookups", "evaluation", "rasters", "features"]
+_GROUPS = ["records", "spatial", "lookups", "evaluation", "rasters", "features", "files"]
 
 
 def _catalogs():

@@ -113,9 +113,9 @@ def m3(spark, d):
 def m4(spark, d):
     docs = _docs(spark, d)
     vocabulary = features.fit_tfidf(docs, "doc_id", "text", STOP_WORDS, 256)
-    rows = features.tfidf_vectors(features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS), vocabulary, "doc_id", 256)
-    v, _ = features.fit_svd(rows, "features", 16)
-    return features.project_svd(rows, v, "features").select("doc_id", F.posexplode("features").alias("pos", "x")).withColumn(
+    rows = features.sparse_rows(features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS), vocabulary, "doc_id")
+    v, _ = features.fit_svd(rows, 256, 16)
+    return features.project_svd(rows, v).select("doc_id", F.posexplode("features").alias("pos", "x")).withColumn(
         "x", F.round(F.abs("x"), 4))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geoctx.functions import text
 from geoctx.functions.arrays import l2_unit
+from geoctx.session import cut_lineage
 
 
 def default_stop_words() -> list[str]:
@@ -49,7 +50,8 @@ def fit_tfidf(docs: DataFrame, key: str, content: str, stop_words: Sequence[str]
     counts = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     top = counts.orderBy(F.desc("total"), "term").limit(max_features)
-    return top.join(n).withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")
+    fitted = top.join(n).withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")
+    return cut_lineage(fitted)  # a fitted model: computed once, whatever it is applied to
 
 
 def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, key: str, content: str, stop_words: Sequence[str]) -> DataFrame:
@@ -65,19 +67,14 @@ def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, key: str, content: str
         key, F.col("e.term").alias("term"), (F.col("e.w") / F.sqrt("s")).alias("weight"))
 
 
-def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame, key: str, size: int) -> DataFrame:
-    """Sparse ml vectors; the term index is the rank by term (at most ``size`` rows are ranked)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def sparse_rows(weights: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, idx, val): one sparse row per document; the term index is the rank by term.
 
+    The vocabulary is a top-k, so the ranking below holds at most its k rows.
+    """
     index = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
-    rows = weights.join(index, "term").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
-
-    @F.udf(VectorUDT())
-    def sparse(v):
-        return SparseVector(size, [int(e.i) for e in v], [float(e.weight) for e in v])
-
-    return rows.select(key, sparse("v").alias("features"))
+    rows = weights.join(index, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
+    return rows.select(key, F.transform("v", lambda e: e["i"]).alias("idx"), F.transform("v", lambda e: e["weight"]).alias("val"))
 
 
 # ---- word vectors ---------------------------------------------------------------
@@ -145,32 +142,59 @@ def project(df: DataFrame, model, column: str) -> DataFrame:
     return model.transform(df).withColumn(column, l2_unit(vector_to_array("_pca"))).drop("_pca")
 
 
-def fit_svd(train: DataFrame, column: str, k: int):
-    """Right singular vectors (features x k) and singular values of the rows, uncentred."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X^T (X q) in one pass: each task sums its rows per feature, features are then added up by key.
 
-    # the solver passes over the rows many times: keep them, spilling to disk
-    rows = train.select(column).rdd.map(lambda r: OldVectors.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    Only features x columns numbers come back, whatever the number of rows.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+
+    def partial(batches):
+        m = shared.value
+        acc = np.zeros_like(m)
+        for pdf in batches:
+            for idx, val in zip(pdf["idx"], pdf["val"]):
+                acc[idx] += np.outer(val, np.asarray(val) @ m[idx])
+        used = np.flatnonzero(acc.any(axis=1))
+        yield pd.DataFrame({"i": used.astype("int32"), "z": list(acc[used])})
+
+    parts = rows.select("idx", "val").mapInPandas(partial, "i int, z array<double>")
+    summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("z")).alias("z")).select("i", vector_to_array("z").alias("z"))
+    out = np.zeros_like(q)
+    for r in summed.collect():
+        out[r.i] = r.z
+    shared.unpersist()
+    return out
+
+
+def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 5, seed: int = 42):
+    """Right singular vectors (size x k) and singular values of sparse rows, uncentred.
+
+    Randomised subspace iteration (Halko et al. 2011): a fixed number of passes over the rows.
+    """
+    kept = rows.select("idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        svd = RowMatrix(rows).computeSVD(k)
-        return svd.V.toArray(), svd.s.toArray()
+        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample))))[0]
+        for _ in range(passes):
+            q = np.linalg.qr(_gram_times(kept, q))[0]
+        small = q.T @ _gram_times(kept, q)
     finally:
-        rows.unpersist()
+        kept.unpersist()
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    return q @ vectors[:, order], np.sqrt(np.maximum(values[order], 0.0))
 
 
-def project_svd(df: DataFrame, v, column: str) -> DataFrame:
-    """Rows times the right singular vectors, to length 1. ``v`` is features x k and goes to every task."""
-    basis = np.asarray(v)
+def project_svd(rows: DataFrame, v: np.ndarray, name: str = "features") -> DataFrame:
+    """Sparse rows times the right singular vectors, to length 1. ``v`` is features x k."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(v))
 
     @F.pandas_udf("array<double>")
-    def times(batch: pd.Series) -> pd.Series:
-        dense = np.zeros((len(batch), basis.shape[0]))
-        for i, vec in enumerate(batch):
-            dense[i, :] = vec
-        return pd.Series(list(dense @ basis))
+    def times(idx: pd.Series, val: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([np.asarray(b) @ m[a] for a, b in zip(idx, val)])
 
-    return df.withColumn(column, l2_unit(times(vector_to_array(column))))
+    return rows.withColumn(name, l2_unit(times("idx", "val"))).drop("idx", "val")
 
 
 def fuse(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
