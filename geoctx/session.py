@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,29 +26,24 @@ def get_session(app: str = "geoctx", master: str | None = None, partitions: int
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+    """``df`` as a written table in the cluster's shared folder, read back.
 
-    The folder is the session's ``spark.checkpoint.dir``. A folder of our own is
-    made only on a local master with the setting unset, as in tests; a cluster
-    without the setting is refused, because a machine-local folder would be lost
-    with its executor.
+    An iterative job stays short this way and outlives its executors. A table is used and not
+    ``checkpoint()``, because a checkpointed plan keeps the size estimate of the plan it replaces: joins
+    multiply estimates, so after some rounds planning alone takes minutes, while a table has its true size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="geoctx-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table, in the folder every executor can reach."""
-    import uuid
+    """A new path for an intermediate table, in the folder every executor can reach.
 
+    The folder is the session's ``spark.checkpoint.dir``. The local temporary folder serves only a local
+    master with the setting unset, as in tests; a cluster without the setting is refused, because a
+    machine-local folder would be lost with its executor.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
