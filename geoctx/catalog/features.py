@@ -25,7 +25,7 @@ TERMS = f"""kept AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text),
 
 
 def _docs(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", "text")
+    return fx.documents(spark, d)
 
 
 @add("m1_tfidf_vocabulary", f"WITH {TERMS} SELECT term, total, df, round(idf, 6) AS idf FROM vocab")

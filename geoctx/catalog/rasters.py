@@ -8,7 +8,8 @@ from geoctx import fixtures as fx
 from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
 from geoctx.functions import geo
-from geoctx.operators import components, losses, polygons, raster
+from geoctx.operators import components, polygons, raster
+from geoctx.session import spread
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -315,7 +316,7 @@ AFFINE = (4.0, 0.0, 0.0, 0.0, -4.0, 10040.0)
         LATERAL (SELECT unnest(range(floor(b.minx/4)::BIGINT, floor(b.maxx/4)::BIGINT+1)) AS c)
     WHERE (c+0.5)*4 >= minx AND (c+0.5)*4 < maxx AND 10040-(r+0.5)*4 >= miny AND 10040-(r+0.5)*4 < maxy AND r < 2510 AND c < 2510"""))
 def t10(spark, d):
-    b = fx.buildings(spark, d).withColumn("ring", geo.ring_of_rect("minx", "miny", "maxx", "maxy"))
+    b = spread(fx.buildings(spark, d), "build_id").withColumn("ring", geo.ring_of_rect("minx", "miny", "maxx", "maxy"))
     return polygons.burn(b, "build_id", AFFINE, 2510, 2510)
 
 

@@ -202,7 +202,7 @@ def o2(spark, d):
     WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)
     SELECT term, count(*) AS n FROM w WHERE length(term) BETWEEN 2 AND 15 GROUP BY term ORDER BY n DESC, term LIMIT 500""")
 def o3(spark, d):
-    words = fx.table(spark, d, "documents").select(F.explode(text.word_tokens("text")).alias("term"))
+    words = fx.documents(spark, d).select(F.explode(text.word_tokens("text")).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(500)
 
 
@@ -222,7 +222,7 @@ def f1(spark, d):
     WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) BETWEEN 2 AND 15) AS t FROM documents)
     SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM w""")
 def f5(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", text.word_tokens("text").alias("t")).select(
+    return fx.documents(spark, d).select("doc_id", text.word_tokens("text").alias("t")).select(
         "doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 

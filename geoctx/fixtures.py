@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoctx.session import spread
+
 CITIES = ["SH", "NJ", "HZ", "SZ", "NB"]
 
 
@@ -36,6 +38,10 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buildings(spark, sf_dir).select(
         "build_id", "city_no", "cls",
@@ -64,7 +70,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select(
         k.alias("poi_id"),
         ((k * 6151) % 9949).cast("double").alias("x"),
         ((k * 4219) % 9941).cast("double").alias("y"),
@@ -75,7 +81,7 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 images, one row per pixel, value = the component."""
     return (
-        table(spark, sf_dir, "embeddings")
+        spread(table(spark, sf_dir, "embeddings"), "vec_id")
         .select(F.col("vec_id").alias("image_id"), "label", F.posexplode("embedding").alias("i", "v"))
         .select(
             "image_id", "label",

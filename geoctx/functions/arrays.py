@@ -33,3 +33,12 @@ def l2_unit(values: Column, eps: float = 0.0) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
+
+
+def explode_once(values) -> Column:
+    """``explode`` of an array that is costly to compute.
+
+    The optimizer puts a filter on the size of a generator's plain input, pushes it down to the scan and
+    so computes the array twice; it leaves the output of a lambda function alone.
+    """
+    return F.explode(F.transform(values, lambda v: v))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoctx.functions import text
-from geoctx.functions.arrays import l2_unit
+from geoctx.functions.arrays import explode_once, l2_unit
 from geoctx.session import cut_lineage
 
 
@@ -25,8 +25,8 @@ def default_stop_words() -> list[str]:
 
 # ---- TF-IDF --------------------------------------------------------------------
 
-def exploded_terms(docs: DataFrame, key: str, content: str, stop_words: Sequence[str]) -> DataFrame:
-    """(key, term): words of two letters and more, stop words out, then single words and neighbouring pairs."""
+def with_terms(docs: DataFrame, key: str, content: str, stop_words: Sequence[str]) -> DataFrame:
+    """(key, terms): words of two letters and more, stop words out, then single words and neighbouring pairs."""
     words = text.word_tokens(content, 2, 1 << 20)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
@@ -36,8 +36,7 @@ def exploded_terms(docs: DataFrame, key: str, content: str, stop_words: Sequence
     pairs = F.zip_with(
         F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.concat_ws(" ", a, b))
-    singles = kept.select(key, F.explode("_w").alias("term"))
-    return singles.unionByName(kept.select(key, F.explode(pairs).alias("term")))
+    return kept.select(key, F.concat("_w", pairs).alias("terms"))
 
 
 def fit_tfidf(docs: DataFrame, key: str, content: str, stop_words: Sequence[str], max_features: int = 5000) -> DataFrame:
@@ -45,9 +44,12 @@ def fit_tfidf(docs: DataFrame, key: str, content: str, stop_words: Sequence[str]
 
     A top-k over term counts, so at most ``max_features`` rows. idf = ln((1 + n) / (1 + df)) + 1.
     """
-    terms = exploded_terms(docs, key, content, stop_words)
-    per_doc = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # a document is one row: its distinct terms are found in the row, and one map-side combined
+    # aggregate by term counts occurrences and documents together
+    every = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    rows = with_terms(docs, key, content, stop_words).select(explode_once(F.concat(every, once)).alias("t"))
+    counts = rows.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     top = counts.orderBy(F.desc("total"), "term").limit(max_features)
     fitted = top.join(n).withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")
@@ -60,7 +62,8 @@ def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, key: str, content: str
     Terms outside the vocabulary leave before the counts are shuffled; documents without any known
     term have no rows.
     """
-    known = exploded_terms(docs, key, content, stop_words).join(vocabulary.select("term", "idf"), "term")
+    terms = with_terms(docs, key, content, stop_words).select(key, explode_once("terms").alias("term"))
+    known = terms.join(vocabulary.select("term", "idf"), "term")
     w = known.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
     vectors = w.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sum(F.col("w") * F.col("w")).alias("s"))
     return vectors.select(key, "s", F.explode("v").alias("e")).select(

@@ -50,3 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/geoctx-{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Input of fewer files than cores, dealt out to all cores before a step that multiplies its rows.
+
+    A table of many files is left alone: its scan has tasks enough, and a shuffle would only cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
