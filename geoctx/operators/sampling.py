@@ -173,7 +173,13 @@ def stratified_folds(df: DataFrame, key: Column, id_col: str, cls: str, folds: i
 
 
 def per_class_sample(df: DataFrame, key: Column, id_col: str, cls: str, n: int) -> DataFrame:
-    """``n`` pseudo-random rows per class; cut to ``n`` before the shuffle."""
+    """``n`` pseudo-random rows per class.
+
+    Up to 1,000 rows Spark cuts the rank before the shuffle (its window limit); beyond that the bucketed
+    rank keeps a large class from landing in one task.
+    """
+    if n > 1000:
+        return ranking.random_rank(df, [cls], key, id_col, "_r").where(F.col("_r") <= n).drop("_r")
     w = Window.partitionBy(cls).orderBy(key, id_col)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 

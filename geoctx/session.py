@@ -53,9 +53,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Input of fewer files than cores, dealt out to all cores before a step that multiplies its rows.
+    """A scan of fewer tasks than cores, dealt out to all cores before a step that multiplies its rows.
 
-    A table of many files is left alone: its scan has tasks enough, and a shuffle would only cost.
+    For plain scans. A table with tasks enough is left alone: a shuffle would only cost.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

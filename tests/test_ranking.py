@@ -144,3 +144,13 @@ def test_shuffle_is_repeatable(spark):
     one = [r.image_id for r in sampling.shuffled(df, key, "image_id").collect()]
     two = [r.image_id for r in sampling.shuffled(df.repartition(7), key, "image_id").collect()]
     assert one == two != sorted(one)
+
+
+def test_large_class_samples_agree_with_small_ones(spark):
+    rows = [(i, i % 3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, c int")
+    key = ranking.portable_key(F.col("id"))
+    got = sampling.per_class_sample(df, key, "id", "c", 1100).collect()
+    order = sorted(range(4000), key=lambda i: ((i * 2654435761 + 42 * 40503) % 2147483647, i))
+    want = {i for c in range(3) for i in [j for j in order if j % 3 == c][:1100]}
+    assert {r.id for r in got} == want

@@ -199,6 +199,37 @@ def test_lineage_is_cut(spark):
     assert df.count() == 10
 
 
-def test_scratch_path_follows_the_setting(spark):
-    spark.conf.set("spark.checkpoint.dir", "/shared/place") if False else None
-    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+def test_scratch_tables_go_where_the_session_says(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
+    assert a != b
+
+    class Conf:
+        def get(self, name, default=None):
+            return str(tmp_path) if name == "spark.checkpoint.dir" else default
+
+    class Context:
+        master = "yarn"
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    assert session.scratch_path(Cluster(), "x").startswith(str(tmp_path))
+    Conf.get = lambda self, name, default=None: default
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Cluster(), "x")
+
+
+def test_spread_only_touches_scans_with_few_tasks(spark, tmp_path):
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    spark.range(100).coalesce(1).write.parquet(few)
+    spark.range(100).repartition(40).write.parquet(many)
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(spark.read.parquet(few), "id").rdd.getNumPartitions() == cores
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        df = spark.read.parquet(many)
+        assert session.spread(df, "id") is df
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
