@@ -455,11 +455,21 @@ def a22(spark, d):
     return rounded(rounded(rounded(t, "homogeneity", "energy"), "contrast", digits=4), "correlation", digits=5)
 
 
-@add("t21_gradient_histogram")
+@add("t21_gradient_histogram", with_sql("grey", """
+    WITH y AS (SELECT image_id, row, col, r*0.299::DOUBLE+g*0.587::DOUBLE+b*0.114::DOUBLE AS v FROM grey),
+    gr AS (SELECT a.image_id, a.row, a.col, coalesce(d.v - u.v, 0) AS gy, coalesce(e.v - w.v, 0) AS gx FROM y a
+        LEFT JOIN y u ON u.image_id=a.image_id AND u.row=a.row-1 AND u.col=a.col LEFT JOIN y d ON d.image_id=a.image_id AND d.row=a.row+1 AND d.col=a.col
+        LEFT JOIN y w ON w.image_id=a.image_id AND w.row=a.row AND w.col=a.col-1 LEFT JOIN y e ON e.image_id=a.image_id AND e.row=a.row AND e.col=a.col+1),
+    an AS (SELECT *, degrees(atan2(gy, gx)) AS dg, sqrt(gy*gy+gx*gx) AS m FROM gr),
+    hi AS (SELECT image_id, row//2 AS cy, col//2 AS cx, least(floor((CASE WHEN dg < 0 THEN dg+180 WHEN dg >= 180 THEN dg-180 ELSE dg END)/20), 8)::INTEGER AS bin, sum(m)/4 AS h FROM an GROUP BY ALL),
+    k AS (SELECT image_id, i//108 AS "by", (i//36)%3 AS bx, i%36 AS pos FROM (SELECT DISTINCT image_id FROM grey), (SELECT unnest(range(324))::INTEGER AS i)),
+    f AS (SELECT k.*, coalesce(h, 0) AS h FROM k LEFT JOIN hi ON hi.image_id=k.image_id AND cy = k."by" + (pos//18) AND cx = bx + (pos//9)%2 AND bin = pos%9),
+    c AS (SELECT *, least(h/sqrt(sum(h*h) OVER (PARTITION BY image_id, "by", bx)+1e-10), 0.2) AS q FROM f)
+    SELECT image_id, "by", bx, pos, round(q/sqrt(sum(q*q) OVER (PARTITION BY image_id, "by", bx)+1e-10), 5) AS x FROM c"""))
 def t21(spark, d):
     g = fx.grey_levels(spark, d).select("image_id", "row", "col", raster.grey().alias("v"))
     h = raster.gradient_histogram(g, "image_id", "v", H, W, cell=2)
-    return h.select("image_id", "by", "bx", F.posexplode("hog").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return h.select("image_id", "by", "bx", F.posexplode("hog").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
 @add("s21_class_mask_export", with_sql("seg", "SELECT image_id, row, col, pred + 1 AS value FROM seg"))
