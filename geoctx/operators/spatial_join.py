@@ -101,23 +101,23 @@ def nearest_k(
 ) -> DataFrame:
     """The k nearest points within ``radius`` of every centre, with ``dist`` and ``rk`` (1 = nearest).
 
-    Exact. Ranks tie-break on ``tie``. Two things keep crowded places from
-    producing all pairs:
+    Exact. Ranks tie-break on ``tie``, and are cut to k by Spark's partial window limit before the
+    shuffle on ``key``. "auto" measures the most crowded cell (one aggregate over the coordinates); above
+    20 k points, or with ``fine`` set (cells per radius), two steps keep crowded places from producing all
+    pairs:
 
-    * of points at the very same spot only the k lowest ``tie`` values can ever be
-      among the k nearest, so the others are left out before the join;
-    * with ``fine`` set (cells per radius), a counting pass gives each centre a
-      search radius sure to hold its k nearest, and centres look only at cells
-      of that size. Worth it where a radius holds many times k points; "auto"
-      measures the most crowded cell first and turns it on above 20 k.
+    * of points at the very same spot only the k lowest ``tie`` values can ever be among the k nearest,
+      so the others are left out before the join;
+    * a counting pass gives each centre a search radius sure to hold its k nearest, and centres look only
+      at cells of that size.
 
-    The rank is cut to k by Spark's partial window limit before the shuffle on ``key``.
+    Otherwise both steps are skipped: they would cost shuffles and save little.
     """
-    spot = Window.partitionBy("x", "y").orderBy(tie)
-    points = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
     if fine == "auto":
         fine = 16 if crowding(points, radius) > 20 * k else None
     if fine:
+        spot = Window.partitionBy("x", "y").orderBy(tie)
+        points = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
         pairs = _bounded_pairs(centers, points, radius, k, fine)
     else:
         pairs = radius_join(centers, points, radius)
