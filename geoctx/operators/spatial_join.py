@@ -20,17 +20,19 @@ def with_cell(df: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFra
 
 def with_neighbour_cells(df: DataFrame, cell: float, reach: int = 1, x: str = "x", y: str = "y") -> DataFrame:
     """One row per cell of the (2 reach + 1)^2 block around the point."""
-    steps = range(-reach, reach + 1)
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps])
     return (
         with_cell(df, cell, x, y)
-        .withColumn("_o", F.explode(offsets))
-        .withColumn("_cx", F.col("_cx") + F.col("_o.i"))
-        .withColumn("_cy", F.col("_cy") + F.col("_o.j"))
-        .drop("_o")
+        .withColumn("_i", F.explode(_steps(reach))).withColumn("_j", F.explode(_steps(reach)))
+        .withColumn("_cx", F.col("_cx") + F.col("_i"))
+        .withColumn("_cy", F.col("_cy") + F.col("_j"))
+        .drop("_i", "_j")
     )
 
 
+def _steps(reach: int):
+    return F.sequence(F.lit(-reach), F.lit(reach))
+
+
 def _distance():
     dx, dy = F.col("x") - F.col("_px"), F.col("y") - F.col("_py")
     return F.sqrt(dx * dx + dy * dy)
@@ -66,15 +68,11 @@ def _search_radius(centers: DataFrame, points: DataFrame, radius: float, k: int,
     counts = with_cell(points, h).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
     homes = with_cell(centers, h).select(F.col("_cx").alias("hx"), F.col("_cy").alias("hy")).distinct()
     reach = int(math.ceil(fine / math.sqrt(2.0)))
-    steps = range(-reach, reach + 1)
-    offsets = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(max(abs(i), abs(j))).alias("ring"))
-        for i in steps for j in steps
-    ])
+    i, j = F.col("_i"), F.col("_j")
     near = (
-        homes.withColumn("_o", F.explode(offsets))
-        .select("hx", "hy", (F.col("hx") + F.col("_o.i")).alias("_cx"), (F.col("hy") + F.col("_o.j")).alias("_cy"),
-                F.col("_o.ring").alias("ring"))
+        homes.withColumn("_i", F.explode(_steps(reach))).withColumn("_j", F.explode(_steps(reach)))
+        .select("hx", "hy", (F.col("hx") + i).alias("_cx"), (F.col("hy") + j).alias("_cy"),
+                F.greatest(F.abs(i), F.abs(j)).alias("ring"))
         .join(counts, ["_cx", "_cy"])
         .groupBy("hx", "hy", "ring").agg(F.sum("n").alias("n"))
     )
@@ -140,13 +138,11 @@ def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int,
     ).cast("int")
     sized = sized.withColumn("_lv", level)
     size = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("_lv"))
-    steps = (-1, 0, 1)
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps])
     a = (
-        sized.withColumn("_o", F.explode(offsets))
-        .withColumn("_cx", F.floor(F.col("x") / size) + F.col("_o.i"))
-        .withColumn("_cy", F.floor(F.col("y") / size) + F.col("_o.j"))
-        .drop("_o")
+        sized.withColumn("_i", F.explode(_steps(1))).withColumn("_j", F.explode(_steps(1)))
+        .withColumn("_cx", F.floor(F.col("x") / size) + F.col("_i"))
+        .withColumn("_cy", F.floor(F.col("y") / size) + F.col("_j"))
+        .drop("_i", "_j")
     )
     b = (
         points.withColumnsRenamed({"x": "_px", "y": "_py"})
