@@ -79,7 +79,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     suspects = rows.where("suspect").groupBy("doc_id", "sha").agg(F.count("*").alias("repeats"))
     wanted = suspects.select("doc_id").distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    texts = sieve(texts, "doc_id", wanted).join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # an inner join on distinct ids: a semi join would be pushed below the sieve and shuffle every text
+    texts = sieve(texts, "doc_id", wanted).join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
     groups = texts.groupBy(lower_az(F.col("text")).alias("text")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.select(F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
     repeated = suspects.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("sha").alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"))
