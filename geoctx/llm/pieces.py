@@ -1,10 +1,9 @@
-"""SentencePiece encoding and decoding through a table of distinct marked words."""
+"""SentencePiece encoding and decoding through a table of distinct chunks, cut where no piece can reach over."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,41 +14,61 @@ from pyspark.sql import DataFrame, SparkSession
 from geoctx.catalog.base import Catalog
 from geoctx.llm.common import documents, id_text, in_blocks, stored
 from geoctx.llm.exchange import pack, unpack
-from geoctx.llm.units import Numbering, back_to_blocks, distinct_units
+from geoctx.llm.units import Numbering, back_to_blocks, once_per_unit
 
 CATALOG = Catalog()
 MARK = "▁"
-_MARKED = re.compile(" +[^ ]*")
+#: Characters before which a word may be cut, if the vocabulary allows it.
+PUNCTUATION = "\n\t.,;:!?|*&#%$()[]{}\"'/\\<>=+-_@~^`"
+
+
+class Processor:
+    """The library's processor and a cut of texts into chunks that no piece can reach over.
+
+    A merge over a cut would make a piece that holds the two characters around it side by side. So a cut is safe
+    where no piece does: before every run of markers, and before those of ``PUNCTUATION`` that follow other
+    characters in no piece.
+    """
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        usual = [i for i in range(self.lib.get_piece_size()) if not (self.lib.is_byte(i) or self.lib.is_control(i) or self.lib.is_unknown(i))]
+        pairs = {pair for piece in map(self.lib.id_to_piece, usual) for pair in zip(piece, piece[1:])}
+        if any(b == MARK != a for a, b in pairs):
+            raise ValueError(f"{path}: a piece reaches over a marker")
+        if self.lib.id_to_piece(self.lib.encode("a")[0])[0] != MARK or any("\n" in pair for pair in pairs):
+            raise ValueError(f"{path}: no marker before the first word, or pieces with line ends")
+        cuts = set(PUNCTUATION)
+        while bad := {b for a, b in pairs if b in cuts and a not in cuts and a != MARK}:
+            cuts -= bad
+        own = "".join(map(re.escape, sorted(cuts)))
+        self.pattern = re.compile(f" +[{own}]*[^ {own}]*|[{own}]+[^ {own}]*|[^ {own}]+")
+        self.mark = self.lib.piece_to_id(MARK)
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text; joined they are a blank and the text. A marker in a text is read as a blank."""
+        return self.pattern.findall(" " + text.replace(MARK, " ")) if text else []
+
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk as they are inside a text."""
+        # the library puts a marker in front: it replaces a chunk's first blank, or is cut off behind a line end
+        ids = self.lib.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+        return [([self.mark] if c == " " else i) if c[0] == " " else i[2:] for c, i in zip(chunks, ids)]
+
+    def spell(self, chunk: str, ids: list[int]) -> str:
+        return (" " if chunk[0] == " " else "") + self.lib.decode(ids)
 
 
 @lru_cache(maxsize=2)
-def processor(path: str):
-    """The library's processor, if no piece reaches over a marker: only then are marked words independent."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    for i in range(sp.get_piece_size()):
-        piece = sp.id_to_piece(i)
-        if MARK in piece[1:] and piece.strip(MARK):
-            raise ValueError(f"{path}: piece {piece!r} reaches over a marker")
-    if sp.encode("a") and not sp.id_to_piece(sp.encode("a")[0]).startswith(MARK):
-        raise ValueError(f"{path}: no marker before the first word")
-    return sp
-
-
-def marked_words(text: str) -> list[str]:
-    """The words of a text, each without its first marker: further markers before it stay in front as blanks."""
-    if not text:
-        return []
-    text = text.replace(MARK, " ")  # the marker itself in a text is read as a blank
-    if "  " not in text and text[0] != " ":
-        return text.split(" ")
-    return [w[1:] for w in _MARKED.findall(" " + text)]
-
-
-def _sequences(rows: list) -> dict:
-    units = Numbering()
-    sequences = [np.fromiter(map(units.__getitem__, marked_words(text.decode("utf-8", "replace"))), np.int64) for _, text in rows]
+def processor(path: str) -> Processor:
+    return Processor(path)
+
+
+def _sequences(rows: list, path: str) -> dict:
+    units, sp = Numbering(), processor(path)
+    sequences = [np.fromiter(map(units.__getitem__, sp.chunks(text.decode("utf-8", "replace"))), np.int32) for _, text in rows]
     seen = np.bincount(np.concatenate(sequences), minlength=len(units)) if len(units) else np.zeros(0, np.int64)
     order = np.argsort(-seen, kind="stable")  # frequent words get small numbers, which pack well
     number = np.empty_like(order)
@@ -70,34 +89,30 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     gives no rows, other columns are not looked at.
     """
     processor(path)
-    blocks = stored(in_blocks(id_text(docs), None, _sequences, "doc_id array<long>, vocab array<string>, per_doc binary, seq binary"))
+    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, vocab array<string>, per_doc binary, seq binary"))
 
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segment(chunks: list[str]) -> list[str]:
+        """The ids joined by commas; where they are not spelled as the chunk is, a blank and the spelling follow."""
         sp = processor(path)
-        for batch in batches:
-            units = batch["unit"].to_pylist()
-            ids = sp.encode(units, num_threads=1)
-            ids = [i if u else [sp.piece_to_id(MARK)] for i, u in zip(ids, units)]  # "" is a marker by itself
-            decoded = [None if d == u else d for d, u in zip(sp.decode(ids), units)]
-            yield pa.RecordBatch.from_arrays([batch["unit"], pa.array([",".join(map(str, i)) for i in ids], pa.string()), pa.array(map(len, ids), pa.int32()), pa.array(decoded, pa.string())], names=["unit", "ids", "n", "decoded"])
+        ids = sp.segment(chunks)
+        return [",".join(map(str, i)) + ("" if (t := sp.spell(c, i)) == c else f" {t}") for c, i in zip(chunks, ids)]
 
     def join(block: dict, found: pa.Table) -> pa.Table:
-        pos = found["pos"].to_numpy()
-        order = np.argsort(pos)
-        ids = [found["ids"].to_pylist()[i] for i in order] if len(pos) < 2 else found["ids"].take(pa.array(order)).to_pylist()
-        words = block["vocab"].values.to_pylist()
-        for i, text in zip(pos.tolist(), found["decoded"].to_pylist()):
-            if text is not None:
-                words[i] = text
+        pos, made, words = found["pos"].to_pylist(), found["made"].to_pylist(), block["vocab"].values.to_pylist()
+        ids: list[str] = [""] * len(words)
         n = np.zeros(len(words), dtype=np.int64)
-        n[pos] = found["n"].to_numpy()
+        for i, text in zip(pos, made):
+            text, changed, spelled = text.partition(" ")
+            ids[i] = text
+            n[i] = text.count(",") + 1
+            if changed:
+                words[i] = spelled
         seq, out = unpack(block["seq"].as_py()), []
         end = 0
         for size in unpack(block["per_doc"].as_py()).tolist():
             at, end = end, end + size
             own = seq[at:end].tolist()
-            joined, text = ",".join(map(ids.__getitem__, own)), " ".join(map(words.__getitem__, own))
-            out.append((int(n[seq[at:end]].sum()), joined, text))
+            out.append((int(n[seq[at:end]].sum()), ",".join(map(ids.__getitem__, own)), "".join(map(words.__getitem__, own))[1:]))
         if digests:
             return pa.table({
                 "doc_id": block["doc_id"].values, "n_tokens": pa.array([n for n, _, _ in out], pa.int64()),
@@ -109,9 +124,8 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
             "decoded": pa.array([t for _, _, t in out], pa.string()),
         })
 
-    table = distinct_units(blocks).mapInArrow(segment, "unit string, ids string, n int, decoded string")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
-    return back_to_blocks(blocks, table, join, schema)
+    return back_to_blocks(blocks, once_per_unit(blocks, segment), join, schema)
 
 
 @CATALOG.add("op10_sentencepiece")

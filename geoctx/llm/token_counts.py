@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geoctx.catalog.base import Catalog
 from geoctx.llm.common import documents, id_text, in_blocks, stored
 from geoctx.llm.exchange import pack, unpack
-from geoctx.llm.units import Numbering, back_to_blocks, distinct_units
+from geoctx.llm.units import Numbering, back_to_blocks, distinct_units, joined_units
 from geoctx.llm.word_bpe import word_bpe
 
 CATALOG = Catalog()
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         return pa.table({"doc_id": block["doc_id"].values, "n_bytes": block["n_bytes"].values, "n_tokens": sums[ends] - sums[ends - per_doc]})
 
     pieces = distinct_units(blocks).mapInArrow(count, "unit string, pieces int")
-    counts = back_to_blocks(blocks, pieces, total, "doc_id long, n_bytes long, n_tokens long")
+    counts = back_to_blocks(blocks, joined_units(blocks, pieces), total, "doc_id long, n_bytes long, n_tokens long")
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,17 +22,42 @@ def distinct_units(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode("vocab").alias("unit")).distinct()
 
 
-def back_to_blocks(blocks: DataFrame, known: DataFrame, build: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``build(block as a dict, Arrow table (pos, columns of known))`` for each block.
+def back_to_blocks(blocks: DataFrame, found: DataFrame, build: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``build(block as a dict, Arrow table of found)`` for each block; ``found`` has ``home, pos`` and more.
 
-    ``known`` has one row per ``unit``. A unit meets it once per block, so a frequent unit is no hot key, and
-    what one task holds is one block. ``blocks`` is a table bucketed by block and stays where it is.
+    What one task holds is one block. ``blocks`` is a table bucketed by block and stays where it is.
     """
-    columns = [c for c in known.columns if c != "unit"]
-    spots = blocks.select(F.col("block").alias("home"), F.posexplode("vocab").alias("pos", "unit"))
-    found = spots.join(known, "unit").select("home", "pos", *columns)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return build({c: left[c][0] for c in left.column_names}, right)
 
     return blocks.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(run, schema)
+
+
+def joined_units(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """``(home, pos, columns of known)``: ``known``, with one row per ``unit``, joined to every block's units."""
+    spots = blocks.select(F.col("block").alias("home"), F.posexplode("vocab").alias("pos", "unit"))
+    return spots.join(known, "unit").drop("unit")
+
+
+def once_per_unit(blocks: DataFrame, make: Callable[[list[str]], list[str]]) -> DataFrame:
+    """``(home, pos, made)``: for each unit of each block, what ``make`` gives for it, called once per distinct unit.
+
+    One exchange brings equal units together, sorted, so a task needs only the last one it has made. A unit has
+    one row per block, so a frequent unit is no hot key.
+    """
+    spots = blocks.select(F.col("block").alias("home"), F.posexplode("vocab").alias("pos", "unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, str | None] = (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch["unit"].dictionary_encode()
+            units = coded.dictionary.to_pylist()
+            known = [last[1]] if units[0] == last[0] else []
+            made = known + make(units[len(known):])
+            last = units[-1], made[-1]
+            yield pa.RecordBatch.from_arrays([batch["home"], batch["pos"], pa.array(made, pa.string()).take(coded.indices)], names=["home", "pos", "made"])
+
+    return spots.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "home long, pos int, made string")

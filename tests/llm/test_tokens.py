@@ -5,7 +5,7 @@ import hashlib
 import public_tokenizers as P
 import pytest
 
-from geoctx.llm.pieces import encode_decode, marked_words
+from geoctx.llm.pieces import encode_decode, processor
 from geoctx.llm.token_counts import token_counts
 from geoctx.llm.word_bpe import word_bpe
 
@@ -89,5 +89,12 @@ def test_letters_of_the_fast_range_agree_with_the_library():
             assert ids == lib.encode(w, add_special_tokens=False).ids, repr(w)
 
 
-def test_marked_words_join_back():
-    assert marked_words("a b") == ["a", "b"] and marked_words(" a  b ") == [" a", " b", ""] and marked_words("") == []
+def test_chunks_join_back_and_segment_alike():
+    import random
+
+    sp, rnd = processor(P.path("piece_bpe_32k.model")), random.Random(5)
+    assert sp.chunks("") == [] and "".join(sp.chunks(" a  b\n.c ")) == "  a  b\n.c "
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", "the", "ion", " ", "  ", "\n", ".", ",", ".com", "://", "(", "'s", "--", "é", "数", "😀", "0", "12", "_", "▁", "\t", "</s>", "<0x0A>", "N", "!!"]) for _ in range(rnd.randint(1, 14)))
+        ids = [i for c in sp.segment(sp.chunks(text)) for i in c]
+        assert ids == sp.lib.encode(text), repr(text)
