@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["token_counts", "decontaminate", "quality", "personal_data", "exact_dedup", "pieces"]
+_MODULES = ["token_counts", "token_files", "decontaminate", "quality", "personal_data", "exact_dedup", "pieces"]
 
 
 def all_queries():

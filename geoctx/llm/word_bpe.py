@@ -38,7 +38,7 @@ class WordBpe:
         self.special = {s: self.lib.token_to_id(s) for s in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.letters = _byte_letters()
-        self.word_ids: dict[bytes, bytes] = {}
+        self.word_ids = _WordIds(self)
         self.word_units: dict[bytes, tuple[str, ...]] = {}
 
     def units(self, word: bytes) -> tuple[str, ...]:
@@ -72,14 +72,23 @@ class WordBpe:
             return [self.special[unit]]
         return [t.id for t in self.lib.model.tokenize("".join(map(self.letters.__getitem__, unit.encode())))]
 
-    def ids(self, word: bytes) -> bytes:
-        """The ids of a word, little-endian unsigned 32 bits."""
-        found = self.word_ids.get(word)
-        if found is None:
-            found = b"".join(i.to_bytes(4, "little") for u in self._units(word.decode("utf-8", "replace")) for i in self.unit_ids(u))
-            if len(self.word_ids) >= CACHE:
-                self.word_ids.clear()
-            self.word_ids[word] = found
+    def text_ids(self, text: bytes) -> bytes:
+        """The ids of a text, little-endian unsigned 32 bits."""
+        return b"".join(map(self.word_ids.__getitem__, text.split()))
+
+
+class _WordIds(dict):
+    """Words to the bytes of their ids, computed when first asked for."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = [i for u in self.bpe._units(word.decode("utf-8", "replace")) for i in self.bpe.unit_ids(u)]
+        self[word] = found = b"".join(i.to_bytes(4, "little") for i in ids)
         return found
 
 
