@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["token_counts", "token_files", "decontaminate", "licenses", "quality", "personal_data", "exact_dedup", "pieces"]
+_MODULES = ["token_counts", "ngram_jaccard", "token_files", "decontaminate", "licenses", "quality", "personal_data", "exact_dedup", "pieces"]
 
 
 def all_queries():

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
 from geoctx.llm.common import LOWER_BYTES, documents, id_text, in_blocks, lower_az, sieve
-from geoctx.llm.exchange import exchange, request_total, space, unpack
+from geoctx.llm.exchange import exchange, unpack
 from geoctx.session import cut_lineage
 
 CATALOG = Catalog()
@@ -33,21 +33,17 @@ def _summary(rows: list) -> dict:
     }
 
 
-def _requests(blocks: DataFrame) -> DataFrame:
-    """Sorted distinct fingerprints of each block with their number in the block."""
-    import pyarrow as pa
+#: Bits of a fingerprint that are exchanged; equal ones only make suspects, which are compared by their bytes.
+BITS = 62
+
+
+def _keys(fps: np.ndarray) -> np.ndarray:
+    return fps.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITS)
 
-    def run(batches):
-        for batch in batches:
-            for block, fp in zip(batch["block"].to_pylist(), batch["fp"].to_pylist()):
-                keys, n = np.unique(space(np.array(fp, dtype=np.int64)), return_counts=True)
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block], pa.int64()),
-                    "hashes": pa.array([(keys << np.uint64(2)).view(np.int64)], pa.list_(pa.int64())),
-                    "weights": pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
-                })
 
-    return blocks.select("block", "fp").mapInArrow(run, "block long, hashes array<long>, weights array<int>")
+def _request(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints of a block with their number in the block."""
+    return np.unique(_keys(block["fp"].values.to_numpy(zero_copy_only=False)), return_counts=True)
 
 
 def _marked(blocks: DataFrame, replies: DataFrame) -> DataFrame:
@@ -58,7 +54,7 @@ def _marked(blocks: DataFrame, replies: DataFrame) -> DataFrame:
         for batch in batches:
             for docs, fp, sha, replies in zip(*(batch[c].to_pylist() for c in ("doc_id", "fp", "sha", "replies"))):
                 fps = np.array(fp, dtype=np.int64)
-                _, place = np.unique(space(fps), return_inverse=True)
+                _, place = np.unique(_keys(fps), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(fps), pa.array(sha, pa.string()), pa.array(unpack(replies)[place] > 1)], names=["doc_id", "fp", "sha", "suspect"])
 
     return blocks.join(replies, "block").select("doc_id", "fp", "sha", "replies").mapInArrow(run, "doc_id long, fp long, sha string, suspect boolean")
@@ -73,7 +69,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     columns of ``docs`` are not looked at.
     """
     blocks = cut_lineage(in_blocks(id_text(docs), None, _summary, "doc_id array<long>, fp array<long>, sha array<string>"))
-    rows = cut_lineage(_marked(blocks, exchange(_requests(blocks), request_total(blocks, "fp"))))
+    total = blocks.agg(F.sum(F.size("fp"))).first()[0] or 0
+    rows = cut_lineage(_marked(blocks, exchange(blocks.select("block", "fp"), _request, total, BITS)))
     alone = rows.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
 
     suspects = rows.where("suspect").groupBy("doc_id", "sha").agg(F.count("*").alias("repeats"))

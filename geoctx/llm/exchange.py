@@ -7,18 +7,15 @@ hashes over all blocks and replies in the order of the request, so that no hash
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from geoctx.llm.common import pa_schema
 
-#: Hashes are exchanged modulo 2 ** SPACE; a collision makes a count too high, so exact uses verify afterwards.
-SPACE = 62
 #: Hashes one owner handles at a time.
 PER_OWNER = 1_500_000
 
@@ -64,34 +61,29 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def space(values: np.ndarray) -> np.ndarray:
-    """Signed 64-bit hashes as unsigned numbers below 2 ** SPACE."""
-    return values.astype(np.int64).view(np.uint64) >> np.uint64(64 - SPACE)
+def exchange(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], total: int, bits: int) -> DataFrame:
+    """``(block, replies binary)``: for each block's hashes in order, the summed weight over all blocks, packed.
 
-
-def exchange(requests: DataFrame, total: int) -> DataFrame:
-    """``(block, replies binary)``: for each block's sorted distinct hashes, the summed weight over all blocks.
-
-    ``requests`` has ``block long, hashes array<long>`` (sorted after ``space``, distinct) and
-    ``weights array<int>``; ``total`` is about the number of hashes, and sets how many owners share them.
+    ``keys_of(row as a dict of Arrow scalars)`` gives a block's sorted distinct hashes below ``2 ** bits`` as
+    uint64 and their weights; ``total`` is about the number of hashes of all blocks, and sets how many owners
+    share them. A hash that occurs everywhere reaches its owner once per block.
     """
-    owners = 1 << max(int(np.ceil(np.log2(max(total, 1) / PER_OWNER))), 0)
-    width = SPACE - owners.bit_length() + 1
-    sent_schema = pa_schema(requests.sparkSession, "owner int, block long, code binary, weight binary")
+    owners = 1 << min(max(int(np.ceil(np.log2(max(total, 1) / PER_OWNER))), 0), bits)
+    width = np.uint64(bits - owners.bit_length() + 1)
+    sent_schema = pa_schema(blocks.sparkSession, "owner int, block long, code binary, weight binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, hashes, weights in zip(batch["block"], batch["hashes"], batch["weights"]):
-                keys = space(hashes.values.to_numpy(zero_copy_only=False))
-                weights = weights.values.to_numpy(zero_copy_only=False)
-                cuts = np.searchsorted(keys, np.arange(owners + 1, dtype=np.uint64) << np.uint64(width)) if owners > 1 else np.array([0, len(keys)])
-                for owner in range(owners):
-                    a, b = cuts[owner], cuts[owner + 1]
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i] for c in batch.schema.names}
+                keys, weights = keys_of(row)
+                cuts = [*np.searchsorted(keys >> width, np.arange(owners, dtype=np.uint64)).tolist(), len(keys)]
+                for owner, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if a < b:
-                        base = np.uint64(owner) << np.uint64(width)
-                        yield pa.RecordBatch.from_pylist([{"owner": owner, "block": block.as_py(), "code": rice_encode(keys[a:b] - base), "weight": pack(weights[a:b])}], schema=sent_schema)
+                        code = rice_encode(keys[a:b] - (np.uint64(owner) << width))
+                        yield pa.RecordBatch.from_pylist([{"owner": owner, "block": row["block"].as_py(), "code": code, "weight": pack(weights[a:b])}], schema=sent_schema)
 
-    reply_schema = pa_schema(requests.sparkSession, "block long, owner int, reply binary")
+    reply_schema = pa_schema(blocks.sparkSession, "block long, owner int, reply binary")
 
     def answer(group: pa.Table) -> pa.Table:
         codes = [rice_decode(c) for c in group["code"].to_pylist()]
@@ -101,17 +93,13 @@ def exchange(requests: DataFrame, total: int) -> DataFrame:
         cuts = np.cumsum([0, *map(len, codes)])
         return pa.Table.from_pylist([{"block": b, "owner": o, "reply": pack(sums[x:y])} for b, o, x, y in zip(group["block"].to_pylist(), group["owner"].to_pylist(), cuts, cuts[1:])], schema=reply_schema)
 
-    all_schema = pa_schema(requests.sparkSession, "block long, replies binary")
+    all_schema = pa_schema(blocks.sparkSession, "block long, replies binary")
 
     def gather(group: pa.Table) -> pa.Table:
         order = np.argsort(group["owner"].to_numpy())
         parts = group["reply"].to_pylist()
         return pa.Table.from_pylist([{"block": group["block"][0].as_py(), "replies": pack(np.concatenate([unpack(parts[i]) for i in order]))}], schema=all_schema)
 
-    sent = requests.mapInArrow(send, "owner int, block long, code binary, weight binary")
+    sent = blocks.mapInArrow(send, "owner int, block long, code binary, weight binary")
     replies = sent.groupBy("owner").applyInArrow(answer, "block long, owner int, reply binary")
     return replies.groupBy("block").applyInArrow(gather, "block long, replies binary")
-
-
-def request_total(blocks: DataFrame, column: str = "hashes") -> int:
-    return blocks.agg(F.sum(F.size(column))).first()[0] or 0
