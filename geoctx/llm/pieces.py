@@ -10,11 +10,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
 from geoctx.llm.common import documents, id_text, in_blocks, stored
 from geoctx.llm.exchange import pack, unpack
-from geoctx.llm.units import Numbering, back_to_blocks, once_per_unit
+from geoctx.llm.units import Numbering, once_per_unit, pack_strings, unpack_strings
 
 CATALOG = Catalog()
 MARK = "▁"
@@ -69,14 +70,14 @@ def processor(path: str) -> Processor:
 def _sequences(rows: list, path: str) -> dict:
     units, sp = Numbering(), processor(path)
     sequences = [np.fromiter(map(units.__getitem__, sp.chunks(text.decode("utf-8", "replace"))), np.int32) for _, text in rows]
-    seen = np.bincount(np.concatenate(sequences), minlength=len(units)) if len(units) else np.zeros(0, np.int64)
-    order = np.argsort(-seen, kind="stable")  # frequent words get small numbers, which pack well
-    number = np.empty_like(order)
+    flat = np.concatenate(sequences)
+    seen, vocab = np.bincount(flat, minlength=len(units)).tolist(), [u.encode() for u in units]
+    order = sorted(range(len(vocab)), key=lambda i: (-seen[i], vocab[i]))  # frequent chunks get small numbers, which pack well
+    number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
-    vocab = list(units)
     return {
-        "doc_id": [doc for doc, _ in rows], "vocab": [vocab[i] for i in order.tolist()], "per_doc": pack(np.array([len(s) for s in sequences])),
-        "seq": pack(number[np.concatenate(sequences)]),
+        "doc_id": [doc for doc, _ in rows], "n_units": len(vocab), "units": pack_strings([vocab[i] for i in order]),
+        "per_doc": pack(np.array([len(s) for s in sequences])), "seq": pack(number[flat]),
     }
 
 
@@ -89,7 +90,8 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     gives no rows, other columns are not looked at.
     """
     processor(path)
-    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, vocab array<string>, per_doc binary, seq binary"))
+    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, n_units long, units binary, per_doc binary, seq binary"))
+    total = blocks.agg(F.sum("n_units")).first()[0] or 0
 
     def segment(chunks: list[str]) -> list[str]:
         """The ids joined by commas; where they are not spelled as the chunk is, a blank and the spelling follow."""
@@ -97,12 +99,12 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
         ids = sp.segment(chunks)
         return [",".join(map(str, i)) + ("" if (t := sp.spell(c, i)) == c else f" {t}") for c, i in zip(chunks, ids)]
 
-    def join(block: dict, found: pa.Table) -> pa.Table:
-        pos, made, words = found["pos"].to_pylist(), found["made"].to_pylist(), block["vocab"].values.to_pylist()
+    def join(block: dict, made: list[bytes]) -> pa.Table:
+        words = [w.decode() for w in unpack_strings(block["units"].as_py())]
         ids: list[str] = [""] * len(words)
         n = np.zeros(len(words), dtype=np.int64)
-        for i, text in zip(pos, made):
-            text, changed, spelled = text.partition(" ")
+        for i, reply in enumerate(made):
+            text, changed, spelled = reply.decode().partition(" ")
             ids[i] = text
             n[i] = text.count(",") + 1
             if changed:
@@ -119,13 +121,19 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
                 "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for _, i, _ in out], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for _, _, t in out], pa.string()),
             })
+        own = [np.fromiter(map(int, i.split(",")), np.int32) if i else np.zeros(0, np.int32) for i in ids]
+        flat, sizes = np.concatenate([np.zeros(0, np.int32), *own]), np.array([len(i) for i in own], np.int64)
+        n_units = sizes[seq]
+        starts = (np.cumsum(sizes) - sizes)[seq] - (np.cumsum(n_units) - n_units)
+        values = flat[np.repeat(starts, n_units) + np.arange(n_units.sum())]
+        offsets = np.concatenate([[0], np.cumsum([n for n, _, _ in out])]).astype(np.int32)
         return pa.table({
-            "doc_id": block["doc_id"].values, "ids": pa.array([list(map(int, i.split(","))) if i else [] for _, i, _ in out], pa.list_(pa.int32())),
+            "doc_id": block["doc_id"].values, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
             "decoded": pa.array([t for _, _, t in out], pa.string()),
         })
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
-    return back_to_blocks(blocks, once_per_unit(blocks, segment), join, schema)
+    return once_per_unit(blocks, "units", total, segment, join, schema)
 
 
 @CATALOG.add("op10_sentencepiece")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoctx.llm.exchange import pack, unpack
+
 
 class Numbering(dict):
     """Numbers keys in the order in which they are first asked for."""
@@ -40,24 +46,66 @@ def joined_units(blocks: DataFrame, known: DataFrame) -> DataFrame:
     return spots.join(known, "unit").drop("unit")
 
 
-def once_per_unit(blocks: DataFrame, make: Callable[[list[str]], list[str]]) -> DataFrame:
-    """``(home, pos, made)``: for each unit of each block, what ``make`` gives for it, called once per distinct unit.
+#: Units one owner handles at a time.
+PER_OWNER = 400_000
+
+
+def pack_strings(words: list[bytes]) -> bytes:
+    """Byte strings as compressed lengths and compressed content; neighbours that are alike pack well."""
+    lengths = pack(np.array([len(w) for w in words], np.int64))
+    return len(lengths).to_bytes(8, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    head = 8 + int.from_bytes(data[:8], "little")
+    ends = np.cumsum(unpack(data[8:head]), dtype=np.int64).tolist()
+    body = zstandard.decompress(data[head:])
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
 
-    One exchange brings equal units together, sorted, so a task needs only the last one it has made. A unit has
-    one row per block, so a frequent unit is no hot key.
+
+def _dealt(words: list[bytes], owners: int) -> tuple[list[int], list[int]]:
+    """The positions of a block's words by owner, then word, and the owner of each word."""
+    owner = [xxhash.xxh3_64_intdigest(w) % owners for w in words]
+    return sorted(range(len(words)), key=lambda i: (owner[i], words[i])), owner
+
+
+def once_per_unit(blocks: DataFrame, column: str, total: int, make: Callable[[list[str]], list[str]], build: Callable[[dict, list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """``build(block as a dict, what make gives for each of its units)`` for each block of ``blocks (block, column, ...)``.
+
+    ``column`` holds the block's distinct units (``pack_strings``). Blocks send them, sorted and packed, to the owners
+    of hash classes; an owner makes a table of its distinct units, calls ``make`` once for each, and replies in the
+    order of the request. A unit reaches its owner once per block, and ``total`` (about all blocks' units) sets how
+    many owners there are, so that none holds much. ``blocks`` is bucketed by block and stays where it is.
     """
-    spots = blocks.select(F.col("block").alias("home"), F.posexplode("vocab").alias("pos", "unit"))
+    owners = max(-(-total // PER_OWNER), 1)
+    sent_schema = pa.schema([("owner", pa.int32()), ("home", pa.int64()), ("data", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, str | None] = (None, None)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch["unit"].dictionary_encode()
-            units = coded.dictionary.to_pylist()
-            known = [last[1]] if units[0] == last[0] else []
-            made = known + make(units[len(known):])
-            last = units[-1], made[-1]
-            yield pa.RecordBatch.from_arrays([batch["home"], batch["pos"], pa.array(made, pa.string()).take(coded.indices)], names=["home", "pos", "made"])
-
-    return spots.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "home long, pos int, made string")
+            for home, data in zip(batch["block"].to_pylist(), batch[column]):
+                words = unpack_strings(data.as_py())
+                order, owner = _dealt(words, owners)
+                for o, own in groupby(order, key=owner.__getitem__):
+                    yield pa.RecordBatch.from_pylist([{"owner": o, "home": home, "data": pack_strings([words[i] for i in own])}], schema=sent_schema)
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked = [unpack_strings(d) for d in group["data"].to_pylist()]
+        table = sorted({w for words in asked for w in words})  # the distinct units of this owner
+        known: dict[bytes, bytes] = {}
+        for low in range(0, len(table), 10_000):
+            some = table[low:low + 10_000]
+            known.update(zip(some, (m.encode() for m in make([w.decode() for w in some]))))
+        return pa.Table.from_arrays([group["owner"], group["home"], pa.array([pack_strings([known[w] for w in words]) for words in asked], pa.binary())], schema=sent_schema)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left[c][0] for c in left.column_names}
+        words = unpack_strings(row[column].as_py())
+        replies = [r for o in np.argsort(right["owner"].to_numpy()).tolist() for r in unpack_strings(right["data"][o].as_py())]
+        made: list[bytes] = [b""] * len(words)
+        for i, reply in zip(_dealt(words, owners)[0], replies):
+            made[i] = reply
+        return build(row, made)
+
+    ddl = "owner int, home long, data binary"
+    replies = blocks.select("block", column).mapInArrow(send, ddl).groupBy("owner").applyInArrow(answer, ddl)
+    return blocks.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(finish, schema)
