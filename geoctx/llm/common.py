@@ -76,27 +76,44 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def stored(blocks: DataFrame) -> DataFrame:
-    """The blocks as a table bucketed by ``block`` in the shared folder: later joins on ``block`` leave it in place."""
+def stored(blocks: DataFrame, key: str = "block") -> DataFrame:
+    """A table bucketed by ``key`` in the shared folder: later joins on ``key`` leave it in place."""
     spark = blocks.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    (blocks.write.format("parquet").option("path", scratch_path(spark, "blocks")).bucketBy(parts, "block").saveAsTable(name))
+    (blocks.write.format("parquet").option("path", scratch_path(spark, "blocks")).bucketBy(parts, key).saveAsTable(name))
     return spark.table(name)
 
 
-def sieve(df: DataFrame, key: str, keys: DataFrame, bits: int = 22) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among ``keys[key]``: all true ones, and few others while keys are few.
+def _sieved(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
+    """``df`` with ``__gc_may``: false only where ``key`` is surely not among ``keys[key]``.
 
     Sends a table of at most ``2 ** (bits - 6)`` rows to every task (65,536 rows of 16 bytes by default,
-    whatever the data), so that a following join shuffles few of the others. NULL keys pass.
+    whatever the data).
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = (keys.select(spot(F.col(key)).alias("_spot"))
-             .groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_mask")))
-    marked = df.withColumn("_at", spot(df[key])).withColumn("_word", F.shiftright("_at", 6))
-    kept = marked.join(F.broadcast(words), "_word").where(F.expr("(shiftrightunsigned(_mask, cast(_at & 63 as int)) & 1) = 1"))
-    return kept.select(*[kept[c] for c in df.columns])
+    words = (keys.select(spot(keys[key].cast("long")).alias("at"))
+             .groupBy(F.shiftright("at", 6).alias("__gc_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("__gc_mask")))
+    marked = df.withColumn("__gc_at", spot(df[key].cast("long"))).withColumn("__gc_word", F.shiftright("__gc_at", 6))
+    may = F.coalesce(F.expr("(shiftrightunsigned(__gc_mask, cast(__gc_at & 63 as int)) & 1) = 1"), F.lit(False))
+    return marked.join(F.broadcast(words), "__gc_word", "left").withColumn("__gc_may", may).select(*df.columns, "__gc_may")
+
+
+def sieve(df: DataFrame, key: str, keys: DataFrame, bits: int = 22) -> DataFrame:
+    """Rows of ``df`` whose whole number ``key`` may be among ``keys[key]``: all true ones, and few others while keys
+    are few, so that a following join shuffles little else. NULL is a value like others."""
+    return _sieved(df, key, keys, bits).where("__gc_may").drop("__gc_may")
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Callable[[DataFrame, DataFrame], Column], bits: int = 22) -> DataFrame:
+    """``docs`` without the rows that ``same(docs, gone)`` some row of ``gone (doc_id, ...)``.
+
+    Texts of rows whose doc_id is surely not among them are not shuffled.
+    """
+    marked = _sieved(docs, "doc_id", gone, bits)
+    doubtful = marked.where("__gc_may").drop("__gc_may")
+    named = gone.select(*[F.col(c).alias(f"__gc_{c}") for c in gone.columns])
+    return marked.where("NOT __gc_may").drop("__gc_may").unionByName(doubtful.join(named, same(doubtful, named), "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:

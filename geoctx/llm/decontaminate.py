@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import documents, lower_az, sieve
+from geoctx.llm.common import documents, lower_az, sieve, without
 from geoctx.session import cut_lineage
 
 CATALOG = Catalog()
@@ -117,20 +117,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove}")
-    found = cut_lineage(contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "spans", "contaminated").dropDuplicates(["_id", "_fp"]))
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = (key == F.col("_fp")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    found = cut_lineage(contamination(docs, benchmark, n).where("n_hit > 0").select("doc_id", "fp", "spans", "contaminated").dropDuplicates(["doc_id", "fp"]))
+
+    def same(d: DataFrame, other: DataFrame) -> Column:
+        return (F.xxhash64(F.coalesce(d["text"], F.lit(""))) == other["__gc_fp"]) & d["doc_id"].cast("long").eqNullSafe(other["__gc_doc_id"])
+
     if remove == "documents":
-        return docs.join(found.where("contaminated").select("_id", "_fp"), same, "left_anti")
-    joined = docs.join(found.select("_id", "_fp", F.col("spans").alias("_spans")), same, "left")
+        return without(docs, found.where("contaminated").select("doc_id", "fp"), same)
+    hits = found.select(*[F.col(c).alias(f"__gc_{c}") for c in ("doc_id", "fp", "spans")])
+    joined = docs.join(hits, same(docs, hits), "left")
     # each word with what stands before it; the rest of the text behind the last word
     lead = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     parts = F.regexp_extract_all(F.col("text"), F.lit(f"{lead}*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     tail = F.regexp_extract(F.col("text"), f"({lead}*)$", 1)
-    hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["q"], s["q"] + s["len"] - 1))))
-    left = F.filter(F.transform(parts, lambda w, i: F.when(~F.array_contains(F.col("_hit"), i), w)), lambda w: w.isNotNull())
-    cleaned = joined.withColumn("_hit", hit).withColumn("_clean", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(left, ""), tail)))
-    return cleaned.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    hit = F.array_distinct(F.flatten(F.transform("__gc_spans", lambda s: F.sequence(s["q"], s["q"] + s["len"] - 1))))
+    left = F.filter(F.transform(parts, lambda w, i: F.when(~F.array_contains(F.col("__gc_hit"), i), w)), lambda w: w.isNotNull())
+    cleaned = joined.withColumn("__gc_hit", hit).withColumn("__gc_clean", F.when(F.col("__gc_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(left, ""), tail)))
+    return cleaned.select(*[F.col("__gc_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -13,11 +13,11 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import LOWER_BYTES, documents, id_text, in_blocks, lower_az, sieve
+from geoctx.llm.common import LOWER_BYTES, documents, id_text, in_blocks, lower_az, sieve, without
 from geoctx.llm.exchange import exchange, unpack
 from geoctx.session import cut_lineage
 
@@ -87,12 +87,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns and one row of each group of equal texts: the one with the largest doc_id."""
-    stay = cut_lineage(exact_duplicates(docs).where("kept").select("doc_id", "text_sha256"))
-    key = F.sha2(lower_az(F.coalesce(docs["text"], F.lit(""))), 256)
-    marked = docs.withColumn("_sha", key).join(stay.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_stay")), F.col("_sha") == F.col("_stay"))
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    # of rows equal in id and text one stays; the group is one key's repeats only
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    found = cut_lineage(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"))
+
+    def same(d: DataFrame, gone: DataFrame) -> Column:
+        return d["doc_id"].cast("long").eqNullSafe(gone["__gc_doc_id"]) & (F.sha2(lower_az(F.coalesce(d["text"], F.lit(""))), 256) == gone["__gc_text_sha256"])
+
+    by_row = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    left = without(docs, by_row.where("NOT kept").select("doc_id", "text_sha256"), same)
+    again = cut_lineage(by_row.where("kept AND n > 1").select("doc_id", "text_sha256"))
+    if again.isEmpty():
+        return left
+    # rows that repeat both id and text: apart from the others, one of each
+    single = without(left, again, same)
+    named = again.select(F.col("doc_id").alias("__gc_doc_id"), F.col("text_sha256").alias("__gc_text_sha256"))
+    repeated = left.join(named, same(left, named)).dropDuplicates(["__gc_doc_id", "__gc_text_sha256"])
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 @CATALOG.add("op8_exact_dedup", """

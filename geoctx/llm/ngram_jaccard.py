@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import LOWER_BYTES, components, documents, id_text, in_blocks, sieve, stored
+from geoctx.llm.common import LOWER_BYTES, components, documents, id_text, in_blocks, sieve, stored, without
 from geoctx.llm.exchange import exchange, pack, rice_decode, rice_encode, unpack
 from geoctx.session import cut_lineage
 
@@ -182,7 +182,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 pa.array([bitmap(sets[i]) for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary()),
             ], names=["key", "n", "map", "hashes"])
 
-    return cut_lineage(texts.mapInArrow(run, "key long, n long, map binary, hashes binary").dropDuplicates(["key"]))
+    return stored(texts.mapInArrow(run, "key long, n long, map binary, hashes binary").dropDuplicates(["key"]), "key")
 
 
 def _may_link(n_a, n_b, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> np.ndarray:
@@ -300,7 +300,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = cut_lineage(shared.join(hubs, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct())
     families = components(pairs)
     sets = _arrays(docs, reps.join(families.select(F.col("node").alias("key")), "key").select("key", "first"), width)
-    links = cut_lineage(_verify(pairs, sets, percent))
+    # first each set with one hub; then the pairs that this has not connected
+    tree = cut_lineage(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
+    parts = components(tree)
+    label = lambda s: parts.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+    links = cut_lineage(tree.unionByName(_verify(cut_lineage(apart), sets, percent)))
     parts = components(links)
     members = families.select(F.col("node").alias("key"), F.col("label").alias("family")).join(parts.withColumnRenamed("node", "key"), "key", "left")
     members = cut_lineage(members.select("key", "family", F.coalesce("label", "key").alias("comp")))
@@ -321,12 +326,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     Rows with a NULL doc_id stay; of rows that repeat the smallest id of a component one stays.
     """
     found = cut_lineage(near_duplicates(docs, width, percent))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
-    again = cut_lineage(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
-    single = kept.join(again, kept["doc_id"].cast("long") == F.col("_id"), "left_anti")
-    repeated = kept.join(again, kept["doc_id"].cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    same = lambda d, gone: d["doc_id"].cast("long") == gone["__gc_doc_id"]
+    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), same)
+    again = cut_lineage(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again.withColumnRenamed("doc_id", "__gc_doc_id"), kept["doc_id"].cast("long") == F.col("__gc_doc_id")).dropDuplicates(["__gc_doc_id"])
+    return without(kept, again, same).unionByName(repeated.select(*docs.columns))
 
 
 @CATALOG.add("op2_ngram_jaccard")
