@@ -139,7 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Tre
     # the sample is bounded by `rows`, two numbers each
     fitted = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     got = fitted.select("_label", _statistics(_bytes(F.col("_text"))).alias("x"), "_doc").orderBy("_doc", "_label").limit(rows).collect()
-    return fit_trees(np.array([r.x for r in got]).reshape(len(got), -1), np.array([r._label for r in got], dtype=float))
+    return fit_trees(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r._label for r in got], dtype=float))
 
 
 def quality_score(model: Trees):
