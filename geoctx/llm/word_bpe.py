@@ -9,7 +9,7 @@ from functools import lru_cache
 import regex
 
 #: Words kept with their pieces by one Python worker; the memory is bounded, the results don't depend on it.
-CACHE = 600_000
+CACHE = 400_000
 _SIMPLE = re.compile("[^\x00-ɏ]")  # outside: the library normalises; inside, NFC changes nothing
 
 
@@ -83,12 +83,19 @@ class _WordIds(dict):
     def __init__(self, bpe: WordBpe) -> None:
         super().__init__()
         self.bpe = bpe
+        self.units: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = [i for u in self.bpe._units(word.decode("utf-8", "replace")) for i in self.bpe.unit_ids(u)]
-        self[word] = found = b"".join(i.to_bytes(4, "little") for i in ids)
+        units = self.bpe._units(word.decode("utf-8", "replace"))
+        self[word] = found = b"".join(self.units.get(u) or self._unit(u) for u in units)
+        return found
+
+    def _unit(self, unit: str) -> bytes:
+        if len(self.units) >= CACHE:
+            self.units.clear()
+        self.units[unit] = found = b"".join(i.to_bytes(4, "little") for i in self.bpe.unit_ids(unit))
         return found
 
 
