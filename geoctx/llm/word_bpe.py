@@ -10,7 +10,9 @@ import regex
 
 #: Words kept with their pieces by one Python worker; the memory is bounded, the results don't depend on it.
 CACHE = 400_000
-_SIMPLE = re.compile("[^\x00-ɏ]")  # outside: the library normalises; inside, NFC changes nothing
+_SIMPLE = re.compile("[^\x00-ſ]")  # outside: the library normalises; inside, NFC changes nothing
+# What the classes of the split pattern hold in that range.
+_CLASSES = {r"\p{L}": "a-zA-ZªµºÀ-ÖØ-öø-ſ", r"\p{N}": "0-9²³¹¼½¾", r"\s": "\t\n\x0b\x0c\r \x85\xa0"}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,6 +36,10 @@ class WordBpe:
         if steps != ["NFC", "Replace", "Lowercase"] or not (split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")):
             raise ValueError(f"{path}: not a lower-casing BPE that drops white space")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        plain = split["pattern"]["Regex"]
+        for name, chars in _CLASSES.items():
+            plain = plain.replace(name, chars)
+        self.plain = None if "\\p" in plain else re.compile(plain)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = {s: self.lib.token_to_id(s) for s in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -74,28 +80,37 @@ class WordBpe:
 
     def text_ids(self, text: bytes) -> bytes:
         """The ids of a text, little-endian unsigned 32 bits."""
+        spelled = text.decode("utf-8", "replace")
+        if self.plain and not _SIMPLE.search(spelled) and not (self.cut and self.cut.search(spelled)):
+            return b"".join(map(self.word_ids.units.__getitem__, self.plain.findall(spelled.lower())))
         return b"".join(map(self.word_ids.__getitem__, text.split()))
 
 
-class _WordIds(dict):
-    """Words to the bytes of their ids, computed when first asked for."""
+class _UnitIds(dict):
+    """Pre-tokens to the bytes of their ids, computed when first asked for."""
 
     def __init__(self, bpe: WordBpe) -> None:
         super().__init__()
         self.bpe = bpe
-        self.units: dict[str, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        units = self.bpe._units(word.decode("utf-8", "replace"))
-        self[word] = found = b"".join(self.units.get(u) or self._unit(u) for u in units)
+        self[unit] = found = b"".join(i.to_bytes(4, "little") for i in self.bpe.unit_ids(unit))
         return found
 
-    def _unit(self, unit: str) -> bytes:
-        if len(self.units) >= CACHE:
-            self.units.clear()
-        self.units[unit] = found = b"".join(i.to_bytes(4, "little") for i in self.bpe.unit_ids(unit))
+
+class _WordIds(dict):
+    """Words to the bytes of their ids, computed when first asked for."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        super().__init__()
+        self.bpe, self.units = bpe, _UnitIds(bpe)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = b"".join(map(self.units.__getitem__, self.bpe._units(word.decode("utf-8", "replace"))))
         return found
 
 
