@@ -192,7 +192,7 @@ def m9(spark, d):
     return sampling.one_hot(s, {"city": fx.CITIES, "fun_cls": range(7)}).drop("city", "fun_cls")
 
 
-_KEY = "(image_id*2654435761 + 42*40503) % 2147483647"
+_KEY = "((image_id % 2147483647 + 2147483647) % 2147483647 * 2654435761 + 42*40503) % 2147483647"
 
 
 @add("m10_capped_sample", with_sql("sample", f"""

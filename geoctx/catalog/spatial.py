@@ -215,7 +215,7 @@ def p13(spark, d):
     return _ring(spark, d).withColumn("ring", broken).where(geo.ring_is_usable("ring")).select("build_id")
 
 
-@add("g14_distance_band", with_sql("center poi", "SELECT build_id, band, count(*) AS n FROM top GROUP BY ALL", top_sql(1000)))
+@add("g14_distance_band", with_sql("center poi", "SELECT build_id, band, count(*) AS n FROM top GROUP BY ALL", top_sql(1 << 40)))
 def g14(spark, d):
     pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), fx.pois(spark, d).select("poi_id", "x", "y"), 300.0)
     return context.with_bands(pairs).groupBy("build_id", "band").agg(F.count(F.lit(1)).alias("n"))
@@ -250,7 +250,7 @@ def w4(spark, d):
     SELECT build_id, poi_id, tier FROM pick WHERE n <= 20 OR rn <= CASE tier WHEN 'A' THEN 10 WHEN 'B' THEN 15 - least(na, 10)
         WHEN 'C' THEN 20 - least(na, 10) - least(nb, 15 - least(na, 10)) ELSE 0 END""", f"""{NEAR},
     tiered AS (SELECT *, CASE WHEN dist < 100 THEN 'A' WHEN dist < 200 THEN 'B' WHEN dist < 300 THEN 'C' ELSE '-' END AS tier,
-        (poi_id*2654435761 + 42*40503) % 2147483647 AS k FROM near),
+        ((poi_id % 2147483647 + 2147483647) % 2147483647 * 2654435761 + 42*40503) % 2147483647 AS k FROM near),
     pick AS (SELECT *, count(*) OVER (PARTITION BY build_id) AS n,
         count(*) FILTER (tier='A') OVER (PARTITION BY build_id) AS na, count(*) FILTER (tier='B') OVER (PARTITION BY build_id) AS nb,
         row_number() OVER (PARTITION BY build_id, tier ORDER BY CASE WHEN tier='A' THEN dist ELSE k END, poi_id) AS rn FROM tiered)"""))

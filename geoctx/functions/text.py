@@ -97,13 +97,15 @@ def packed_count(packed) -> Column:
     return F.size(unpack(packed))
 
 
-def word_tokens(text, low: int = 2, high: int = 15) -> Column:
-    """Lower-case ASCII words of ``low``..``high`` letters, in order.
+def word_tokens(text, low: int = 2, high: int | None = 15) -> Column:
+    """Lower-case ASCII words of ``low``..``high`` letters, in order; no upper bound with ``high`` None.
 
     Character classes are written out, since ``\\w`` differs between engines; letters outside
     a-z separate words.
     """
     words = F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z]+"), F.lit(0))
+    if high is None:
+        return F.filter(words, lambda w: F.length(w) >= low)
     return F.filter(words, lambda w: F.length(w).between(low, high))
 
 

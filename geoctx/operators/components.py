@@ -15,45 +15,74 @@ from pyspark.sql import functions as F
 from geoctx.session import cut_lineage
 
 
-def _label_tile(rows: np.ndarray, cols: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Component number per pixel of one tile: union by lowest index over sorted neighbours."""
-    index = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows, cols))}
-    parent = np.arange(len(rows))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    for (r, c), i in index.items():
-        for dr, dc in steps:
-            j = index.get((r + dr, c + dc))
-            if j is not None:
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(rows))])
+def _label_tiles(tiles: np.ndarray, rows: np.ndarray, cols: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Index of the first pixel of each pixel's component; pixels are sorted by tile, row and column."""
+    n = len(rows)
+    if not n:
+        return np.zeros(0, np.int64)
+    joins = (tiles[1:] == tiles[:-1]) & (rows[1:] == rows[:-1]) & (cols[1:] == cols[:-1] + 1)
+    run = np.concatenate([[0], np.cumsum(~joins)])  # runs of neighbours in a row
+    first = np.concatenate([[0], np.flatnonzero(~joins) + 1])
+    top, left = rows.min(), cols.min()
+    height, width = int(rows.max() - top) + 3, int(cols.max() - left) + 3
+    spot = (tiles * height + (rows - top)) * width + (cols - left) + 1  # in order, and a step off an edge meets nobody
+    pairs = []
+    for side in (-1, 0, 1) if diagonal else (0,):
+        at = np.minimum(np.searchsorted(spot, spot + width + side), n - 1)
+        met = spot[at] == spot + width + side
+        pairs.append(np.stack([run[met], run[at[met]]]))
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    label = np.arange(len(first))
+    while True:  # the smallest run reachable, with jumps along labels
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return first[label[run]]
+        label = new
+
+
+#: Pixels labelled together at most on average: several small tiles, or one large one.
+GROUP_PIXELS = 200_000
+
+
+def pixel_numbers(pixels: DataFrame, width: int | None) -> tuple[int, int]:
+    """Number of columns for ``row * width + col``, and the number of pixels. A width that is too small is refused."""
+    widest, n = pixels.agg(F.max("col"), F.count(F.lit(1))).first()
+    needed = (widest or 0) + 1
+    if width is None:
+        return max(1 << 24, 1 << (needed - 1).bit_length()), n
+    if width < needed:
+        raise ValueError(f"width {width} is too small for column {widest}")
+    return width, n
 
 
 def label_components(pixels: DataFrame, key: str = "image_id", tile: int = 512, diagonal: bool = False,
-                     width: int = 1 << 24) -> DataFrame:
-    """Adds ``component`` to (key, row, col) foreground pixels.
+                     width: int | None = None) -> DataFrame:
+    """Adds ``component`` to (key, row, col) foreground pixels; keys may be of any type.
 
-    The number of a component is that of its first pixel in reading order, ``row * width + col``.
+    The number of a component is that of its first pixel in reading order, ``row * width + col``. ``width`` is
+    2 ** 24, or more where the table has more columns.
     """
-    t = pixels.select(key, "row", "col").withColumn("_ty", F.floor(F.col("row") / tile)).withColumn(
-        "_tx", F.floor(F.col("col") / tile))
+    width, n = pixel_numbers(pixels, width)
+    kind = pixels.schema[key].dataType.simpleString()
+    t = pixels.select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    t = t.withColumn("_ty", F.floor(F.col("row") / tile)).withColumn("_tx", F.floor(F.col("col") / tile))
+    groups = max(-(-n // GROUP_PIXELS), t.sparkSession.sparkContext.defaultParallelism)
+    t = t.withColumn("_g", F.pmod(F.xxhash64(key, "_ty", "_tx"), F.lit(groups)))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
-        roots = _label_tile(pdf["row"].to_numpy(), pdf["col"].to_numpy(), diagonal)
-        first = pdf["row"].to_numpy().astype("int64") * width + pdf["col"].to_numpy()
-        return pdf.assign(local=first[roots])[[key, "row", "col", "local"]]
-
-    schema = f"{key} long, row int, col int, local long"
-    local = cut_lineage(t.groupBy(key, "_ty", "_tx").applyInPandas(label, schema))
+        pdf = pdf.assign(_t=pdf.groupby([key, "_ty", "_tx"], sort=False, dropna=False).ngroup())
+        pdf = pdf.sort_values(["_t", "row", "col"], ignore_index=True)
+        rows, cols = pdf["row"].to_numpy().astype("int64"), pdf["col"].to_numpy().astype("int64")
+        roots = _label_tiles(pdf["_t"].to_numpy().astype("int64"), rows, cols, diagonal)
+        return pdf.assign(local=(rows * width + cols)[roots])[[key, "row", "col", "local"]]
+
+    schema = f"`{key}` {kind}, row int, col int, local long"
+    local = cut_lineage(t.groupBy("_g").applyInPandas(label, schema))
     seams = _seam_pairs(local, key, tile, diagonal)
     merged = merge_labels(seams, key)
     return local.join(merged, [key, "local"], "left").select(

@@ -27,7 +27,7 @@ def default_stop_words() -> list[str]:
 
 def with_terms(docs: DataFrame, key: str, content: str, stop_words: Sequence[str]) -> DataFrame:
     """(key, terms): words of two letters and more, stop words out, then single words and neighbouring pairs."""
-    words = text.word_tokens(content, 2, 1 << 20)
+    words = text.word_tokens(content, 2, None)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
     # kept words are a column of their own, so that the pair step does not tokenise again

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from geoctx.functions import geo
 from geoctx.operators import transfer
+from geoctx.operators.components import pixel_numbers
 from geoctx.operators.spatial_join import bbox_join
 from geoctx.session import cut_lineage
 
@@ -248,13 +249,14 @@ def boundary_edges(labelled: DataFrame, key: str = "image_id") -> DataFrame:
     return asks.join(inner, [key, "component", "_nr", "_nc"], "left_anti").drop("_nr", "_nc")
 
 
-def outlines(labelled: DataFrame, key: str = "image_id", width: int = 1 << 24, rounds: int = 40) -> DataFrame:
+def outlines(labelled: DataFrame, key: str = "image_id", width: int | None = None, rounds: int = 40) -> DataFrame:
     """Corner vertices of every ring in order: (key, component, ring, pos, r, c).
 
     Edges are linked to their successor (right turn before straight before left, which keeps diagonal
     neighbours apart), and rings are numbered and ordered by pointer doubling: log2 of the longest ring
     rounds of equi-joins, with no ring ever in one task.
     """
+    width = pixel_numbers(labelled, width)[0] + 1  # corners lie one column further out than pixels
     e = boundary_edges(labelled, key).withColumn(
         "id", (F.col("r") * F.lit(width).cast("long") + F.col("c")) * 4 + F.col("dir"))
     nxt = e.select(key, "component", F.col("r").alias("r2"), F.col("c").alias("c2"),

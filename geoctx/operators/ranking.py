@@ -17,8 +17,16 @@ KEY_RANGE = 2147483647  # hash keys lie in [0, KEY_RANGE)
 
 
 def portable_key(id_col: Column, seed: int = 42) -> Column:
-    """Pseudo-random key of a numeric id that any SQL engine can repeat."""
-    return (id_col.cast("long") * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(KEY_RANGE)
+    """Pseudo-random key of a numeric id that any SQL engine can repeat.
+
+    The id is reduced before it is multiplied, so that no 64-bit id overflows or leaves the range.
+    """
+    return (F.pmod(id_col.cast("long"), F.lit(KEY_RANGE)) * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(KEY_RANGE)
+
+
+def bucket_count(df: DataFrame, buckets: int | None) -> int:
+    """``buckets``, or a few per shuffle partition: it grows with the partitions that a job's size asks for."""
+    return buckets or max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def hash_key(*cols: Column, seed: int = 42) -> Column:
@@ -54,9 +62,10 @@ def bucket_rank(
 
 
 def random_rank(
-    df: DataFrame, strata: Sequence[str], key: Column, tie: str, name: str = "rank", buckets: int = 64
+    df: DataFrame, strata: Sequence[str], key: Column, tie: str, name: str = "rank", buckets: int | None = None
 ) -> DataFrame:
     """Rank in a stratum by a hash key in [0, KEY_RANGE): equal buckets by construction."""
+    buckets = bucket_count(df, buckets)
     keyed = df.withColumn("_key", key)
     width = KEY_RANGE // buckets + 1
     ranked = bucket_rank(
@@ -66,13 +75,14 @@ def random_rank(
 
 
 def ordered_rank(
-    df: DataFrame, order: Sequence[str], name: str = "rank", buckets: int = 64
+    df: DataFrame, order: Sequence[str], name: str = "rank", buckets: int | None = None
 ) -> DataFrame:
     """1-based rank over the whole table by ``order`` (which must be unique).
 
     Bucket bounds come from a bounded hash sample of the keys; any sample gives
     the same ranks, a good one gives even buckets.
     """
+    buckets = bucket_count(df, buckets)
     key = F.struct(*[F.col(c) for c in order])
     sample = (
         df.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h").limit(buckets * 8).select("k").collect()

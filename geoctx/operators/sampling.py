@@ -74,10 +74,11 @@ def bin_of(value: str | Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def kmeans_edges(df: DataFrame, value: str, bins: int = 10, rounds: int = 100) -> list[float]:
+def kmeans_edges(df: DataFrame, value: str, bins: int = 10, rounds: int = 5000) -> list[float]:
     """Inner edges between ordered 1-D k-means centres, started at the middles of equal ranges.
 
-    Each round is one pass over distinct values with counts (a small table for counts and scores).
+    Each round is one pass over distinct values with counts (a small table for counts and scores), until no centre
+    moves; edges that have not settled after ``rounds`` passes are refused.
     """
     counts = ranking.value_counts(df, [], value).cache()
     lo, hi = counts.agg(F.min(value), F.max(value)).first()
@@ -95,6 +96,9 @@ def kmeans_edges(df: DataFrame, value: str, bins: int = 10, rounds: int = 100) -
         if new == centres:
             break
         centres = new
+    else:
+        counts.unpersist()
+        raise RuntimeError(f"centres still move after {rounds} rounds")
     counts.unpersist()
     return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
