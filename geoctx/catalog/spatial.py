@@ -239,6 +239,17 @@ def w1(spark, d):
     return _top(spark, d, 31).select("build_id", "poi_id", F.col("rk").cast("long").alias("rk"), six("dist").alias("dist"))
 
 
+_CROWD = "(SELECT poi_id, type_en, x % 10 * 1000 AS x, y % 10 * 1000 AS y FROM poi)"
+
+
+@add("w1_nearest_k_crowded", with_sql("center poi", "SELECT build_id, poi_id, rk, round(dist,6) AS dist FROM top", top_sql(31).replace("JOIN poi p", f"JOIN {_CROWD} p")))
+def w1_crowded(spark, d):
+    """The same with all points in a hundred places."""
+    places = fx.pois(spark, d).withColumn("x", F.col("x") % 10 * 1000).withColumn("y", F.col("y") % 10 * 1000)
+    top = nearest_k(fx.centers(spark, d).select("build_id", "x", "y"), places, 300.0, 31)
+    return top.select("build_id", "poi_id", F.col("rk").cast("long").alias("rk"), six("dist").alias("dist"))
+
+
 @add("w4_banded_nearest_k", with_sql("center poi", """
     SELECT build_id, band, count(*) AS n, min(rk) AS first_rk FROM top GROUP BY ALL""", top_sql(31)))
 def w4(spark, d):

@@ -57,82 +57,57 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def _search_radius(centers: DataFrame, points: DataFrame, radius: float, k: int, fine: int) -> DataFrame:
-    """Per occupied fine cell of ``centers``: a radius sure to hold the k nearest points.
+def _search_radius(centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int) -> DataFrame:
+    """Per occupied finest cell of ``centers``: a radius sure to hold the k nearest points, where it is below ``radius``.
 
-    Counts per fine cell are a map-side combined aggregate, so a crowded place is
-    one row here. Rings of cells around a centre cell are added up until k points
-    are reached; everything in those rings is within (ring + 1) cell diagonals.
+    A pyramid of counts: cells of side radius / 2, / 4, ... / 2 ** depth, each level added up from the finest, which is
+    a map-side combined aggregate, so a crowded place is one row here. Whatever lies in the nine cells around a
+    centre's own is within two cell diagonals; the finest level whose nine cells hold k points gives the radius.
     """
-    h = radius / fine
-    counts = with_cell(points, h).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-    homes = with_cell(centers, h).select(F.col("_cx").alias("hx"), F.col("_cy").alias("hy")).distinct()
-    reach = int(math.ceil(fine / math.sqrt(2.0)))
-    i, j = F.col("_i"), F.col("_j")
-    near = (
-        homes.withColumn("_i", F.explode(_steps(reach))).withColumn("_j", F.explode(_steps(reach)))
-        .select("hx", "hy", (F.col("hx") + i).alias("_cx"), (F.col("hy") + j).alias("_cy"),
-                F.greatest(F.abs(i), F.abs(j)).alias("ring"))
-        .join(counts, ["_cx", "_cy"])
-        .groupBy("hx", "hy", "ring").agg(F.sum("n").alias("n"))
-    )
-    w = Window.partitionBy("hx", "hy").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        near.withColumn("total", F.sum("n").over(w))
-        .where(F.col("total") >= k)
-        .groupBy("hx", "hy")
-        .agg((F.min("ring") + 1).alias("ring"))
-        .select("hx", "hy", (F.col("ring") * h * math.sqrt(2.0) * (1 + 1e-9)).alias("bound"))
-        .where(F.col("bound") < radius)
-    )
-
-
-def crowding(points: DataFrame, radius: float) -> int:
-    """Most points in one cell of side ``radius`` (one aggregate over the coordinates)."""
-    cells = with_cell(points, radius).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-    return cells.agg(F.max("n")).first()[0] or 0
+    side = 1 << depth
+    finest = with_cell(points, radius / side).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.array(*[F.lit(v) for v in range(2, depth + 1)])).alias("_lv")  # coarser ones bound nothing
+    shrink = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(depth) - F.col("_lv")))
+    pyramid = finest.select("_cx", "_cy", "n", levels).groupBy("_lv", shrink("_cx").alias("_cx"), shrink("_cy").alias("_cy")).agg(F.sum("n").alias("n"))
+    homes = with_cell(centers, radius / side).select("_cx", "_cy").distinct().select(F.col("_cx").alias("hx"), F.col("_cy").alias("hy"), "_cx", "_cy", levels)
+    asked = homes.select("hx", "hy", "_lv", F.explode(_steps(1)).alias("_i"), shrink("_cx").alias("_bx"), shrink("_cy").alias("_by"))
+    asked = asked.select("hx", "hy", "_lv", (F.col("_bx") + F.col("_i")).alias("_cx"), F.explode(_steps(1)).alias("_j"), "_by")
+    near = asked.withColumn("_cy", F.col("_by") + F.col("_j")).join(pyramid, ["_lv", "_cx", "_cy"])
+    enough = near.groupBy("hx", "hy", "_lv").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    best = enough.groupBy("hx", "hy").agg(F.max("_lv").alias("_lv"))
+    return best.select("hx", "hy", (F.lit(2 * math.sqrt(2.0) * radius * (1 + 1e-9)) / F.pow(F.lit(2.0), "_lv")).alias("bound"))
 
 
 def nearest_k(
     centers: DataFrame, points: DataFrame, radius: float, k: int,
-    key: str = "build_id", tie: str = "poi_id", fine: int | str | None = "auto",
+    key: str = "build_id", tie: str = "poi_id", depth: int = 4,
 ) -> DataFrame:
     """The k nearest points within ``radius`` of every centre, with ``dist`` and ``rk`` (1 = nearest).
 
-    Exact. Ranks tie-break on ``tie``, and are cut to k by Spark's partial window limit before the
-    shuffle on ``key``. "auto" measures the most crowded cell (one aggregate over the coordinates); above
-    20 k points, or with ``fine`` set (cells per radius), two steps keep crowded places from producing all
-    pairs:
+    Exact, and one plan at every size. Ranks tie-break on ``tie``, and are cut to k by Spark's partial window limit
+    before the shuffle on ``key``. Two steps keep crowded places from producing all pairs:
 
     * of points at the very same spot only the k lowest ``tie`` values can ever be among the k nearest,
       so the others are left out before the join;
-    * a counting pass gives each centre a search radius sure to hold its k nearest, and centres look only
-      at cells of that size.
-
-    Otherwise both steps are skipped: they would cost shuffles and save little.
+    * counts of cells down to ``radius / 2 ** depth`` give each centre a search radius sure to hold its k nearest,
+      and centres look only at cells of that size.
     """
-    if fine == "auto":
-        fine = 16 if crowding(points, radius) > 20 * k else None
-    if fine:
-        spot = Window.partitionBy("x", "y").orderBy(tie)
-        points = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
-        pairs = _bounded_pairs(centers, points, radius, k, fine)
-    else:
-        pairs = radius_join(centers, points, radius)
+    spot = Window.partitionBy("x", "y").orderBy(tie)
+    points = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
+    pairs = _bounded_pairs(centers, points, radius, k, depth)
     rank = Window.partitionBy(key).orderBy("dist", tie)
     return pairs.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
 
 
-def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int, fine: int) -> DataFrame:
-    h = radius / fine
-    bounds = _search_radius(centers, points, radius, k, fine)
+def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int) -> DataFrame:
+    bounds = _search_radius(centers, points, radius, k, depth)
     sized = (
-        with_cell(centers, h).withColumnsRenamed({"_cx": "hx", "_cy": "hy"})
+        with_cell(centers, radius / (1 << depth)).withColumnsRenamed({"_cx": "hx", "_cy": "hy"})
         .join(bounds, ["hx", "hy"], "left").drop("hx", "hy")
         .withColumn("_r", F.coalesce("bound", F.lit(float(radius)))).drop("bound")
     )
     # grids of cell size radius, radius/2, radius/4, ...: the smallest that still covers the search radius
-    levels = range(int(math.floor(math.log2(fine))) + 1)
+    levels = range(depth + 1)
     level = F.greatest(
         F.lit(0), F.least(F.lit(levels[-1]), F.floor(F.log2(F.lit(float(radius)) / F.col("_r"))))
     ).cast("int")

@@ -12,10 +12,10 @@ RADIUS, MAX_POI, MIN_POI = 300.0, 100, 3
 
 def context_prompts(
     centers: DataFrame, points: DataFrame, radius: float = RADIUS, k: int = MAX_POI,
-    min_count: int = MIN_POI, words=None, fine: int | str | None = "auto",
+    min_count: int = MIN_POI, words=None,
 ) -> DataFrame:
     """``build_id, n_poi, prompt`` for centres (build_id, x, y) and points (poi_id, x, y, type_en)."""
     pairs = nearest_k(
-        centers.select("build_id", "x", "y"), points.select("poi_id", "x", "y", "type_en"), radius, k, fine=fine
+        centers.select("build_id", "x", "y"), points.select("poi_id", "x", "y", "type_en"), radius, k
     ).select("build_id", "rk", "dist", "type_en")
     return context.prompts(context.with_bands(pairs), words=words, min_count=min_count)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoctx.functions import geo, text
 from geoctx.operators import context, ranking
-from geoctx.operators.spatial_join import crowding, nearest_k, radius_join
+from geoctx.operators.spatial_join import nearest_k, radius_join
 from geoctx.plans.context_corpus import context_prompts
 
 
@@ -134,13 +134,13 @@ def crowded(seed):
     return ctr, pts
 
 
-@pytest.mark.parametrize("fine", [None, 4, 16, "auto"])
+@pytest.mark.parametrize("depth", [2, 4, 6])
 @pytest.mark.parametrize("k", [1, 7, 50])
-def test_nearest_k_in_crowded_places(spark, fine, k):
+def test_nearest_k_in_crowded_places(spark, depth, k):
     ctr, pts = crowded(k)
     c = spark.createDataFrame(ctr, "build_id long, x double, y double")
     p = spark.createDataFrame(pts, "poi_id long, x double, y double, type_en string")
-    got = {(r.build_id, r.poi_id, r.rk) for r in nearest_k(c, p, 300.0, k, fine=fine).collect()}
+    got = {(r.build_id, r.poi_id, r.rk) for r in nearest_k(c, p, 300.0, k, depth=depth).collect()}
     assert got == brute(ctr, pts, 300.0, k)
 
 
@@ -150,8 +150,7 @@ def test_bounded_search_forms_far_fewer_pairs(spark):
     ctr, pts = crowded(1)
     c = spark.createDataFrame([x for x in ctr if x[0] >= 200], "build_id long, x double, y double")
     p = spark.createDataFrame(pts, "poi_id long, x double, y double, type_en string")
-    assert crowding(p, 300.0) >= 300
-    assert _bounded_pairs(c, p, 300.0, 5, 64).count() < radius_join(c, p, 300.0).count()
+    assert _bounded_pairs(c, p, 300.0, 5, 6).count() < radius_join(c, p, 300.0).count()
 
 
 def test_radius_is_inclusive_and_pairs_are_unique(spark):
