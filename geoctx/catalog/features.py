@@ -59,21 +59,22 @@ def _vocab(spark, d):
 
 
 @add("j12_token_vectors", f"""
-    WITH {VOCAB} SELECT token, any_value(vec_id) AS vec_id, count(*) AS n, round(any_value(embedding[1])::DOUBLE, 6) AS first
-    FROM known JOIN embeddings USING (vec_id) GROUP BY token""")
+    WITH {VOCAB} SELECT token, vec_id, n, unnest(range(64))::INTEGER AS pos, round(unnest(embedding)::DOUBLE, 6) AS x
+    FROM (SELECT token, vec_id, count(*) AS n FROM known GROUP BY ALL) JOIN embeddings USING (vec_id)""")
 def j12(spark, d):
     known = features.known_tokens(_docs(spark, d), _vocab(spark, d), "doc_id", "text")
     counts = known.groupBy("token", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(fx.table(spark, d, "embeddings"), "vec_id").select(
-        "token", "vec_id", "n", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+        "token", "vec_id", "n", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @add("a25_mean_vectors", f"""
-    WITH {VOCAB}, m AS (SELECT doc_id, {", ".join(f"avg(embedding[{i}]::DOUBLE) AS v{i}" for i in (1, 17, 64))} FROM known JOIN embeddings USING (vec_id) GROUP BY doc_id)
-    SELECT doc_id, 64 AS size, {", ".join(f"round(coalesce(v{i}, 0), 5) AS v{i}" for i in (1, 17, 64))} FROM documents LEFT JOIN m USING (doc_id)""")
+    WITH {VOCAB}, e AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    m AS (SELECT doc_id, e.pos AS pos, avg(x) AS v FROM known JOIN e USING (vec_id) GROUP BY ALL)
+    SELECT doc_id, pos::INTEGER AS pos, round(coalesce(v, 0), 5) AS v FROM (SELECT doc_id, unnest(range(64)) AS pos FROM documents) LEFT JOIN m USING (doc_id, pos)""")
 def a25(spark, d):
     v = features.mean_vectors(_docs(spark, d), _vocab(spark, d), fx.table(spark, d, "embeddings"), "doc_id", "text", 64)
-    return v.select("doc_id", F.size("vector").alias("size"), *[F.round(F.col("vector")[i - 1], 5).alias(f"v{i}") for i in (1, 17, 64)])
+    return v.select("doc_id", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5))
 
 
 @add("f6_token_sequences", f"""
@@ -93,11 +94,12 @@ def _emb(spark, d):
 
 @add("m2_standardise", """
     WITH x AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
-    z AS (SELECT vec_id, pos, (v - avg(v) OVER p) / stddev_pop(v) OVER p AS z FROM x WINDOW p AS (PARTITION BY pos))
+    fit AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM x JOIN embeddings USING (vec_id) WHERE label < 6 GROUP BY pos),
+    z AS (SELECT vec_id, pos, (v - m) / s AS z FROM x JOIN fit USING (pos))
     SELECT vec_id, pos::INTEGER AS pos, round(z / sqrt(sum(z*z) OVER (PARTITION BY vec_id)), 5) AS x FROM z""")
 def m2(spark, d):
-    e = features.as_vector(_emb(spark, d).select("vec_id", "embedding"), "embedding")
-    out = features.standardise(e, features.fit_scaler(e, "embedding"), "embedding")
+    e = features.as_vector(_emb(spark, d).select("vec_id", "label", "embedding"), "embedding")
+    out = features.standardise(e, features.fit_scaler(e.where("label < 6"), "embedding"), "embedding")  # labels 0-5: the training split
     return out.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 

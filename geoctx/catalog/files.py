@@ -11,7 +11,7 @@ from geoctx.fixtures import with_sql
 from geoctx.functions import geo
 from geoctx.operators import metrics
 from geoctx.session import scratch_path
-from geoctx.sources import jsonl, listing, sinks, tabular, vector
+from geoctx.sources import jsonl, listing, logs, sinks, tabular, vector
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -86,6 +86,23 @@ def s7(spark, d):
     return back.select("build_id", *[c.alias(n) for n, c in geo.ring_bounds("ring").items()], geo.ring_area("ring").alias("area"))
 
 
+@add("s7_holes_and_parts", with_sql("building", """
+    SELECT build_id, CASE build_id % 3 WHEN 2 THEN 2 ELSE 1 END AS parts, CASE build_id % 3 WHEN 1 THEN 1 ELSE 0 END AS holes,
+        build_id % 3 = 0 AS plain, (maxx-minx)*(maxy-miny) + CASE build_id % 3 WHEN 1 THEN -24.0 WHEN 2 THEN 12.0 ELSE 0 END AS area FROM building"""))
+def s7_parts(spark, d):
+    """Outlines as a plain polygon, with a hole of 6 x 4, and with a second part of 3 x 4."""
+    path = scratch_path(spark, "s7h")
+    box = lambda a, b, c, e: F.regexp_extract(geo.ring_to_wkt(geo.ring_of_rect(F.expr(a), F.expr(b), F.expr(c), F.expr(e))), r"\((\(.*\))\)", 1)
+    shell = box("minx", "miny", "maxx", "maxy")
+    hole, part = box("minx + 2", "miny + 3", "minx + 8", "miny + 7"), box("maxx + 1", "miny", "maxx + 4", "miny + 4")
+    wkt = F.when(F.col("build_id") % 3 == 1, F.concat(F.lit("POLYGON ("), shell, F.lit(", "), hole, F.lit(")"))).when(
+        F.col("build_id") % 3 == 2, F.concat(F.lit("MULTIPOLYGON (("), shell, F.lit("), ("), part, F.lit("))"))).otherwise(F.concat(F.lit("POLYGON ("), shell, F.lit(")")))
+    fx.buildings(spark, d).select("build_id", wkt.alias("wkt")).write.parquet(path)
+    back = vector.read_features(spark, path)
+    return back.select("build_id", F.size("polygons").alias("parts"), (F.aggregate("polygons", F.lit(0), lambda s, g: s + F.size(g)) - F.size("polygons")).alias("holes"),
+                       F.col("ring").isNotNull().alias("plain"), geo.polygons_area("polygons").alias("area"))
+
+
 @add("s8_box_scan", with_sql("poi", "SELECT poi_id, x, y FROM poi WHERE x BETWEEN 1000 AND 2500 AND y BETWEEN 4000 AND 6000"))
 def s8(spark, d):
     path = scratch_path(spark, "s8")
@@ -119,6 +136,32 @@ def s12(spark, d):
     return listing.read_pair_list(spark, path)
 
 
+@add("s13_nested_annotations", """
+    SELECT 'img/' || p_partkey || '.png' AS img_path, 'ann/' || p_partkey || '.png' AS seg_map_path FROM part""")
+def s13(spark, d):
+    """One annotation file per brand, as a data set's parts come; a leading "./" is dropped on reading."""
+    path = scratch_path(spark, "s13")
+    k = F.col("p_partkey").cast("string")
+    pair = F.struct(F.concat(F.lit("./img/"), k, F.lit(".png")).alias("image"), F.concat(F.lit("./ann/"), k, F.lit(".png")).alias("label"))
+    files = fx.table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(pair).alias("training"))
+    files.select(F.to_json(F.struct("training")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return listing.read_nested_annotations(spark, path)
+
+
+@add("s16_read_log", with_sql("train_log", """
+    SELECT run, full_step, count(*) AS n, round(sum(metric), 4) AS total FROM (
+      SELECT *, coalesce(last_value(CASE WHEN step <> 0 THEN step END IGNORE NULLS) OVER
+        (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS full_step FROM train_log) GROUP BY ALL"""))
+def s16_file(spark, d):
+    """Log files, one per run, written and read back with their own line numbers."""
+    path = scratch_path(spark, "s16")
+    lines = fx.train_log(spark, d).repartition("run").sortWithinPartitions("run", "ts", "event_id")
+    lines.select("run", F.to_json(F.struct("step", "metric")).alias("value")).write.partitionBy("run").text(path)
+    rows = logs.read_log(spark, f"{path}/*/*.txt").where("metric = 'metric'")
+    run = F.regexp_extract("run", r"run=(\d+)/", 1).cast("long")
+    return rows.groupBy(run.alias("run"), "full_step").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
+
+
 @add("s17_unicode_lines", "SELECT doc_id, text FROM documents")
 def s17(spark, d):
     path = scratch_path(spark, "s17")
@@ -128,13 +171,15 @@ def s17(spark, d):
 
 
 @add("s18_feature_store", """
-    SELECT vec_id, CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE 'test' END AS split, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings""")
+    SELECT vec_id, CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE 'test' END AS split,
+        unnest(range(64))::INTEGER AS pos, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings""")
 def s18(spark, d):
     path = scratch_path(spark, "s18")
     split = F.when(F.col("label") < 6, "train").when(F.col("label") < 8, "val").otherwise("test")
     e = fx.table(spark, d, "embeddings").select("vec_id", split.alias("split"), "embedding")
     sinks.write_features(e, path, "vec_id")
-    return spark.read.parquet(path).select("vec_id", "split", F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
+    rows = spark.read.parquet(path).select("vec_id", "split", F.posexplode("embedding").alias("pos", "x"))
+    return rows.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @add("s19_fused_dataset", """

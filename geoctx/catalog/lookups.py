@@ -53,8 +53,9 @@ def j2(spark, d):
 
 
 @add("j8_assemble_modalities", """
-    SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS rgb0, round(embedding[17]::DOUBLE, 6) AS texture0,
-        round(embedding[48]::DOUBLE, 6) AS hog15, round(embedding[64]::DOUBLE, 6) AS text15 FROM embeddings""")
+    WITH e AS (SELECT vec_id, label, unnest(range(64)) AS i, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings)
+    SELECT vec_id, label, (i % 16)::INTEGER AS pos, max(x) FILTER (i // 16 = 0) AS rgb, max(x) FILTER (i // 16 = 1) AS texture,
+        max(x) FILTER (i // 16 = 2) AS hog, max(x) FILTER (i // 16 = 3) AS text FROM e GROUP BY ALL""")
 def j8(spark, d):
     e = fx.table(spark, d, "embeddings")
     parts = {
@@ -63,10 +64,8 @@ def j8(spark, d):
     }
     out = lookup.assemble(e.select("vec_id", "label"), parts, "vec_id")
 
-    def at(name, i):
-        return six(F.col(name)[i].cast("double")).alias(f"{name}{i}")
-
-    return out.select("vec_id", "label", at("rgb", 0), at("texture", 0), at("hog", 15), at("text", 15))
+    rows = out.select("vec_id", "label", F.posexplode(F.arrays_zip(*parts)).alias("pos", "v"))
+    return rows.select("vec_id", "label", "pos", *[six(F.col(f"v.{name}").cast("double")).alias(name) for name in parts])
 
 
 _SPLIT = "CASE image_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END"

@@ -8,7 +8,7 @@ from geoctx import fixtures as fx
 from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
 from geoctx.functions import geo, text
-from geoctx.operators import context, lookup, ranking, transfer
+from geoctx.operators import context, lookup, polygons, ranking, transfer
 from geoctx.operators.spatial_join import bbox_join, nearest_k, radius_join
 from geoctx.plans.context_corpus import context_prompts
 
@@ -181,6 +181,19 @@ def _ring(spark, d):
     return fx.buildings(spark, d).withColumn("ring", geo.ring_of_rect("minx", "miny", "maxx", "maxy"))
 
 
+@add("a8_merge_layers", with_sql("candidate", """
+    SELECT min(id) AS id, minx, miny, maxx, maxy FROM (SELECT build_id AS id, minx, miny, maxx, maxy FROM building
+      UNION ALL SELECT 1000000000 + cand_id, minx, miny, maxx, maxy FROM candidate) GROUP BY minx, miny, maxx, maxy"""))
+def a8(spark, d):
+    """Both layers, the second with its outlines the other way round and from another corner; equal outlines once."""
+    ring = geo.ring_of_rect("minx", "miny", "maxx", "maxy")
+    turned = F.reverse(F.concat(F.slice(ring, 2, 4), F.slice(ring, 2, 1)))
+    ours = fx.buildings(spark, d).select(F.col("build_id").alias("id"), ring.alias("ring"))
+    theirs = fx.candidates(spark, d).select((F.col("cand_id") + 1000000000).alias("id"), turned.alias("ring"))
+    merged = polygons.merge_layers([ours, theirs], "id")
+    return merged.select("id", *[c.alias(n) for n, c in geo.ring_bounds("ring").items()])
+
+
 @add("g12_ring_measures", with_sql("building", """
     SELECT build_id, minx, miny, maxx, maxy, (maxx-minx)*(maxy-miny) AS area, round((minx+maxx)/2, 6) AS cx,
         round((miny+maxy)/2, 6) AS cy FROM building"""))

@@ -231,6 +231,30 @@ def ring_from_wkt(wkt) -> Column:
     return F.when(F.length(body) > 0, F.transform(pts, point))
 
 
+def polygons_from_wkt(wkt) -> Column:
+    """Polygons of a ``POLYGON`` or ``MULTIPOLYGON`` text, each an array of rings: the shell, then its holes."""
+    text = F.trim(_col(wkt))
+    body = F.regexp_replace(text, r"(?i)^(MULTI)?POLYGON\s*", "")
+
+    def point(t):
+        xy = F.split(F.trim(t), r"\s+")
+        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
+
+    def rings(polygon):
+        bare = F.regexp_replace(polygon, r"^[\s(]+|[\s)]+$", "")
+        return F.transform(F.split(bare, r"\)\s*,\s*\("), lambda r: F.transform(F.split(r, ","), point))
+
+    listed = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), rings)
+    return F.when(text.rlike(r"(?i)^(MULTI)?POLYGON\s*\(\s*\("), listed)
+
+
+def polygons_area(polygons) -> Column:
+    """Area of shells less that of their holes."""
+    each = F.transform(_col(polygons), lambda rings: F.aggregate(
+        F.transform(rings, lambda r, i: F.when(i == 0, ring_area(r)).otherwise(-ring_area(r))), F.lit(0.0), lambda s, v: s + v))
+    return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+
+
 def ring_to_geojson(ring) -> Column:
     pts = F.transform(_col(ring), lambda p: F.array(p["x"], p["y"]))
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(pts).alias("coordinates")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.operators.ordered import carry_step
+from geoctx.session import cut_lineage
 
 
 def read_log(spark: SparkSession, path) -> DataFrame:
@@ -17,7 +18,8 @@ def read_log(spark: SparkSession, path) -> DataFrame:
     text = spark.read.text(path, wholetext=False).select(
         F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"), "value")
-    text = text.where(F.trim("value") != "")
+    # numbered once: the table is used twice below
+    text = cut_lineage(text.where(F.trim("value") != ""))
     # ids grow inside a split; the split's start offset orders splits of a file
     fields = F.from_json("value", "map<string,string>")
     rows = text.withColumn("m", fields).withColumn("step", F.coalesce(F.col("m")["step"].cast("long"), F.lit(0).cast("long")))

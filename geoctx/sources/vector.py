@@ -9,14 +9,16 @@ from geoctx.functions import geo
 
 
 def read_features(spark: SparkSession, path, wkt: str = "wkt", crs: int = 3857) -> DataFrame:
-    """Parquet feature table with a ``ring`` column in metres; longitude and latitude are projected."""
-    df = spark.read.parquet(path).withColumn("ring", geo.ring_from_wkt(wkt)).drop(wkt)
+    """Parquet feature table in metres: ``polygons`` (each a shell and its holes), and ``ring``, the outline of features
+    that are one polygon without holes, else NULL. Longitude and latitude are projected."""
+    df = spark.read.parquet(path).withColumn("polygons", geo.polygons_from_wkt(wkt)).drop(wkt)
     if crs == 4326:
-        df = df.withColumn("ring", F.transform("ring", lambda p: F.struct(
-            geo.mercator_x(p["x"]).alias("x"), geo.mercator_y(p["y"]).alias("y"))))
+        df = df.withColumn("polygons", F.transform("polygons", lambda g: F.transform(g, lambda r: F.transform(r, lambda p: F.struct(
+            geo.mercator_x(p["x"]).alias("x"), geo.mercator_y(p["y"]).alias("y"))))))
     elif crs != 3857:
         raise ValueError("layers must come in EPSG:3857 or EPSG:4326")
-    return df
+    plain = (F.size("polygons") == 1) & (F.size(F.col("polygons")[0]) == 1)
+    return df.withColumn("ring", F.when(plain, F.col("polygons")[0][0]))
 
 
 def write_features(df: DataFrame, path: str, form: str = "wkt", mode: str = "errorifexists") -> None:
