@@ -1,24 +1,21 @@
 """Exact similarity join of word n-gram sets, and its connected components.
 
-Candidates. Sets of a size band can differ in at most D shingles if they are to link. Each set is cut into K > D
-parts by ranges of the shingle hash, so linked sets agree on whole parts; K leaves room for empty parts. A signature
-is the hash of one non-empty part of a band's cut; a set whose filled parts are too few to be sure of one also has
-the band's overflow signature. A set that may link to larger ones has the signatures of the next band too. So no
-link is lost. Signatures that only one block of documents knows are found by a Golomb-coded exchange and stay home.
+Candidates. Shingles are put in one order for the whole corpus, rarest first, ties by hash. Two sets can link only if
+they share a shingle among the first n - ceil(threshold * n) + 1 of each: so no link is lost, and passages that many
+documents share bring nobody together. In how many documents a shingle occurs is found by a Golomb-coded exchange of
+shingle hashes between blocks of documents; a shingle of one document alone makes no candidate and stays at home.
 
-Verification. Every set is compared with the smallest member of each signature it shares, by bitmaps first: a bit
+Verification. Every set is compared with the smallest member of each such shingle it shares, by bitmaps first: a bit
 of A that B lacks stands for at least one shingle outside the intersection, which bounds the overlap from above.
 What the bound lets through is decided by an exact intersection of sorted arrays. Then the rest: members of families
-(sets connected by shared signatures) that are still in different components are laid out in size-banded tiles, and
-tile is compared with tile in the same way. Pairs inside one component are not looked at again.
+(sets connected by shared shingles of their beginnings) that are still in different components are laid out in
+size-banded tiles, and tile is compared with tile in the same way. Pairs inside one component are not looked at again.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import LOWER_BYTES, components, documents, id_text, in_blocks, sieve, stored, without
-from geoctx.llm.exchange import exchange, pack, rice_decode, rice_encode, unpack
+from geoctx.llm.common import LOWER_BYTES, components, documents, id_text, in_blocks, pa_schema, stored, without
+from geoctx.llm.exchange import exchange, unpack
+from geoctx.llm.units import pack_strings, unpack_strings
 from geoctx.session import cut_lineage
 
 CATALOG = Catalog()
-#: Bits of a signature. Equal ones only make candidates, so chance matches cost time, not rows.
+#: Bits of a shingle's hash by which documents are counted. A chance match puts a shingle later in the order, no more.
 BITS = 52
 #: Bits of a set's bitmap.
 MAP_BITS = 2048
@@ -78,44 +76,15 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-@lru_cache(maxsize=8)
-def bands(percent: int, top: int = 1 << 34) -> tuple[list[int], list[tuple[int, int]]]:
-    """Upper ends of the size bands, and each band's (D, K)."""
-    worst = lambda end: (100 - percent) * 2 * (end - 1) // (100 + percent)
-    ends = [next(e for e in range(2, 1 << 20) if worst(e + 1) > 0)]
-    while ends[-1] < top:
-        ends.append(math.ceil(ends[-1] * 1.6))
-    cuts = [(0, 1)]
-    for low, end in zip(ends, ends[1:]):
-        d, least = worst(end), -(-low * percent // 100)
-        k = d + 2
-        while k < 3 * d + 6:
-            load = least / k
-            filled = k * (1 - math.exp(-load))
-            sd = math.sqrt(max(k * math.exp(-load) * (1 - (1 + load) * math.exp(-load)), 0.01))
-            if filled - 5 * sd >= d + 1:
-                break
-            k += max(k // 100, 1)
-        cuts.append((d, k))
-    return ends, cuts
-
-
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set, below 2 ** BITS. Sets of the first band link to equal sets only and need none."""
-    ends, cuts = bands(percent)
-    n, own = len(hashes), bisect_right(ends, len(hashes))
-    out = []
-    for band in (own, own + 1) if 100 * n >= percent * ends[own] else (own,):
-        d, k = cuts[band]
-        if not d:
-            continue
-        part = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with the hash
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-        sums = np.add.reduceat(_mix(hashes + _ODD[3]), starts)
-        out.append(_mix(sums + part[starts] * _ODD[4] + np.array([band], np.uint64) * _ODD[5]) >> np.uint64(64 - BITS))
-        if len(starts) <= d:  # all agreeing parts may be empty
-            out.append(_mix(np.array([band], np.uint64) * _ODD[6] + np.uint64(1)) >> np.uint64(64 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def beginning(hashes: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles by which a set may meet others: of its first ones, rarest first, those that others have too.
+
+    A partner shares at least ceil(percent / 100 * n) shingles, so it has one of the first n - that + 1, and the first
+    shared one lies in the beginning of both.
+    """
+    n = len(hashes)
+    first = np.lexsort((hashes, seen))[:n + (-n * percent // 100) + 1]
+    return hashes[first][seen[first] > 1]
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -130,59 +99,46 @@ def _set_key(hashes: np.ndarray) -> tuple[int, int]:
     return ((d >> 64) & (2**64 - 1)) - 2**63, (d & (2**64 - 1)) - 2**63
 
 
-def _block(rows: list, width: int, percent: int) -> dict:
-    docs, sizes, keys, checks, numbers, sigs, owners = [], [], [], [], {}, [], []
-    for doc, text in rows:
-        hashes = shingles(text, width)
-        key, check = _set_key(hashes) if len(hashes) and doc is not None else (None, None)
-        docs.append(doc), sizes.append(len(hashes)), keys.append(key), checks.append(check)
-        if key is not None and key not in numbers:
-            numbers[key] = len(numbers)
-            own = signatures(hashes, percent)
-            sigs.append(own), owners.append(np.full(len(own), numbers[key], np.int64))
-    sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(sig, kind="stable")
-    return {"doc_id": docs, "n": sizes, "key": keys, "check": checks, "sets": list(numbers), "n_sigs": len(sig), "sigs": rice_encode(sig[order]), "owners": pack(owner[order])}
-
+def _block(rows: list) -> dict:
+    texts = [text.translate(LOWER_BYTES) for _, text in rows]
+    return {"doc_id": [doc for doc, _ in rows], "n_words": sum(len(t.split()) for t in texts), "texts": pack_strings(texts)}
 
-_BLOCK = "doc_id array<long>, n array<long>, key array<long>, check array<long>, sets array<long>, n_sigs long, sigs binary, owners binary"
 
+def _numbered(row: dict, width: int) -> tuple[list[np.ndarray], list[tuple[int, int] | None], np.ndarray, np.ndarray]:
+    """A block's sets and their numbers, its distinct shingle hashes, and in how many different sets each occurs."""
+    sets = [shingles(t, width) for t in unpack_strings(row["texts"].as_py())]
+    numbers = [_set_key(s) if len(s) and doc is not None else None for s, doc in zip(sets, row["doc_id"].values.to_pylist())]
+    one_each = [s for s, _ in {k: (s, k) for s, k in zip(sets, numbers) if k}.values()]
+    hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *one_each]) >> np.uint64(64 - BITS), return_counts=True)
+    return sets, numbers, hashes, counts
 
-def _request(block: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(rice_decode(block["sigs"].as_py()), return_counts=True)
 
-
-def _shared(blocks: DataFrame, replies: DataFrame) -> DataFrame:
-    """``(sig, key)`` of the signatures that occur more than once."""
+def _with_beginnings(blocks: DataFrame, replies: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per document: its set's number and size; for one document of a set and block with company, the rest."""
+    schema = "doc_id long, n long, key long, check long, sigs array<long>, map binary, hashes binary"
+    arrow = pa_schema(blocks.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets, sigs, owners, counts in zip(*(batch[c] for c in ("sets", "sigs", "owners", "replies"))):
-                sig = rice_decode(sigs.as_py())
-                _, place = np.unique(sig, return_inverse=True)
-                kept = unpack(counts.as_py())[place] > 1
-                keys = sets.values.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[kept].astype(np.int64)), pa.array(keys[unpack(owners.as_py())[kept]])], names=["sig", "key"])
-
-    return blocks.select("block", "sets", "sigs", "owners").join(replies, "block").drop("block").mapInArrow(run, "sig long, key long")
-
-
-def _arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(key, n, map, hashes)`` of the sets ``wanted (key, first)``, from the text of the document ``first``."""
-    ids = wanted.select(F.col("first").alias("doc_id"))
-    texts = sieve(id_text(docs), "doc_id", ids).join(wanted.withColumnRenamed("first", "_first"), F.col("doc_id") == F.col("_first")).select("key", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, width) for t in batch["text"].to_pylist()]
-            own = [i for i, (s, k) in enumerate(zip(sets, batch["key"].to_pylist())) if len(s) and _set_key(s)[0] == k]  # ids may repeat with other texts
-            yield pa.RecordBatch.from_arrays([
-                batch["key"].take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()),
-                pa.array([bitmap(sets[i]) for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary()),
-            ], names=["key", "n", "map", "hashes"])
-
-    return stored(texts.mapInArrow(run, "key long, n long, map binary, hashes binary").dropDuplicates(["key"]), "key")
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i] for c in batch.schema.names}
+                sets, numbers, hashes, _ = _numbered(row, width)
+                seen, met, out = unpack(row["replies"].as_py()) if len(hashes) else np.zeros(0, np.uint32), set(), []
+                for doc, own, number in zip(row["doc_id"].values.to_pylist(), sets, numbers):
+                    line = {"doc_id": doc, "n": len(own), "key": number and number[0], "check": number and number[1], "sigs": [], "map": None, "hashes": None}
+                    if number and number not in met:
+                        met.add(number)
+                        sigs = beginning(own, seen[np.searchsorted(hashes, own >> np.uint64(64 - BITS))], percent)
+                        if len(sigs):
+                            line |= {"sigs": sigs.view(np.int64).tolist(), "map": bitmap(own), "hashes": own.tobytes()}
+                    out.append(line)
+                    if len(out) == 2000:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    # a block without any words asks for nothing and gets no reply
+    return blocks.select("block", "doc_id", "texts").join(replies, "block", "left").drop("block").mapInArrow(run, schema)
 
 
 def _may_link(n_a, n_b, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> np.ndarray:
@@ -287,19 +243,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty texts link with nothing and are their own component. Rows with a NULL doc_id have no component. Rows that
     repeat an id have one component if their texts link, else the smallest of what they reach each. An empty table gives no rows.
     """
-    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _block(rows, width, percent), _BLOCK))
-    total = blocks.agg(F.sum("n_sigs")).first()[0] or 0
-    rows = blocks.select(F.explode(F.arrays_zip("doc_id", "n", "key", "check")).alias("r")).select("r.*")
+    blocks = stored(in_blocks(id_text(docs), None, _block, "doc_id array<long>, n_words long, texts binary"))
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    replies = exchange(blocks.select("block", "doc_id", "texts"), lambda row: _numbered(row, width)[2:], total, BITS)
+    rows = cut_lineage(_with_beginnings(blocks, replies, width, percent))
     reps = cut_lineage(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high")))
     if not reps.where("low <> high").isEmpty():
         raise ValueError("two different shingle sets share a 64-bit number")  # about once in 10^19 pairs
-    replies = exchange(blocks.select("block", "sigs"), _request, total, BITS)
-    shared = cut_lineage(_shared(blocks, replies))
+    shared = cut_lineage(rows.select(F.explode("sigs").alias("sig"), "key"))
 
     hubs = shared.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("top")).where("a <> top").select("sig", "a")
     pairs = cut_lineage(shared.join(hubs, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct())
     families = components(pairs)
-    sets = _arrays(docs, reps.join(families.select(F.col("node").alias("key")), "key").select("key", "first"), width)
+    found = rows.where("hashes IS NOT NULL").select("key", "n", "map", "hashes").join(families.select(F.col("node").alias("key")), "key")
+    sets = stored(found.groupBy("key").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.first("hashes").alias("hashes")), "key")
     # first each set with one hub; then the pairs that this has not connected
     tree = cut_lineage(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
     parts = components(tree)
