@@ -177,7 +177,21 @@ def m7(spark, d):
     return s.select("image_id", sampling.bin_of("poi_num", sampling.quantile_edges(s, "poi_num")).alias("poi_bin"))
 
 
-@add("m8_kmeans_bins")
+_LLOYD = """
+    vals AS (SELECT list(poi_num ORDER BY poi_num) AS vs, list(n ORDER BY poi_num) AS fs FROM (SELECT poi_num::DOUBLE AS poi_num, count(*)::DOUBLE AS n FROM sample GROUP BY 1)),
+    RECURSIVE lloyd AS (
+      SELECT 0 AS i, list_transform(range(10), lambda j: vs[1] + (vs[len(vs)] - vs[1]) / 10 * (j + 0.5::DOUBLE)) AS c, NULL::DOUBLE[] AS was FROM vals
+      UNION ALL
+      SELECT i + 1, list_sort(list_transform(range(10), lambda b: coalesce(
+          list_sum(list_transform(list_filter(range(1, len(vs) + 1), lambda p: bins[p] = b), lambda p: vs[p] * fs[p]))
+          / list_sum(list_transform(list_filter(range(1, len(vs) + 1), lambda p: bins[p] = b), lambda p: fs[p])), c[b + 1]))), c
+      FROM (SELECT i, c, vs, fs, list_transform(vs, lambda v: len(list_filter(range(1, 10), lambda j: (c[j] + c[j + 1]) / 2 <= v))) AS bins
+            FROM lloyd, vals WHERE was IS NULL OR c <> was)),
+    settled AS (SELECT c FROM lloyd ORDER BY i DESC LIMIT 1)"""
+
+
+@add("m8_kmeans_bins", with_sql("sample", """
+    SELECT image_id, poi_num, len(list_filter(range(1, 10), lambda j: (c[j] + c[j + 1]) / 2 <= poi_num))::INTEGER AS poi_bin FROM sample, settled""", _LLOYD))
 def m8(spark, d):
     s = fx.samples(spark, d)
     return s.select("image_id", "poi_num", sampling.bin_of("poi_num", sampling.kmeans_edges(s, "poi_num")).alias("poi_bin"))
