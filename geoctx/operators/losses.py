@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoctx.functions.arrays import let, total
 from geoctx.operators import ranking
+from geoctx.session import cut_lineage
 
 
 def softmax(logits, temperature: float = 1.0) -> Column:
@@ -87,14 +88,16 @@ def lovasz_softmax(df: DataFrame, groups: Sequence[str] = (), probs: str = "prob
     """Lovasz extension of the Jaccard loss per group, averaged over classes.
 
     Rows with equal error are one step of the extension, so the table shrinks to distinct errors per
-    class first; the cumulative intersection and union are bucketed running sums over those.
+    class first; the cumulative intersection and union are running sums over those in sampled error ranges.
     """
     groups = list(groups)
     rows = df.select(*groups, F.col(gt).alias("_gt"), F.posexplode(probs).alias("cls", "p"))
     fg = (F.col("_gt") == F.col("cls")).cast("long")
     steps = rows.select(*groups, "cls", fg.alias("fg"), F.abs(fg - F.col("p")).alias("err"))
-    steps = steps.groupBy(*groups, "cls", "err").agg(F.count(F.lit(1)).alias("n"), F.sum("fg").alias("fg"))
-    bucket = F.floor((1.0 - F.col("err")) * 64)
+    steps = cut_lineage(steps.groupBy(*groups, "cls", "err").agg(F.count(F.lit(1)).alias("n"), F.sum("fg").alias("fg")))
+    # ranges by sampled quantiles: a confident model has nearly all of its errors close to zero
+    bounds = F.array(*[F.lit(b) for b in ranking.sampled_bounds(steps, "err")]).cast("array<double>")
+    bucket = F.size(F.filter(bounds, lambda b: b > F.col("err")))
     run = ranking.running_sums(steps, [*groups, "cls"], bucket, [F.desc("err")], {"cn": "n", "cf": "fg"})
     totals = steps.groupBy(*groups, "cls").agg(F.sum("fg").alias("all_fg"))
     if only_present:

@@ -94,6 +94,14 @@ def ordered_rank(
     return bucket_rank(df, [], bucket, [F.col(c) for c in order], name)
 
 
+def sampled_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Values that cut ``value`` into about equally full ranges, from a bounded hash sample of distinct values' rows."""
+    buckets = bucket_count(df, buckets)
+    sample = df.select(value, F.xxhash64(*df.columns).alias("h")).where(F.col(value).isNotNull()).orderBy("h").limit(buckets * 8).collect()
+    found = sorted(r[0] for r in sample)
+    return sorted(set(found[8::8]))
+
+
 def running_sums(
     df: DataFrame, strata: Sequence[str], bucket: Column, order: Sequence[Column], sums: dict[str, str]
 ) -> DataFrame:

@@ -208,3 +208,15 @@ def test_burning_an_outline_gives_the_pixels_back(spark):
     burnt = polygons.burn(rings.withColumn("rid", F.monotonically_increasing_id()), "rid", (1.0, 0.0, 0.0, 0.0, -1.0, 10.0), 10, 10, "outline")
     odd = {(r.row, r.col) for r in burnt.groupBy("row", "col").count().where("count % 2 = 1").collect()}
     assert odd == cells
+
+
+def test_components_on_wide_rasters_and_text_keys(spark):
+    from geoctx.operators.components import label_components
+
+    rows = [("SH_1", 0, 2**24 - 1), ("SH_1", 1, 0), ("SH_1", 1, 2**24), ("SH_1", 0, 2**24), ("NJ_2", 5, 5)]
+    df = spark.createDataFrame(rows, "image_id string, row int, col int")
+    got = {(r.image_id, r.row, r.col): r.component for r in label_components(df, tile=512).collect()}
+    assert got["SH_1", 0, 2**24 - 1] == got["SH_1", 0, 2**24] == got["SH_1", 1, 2**24]
+    assert got["SH_1", 1, 0] not in (got["SH_1", 0, 2**24 - 1], got["NJ_2", 5, 5])
+    with pytest.raises(ValueError):
+        label_components(df, width=1 << 24)

@@ -154,3 +154,19 @@ def test_large_class_samples_agree_with_small_ones(spark):
     order = sorted(range(4000), key=lambda i: ((i * 2654435761 + 42 * 40503) % 2147483647, i))
     want = {i for c in range(3) for i in [j for j in order if j % 3 == c][:1100]}
     assert {r.id for r in got} == want
+
+
+def test_any_id_has_a_key_in_range(spark):
+    ids = [0, 1, -1, 4_000_000_000, -4_000_000_000, 2**62, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r.id: r.k for r in df.select("id", ranking.portable_key(F.col("id")).alias("k")).collect()}
+    assert got == {i: (i % ranking.KEY_RANGE * 2654435761 + 42 * 40503) % ranking.KEY_RANGE for i in ids}
+    assert all(0 <= k < ranking.KEY_RANGE for k in got.values())
+
+
+def test_sampled_bounds_spread_a_confident_models_errors(spark):
+    df = spark.range(20_000).select((F.lit(1e-9) * F.col("id")).alias("err"), "id")
+    bounds = ranking.sampled_bounds(df, "err", 64)
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("err")))
+    most = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]
+    assert most < 20_000 * 0.06
