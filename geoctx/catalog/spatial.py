@@ -181,6 +181,61 @@ def _ring(spark, d):
     return fx.buildings(spark, d).withColumn("ring", geo.ring_of_rect("minx", "miny", "maxx", "maxy"))
 
 
+# Right triangles with equal legs along the axes: two of them overlap in a third, so that areas have a closed form.
+TRIANGLES = """tri AS (SELECT build_id, cand_id, func, leg >= 0 AS touch, inter/aa AS overlap, inter/(aa+ab-inter) AS iou, cdist, least(aa,ab)/greatest(aa,ab) AS aratio,
+      round(.65*inter/(aa+ab-inter)+.15*inter/aa+.1*least(aa,ab)/greatest(aa,ab)+.1*exp(-cdist/20), 6) AS score FROM (
+    SELECT *, CASE WHEN leg > 0 THEN leg*leg/2 ELSE 0 END AS inter FROM (
+      SELECT a.build_id, b.cand_id, b.func, (a.maxx-a.minx)*(a.maxx-a.minx)/2 AS aa, (b.maxx-b.minx)*(b.maxx-b.minx)/2 AS ab,
+        least(a.maxx+a.miny, b.maxx+b.miny) - greatest(a.minx, b.minx) - greatest(a.miny, b.miny) AS leg,
+        sqrt(pow(a.minx-b.minx+(a.maxx-a.minx-b.maxx+b.minx)/3, 2)+pow(a.miny-b.miny+(a.maxx-a.minx-b.maxx+b.minx)/3, 2)) AS cdist
+      FROM building a JOIN candidate b ON a.minx<=b.maxx AND b.minx<=a.maxx AND a.miny<=b.miny+b.maxx-b.minx AND b.miny<=a.miny+a.maxx-a.minx
+      WHERE a.build_id % 10 <> 3)))"""
+
+
+def _triangle():
+    x, y, leg = F.col("minx").cast("double"), F.col("miny").cast("double"), (F.col("maxx") - F.col("minx")).cast("double")
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return F.array(point(x, y), point(x + leg, y), point(x, y + leg), point(x, y))
+
+
+def _triangles(spark, d):
+    """Both layers as triangles; every id ending in 3 is flattened to a line."""
+    flat = geo.ring_of_rect("minx", "miny", "maxx", "miny")
+    ours = fx.buildings(spark, d).select("build_id", F.when(F.col("build_id") % 10 == 3, flat).otherwise(_triangle()).alias("ring"))
+    return ours, fx.candidates(spark, d).select("cand_id", "func", _triangle().alias("ring"))
+
+
+@add("g1_g2_polygon_scores", with_sql("candidate", """
+    SELECT build_id, cand_id, touch, round(overlap, 6) AS overlap, round(iou, 6) AS iou, round(cdist, 6) AS cdist, round(aratio, 6) AS aratio, score FROM tri""", TRIANGLES))
+def g1_polygons(spark, d):
+    ours, theirs = _triangles(spark, d)
+    a = polygons.with_box(polygons.with_validity(ours).where("valid").select("build_id", F.col("ring").alias("a_ring")), "a_", "a_ring")
+    b = polygons.with_box(theirs.select("cand_id", F.col("ring").alias("b_ring")), "b_", "b_ring")
+    scored = polygons.score_polygons(bbox_join(a, b, 60.0))
+    return scored.select("build_id", "cand_id", "touch", *[six(c).alias(c) for c in ("overlap", "iou", "cdist", "aratio")], "score")
+
+
+@add("w3_polygon_transfer", with_sql("candidate", """
+    SELECT b.build_id, CASE WHEN b.build_id % 10 = 3 THEN 'Invalid_Geometry' WHEN t.touch IS NULL THEN 'No_Match' WHEN NOT t.touch THEN 'No_Intersect_Precise'
+        ELSE status END AS status, round(s1, 3) AS match_score, CASE WHEN status = 'Auto_Match' THEN func END AS matched_func
+    FROM building b LEFT JOIN (SELECT build_id, bool_or(touch) AS touch FROM tri GROUP BY build_id) t USING (build_id) LEFT JOIN dec USING (build_id)""", f"""{TRIANGLES},
+    ranked AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS s2 FROM tri WHERE touch WINDOW w AS (PARTITION BY build_id ORDER BY score DESC, cand_id)),
+    dec AS (SELECT build_id, func, score AS s1, CASE WHEN score <= 0.6 THEN 'Low_Score_Check' WHEN s2 IS NOT NULL AND round(score - s2, 6) < 0.05
+        THEN 'Conflict_Ambiguous' ELSE 'Auto_Match' END AS status FROM ranked WHERE rk = 1)"""))
+def w3_polygons(spark, d):
+    return polygons.transfer_polygons(*_triangles(spark, d)).select("build_id", "status", "match_score", "matched_func")
+
+
+@add("p13_self_crossing", with_sql("building", "SELECT build_id FROM building WHERE build_id % 10 NOT IN (1, 3, 7)"))
+def p13_crossing(spark, d):
+    """Besides flat and missing rings, every id ending in 1 is a ring whose edges cross."""
+    point = lambda a, b: F.struct(F.expr(a).cast("double").alias("x"), F.expr(b).cast("double").alias("y"))
+    crossed = F.array(*[point(a, b) for a, b in (("minx", "miny"), ("maxx", "maxy"), ("maxx", "miny"), ("minx", "maxy + 5"), ("minx", "miny"))])
+    end = F.col("build_id") % 10
+    ring = F.when(end == 1, crossed).when(end == 3, geo.ring_of_rect("minx", "miny", "maxx", "miny")).when(end != 7, F.col("ring"))
+    return polygons.with_validity(_ring(spark, d).withColumn("ring", ring)).where("valid").select("build_id")
+
+
 @add("a8_merge_layers", with_sql("candidate", """
     SELECT min(id) AS id, minx, miny, maxx, maxy FROM (SELECT build_id AS id, minx, miny, maxx, maxy FROM building
       UNION ALL SELECT 1000000000 + cand_id, minx, miny, maxx, maxy FROM candidate) GROUP BY minx, miny, maxx, maxy"""))
