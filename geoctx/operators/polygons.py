@@ -67,9 +67,8 @@ def _overlap_area(ax, ay, bx, by) -> float:
     return total
 
 
-def _touch(ax, ay, bx, by) -> bool:
-    """Boundaries meet, or one polygon lies in the other."""
-    a, b = _cuts(ax, ay), _cuts(bx, by)
+def _segments_touch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For all pairs of edges of two lists, whether they have a point in common."""
 
     def side(p, q, r):  # orientation of r against p -> q, for all pairs
         return np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
@@ -79,7 +78,13 @@ def _touch(ax, ay, bx, by) -> bool:
     apart = (
         (np.maximum(p[0], q[0]) < np.minimum(r[0], s[0])) | (np.maximum(r[0], s[0]) < np.minimum(p[0], q[0]))
         | (np.maximum(p[1], q[1]) < np.minimum(r[1], s[1])) | (np.maximum(r[1], s[1]) < np.minimum(p[1], q[1])))
-    if (~apart & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)).any():
+    return ~apart & (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)
+
+
+def _touch(ax, ay, bx, by) -> bool:
+    """Boundaries meet, or one polygon lies in the other."""
+    a, b = _cuts(ax, ay), _cuts(bx, by)
+    if _segments_touch(a, b).any():
         return True
 
     def holds(e, x, y):
@@ -112,28 +117,17 @@ def _simple(x: pd.Series, y: pd.Series) -> pd.Series:
     def ok(xs, ys):
         e = _cuts(np.asarray(xs, dtype="float64"), np.asarray(ys, dtype="float64"))
         n = len(e)
-        for i in range(n - 2):
-            rest = e[i + 2: n - 1 if i == 0 else n]
-            for f in rest:
-                if _touch_segments(e[i], f):
-                    return False
+        at = np.arange(n)
+        for low in range(0, n, 256):  # a block of edges against all later ones
+            i, j = at[low:low + 256, None], at[None, :]
+            apart = (j >= i + 2) & ~((i == 0) & (j == n - 1))  # neighbours may touch
+            if (apart & _segments_touch(e[low:low + 256], e)).any():
+                return False
         return True
 
     return pd.Series([ok(a, b) for a, b in zip(x, y)])
 
 
-def _touch_segments(e, f) -> bool:
-    def side(p, q, r):
-        return np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
-
-    p, q, r, s = e[:2], e[2:], f[:2], f[2:]
-    if max(p[0], q[0]) < min(r[0], s[0]) or max(r[0], s[0]) < min(p[0], q[0]):
-        return False
-    if max(p[1], q[1]) < min(r[1], s[1]) or max(r[1], s[1]) < min(p[1], q[1]):
-        return False
-    return side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0
-
-
 def _xs(ring: str) -> Column:
     return F.transform(ring, lambda p: p["x"])
 
