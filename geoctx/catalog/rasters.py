@@ -189,6 +189,21 @@ def t4(spark, d):
     return g.select("image_id", "g.*")
 
 
+@add("t4_write_back", with_sql("image", """
+    SELECT image_id, row, col, round(arg_max(v + 0.01*a.k - 0.02*b.k, a.k*10 + b.k), 6) AS score FROM image JOIN core a ON row >= a.low AND row < a.high
+    JOIN core b ON col >= b.low AND col < b.high GROUP BY ALL""", """
+    core AS (SELECT k, off + crop AS low, least(off + 5, off + crop + CASE WHEN k*3+5 >= 8 THEN 5 ELSE 5 - crop END) AS high
+      FROM (SELECT k, least(k*3, 3) AS off, CASE WHEN k = 0 THEN 0 ELSE 1 END AS crop FROM (SELECT unnest([0, 1, 2]) AS k)))"""))
+def t4_write_back(spark, d):
+    """Scores of 5 x 5 windows at stride 3, on both axes, merged from the windows' cores."""
+    def held(pos):
+        return F.filter(raster.inference_grid(F.lit(8), 5, 3), lambda g: (g["offset"] <= F.col(pos)) & (F.col(pos) < g["offset"] + 5))
+
+    s = fx.images(spark, d).withColumn("gy", F.explode(held("row"))).withColumn("gx", F.explode(held("col")))
+    s = s.withColumn("score", F.col("v") + 0.01 * F.col("gy.k") - 0.02 * F.col("gx.k"))
+    return rounded(raster.write_back(s, ["image_id"]), "score")
+
+
 @add("t5_covering_grid", f"""
     WITH {SIZES}, r AS (SELECT image_id, height AS n, unnest(range(0, greatest(height-512+341-1,0)//341+1)) AS k FROM size),
     c AS (SELECT image_id, width AS n, unnest(range(0, greatest(width-512+341-1,0)//341+1)) AS k FROM size)

@@ -140,6 +140,21 @@ def inference_grid(extent, size: int, stride: int) -> Column:
     return F.transform(ks, window)
 
 
+def write_back(scores: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+    """Window scores to one raster from the windows' cores: (keys, row, col, score).
+
+    ``scores`` has ``row, col`` in the whole raster and the windows ``gy, gx`` (of ``inference_grid``) that gave the
+    score. A pixel outside its window's core is left out; where cores overlap, at a window shifted back inside, the
+    last window in reading order stays. One map-side combined aggregate by pixel.
+    """
+    def inside(pos: str, window: str) -> Column:
+        first = F.col(f"{window}.offset") + F.col(f"{window}.crop_off")
+        return (F.col(pos) >= first) & (F.col(pos) < first + F.col(f"{window}.crop_size"))
+
+    core = scores.where(inside("row", "gy") & inside("col", "gx"))
+    return core.groupBy(*keys, "row", "col").agg(F.max_by(score, F.struct("gy.k", "gx.k")).alias(score))
+
+
 def windows_of(pos, extent, size: int, step: int) -> Column:
     """Numbers of the ``sliding_starts`` windows that hold position ``pos``: at most size / step + the shifted ones."""
     p, n = _col(pos).cast("long"), F.greatest(_col(extent).cast("long"), F.lit(size))

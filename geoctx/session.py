@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "geoctx", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with the settings the operators rely on (adaptive plans, UTC, Arrow)."""
+def get_session(app: str = "geoctx", master: str | None = None, partitions: int | None = None, scratch: str | None = None) -> SparkSession:
+    """A session with the settings the operators rely on (adaptive plans, UTC, Arrow).
+
+    ``scratch`` is the shared folder for intermediate tables, where the cluster does not name one itself.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,6 +23,8 @@ def get_session(app: str = "geoctx", master: str | None = None, partitions: int
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
