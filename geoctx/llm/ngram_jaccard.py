@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import LOWER_BYTES, components, documents, id_text, in_blocks, pa_schema, stored, without
+from geoctx.llm.common import BLOCK_BYTES, LOWER_BYTES, components, documents, id_text, in_blocks, pa_schema, stored, without
 from geoctx.llm.exchange import exchange, unpack
 from geoctx.llm.units import pack_strings, unpack_strings
 from geoctx.session import cut_lineage
@@ -49,7 +49,7 @@ class _Hashes(dict):
     """Words to 64-bit hashes; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -109,8 +109,11 @@ def _numbered(row: dict, width: int) -> tuple[list[np.ndarray], list[tuple[int,
     sets = [shingles(t, width) for t in unpack_strings(row["texts"].as_py())]
     numbers = [_set_key(s) if len(s) and doc is not None else None for s, doc in zip(sets, row["doc_id"].values.to_pylist())]
     one_each = [s for s, _ in {k: (s, k) for s, k in zip(sets, numbers) if k}.values()]
-    hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *one_each]) >> np.uint64(64 - BITS), return_counts=True)
-    return sets, numbers, hashes, counts
+    flat = np.concatenate([np.zeros(0, np.uint64), *one_each])
+    flat >>= np.uint64(64 - BITS)
+    flat.sort()
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    return sets, numbers, flat[starts], np.diff(starts, append=len(flat))
 
 
 def _with_beginnings(blocks: DataFrame, replies: DataFrame, width: int, percent: int) -> DataFrame:
@@ -243,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty texts link with nothing and are their own component. Rows with a NULL doc_id have no component. Rows that
     repeat an id have one component if their texts link, else the smallest of what they reach each. An empty table gives no rows.
     """
-    blocks = stored(in_blocks(id_text(docs), None, _block, "doc_id array<long>, n_words long, texts binary"))
+    blocks = stored(in_blocks(id_text(docs), None, _block, "doc_id array<long>, n_words long, texts binary", BLOCK_BYTES // 3))  # a block's sets take several times its text
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     replies = exchange(blocks.select("block", "doc_id", "texts"), lambda row: _numbered(row, width)[2:], total, BITS)
     rows = cut_lineage(_with_beginnings(blocks, replies, width, percent))
