@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import documents, id_text, in_blocks, stored
+from geoctx.llm.common import BLOCK_BYTES, documents, id_text, in_blocks, stored
 from geoctx.llm.exchange import pack, unpack
 from geoctx.llm.units import Numbering, once_per_unit, pack_strings, unpack_strings
 
@@ -90,7 +91,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     gives no rows, other columns are not looked at.
     """
     processor(path)
-    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, n_units long, units binary, per_doc binary, seq binary"))
+    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, n_units long, units binary, per_doc binary, seq binary", BLOCK_BYTES * 2 // 3))
     total = blocks.agg(F.sum("n_units")).first()[0] or 0
 
     def segment(chunks: list[str]) -> list[str]:
@@ -121,8 +122,10 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
                 "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for _, i, _ in out], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for _, _, t in out], pa.string()),
             })
-        own = [np.fromiter(map(int, i.split(",")), np.int32) if i else np.zeros(0, np.int32) for i in ids]
-        flat, sizes = np.concatenate([np.zeros(0, np.int32), *own]), np.array([len(i) for i in own], np.int64)
+        flat, sizes = array("i"), n  # every unit has an id at least
+        for text in ids:
+            flat.extend(map(int, text.split(",")))
+        flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         n_units = sizes[seq]
         starts = (np.cumsum(sizes) - sizes)[seq] - (np.cumsum(n_units) - n_units)
         values = flat[np.repeat(starts, n_units) + np.arange(n_units.sum())]
