@@ -91,7 +91,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     gives no rows, other columns are not looked at.
     """
     processor(path)
-    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, n_units long, units binary, per_doc binary, seq binary", BLOCK_BYTES * 2 // 3))
+    blocks = stored(in_blocks(id_text(docs), None, lambda rows: _sequences(rows, path), "doc_id array<long>, n_units long, units binary, per_doc binary, seq binary", BLOCK_BYTES * 2 // 3 if digests else BLOCK_BYTES // 3))  # whole ids and texts take more than digests
     total = blocks.agg(F.sum("n_units")).first()[0] or 0
 
     def segment(chunks: list[str]) -> list[str]:
@@ -115,7 +115,8 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
         for size in unpack(block["per_doc"].as_py()).tolist():
             at, end = end, end + size
             own = seq[at:end].tolist()
-            out.append((int(n[seq[at:end]].sum()), ",".join(map(ids.__getitem__, own)), "".join(map(words.__getitem__, own))[1:]))
+            joined = ",".join(map(ids.__getitem__, own)) if digests else ""
+            out.append((int(n[seq[at:end]].sum()), joined, "".join(map(words.__getitem__, own))[1:]))
         if digests:
             return pa.table({
                 "doc_id": block["doc_id"].values, "n_tokens": pa.array([n for n, _, _ in out], pa.int64()),
