@@ -19,21 +19,25 @@ from geoctx.session import cut_lineage
 
 CATALOG = Catalog()
 
-# The strict patterns, in the order of the kinds.
+# The strict patterns, in the order of the kinds. Repeated groups are possessive, as nothing follows them:
+# the same matches, and Java's regex does not recurse once per repetition, which overflows its stack in long texts.
 KINDS = ("email", "ip", "card", "phone")
 STRICT = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Wider patterns: the same kinds as people write them to escape a scan, or without a leading plus sign.
 WIDE = {
-    "email": r"[A-Za-z0-9._%+-]+ ?(\(at\)|\[at\]) ?[A-Za-z0-9-]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]++ ?(\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
     "ip": r"[0-9]{1,3}(\[\.\][0-9]{1,3}){3}",
     "card": r"[0-9]{4}([._/][0-9]{4}){3}",
     "phone": r"(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9() .-]{7,15}[0-9]",
 }
+#: Leftmost matches of these kinds begin where a run of their first characters or the search does; told so, the regex does
+#: not try a long run again from each of its characters.
+BEGINS = {("email", True): r"(?:(?<![A-Za-z0-9._%+-])|\G)", ("email", False): r"(?:(?<![A-Za-z0-9._%+-])|\G)", ("ip", True): r"(?:(?<![0-9])|\G)"}
 #: A character without which no match of the kind exists; a cheap test before the pattern.
 NEEDS = {("email", True): "@", ("email", False): "at", ("ip", True): ".", ("ip", False): "[.]", ("phone", True): "+"}
 TOP_DOMAINS = "com org net edu gov io info biz de fr es uk it eu ch at us ca example".split()
@@ -85,7 +89,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = []
     for strict, patterns in ((True, STRICT), (False, WIDE)):
         for kind in KINDS:
-            pattern = patterns[kind]
+            pattern = BEGINS.get((kind, strict), "") + patterns[kind]
             matches, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
             zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), F.slice(gaps, F.lit(2), F.size(matches)).alias("h"))
             found.append(F.when(F.contains(F.col("text"), F.lit(NEEDS[kind, strict])) if (kind, strict) in NEEDS else F.col("text").rlike("[0-9]{4}"), F.transform(zipped, _piece(kind, strict))).otherwise(none))

@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -82,3 +85,21 @@ def test_reliabilities_separate_good_from_bad_labelers():
     post = reliabilities(sorted(counts.items()))
     assert post[1, 1, 1, 1] > 0.97 and post[0, 0, 0, 0] < 0.03 and post[1, 1, 0, 0] > 0.5
     assert reliabilities([]) == {}
+
+
+LONG = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from geoctx.llm.personal_data import personal_data
+from geoctx.session import get_session
+texts = ["4" * 100_000, "3." + "4" * 100_000 + " mail a@b.cd", "12 34 " * 20_000 + "x (at) y.com", "x@a" + ".b" * 50_000, "x (at) a" + " (dot) b" * 20_000]
+spark = get_session("long", "local[2]", 2)
+rows = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+print("GOT", sorted((r.doc_id, r.n_card, r.base) for r in rows))
+"""
+
+
+def test_long_runs_in_a_new_jvm():
+    done = subprocess.run([sys.executable, "-c", LONG, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, timeout=240)
+    want = [(0, 0, ""), (1, 0, "email:100008:100014"), (2, 0, ""), (3, 0, "email:0:100003"), (4, 0, "")]
+    assert f"GOT {want}" in done.stdout, done.stderr[-2000:]
