@@ -38,8 +38,9 @@ WIDE = {
 #: Leftmost matches of these kinds begin where a run of their first characters or the search does; told so, the regex does
 #: not try a long run again from each of its characters.
 BEGINS = {("email", True): r"(?:(?<![A-Za-z0-9._%+-])|\G)", ("email", False): r"(?:(?<![A-Za-z0-9._%+-])|\G)", ("ip", True): r"(?:(?<![0-9])|\G)"}
-#: A character without which no match of the kind exists; a cheap test before the pattern.
+#: What every match of the kind holds; a cheap test before the pattern. Strict cards: the 14 digits that the rule asks for.
 NEEDS = {("email", True): "@", ("email", False): "at", ("ip", True): ".", ("ip", False): "[.]", ("phone", True): "+"}
+NEEDS_LIKE = {("card", True): "[0-9](?:[ -]?[0-9]){13}", ("card", False): "[0-9]{4}", ("phone", False): "[0-9]{3}[ .-][0-9]{4}|00[1-9]"}
 TOP_DOMAINS = "com org net edu gov io info biz de fr es uk it eu ch at us ca example".split()
 CUES = {
     "email": "mail email e-mail contact reach write", "ip": "ip address host server client from login",
@@ -92,7 +93,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             pattern = BEGINS.get((kind, strict), "") + patterns[kind]
             matches, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
             zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), F.slice(gaps, F.lit(2), F.size(matches)).alias("h"))
-            found.append(F.when(F.contains(F.col("text"), F.lit(NEEDS[kind, strict])) if (kind, strict) in NEEDS else F.col("text").rlike("[0-9]{4}"), F.transform(zipped, _piece(kind, strict))).otherwise(none))
+            found.append(F.when(F.contains(F.col("text"), F.lit(NEEDS[kind, strict])) if (kind, strict) in NEEDS else F.col("text").rlike(NEEDS_LIKE[kind, strict]), F.transform(zipped, _piece(kind, strict))).otherwise(none))
     rows = base.select("doc_id", "fp", "row", F.explode(F.flatten(F.array(*found))).alias("c")).select("doc_id", "fp", "row", "c.*")
     order = Window.partitionBy("row", "kind", "strict").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("stop", F.sum(F.col("gap") + F.length("match")).over(order).cast("int"))

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from geoctx.llm.personal_data import KINDS, STRICT, personal_data, reliabilities
+from geoctx.llm.personal_data import KINDS, STRICT, candidates, personal_data, reliabilities
 
 
 def luhn(d):
@@ -87,6 +87,15 @@ def test_reliabilities_separate_good_from_bad_labelers():
     assert reliabilities([]) == {}
 
 
+def test_cards_and_phones_without_four_digits_in_a_row(spark):
+    rows = [(1, "pay with 371 449 635 398 431 now"), (2, "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 twice: 41 11 11 11 11 11 11 11"), (3, "only 123 456 789 here"), (4, "phone: 001 650 253 000 01, ask")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base, r.n_card) for r in personal_data(docs).collect()}
+    assert got == {d: (",".join(base(t)), len(base(t))) for d, t in rows} and [got[d][1] for d, _ in rows] == [1, 2, 0, 0]
+    wide = candidates(docs).where("NOT strict AND kind = 'phone'").collect()
+    assert [(r.doc_id, r.match) for r in wide] == [(4, "001 650 253 000 01")]
+
+
 LONG = """
 import sys
 sys.path.insert(0, sys.argv[1])
