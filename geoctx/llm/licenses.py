@@ -129,12 +129,12 @@ def scan_words(words: list[bytes], templates: list[Template], coverage: float) -
     present = set(words)
     found = []
     for t in templates:
-        if len(t.distinct & present) < coverage * len(t.distinct):
+        least = coverage * len(t.words)
+        spare = len(t.words) - int(-(-least // 1))
+        if len(t.distinct - present) > spare:  # each of them leaves a word at least without its pair
             continue
         counts = Counter(w for w in words if w in t.distinct)
-        least = coverage * len(t.words)
         # enough different words to be sure that one of them stands in every place that can pass
-        spare = len(t.words) - int(-(-least // 1))
         own, keys, left = Counter(t.words), [], spare + 1
         for w in sorted(t.distinct, key=lambda w: (counts[w], t.words.index(w))):
             keys.append(w)

@@ -48,6 +48,20 @@ def test_changed_long_notice_is_found_by_coverage():
     assert [g[0] for g in twice] == ["MIT", "MIT", "CC-BY-NC-4.0"]
 
 
+def test_notice_with_as_many_changed_words_as_coverage_allows():
+    known, tried = _templates(TEMPLATES), 0
+    for t in known:
+        once = [i for i, w in enumerate(t.words) if t.words.count(w) == 1]
+        spare = len(t.words) - -(-len(t.words) * 9 // 10)
+        if spare:
+            changed = [b"other%d" % i if i in once[1::len(once) // spare][:spare] else w for i, w in enumerate(t.words)]
+            assert sum(x != y for x, y in zip(changed, t.words)) == spare
+            got = scan(b"before " * 50 + b" ".join(changed) + b" after" * 40, known)
+            assert [(g[0], g[4]) for g in got] == [(t.name, len(t.words) - spare)], t
+            tried += 1
+    assert tried > 5
+
+
 def test_whole_table_finds_exactly_the_planted_lines(spark):
     import __spark_entry__ as entry
 
