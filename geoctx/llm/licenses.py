@@ -119,7 +119,8 @@ def scan(text: bytes, templates: list[Template], coverage: float = COVERAGE) ->
     """``(name, coverage, first word, word behind the last, matched words)`` of every template's places in a text.
 
     A place is tried around each occurrence of the template word that is rarest in the text, in a window of one
-    and a half template lengths, so that repeated notices are all found. Of overlapping places of different
+    and a half template lengths behind the last place found, then in one of just its length, so that repeated notices
+    are all found. Of overlapping places of different
     templates the one with more matched words stays, then the larger coverage, then the earlier one.
     """
     return scan_words(license_words(text), templates, coverage)
@@ -153,12 +154,15 @@ def scan_words(words: list[bytes], templates: list[Template], coverage: float) -
         for start in sorted(starts):
             if start < done:
                 continue
-            low, high = max(start - slack, 0), min(start + len(t.words) + slack, len(words))
-            pairs = align(words[low:high], list(t.words))
-            if pairs and len(pairs) >= least:
-                first, last = low + pairs[0][0], low + pairs[-1][0] + 1
-                found.append((t.name, len(pairs) / len(t.words), first, last, len(pairs)))
-                done = last
+            # a neighbour of the same words can hide the anchors of the wide window; the exact one has equal ends
+            for wide in (slack, 0):
+                low, high = max(start - wide, done, 0), min(start + len(t.words) + wide, len(words))
+                pairs = align(words[low:high], list(t.words))
+                if pairs and len(pairs) >= least:
+                    first, last = low + pairs[0][0], low + pairs[-1][0] + 1
+                    found.append((t.name, len(pairs) / len(t.words), first, last, len(pairs)))
+                    done = last
+                    break
     out: list[tuple[str, float, int, int, int]] = []
     for f in sorted(found, key=lambda f: (-f[4], -f[1], f[2], f[0])):
         if all(f[3] <= o[2] or o[3] <= f[2] for o in out):

@@ -62,6 +62,19 @@ def test_notice_with_as_many_changed_words_as_coverage_allows():
     assert tried > 5
 
 
+def test_notices_back_to_back_are_all_found():
+    known = _templates(TEMPLATES)
+    for name, text in TEMPLATES:
+        n = len(license_words(text.encode()))
+        for copies in (2, 3, 7, 50):
+            assert [g[:4] for g in scan(f"{text} ".encode() * copies, known)] == [(name, 1.0, i * n, i * n + n) for i in range(copies)]
+    mixed = ["Released under the MIT License.", "Licensed under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0."]
+    rnd = random.Random(2)
+    for _ in range(200):
+        names = [rnd.choice(mixed) for _ in range(rnd.randint(2, 9))]
+        assert [g[0] for g in scan(" ".join(names).encode(), known)] == [dict((x, y) for y, x in TEMPLATES)[x] for x in names]
+
+
 def test_whole_table_finds_exactly_the_planted_lines(spark):
     import __spark_entry__ as entry
 
