@@ -233,3 +233,13 @@ def test_spread_only_touches_scans_with_few_tasks(spark, tmp_path):
         assert session.spread(df, "id") is df
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def test_nested_annotation_files_hold_a_bounded_number_of_pairs(spark, monkeypatch):
+    from geoctx.catalog import files
+
+    parts = spark.range(25_000).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand")
+    monkeypatch.setattr(files.fx, "table", lambda *_: parts)
+    pairs = files.s13(spark, None)
+    assert pairs.count() == pairs.distinct().count() == 25_000
+    assert len(pairs.inputFiles()) >= 3
