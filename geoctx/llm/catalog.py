@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["token_counts", "ngram_jaccard", "token_files", "decontaminate", "licenses", "quality", "personal_data", "exact_dedup", "language_model", "pieces", "conversations", "language_id"]
+_MODULES = ["token_counts", "ngram_jaccard", "token_files", "decontaminate", "licenses", "quality", "personal_data", "exact_dedup", "language_model", "pieces", "spelling", "conversations", "language_id"]
 
 
 def all_queries():
