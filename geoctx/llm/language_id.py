@@ -18,6 +18,8 @@ CATALOG = Catalog()
 
 #: Documents of each language that its dictionary is made of, and characters taken from each at a place set by its hash.
 FIT_DOCS, FIT_CHARS = 200, 2_000
+#: Documents that teach anything, of all languages together: with very many languages each learns from fewer.
+FIT_ROWS = 200_000
 #: Bytes of all dictionaries together: with very many languages each gets a smaller one.
 FIT_BYTES = 48 << 20
 #: Bytes that are encoded at a time. A short piece leans on the dictionary and not on the text before it.
@@ -47,9 +49,14 @@ def learn(docs: DataFrame, docs_each: int = FIT_DOCS, chars_each: int = FIT_CHAR
     """
     used = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"].cast("string"), docs["text"]).alias("at"), docs["doc_id"].alias("doc_id"))
     used = used.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (doc_bucket(F.col("doc_id")) != 0)).select("lang", "text", "at")
-    # the few smallest hashes of each language are kept in every task before anything is shuffled
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    chosen = used.select("lang", "at").distinct().withColumn("place", place).where(F.col("place") <= docs_each).drop("place")
+    keys = used.select("lang", "at").distinct()
+    langs = used.agg(F.count_distinct("lang")).first()[0]
+    docs_each = max(min(docs_each, FIT_ROWS // max(langs, 1)), 1)
+    # the smallest hashes of each share of a language first, so that what one task orders is bounded at any size
+    for share in (F.pmod("at", F.lit(256)), F.lit(0)):
+        place = F.row_number().over(Window.partitionBy("lang", "share").orderBy("at"))
+        keys = keys.withColumn("share", share).withColumn("place", place).where(F.col("place") <= docs_each).select("lang", "at")
+    chosen = F.broadcast(keys)  # FIT_ROWS rows at most, or one for each language
     start = F.pmod("at", F.greatest(F.length("text") - chars_each, F.lit(0)) + 1) + 1
     cut = F.substring(F.col("text"), start.cast("int"), F.lit(chars_each))
     rows = used.join(chosen, ["lang", "at"]).groupBy("lang", "at").agg(F.min(cut).alias("cut")).orderBy("lang", "at").collect()
