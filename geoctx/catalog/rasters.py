@@ -276,7 +276,7 @@ def j13(spark, d):
     SELECT DISTINCT image_id, row+a.o AS row, col+b.o AS col FROM e, (SELECT unnest([-1,0,1]) AS o) a, (SELECT unnest([-1,0,1]) AS o) b
     WHERE row+a.o BETWEEN 0 AND 7 AND col+b.o BETWEEN 0 AND 7""", EDGES))
 def t15(spark, d):
-    return raster.dilate(raster.edges(fx.seg_pixels(spark, d), "image_id", "gt"), ["image_id"], H, W, 3)
+    return raster.dilated_edges(fx.seg_pixels(spark, d), "image_id", "gt", H, W, 3)
 
 
 # ---- components and outlines ---------------------------------------------------------

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoctx.functions.arrays import l2_unit
-from geoctx.operators import ranking
+from geoctx.operators import halo, ranking
 
 # --- fixed values ---
 GREY_WEIGHTS = (0.299, 0.587, 0.114)
@@ -210,57 +211,76 @@ def balanced_crops(tiles: DataFrame, keys: Sequence[str], cls: str, max_share: f
 
 # ---- neighbourhoods ---------------------------------------------------------------
 
-def _spread(pixels: DataFrame, keys: Sequence[str], offsets) -> DataFrame:
-    o = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    return (
-        pixels.select(*keys, "row", "col").withColumn("_o", F.explode(o))
-        .select(*keys, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"))
-    )
+_PLACE = "row long, col long"
+
+
+def _sized(height, width) -> dict[str, Column]:
+    return {"_h": _col(height).cast("long"), "_w": _col(width).cast("long")}
 
 
-_BLOCK = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+def _places(w: halo.Window, mask) -> dict:
+    row, col, _ = w.own(mask)
+    return {"row": row, "col": col}
 
 
-def dilate(pixels: DataFrame, keys: Sequence[str], height, width, width_px: int = 3) -> DataFrame:
+def dilate(pixels: DataFrame, keys: Sequence[str], height, width, width_px: int = 3, tile: int = halo.TILE) -> DataFrame:
     """Foreground pixels (a sparse table) grown by a square of odd side ``width_px``, inside the raster."""
     r = width_px // 2
-    block = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
-    grown = _spread(pixels, keys, block)
-    return grown.where(
-        (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < _col(height)) & (F.col("col") < _col(width))
-    ).distinct()
+
+    def step(w: halo.Window) -> dict:
+        return _places(w, halo.grown(w.present, r) & w.inside(w.one("_h"), w.one("_w")))
+
+    return halo.neighbourhoods(pixels, keys, _sized(height, width), r, step, _PLACE, tile)
 
 
-def erode(pixels: DataFrame, keys: Sequence[str], height, width) -> DataFrame:
+def erode(pixels: DataFrame, keys: Sequence[str], height, width, tile: int = halo.TILE) -> DataFrame:
     """Foreground pixels whose 3 x 3 block (as far as it lies in the raster) is all foreground."""
-    h, w = _col(height), _col(width)
-    votes = _spread(pixels, keys, _BLOCK).groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n"))
 
-    def span(c, n):
-        return F.least(c + 1, n - 1) - F.greatest(c - 1, F.lit(0)) + 1
+    def step(w: halo.Window) -> dict:
+        inside = w.inside(w.one("_h"), w.one("_w"))
+        return _places(w, halo.shrunk(w.present | ~inside, 1) & inside)
 
-    inside = (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < h) & (F.col("col") < w)
-    return votes.where(inside & (F.col("n") == span(F.col("row"), h) * span(F.col("col"), w))).drop("n")
+    return halo.neighbourhoods(pixels, keys, _sized(height, width), 1, step, _PLACE, tile)
 
 
-def closing(pixels: DataFrame, keys: Sequence[str], height, width) -> DataFrame:
-    """3 x 3 closing of a sparse foreground table: dilate, then erode."""
-    return erode(dilate(pixels, keys, height, width), keys, height, width)
+def closing(pixels: DataFrame, keys: Sequence[str], height, width, tile: int = halo.TILE) -> DataFrame:
+    """3 x 3 closing of a sparse foreground table: dilate, then erode, behind one exchange."""
 
+    def step(w: halo.Window) -> dict:
+        inside = w.inside(w.one("_h"), w.one("_w"))
+        return _places(w, halo.shrunk(halo.grown(w.present & inside, 1) | ~inside, 1) & inside)
 
-def edges(pixels: DataFrame, key: str, label: str, ignore: int = IGNORE) -> DataFrame:
-    """Pixels that differ from a neighbour above, to the right, below right or below left, both not ignored.
+    return halo.neighbourhoods(pixels, keys, _sized(height, width), 2, step, _PLACE, tile)
 
-    The neighbour comes from an equi-join on shifted coordinates, which partitions by pixel and not by image.
-    """
-    p = pixels.where(F.col(label) != ignore).select(key, "row", "col", F.col(label).alias("_a"))
-    offsets = [(-1, 0), (0, 1), (1, 1), (1, -1)]
-    o = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    asks = p.withColumn("_o", F.explode(o)).select(
-        key, F.col("row").alias("r0"), F.col("col").alias("c0"), "_a",
-        (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"))
-    hits = asks.join(p.withColumnRenamed("_a", "_b"), [key, "row", "col"]).where(F.col("_a") != F.col("_b"))
-    return hits.select(key, F.col("r0").alias("row"), F.col("c0").alias("col")).distinct()
+
+def _edge_mask(labels, known):
+    """Where a known label differs from a known neighbour above, to the right, below right or below left."""
+    out = np.zeros(labels.shape, bool)
+    for i, j in ((-1, 0), (0, 1), (1, 1), (1, -1)):
+        out |= halo.shifted(known, i, j, False) & (halo.shifted(labels, i, j) != labels)
+    return out & known
+
+
+def edges(pixels: DataFrame, key: str, label: str, ignore: int = IGNORE, tile: int = halo.TILE) -> DataFrame:
+    """Pixels that differ from a neighbour above, to the right, below right or below left, both not ignored."""
+
+    def step(w: halo.Window) -> dict:
+        return _places(w, _edge_mask(w.plane("_a"), w.present))
+
+    known = pixels.where(F.col(label) != ignore)
+    return halo.neighbourhoods(known, [key], {"_a": F.col(label)}, 1, step, _PLACE, tile)
+
+
+def dilated_edges(pixels: DataFrame, key: str, label: str, height, width, width_px: int = 3, ignore: int = IGNORE, tile: int = halo.TILE) -> DataFrame:
+    """The edges grown by a square of odd side ``width_px``, inside the raster, behind one exchange."""
+    r = width_px // 2
+
+    def step(w: halo.Window) -> dict:
+        found = _edge_mask(w.plane("_a"), w.present)
+        return _places(w, halo.grown(found, r) & w.inside(w.one("_h"), w.one("_w")))
+
+    known = pixels.where(F.col(label) != ignore)
+    return halo.neighbourhoods(known, [key], {"_a": F.col(label)} | _sized(height, width), r + 1, step, _PLACE, tile)
 
 
 # ---- pixel values -----------------------------------------------------------------
@@ -378,19 +398,25 @@ def colour_histogram(pixels: DataFrame, key: str, mask: str, channels: Sequence[
 GLCM_OFFSETS = [(0, 1), (1, 1), (1, 0), (1, -1)]  # 0, 45, 90, 135 degrees
 
 
-def cooccurrence(pixels: DataFrame, key: str, level: str) -> DataFrame:
-    """Symmetric pair shares per angle; level 0 is background and takes no part.
+def cooccurrence(pixels: DataFrame, key: str, level: str, tile: int = halo.TILE) -> DataFrame:
+    """Symmetric pair counts per angle; level 0 is background and takes no part.
 
-    Neighbours meet in an equi-join on (image, row, column), so a large image is many partitions.
+    Pairs are counted inside tiles, so what is aggregated is one row per tile, angle and pair of levels.
     """
-    p = pixels.where(F.col(level) > 0).select(key, "row", "col", F.col(level).alias("i"))
-    o = F.array(*[
-        F.struct(F.lit(a).alias("angle"), F.lit(r).alias("r"), F.lit(c).alias("c")) for a, (r, c) in enumerate(GLCM_OFFSETS)
-    ])
-    asks = p.withColumn("_o", F.explode(o)).select(
-        key, "i", F.col("_o.angle").alias("angle"), (F.col("row") + F.col("_o.r")).alias("row"), (F.col("col") + F.col("_o.c")).alias("col"))
-    pairs = asks.join(p.withColumnRenamed("i", "j"), [key, "row", "col"]).groupBy(key, "angle", "i", "j").agg(
-        F.count(F.lit(1)).alias("n"))
+
+    def step(w: halo.Window) -> dict:
+        levels = w.plane("_l")
+        parts = []
+        for angle, (down, right) in enumerate(GLCM_OFFSETS):
+            other = halo.shifted(levels, down, right)
+            at = w.own((levels > 0) & (other > 0))[2]
+            pairs, n = np.unique(np.stack([levels[at], other[at]], axis=1), axis=0, return_counts=True)
+            parts.append((np.full(len(n), angle), pairs[:, 0], pairs[:, 1], n))
+        return dict(zip(("angle", "i", "j", "n"), map(np.concatenate, zip(*parts))))
+
+    on = pixels.where(F.col(level) > 0)
+    counted = halo.neighbourhoods(on, [key], {"_l": F.col(level).cast("long")}, 1, step, "angle int, i int, j int, n long", tile)
+    pairs = counted.groupBy(key, "angle", "i", "j").agg(F.sum("n").alias("n"))
     both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     return pairs.select(key, "angle", "n", F.explode(both).alias("p")).groupBy(
         key, "angle", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.sum("n").alias("n"))
@@ -421,31 +447,28 @@ def grey_level(r="r", g="g", b="b", mask="mask") -> Column:
     return F.when(_col(mask) == 0, 0).otherwise(v)
 
 
-def gradient_histogram(pixels: DataFrame, key: str, value: str, height: int, width: int, cell: int = 8, bins: int = 9) -> DataFrame:
+def gradient_histogram(pixels: DataFrame, key: str, value: str, height: int, width: int, cell: int = 8, bins: int = 9, tile: int = halo.TILE) -> DataFrame:
     """Orientation histogram per block of 2 x 2 cells, normalised twice with a clip at 0.2.
 
-    Gradients are central differences (0 at the border); a pixel gives its magnitude to one bin.
+    Gradients are central differences (0 at the border); a pixel gives its magnitude to one bin. A missing pixel
+    counts 0. A tile returns its cells' histograms, so no pixel is aggregated outside its tile.
     """
-    p = pixels.select(key, "row", "col", F.col(value).cast("double").alias("v"))
-    o = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(sy).alias("sy"), F.lit(sx).alias("sx"))
-        for i, j, sy, sx in ((-1, 0, 1.0, 0.0), (1, 0, -1.0, 0.0), (0, -1, 0.0, 1.0), (0, 1, 0.0, -1.0))
-    ])
-    # a pixel adds its value to the gradients of its four neighbours: one aggregate, no self-join
-    parts = p.withColumn("_o", F.explode(o)).select(
-        key, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"),
-        (F.col("v") * F.col("_o.sy")).alias("gy"), (F.col("v") * F.col("_o.sx")).alias("gx"))
-    grad = parts.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).groupBy(key, "row", "col").agg(
-        F.sum("gy").alias("gy"), F.sum("gx").alias("gx"))
-    gy = F.when(F.col("row").isin(0, height - 1), 0.0).otherwise(F.col("gy"))
-    gx = F.when(F.col("col").isin(0, width - 1), 0.0).otherwise(F.col("gx"))
-    angle = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
-    grad = grad.withColumn("gy", gy).withColumn("gx", gx)
-    cells = grad.select(
-        key, F.floor(F.col("row") / cell).cast("int").alias("cy"), F.floor(F.col("col") / cell).cast("int").alias("cx"),
-        F.least(F.floor(angle / (180.0 / bins)), F.lit(bins - 1)).cast("int").alias("bin"), F.hypot("gy", "gx").alias("m"))
-    sums = [F.sum(F.when(F.col("bin") == b, F.col("m")).otherwise(0.0)) / (cell * cell) for b in range(bins)]
-    hist = cells.groupBy(key, "cy", "cx").agg(F.array(*sums).alias("h"))
+    tile = max(tile // cell, 1) * cell  # cells never reach over a tile's border
+
+    def step(w: halo.Window) -> dict:
+        v = w.plane("_v", 0.0)
+        inside = w.inside(height, width)
+        row, col = np.arange(w.shape[0])[:, None] + w.top, np.arange(w.shape[1])[None, :] + w.left
+        gy = np.where((row == 0) | (row == height - 1), 0.0, halo.shifted(v, 1, 0) - halo.shifted(v, -1, 0))
+        gx = np.where((col == 0) | (col == width - 1), 0.0, halo.shifted(v, 0, 1) - halo.shifted(v, 0, -1))
+        r, c, at = w.own(inside)
+        angle = np.mod(np.degrees(np.arctan2(gy[at], gx[at])), 180.0)
+        which = np.minimum((angle // (180.0 / bins)).astype(np.int64), bins - 1)
+        cells, place = np.unique(np.stack([r // cell, c // cell], axis=1), axis=0, return_inverse=True)
+        sums = np.bincount(place.ravel() * bins + which, np.hypot(gy[at], gx[at]), len(cells) * bins) / (cell * cell)
+        return {"cy": cells[:, 0], "cx": cells[:, 1], "h": sums.reshape(-1, bins).tolist()}
+
+    hist = halo.neighbourhoods(pixels, [key], {"_v": F.col(value).cast("double")}, 1, step, "cy int, cx int, h array<double>", tile)
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
     last_y, last_x = height // cell - 2, width // cell - 2
     blocks = (
