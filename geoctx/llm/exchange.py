@@ -52,13 +52,25 @@ def rice_decode(data: bytes) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Small counts as compressed bytes, each byte plane by itself."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Counts as compressed bytes, each byte plane by itself: four planes, or eight where one reaches 2 ** 32."""
+    values = np.asarray(values)
+    wide = len(values) > 0 and int(values.max()) >> 32 > 0
+    planes = np.ascontiguousarray(values, dtype="<u8" if wide else "<u4").view(np.uint8).reshape(-1, 8 if wide else 4).T
+    return (b"\x08" if wide else b"\x04") + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    width = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
+
+
+def summed(place: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The exact sum of whole non-negative weights at each of ``n`` places, up to 2 ** 63."""
+    out, weights = np.zeros(n, np.int64), weights.astype(np.int64)
+    for shift in range(0, max(int(weights.max(initial=0)).bit_length(), 1), 20):  # parts whose sums floats hold exactly
+        out += np.bincount(place, (weights >> shift) & 0xFFFFF, n).astype(np.int64) << shift
+    return out
 
 
 def exchange(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], total: int, bits: int) -> DataFrame:
@@ -88,8 +100,8 @@ def exchange(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.n
     def answer(group: pa.Table) -> pa.Table:
         codes = [rice_decode(c) for c in group["code"].to_pylist()]
         weights = np.concatenate([unpack(w) for w in group["weight"].to_pylist()])
-        _, place = np.unique(np.concatenate(codes), return_inverse=True)
-        sums = np.bincount(place, weights).astype(np.uint32)[place]
+        found, place = np.unique(np.concatenate(codes), return_inverse=True)
+        sums = summed(place, weights, len(found))[place]
         cuts = np.cumsum([0, *map(len, codes)])
         return pa.Table.from_pylist([{"block": b, "owner": o, "reply": pack(sums[x:y])} for b, o, x, y in zip(group["block"].to_pylist(), group["owner"].to_pylist(), cuts, cuts[1:])], schema=reply_schema)
 

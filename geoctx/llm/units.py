@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoctx.llm.exchange import pack, unpack
+from geoctx.llm.exchange import pack, summed, unpack
 
 
 class Numbering(dict):
@@ -109,3 +109,51 @@ def once_per_unit(blocks: DataFrame, column: str, total: int, make: Callable[[li
     ddl = "owner int, home long, data binary"
     replies = blocks.select("block", column).mapInArrow(send, ddl).groupBy("owner").applyInArrow(answer, ddl)
     return blocks.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(finish, schema)
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def summed_units(blocks: DataFrame, total: int) -> DataFrame:
+    """``(block, counts binary, firsts binary)``: for each block's units, the sum of their weights over all blocks.
+
+    ``blocks (block, units, weights)`` hold distinct units in the order of their hashes (``pack_strings``), and a weight
+    each (``pack``). Owners of hash ranges compare the units themselves, so equal hashes do no harm. ``firsts`` (bits)
+    marks each unit in exactly one of the blocks that have it, so that sums over marked units count every unit once.
+    """
+    owners = 1 << max(-(-total // PER_OWNER) - 1, 0).bit_length()
+    width = np.uint64(64 - owners.bit_length() + 1)
+    ddl = "owner int, block long, data binary, weights binary"
+    sent_schema = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("weights", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, weights = unpack_strings(batch["units"][i].as_py()), unpack(batch["weights"][i].as_py())
+                where = hashed(words) >> width if owners > 1 else np.zeros(len(words), np.uint64)
+                cuts = [*np.searchsorted(where, np.arange(owners, dtype=np.uint64)).tolist(), len(words)]
+                for owner, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        yield pa.RecordBatch.from_pylist([{"owner": owner, "block": batch["block"][i].as_py(), "data": pack_strings(words[a:b]), "weights": pack(weights[a:b])}], schema=sent_schema)
+
+    def answer(group: pa.Table) -> pa.Table:
+        number = Numbering()
+        place, cuts = [], [0]
+        for data in group["data"]:
+            place.append(np.fromiter(map(number.__getitem__, unpack_strings(data.as_py())), np.int64))
+            cuts.append(cuts[-1] + len(place[-1]))
+        place = np.concatenate(place)
+        sums = summed(place, np.concatenate([unpack(w.as_py()) for w in group["weights"]]), len(number))[place]
+        firsts = np.zeros(len(place), np.uint8)
+        firsts[np.unique(place, return_index=True)[1]] = 1
+        rows = [{"owner": o, "block": b, "data": pack(firsts[x:y]), "weights": pack(sums[x:y])} for o, b, x, y in zip(group["owner"].to_pylist(), group["block"].to_pylist(), cuts, cuts[1:])]
+        return pa.Table.from_pylist(rows, schema=sent_schema)
+
+    def gather(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["owner"].to_numpy()).tolist()
+        column = lambda c: pack(np.concatenate([unpack(group[c][i].as_py()) for i in order]))
+        return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([column("weights")], pa.binary()), "firsts": pa.array([column("data")], pa.binary())})
+
+    replies = blocks.select("block", "units", "weights").mapInArrow(send, ddl).groupBy("owner").applyInArrow(answer, ddl)
+    return replies.groupBy("block").applyInArrow(gather, "block long, counts binary, firsts binary")
