@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,7 +70,54 @@ def in_blocks(rows: DataFrame, size: Column | None, build: Callable[[list], dict
         if held:
             yield close()
 
-    return rows.mapInArrow(run, f"block long, {schema}")
+    return rows.mapInArrow(lean(run), f"block long, {schema}")
+
+
+#: Tables that a worker keeps from row to row, emptied at the end of a task.
+KEPT: list[dict] = []
+
+
+def give_back() -> None:
+    """Hands memory of finished work back to the system. Python workers live on through many tasks, and what one of them
+    once needed would else stay with it while another stage runs beside the JVM."""
+    for table in KEPT:
+        table.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(step: Callable) -> Callable:
+    """``step``, a function of an iterator that yields or one of groups that returns, with ``give_back`` behind its last row."""
+    if inspect.isgeneratorfunction(step):
+
+        @functools.wraps(step)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from step(batches)
+            finally:
+                give_back()
+
+        return run
+
+    if len(inspect.signature(step).parameters) == 2:  # two groups
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return step(left, right)
+            finally:
+                give_back()
+
+        return both
+
+    def one(group: pa.Table) -> pa.Table:
+        try:
+            return step(group)
+        finally:
+            give_back()
+
+    return one
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:

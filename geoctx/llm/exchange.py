@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from geoctx.llm.common import pa_schema
+from geoctx.llm.common import lean, pa_schema
 
 #: Hashes one owner handles at a time.
 PER_OWNER = 1_500_000
@@ -112,6 +112,6 @@ def exchange(blocks: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.n
         parts = group["reply"].to_pylist()
         return pa.Table.from_pylist([{"block": group["block"][0].as_py(), "replies": pack(np.concatenate([unpack(parts[i]) for i in order]))}], schema=all_schema)
 
-    sent = blocks.mapInArrow(send, "owner int, block long, code binary, weight binary")
-    replies = sent.groupBy("owner").applyInArrow(answer, "block long, owner int, reply binary")
-    return replies.groupBy("block").applyInArrow(gather, "block long, replies binary")
+    sent = blocks.mapInArrow(lean(send), "owner int, block long, code binary, weight binary")
+    replies = sent.groupBy("owner").applyInArrow(lean(answer), "block long, owner int, reply binary")
+    return replies.groupBy("block").applyInArrow(lean(gather), "block long, replies binary")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import BLOCK_BYTES, LOWER_BYTES, doc_bucket, documents, in_blocks, pa_schema, stored
+from geoctx.llm.common import BLOCK_BYTES, LOWER_BYTES, doc_bucket, documents, in_blocks, lean, pa_schema, stored
 from geoctx.llm.exchange import exchange, pack, unpack
 from geoctx.llm.units import Numbering, hashed, pack_strings, summed_units, unpack_strings
 from geoctx.session import cut_lineage
@@ -206,7 +206,7 @@ class LanguageModel:
                     yield pa.RecordBatch.from_pylist([{c: row[c].as_py() for c in held} | {f"tokens_{m}": pack(own), "code": code, "n": n}], schema=arrow)
 
         columns = ("held", "units", "place", "per_doc", "seq")
-        return self._joined(*columns).join(replies, "block").mapInArrow(run, schema)
+        return self._joined(*columns).join(replies, "block").mapInArrow(lean(run), schema)
 
     def _shares(self, m: int) -> np.ndarray:
         """Weights of order ``m`` against what lies below it, one for each bucket of context frequency."""
@@ -242,7 +242,7 @@ class LanguageModel:
 
         learned = [c for c in self.known.columns if c in ("block", "counts") or c.startswith("tokens_")]
         blocks = self.blocks.select("block", "doc_id", "held", "place", "per_doc", "seq")
-        return blocks.join(self.known.select(*learned), "block").mapInArrow(run, schema)
+        return blocks.join(self.known.select(*learned), "block").mapInArrow(lean(run), schema)
 
 
 def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

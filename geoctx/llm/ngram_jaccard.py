@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoctx.catalog.base import Catalog
-from geoctx.llm.common import BLOCK_BYTES, LOWER_BYTES, components, documents, id_text, in_blocks, pa_schema, stored, without
+from geoctx.llm.common import BLOCK_BYTES, KEPT, LOWER_BYTES, components, documents, id_text, in_blocks, lean, pa_schema, stored, without
 from geoctx.llm.exchange import exchange, unpack
 from geoctx.llm.units import pack_strings, unpack_strings
 from geoctx.session import cut_lineage
@@ -56,6 +56,7 @@ class _Hashes(dict):
 
 
 _WORDS = _Hashes()
+KEPT.append(_WORDS)
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -141,7 +142,7 @@ def _with_beginnings(blocks: DataFrame, replies: DataFrame, width: int, percent:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     # a block without any words asks for nothing and gets no reply
-    return blocks.select("block", "doc_id", "texts").join(replies, "block", "left").drop("block").mapInArrow(run, schema)
+    return blocks.select("block", "doc_id", "texts").join(replies, "block", "left").drop("block").mapInArrow(lean(run), schema)
 
 
 def _may_link(n_a, n_b, map_a: np.ndarray, map_b: np.ndarray, percent: int) -> np.ndarray:
@@ -174,7 +175,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")
 
 
 def _tile_links(members: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +208,7 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
                 links = _compare(a.to_pylist(), b.to_pylist(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(lean(run), "a long, b long")
 
 
 def _compare(a: list[dict], b: list[dict], percent: int) -> list[tuple[int, int]]:

@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoctx.llm.common import lean
 from geoctx.llm.exchange import pack, summed, unpack
 
 
@@ -37,7 +38,7 @@ def back_to_blocks(blocks: DataFrame, found: DataFrame, build: Callable[[dict, p
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return build({c: left[c][0] for c in left.column_names}, right)
 
-    return blocks.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(lean(run), schema)
 
 
 def joined_units(blocks: DataFrame, known: DataFrame) -> DataFrame:
@@ -89,13 +90,13 @@ def once_per_unit(blocks: DataFrame, column: str, total: int, make: Callable[[li
                     yield pa.RecordBatch.from_pylist([{"owner": o, "home": home, "data": pack_strings([words[i] for i in own])}], schema=sent_schema)
 
     def answer(group: pa.Table) -> pa.Table:
-        asked = [unpack_strings(d) for d in group["data"].to_pylist()]
-        table = sorted({w for words in asked for w in words})  # the distinct units of this owner
-        known: dict[bytes, bytes] = {}
+        number = Numbering()  # the distinct units of this owner; requests are kept as numbers only
+        asked = [np.fromiter(map(number.__getitem__, unpack_strings(d.as_py())), np.int32) for d in group["data"]]
+        table, made = list(number), []
         for low in range(0, len(table), 10_000):
-            some = table[low:low + 10_000]
-            known.update(zip(some, (m.encode() for m in make([w.decode() for w in some]))))
-        return pa.Table.from_arrays([group["owner"], group["home"], pa.array([pack_strings([known[w] for w in words]) for words in asked], pa.binary())], schema=sent_schema)
+            made += [m.encode() for m in make([w.decode() for w in table[low:low + 10_000]])]
+        replies = (pack_strings([made[i] for i in own.tolist()]) for own in asked)
+        return pa.Table.from_arrays([group["owner"], group["home"], pa.array(replies, pa.binary())], schema=sent_schema)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left[c][0] for c in left.column_names}
@@ -107,8 +108,8 @@ def once_per_unit(blocks: DataFrame, column: str, total: int, make: Callable[[li
         return build(row, made)
 
     ddl = "owner int, home long, data binary"
-    replies = blocks.select("block", column).mapInArrow(send, ddl).groupBy("owner").applyInArrow(answer, ddl)
-    return blocks.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(finish, schema)
+    replies = blocks.select("block", column).mapInArrow(lean(send), ddl).groupBy("owner").applyInArrow(lean(answer), ddl)
+    return blocks.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(lean(finish), schema)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -155,5 +156,5 @@ def summed_units(blocks: DataFrame, total: int) -> DataFrame:
         column = lambda c: pack(np.concatenate([unpack(group[c][i].as_py()) for i in order]))
         return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([column("weights")], pa.binary()), "firsts": pa.array([column("data")], pa.binary())})
 
-    replies = blocks.select("block", "units", "weights").mapInArrow(send, ddl).groupBy("owner").applyInArrow(answer, ddl)
-    return replies.groupBy("block").applyInArrow(gather, "block long, counts binary, firsts binary")
+    replies = blocks.select("block", "units", "weights").mapInArrow(lean(send), ddl).groupBy("owner").applyInArrow(lean(answer), ddl)
+    return replies.groupBy("block").applyInArrow(lean(gather), "block long, counts binary, firsts binary")
