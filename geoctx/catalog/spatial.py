@@ -8,7 +8,7 @@ from geoctx import fixtures as fx
 from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
 from geoctx.functions import geo, text
-from geoctx.operators import context, lookup, polygons, ranking, transfer
+from geoctx.operators import context, lookup, overlay, polygons, ranking, transfer
 from geoctx.operators.spatial_join import bbox_join, nearest_k, radius_join
 from geoctx.plans.context_corpus import context_prompts
 
@@ -226,6 +226,61 @@ def w3_polygons(spark, d):
     return polygons.transfer_polygons(*_triangles(spark, d)).select("build_id", "status", "match_score", "matched_func")
 
 
+# Features of the boxes with holes and parts; as disjoint rectangles their areas have a closed form.
+_PIECES = """CASE {id} % 3 WHEN 0 THEN [[0,0,3,1],[0,2,3,3],[0,1,1,2],[2,1,3,2]] WHEN 1 THEN [[0,0,3,1],[0,1,1,3]] ELSE [[0,0,1,3],[2,0,3,2]] END"""
+FEATURES = f"""bp AS (SELECT build_id, build_id % 10 = 3 AS bad, minx, miny, maxx, maxy, unnest({_PIECES.format(id="build_id")}) AS p FROM building),
+    ap AS (SELECT build_id, bad, minx+(maxx-minx)*p[1]/4 AS x1, miny+(maxy-miny)*p[2]/4 AS y1, minx+(maxx-minx)*p[3]/4 AS x2, miny+(maxy-miny)*p[4]/4 AS y2 FROM bp),
+    cq AS (SELECT cand_id, func, minx, miny, maxx, maxy, unnest({_PIECES.format(id="cand_id // 3")}) AS p FROM candidate),
+    cp AS (SELECT cand_id, func, minx+(maxx-minx)*p[1]/4 AS x1, miny+(maxy-miny)*p[2]/4 AS y1, minx+(maxx-minx)*p[3]/4 AS x2, miny+(maxy-miny)*p[4]/4 AS y2 FROM cq),
+    size_a AS (SELECT build_id, any_value(bad) AS bad, sum((x2-x1)*(y2-y1)) AS area, sum((x2-x1)*(y2-y1)*(x1+x2)/2)/sum((x2-x1)*(y2-y1)) AS cx, sum((x2-x1)*(y2-y1)*(y1+y2)/2)/sum((x2-x1)*(y2-y1)) AS cy,
+      min(x1) AS minx, min(y1) AS miny, max(x2) AS maxx, max(y2) AS maxy FROM ap GROUP BY build_id),
+    size_b AS (SELECT cand_id, any_value(func) AS func, sum((x2-x1)*(y2-y1)) AS area, sum((x2-x1)*(y2-y1)*(x1+x2)/2)/sum((x2-x1)*(y2-y1)) AS cx, sum((x2-x1)*(y2-y1)*(y1+y2)/2)/sum((x2-x1)*(y2-y1)) AS cy,
+      min(x1) AS minx, min(y1) AS miny, max(x2) AS maxx, max(y2) AS maxy FROM cp GROUP BY cand_id),
+    met AS (SELECT a.build_id, b.cand_id, b.func, a.area AS aa, b.area AS ab, sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) AS cdist FROM size_a a JOIN size_b b
+      ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE NOT a.bad),
+    com AS (SELECT m.build_id, m.cand_id, bool_or(a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2) AS touch,
+      sum(greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0)) AS inter
+      FROM met m JOIN ap a USING (build_id) JOIN cp b USING (cand_id) GROUP BY ALL),
+    fe AS (SELECT m.build_id, m.cand_id, m.func, touch, inter/aa AS overlap, inter/(aa+ab-inter) AS iou, cdist, least(aa,ab)/greatest(aa,ab) AS aratio,
+      round(0.65*inter/(aa+ab-inter)+0.15*inter/aa+0.1*least(aa,ab)/greatest(aa,ab)+0.1*exp(-cdist/20), 6) AS score FROM met m JOIN com USING (build_id, cand_id))"""
+
+
+def _pieces(number):
+    """A frame (a box less its middle), an L and two separate bars, in quarters of the box."""
+    x = lambda k: F.col("minx") + (F.col("maxx") - F.col("minx")) * k / 4
+    y = lambda k: F.col("miny") + (F.col("maxy") - F.col("miny")) * k / 4
+    ring = lambda *at: F.array(*[F.struct(x(i).cast("double").alias("x"), y(j).cast("double").alias("y")) for i, j in at])
+    frame = F.array(F.array(ring((0, 0), (3, 0), (3, 3), (0, 3), (0, 0)), ring((1, 1), (1, 2), (2, 2), (2, 1), (1, 1))))
+    corner = F.array(F.array(ring((0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0))))
+    bars = F.array(F.array(ring((0, 0), (1, 0), (1, 3), (0, 3), (0, 0))), F.array(ring((2, 0), (3, 0), (3, 2), (2, 2), (2, 0))))
+    return F.when(number % 3 == 0, frame).when(number % 3 == 1, corner).otherwise(bars)
+
+
+def _features(spark, d):
+    """Both layers as features with holes and parts; every id ending in 3 is flattened to a line."""
+    flat = F.array(F.array(geo.ring_of_rect("minx", "miny", "maxx", "miny")))
+    ours = fx.buildings(spark, d).select("build_id", F.when(F.col("build_id") % 10 == 3, flat).otherwise(_pieces(F.col("build_id"))).alias("polygons"))
+    return ours, fx.candidates(spark, d).select("cand_id", "func", _pieces(F.floor(F.col("cand_id") / 3)).alias("polygons"))
+
+
+@add("g1_g2_feature_scores", with_sql("candidate", """
+    SELECT build_id, cand_id, touch, round(overlap, 6) AS overlap, round(iou, 6) AS iou, round(cdist, 6) AS cdist, round(aratio, 6) AS aratio, score FROM fe""", FEATURES))
+def g1_features(spark, d):
+    scored = overlay.candidate_features(*_features(spark, d))
+    return scored.select("build_id", "cand_id", "touch", *[six(c).alias(c) for c in ("overlap", "iou", "cdist", "aratio")], "score")
+
+
+@add("w3_feature_transfer", with_sql("candidate", """
+    SELECT b.build_id, CASE WHEN b.build_id % 10 = 3 THEN 'Invalid_Geometry' WHEN t.touch IS NULL THEN 'No_Match' WHEN NOT t.touch THEN 'No_Intersect_Precise'
+        ELSE status END AS status, round(s1, 3) AS match_score, CASE WHEN status = 'Auto_Match' THEN func END AS matched_func
+    FROM building b LEFT JOIN (SELECT build_id, bool_or(touch) AS touch FROM fe GROUP BY build_id) t USING (build_id) LEFT JOIN dec USING (build_id)""", f"""{FEATURES},
+    ranked AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS s2 FROM fe WHERE touch WINDOW w AS (PARTITION BY build_id ORDER BY score DESC, cand_id)),
+    dec AS (SELECT build_id, func, score AS s1, CASE WHEN score <= 0.6 THEN 'Low_Score_Check' WHEN s2 IS NOT NULL AND round(score - s2, 6) < 0.05
+        THEN 'Conflict_Ambiguous' ELSE 'Auto_Match' END AS status FROM ranked WHERE rk = 1)"""))
+def w3_features(spark, d):
+    return overlay.transfer_features(*_features(spark, d)).select("build_id", "status", "match_score", "matched_func")
+
+
 @add("p13_self_crossing", with_sql("building", "SELECT build_id FROM building WHERE build_id % 10 NOT IN (1, 3, 7)"))
 def p13_crossing(spark, d):
     """Besides flat and missing rings, every id ending in 1 is a ring whose edges cross."""
