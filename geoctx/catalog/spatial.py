@@ -260,7 +260,9 @@ def _features(spark, d):
     """Both layers as features with holes and parts; every id ending in 3 is flattened to a line."""
     flat = F.array(F.array(geo.ring_of_rect("minx", "miny", "maxx", "miny")))
     ours = fx.buildings(spark, d).select("build_id", F.when(F.col("build_id") % 10 == 3, flat).otherwise(_pieces(F.col("build_id"))).alias("polygons"))
-    return ours, fx.candidates(spark, d).select("cand_id", "func", _pieces(F.floor(F.col("cand_id") / 3)).alias("polygons"))
+    theirs = fx.candidates(spark, d).select("cand_id", "func", _pieces(F.floor(F.col("cand_id") / 3)).alias("polygons"))
+    # as a stored layer would: the features are made once and not inside every expression on them
+    return ours.repartition("build_id"), theirs.repartition("cand_id")
 
 
 @add("g1_g2_feature_scores", with_sql("candidate", """
