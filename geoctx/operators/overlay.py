@@ -151,36 +151,53 @@ def bounds(polygons: str) -> dict[str, Column]:
     return geo.ring_bounds(points)
 
 
-def centroid(polygons: str) -> tuple[Column, Column]:
-    """Mean of the shells' centroids by area, holes counted off."""
+def measures(polygons: str) -> Column:
+    """``area, x, y``: the area of the shells less their holes, and the centroid; one pass over the edges."""
+    p = F.col(polygons)
+    x0, y0 = p[0][0][0]["x"], p[0][0][0]["y"]  # far from the origin plain sums lose digits
     zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    add = lambda s, v: F.struct((s["m"] + v["m"]).alias("m"), (s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y"))
+
+    def edge(s: Column, v: Column) -> Column:
+        cross = v["a"] * v["d"] - v["c"] * v["b"]
+        return F.struct((s["m"] + cross).alias("m"), (s["x"] + (v["a"] + v["c"]) * cross).alias("x"), (s["y"] + (v["b"] + v["d"]) * cross).alias("y"))
 
     def of_ring(ring: Column, k: Column) -> Column:
-        (x, y), m = geo.ring_centroid(ring), F.when(k == 0, geo.ring_area(ring)).otherwise(-geo.ring_area(ring))
-        return F.struct(m.alias("m"), (m * x).alias("x"), (m * y).alias("y"))
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        ends = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda u, v: F.struct(
+            (u["x"] - x0).alias("a"), (u["y"] - y0).alias("b"), (v["x"] - x0).alias("c"), (v["y"] - y0).alias("d")))
+        turn = F.when(k == 0, 1.0).otherwise(-1.0)  # whichever way the ring runs
+        return F.aggregate(ends, zero, edge, lambda s: F.struct(
+            (turn * F.signum(s["m"]) * s["m"] / 2).alias("m"), (turn * F.signum(s["m"]) * s["x"] / 6).alias("x"), (turn * F.signum(s["m"]) * s["y"] / 6).alias("y")))
+
+    each = F.flatten(F.transform(p, lambda rings: F.transform(rings, of_ring)))
+    return F.aggregate(each, zero, add, lambda s: F.struct(
+        s["m"].alias("area"), (x0 + F.try_divide(s["x"], s["m"])).alias("x"), (y0 + F.try_divide(s["y"], s["m"])).alias("y")))
+
 
-    each = F.flatten(F.transform(F.col(polygons), lambda rings: F.filter(F.transform(rings, of_ring), lambda v: v["m"] != 0)))
-    total = F.aggregate(each, zero, lambda s, v: F.struct((s["m"] + v["m"]).alias("m"), (s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y")))
-    return total["x"] / total["m"], total["y"] / total["m"]
+def with_measures(features: DataFrame, prefix: str = "") -> DataFrame:
+    """Box and measures beside ``polygons``, once per feature and not once per pair."""
+    named = features.withColumnRenamed("polygons", f"{prefix}polygons")
+    return named.select("*", *[c.alias(prefix + n) for n, c in bounds(f"{prefix}polygons").items()], measures(f"{prefix}polygons").alias(f"{prefix}of"))
 
 
-def score_features(pairs: DataFrame, a: str = "a_polygons", b: str = "b_polygons") -> DataFrame:
-    """Adds touch, overlap, IoU, centroid distance, area ratio and score to pairs of features with holes and parts."""
-    shaped = pairs.withColumn("_g", _geometry(all_rings(a), all_rings(b)))
-    inter, area_a, area_b = F.col("_g.inter"), geo.polygons_area(a), geo.polygons_area(b)
-    (ax, ay), (bx, by) = centroid(a), centroid(b)
+def score_features(pairs: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
+    """Adds touch, overlap, IoU, centroid distance, area ratio and score to pairs of features (``with_measures``)."""
+    shaped = pairs.withColumn("_g", _geometry(all_rings(f"{a}polygons"), all_rings(f"{b}polygons")))
+    inter, area_a, area_b = F.col("_g.inter"), F.col(f"{a}of.area"), F.col(f"{b}of.area")
+    dx, dy = (F.col(f"{a}of.{c}") - F.col(f"{b}of.{c}") for c in "xy")
     out = (
         shaped.withColumn("touch", F.col("_g.touch"))
         .withColumn("overlap", geo.overlap_ratio(inter, area_a)).withColumn("iou", geo.iou(inter, area_a, area_b))
-        .withColumn("cdist", F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)))
+        .withColumn("cdist", F.sqrt(dx * dx + dy * dy))
         .withColumn("aratio", geo.area_ratio(area_a, area_b)).drop("_g"))
     return transfer.with_score(out)
 
 
 def candidate_features(ours: DataFrame, theirs: DataFrame, cell: float = 60.0) -> DataFrame:
     """Scored pairs of usable features (build_id, polygons) and (cand_id, ..., polygons) whose boxes meet."""
-    boxed = lambda df, s: df.where(usable("polygons")).withColumnRenamed("polygons", f"{s}polygons").select("*", *[c.alias(s + n) for n, c in bounds(f"{s}polygons").items()])
-    return score_features(bbox_join(boxed(ours.select("build_id", "polygons"), "a_"), boxed(theirs, "b_"), cell))
+    a, b = (with_measures(df.where(usable("polygons")), s) for df, s in ((ours.select("build_id", "polygons"), "a_"), (theirs, "b_")))
+    return score_features(bbox_join(a, b, cell))
 
 
 def transfer_features(ours: DataFrame, theirs: DataFrame, cell: float = 60.0) -> DataFrame:

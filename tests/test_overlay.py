@@ -102,6 +102,6 @@ def test_features_in_tables(spark):
     theirs = spark.createDataFrame([(10, "res", [[box(4, 4, 5, 5)]]), (11, "pub", [[box(100, 0, 104, 4)]]), (12, "pub", None)], f"cand_id long, func string, {kind}")
     got = {r.build_id: (r.status, r.matched_func) for r in ov.transfer_features(ours, theirs).collect()}
     assert got == {1: ("No_Intersect_Precise", None), 2: ("Auto_Match", "pub"), 3: ("Invalid_Geometry", None), 4: ("Invalid_Geometry", None), 5: ("Invalid_Geometry", None), 6: ("No_Match", None)}
-    x, y = ov.centroid("polygons")
-    row = ours.where("build_id = 2").select(x.alias("x"), y.alias("y")).first()
-    assert (row.x, row.y) == pytest.approx(((4 * 1 + 16 * 102) / 20, (4 * 1 + 16 * 2) / 20))
+    rows = {r.build_id: r.of for r in ov.with_measures(ours.where("build_id < 3")).collect()}
+    assert tuple(rows[2]) == pytest.approx((20, (4 * 1 + 16 * 102) / 20, (4 * 1 + 16 * 2) / 20))
+    assert tuple(rows[1]) == pytest.approx((72, 4.5, 4.5))
