@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from geoctx import fixtures as fx
 from geoctx.catalog.base import Catalog
-from geoctx.operators import features, metrics, ranking, sampling, scoring
+from geoctx.operators import features, fold_models, metrics, ranking, sampling, scoring
+from geoctx.session import cut_lineage
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -103,20 +104,52 @@ def m2(spark, d):
     return out.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
-@add("m3_pca")
+_SCALED = """x AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    fit AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS s FROM x WHERE label < 6 GROUP BY pos),
+    z AS (SELECT vec_id, label, pos, (v - m) / s AS z FROM x JOIN fit USING (pos))"""
+
+
+def _pca(spark, d):
+    """Columns scaled by the training rows (labels 0-5), and the components of those rows: 256 or as many as there are columns."""
+    e = features.as_vector(_emb(spark, d).select("vec_id", "label", "embedding"), "embedding")
+    scaled = features.scaled(e, features.fit_scaler(e.where("label < 6"), "embedding"), "embedding")
+    return scaled, features.fit_pca(scaled.where("label < 6"), "embedding", min(256, 64))
+
+
+@add("m3_pca", f"""
+    WITH {_SCALED}, a AS (SELECT pos, z AS a FROM z WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+    SELECT vec_id, round(sum(z*z), 5) AS length2, round(sum(z*a), 5) AS dot FROM z JOIN a USING (pos) GROUP BY vec_id""")
 def m3(spark, d):
-    e = features.as_vector(_emb(spark, d).select("vec_id", "embedding"), "embedding")
-    model = features.fit_pca(e, "embedding", 16)
-    return features.project(e, model, "embedding").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn(
-        "x", F.round(F.abs("x"), 4))
+    """All components: what a rotation must leave alone, the squared length of each projected row and its product with the first row."""
+    scaled, model = _pca(spark, d)
+    p = features.project(scaled, model, "embedding", unit=False).select("vec_id", "embedding")
+    first = p.orderBy("vec_id").limit(1).collect()  # one row
+    a = F.array(*[F.lit(float(v)) for v in first[0].embedding]) if first else F.col("embedding")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    return p.select("vec_id", F.round(total(F.transform("embedding", lambda v: v * v)), 5).alias("length2"),
+                    F.round(total(F.zip_with("embedding", a, lambda u, v: u * v)), 5).alias("dot"))
+
+
+@add("m3_pca_spectrum", f"""
+    WITH {_SCALED}, t AS (SELECT * FROM z WHERE label < 6), n AS (SELECT count(DISTINCT vec_id) - 1 AS n FROM t),
+    c AS (SELECT a.pos AS i, b.pos AS j, sum(a.z*b.z) / any_value(n.n) AS c FROM t a JOIN t b USING (vec_id) CROSS JOIN n GROUP BY ALL),
+    c2 AS (SELECT a.i, b.j, sum(a.c*b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY ALL), tr AS (SELECT sum(c) AS t FROM c WHERE i = j)
+    SELECT 1 AS power, 1.0::DOUBLE AS share UNION ALL SELECT 2, round((SELECT sum(c*c) FROM c) / t / t, 8) FROM tr
+    UNION ALL SELECT 3, round((SELECT sum(c.c*c2.c) FROM c JOIN c2 ON c.i = c2.j AND c.j = c2.i) / t / t / t, 8) FROM tr""")
+def m3_spectrum(spark, d):
+    """Sums of powers of the explained shares: the traces of the covariance and its powers, over powers of its trace."""
+    shares = [float(v) for v in _pca(spark, d)[1].explainedVariance]  # a number per column
+    rows = [(k, round(sum(v ** k for v in shares), 8)) for k in (1, 2, 3)]
+    return spark.createDataFrame(rows, "power int, share double")
 
 
 @add("m4_truncated_svd")
 def m4(spark, d):
+    """5,000 terms to 256 columns; a singular vector has no sign, so sizes are shown."""
     docs = _docs(spark, d)
-    vocabulary = features.fit_tfidf(docs, "doc_id", "text", STOP_WORDS, 256)
-    rows = features.sparse_rows(features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS), vocabulary, "doc_id")
-    v, _ = features.fit_svd(rows, 256, 16)
+    vocabulary = features.fit_tfidf(docs, "doc_id", "text", STOP_WORDS, 5000)
+    rows = cut_lineage(features.sparse_rows(features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS), vocabulary, "doc_id"))
+    v, _ = features.fit_svd(rows, vocabulary.count(), 256)
     return features.project_svd(rows, v).select("doc_id", F.posexplode("features").alias("pos", "x")).withColumn(
         "x", F.round(F.abs("x"), 4))
 
@@ -149,19 +182,30 @@ def m16(spark, d):
     return metrics.pair_counts(scored, "label", "pred")
 
 
-@add("m13_grid_search")
+GRID_SHRINK, GRID_RIDGE = [0.0, 0.25, 0.5, 0.75, 1.0], [0.001, 0.01, 0.1, 0.5, 2.0]
+
+
+@add("m13_grid_search", f"""
+    WITH f AS (SELECT vec_id, label, embedding, (row_number() OVER (PARTITION BY label ORDER BY
+        ((vec_id % 2147483647 + 2147483647) % 2147483647 * 2654435761 + 42*40503) % 2147483647, vec_id) - 1) % 5 AS fold FROM embeddings),
+    x AS (SELECT vec_id, label, fold, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS v FROM f),
+    st AS (SELECT fold, label, pos, count(*) AS n, sum(v) AS s, sum(v*v) AS q FROM x GROUP BY ALL),
+    tr AS (SELECT o.fold, label, pos, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM st JOIN (SELECT unnest(range(5)) AS fold) o ON o.fold <> st.fold GROUP BY ALL),
+    mv AS (SELECT fold, label, pos, s/n AS m, greatest(q/n - (s/n)*(s/n), 0) AS var FROM tr),
+    pool AS (SELECT fold, pos, avg(var) AS pv FROM mv GROUP BY ALL), whole AS (SELECT fold, avg(pv) AS av FROM pool GROUP BY fold),
+    g AS (SELECT unnest({GRID_SHRINK}::DOUBLE[]) AS shrink), r AS (SELECT unnest({GRID_RIDGE}::DOUBLE[]) AS ridge),
+    md AS (SELECT fold, label AS cls, pos, m, shrink, ridge, (1-shrink)*var + shrink*pv + ridge*av AS var
+        FROM mv JOIN pool USING (fold, pos) JOIN whole USING (fold) CROSS JOIN g CROSS JOIN r),
+    sc AS (SELECT vec_id, label AS gt, fold, shrink, ridge, cls, -0.5*sum(ln(var) + (v-m)*(v-m)/var) AS s FROM x JOIN md USING (fold, pos) GROUP BY ALL),
+    p AS (SELECT fold, shrink, ridge, gt, arg_max(cls, s) AS pred FROM sc GROUP BY vec_id, gt, fold, shrink, ridge),
+    side AS (SELECT fold, shrink, ridge, gt AS c, (gt = pred)::INTEGER AS hit FROM p UNION ALL SELECT fold, shrink, ridge, pred, 0 FROM p),
+    f1 AS (SELECT fold, shrink, ridge, c, 2*sum(hit)/count(*) AS f1 FROM side GROUP BY ALL),
+    m AS (SELECT fold, shrink, ridge, sum(f1) / (SELECT count(DISTINCT label) FROM embeddings) AS f FROM f1 GROUP BY ALL)
+    SELECT shrink, ridge, round(avg(f), 6) AS macro_f1 FROM m GROUP BY ALL""")
 def m13(spark, d):
-    """Two settings, two folds: mean macro F1 per setting."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.tuning import ParamGridBuilder
-
+    """25 settings, 5 folds: class Gaussians fitted on the training rows of each fold, weights and variances from them alone."""
     e = _emb(spark, d).select("vec_id", "label", "embedding")
-    lifted = scoring.as_features(scoring.fourier_features(e, "embedding", 64, 64, gamma=0.5), "embedding")
-    folds = sampling.stratified_folds(scoring.with_balanced_weights(lifted, "label"), ranking.portable_key(F.col("vec_id")), "vec_id", "label", 2)
-    lr = LogisticRegression(labelCol="label", weightCol="weight", maxIter=10)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
-    train = folds.select("label", "weight", "features", "fold").cache()
-    model = scoring.grid_search(train, lr, grid, 10, "label", "fold", 2)
-    train.unpersist()
-    rows = [(float(p[lr.regParam]), round(float(m), 4)) for p, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, macro_f1 double")
+    folds = sampling.stratified_folds(e, ranking.portable_key(F.col("vec_id")), "vec_id", "label", 5)
+    grid = [(s, r) for s in GRID_SHRINK for r in GRID_RIDGE]
+    table, *_ = fold_models.grid_search(folds, grid, "embedding", "label", "fold", 5)
+    return table.withColumn("macro_f1", F.round("macro_f1", 6))

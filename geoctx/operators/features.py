@@ -136,13 +136,47 @@ def standardise(df: DataFrame, scaler, column: str) -> DataFrame:
     return scaled.withColumn(column, l2_unit(vector_to_array("_scaled"))).drop("_scaled")
 
 
+def scaled(df: DataFrame, scaler, column: str) -> DataFrame:
+    """Scaled by the fitted mean and deviation, as a vector column of the same name."""
+    return scaler.transform(df).drop(column).withColumnRenamed("_scaled", column)
+
+
 def fit_pca(train: DataFrame, column: str, k: int):
     """Principal components; ``explainedVariance`` of the model gives the shares kept."""
     return PCA(k=k, inputCol=column, outputCol="_pca").fit(train)
 
 
-def project(df: DataFrame, model, column: str) -> DataFrame:
-    return model.transform(df).withColumn(column, l2_unit(vector_to_array("_pca"))).drop("_pca")
+def project(df: DataFrame, model, column: str, unit: bool = True) -> DataFrame:
+    """Rows on the components, to length 1 unless ``unit`` is off."""
+    out = vector_to_array("_pca")
+    return model.transform(df).withColumn(column, l2_unit(out) if unit else out).drop("_pca")
+
+
+#: Numbers of a features x columns matrix that a task and the driver may hold (400 MB).
+MATRIX_CELLS = 50_000_000
+
+
+def _products(idx: list, val: list, m: np.ndarray) -> np.ndarray:
+    """Sparse rows times ``m``, a row each: one gather and one segmented sum."""
+    sizes = np.array([len(i) for i in idx], dtype="int64")
+    out = np.zeros((len(sizes), m.shape[1]))
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        flat, weights = np.concatenate(idx).astype("int64"), np.concatenate(val)
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        out[filled] = np.add.reduceat(m[flat] * weights[:, None], starts, axis=0)
+    return out
+
+
+def _slices(idx: list, cells: int = 16384):
+    """Ranges of rows with about ``cells`` entries, so that the gathered block stays small."""
+    ends = np.cumsum([len(i) for i in idx])
+    start = 0
+    while start < len(idx):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + cells, side="right")))
+        yield start, stop
+        start = stop
 
 
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
@@ -156,16 +190,27 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         m = shared.value
         acc = np.zeros_like(m)
         for pdf in batches:
-            for idx, val in zip(pdf["idx"], pdf["val"]):
-                acc[idx] += np.outer(val, np.asarray(val) @ m[idx])
+            idx, val = list(pdf["idx"]), list(pdf["val"])
+            for a, b in _slices(idx):
+                part = _products(idx[a:b], val[a:b], m)
+                sizes = [len(i) for i in idx[a:b]]
+                if not sum(sizes):
+                    continue
+                flat = np.concatenate(idx[a:b]).astype("int64")
+                terms = np.repeat(part, sizes, axis=0) * np.concatenate(val[a:b])[:, None]
+                order = np.argsort(flat, kind="stable")
+                found, starts = np.unique(flat[order], return_index=True)
+                acc[found] += np.add.reduceat(terms[order], starts, axis=0)
         used = np.flatnonzero(acc.any(axis=1))
-        yield pd.DataFrame({"i": used.astype("int32"), "z": list(acc[used])})
+        for at in range(0, len(used), 1024):
+            yield pd.DataFrame({"i": used[at:at + 1024].astype("int32"), "z": list(acc[used[at:at + 1024]])})
 
     parts = rows.select("idx", "val").mapInPandas(partial, "i int, z array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("z")).alias("z")).select("i", vector_to_array("z").alias("z"))
     out = np.zeros_like(q)
-    for r in summed.collect():
-        out[r.i] = r.z
+    got = summed.toPandas()
+    if len(got):
+        out[got["i"].to_numpy()] = np.stack(got["z"].to_list())
     shared.unpersist()
     return out
 
@@ -173,8 +218,11 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 def fit_svd(rows: DataFrame, size: int, k: int, oversample: int = 10, passes: int = 5, seed: int = 42):
     """Right singular vectors (size x k) and singular values of sparse rows, uncentred.
 
-    Randomised subspace iteration (Halko et al. 2011): a fixed number of passes over the rows.
+    Randomised subspace iteration (Halko et al. 2011): a fixed number of passes over the rows. Features are a
+    vocabulary of bounded size: a matrix above ``MATRIX_CELLS`` numbers is refused before any pass.
     """
+    if size * (k + oversample) > MATRIX_CELLS:
+        raise ValueError(f"{size} features x {k + oversample} columns exceed {MATRIX_CELLS} numbers")
     kept = rows.select("idx", "val").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + oversample))))[0]
@@ -195,7 +243,8 @@ def project_svd(rows: DataFrame, v: np.ndarray, name: str = "features") -> DataF
     @F.pandas_udf("array<double>")
     def times(idx: pd.Series, val: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([np.asarray(b) @ m[a] for a, b in zip(idx, val)])
+        i, v = list(idx), list(val)
+        return pd.Series([row for a, b in _slices(i) for row in _products(i[a:b], v[a:b], m)], dtype=object)
 
     return rows.withColumn(name, l2_unit(times("idx", "val"))).drop("idx", "val")
 
