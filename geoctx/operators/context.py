@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoctx.functions import geo, text
 
@@ -81,21 +87,19 @@ def tier_sample(
     ``middle`` plus what the first tier left unused from the second tier, then the rest from the
     third, the last two by ``hash_key``. A point at exactly the last edge is in no tier.
 
-    Tier sizes come from a partial aggregate, and ranks are cut to ``total`` per (building, tier)
-    before the shuffle, so a crowded building never reaches one task whole.
+    ``pairs`` is read once. Each Arrow batch keeps its ``total`` first points of a (building, tier) and the number
+    of all, so a crowded building never reaches one task whole and the join behind ``pairs`` runs once.
     """
     d = F.col("dist")
     a, b, c = edges
     tier = F.when(d < a, "A").when(d < b, "B").when(d < c, "C").otherwise("-")
-    tiers = pairs.withColumn("tier", tier).withColumn("_k", hash_key)
-    sizes = tiers.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum((F.col("tier") == "A").cast("long")).alias("_na"),
-        F.sum((F.col("tier") == "B").cast("long")).alias("_nb"),
-    )
-    order = F.when(F.col("tier") == "A", d).otherwise(F.col("_k").cast("double"))
-    rank = F.row_number().over(Window.partitionBy(key, "tier").orderBy(order, F.col(tie)))
-    short = tiers.withColumn("_rn", rank).where(F.col("_rn") <= total)
+    order = F.when(F.col("tier") == "A", d).otherwise(hash_key.cast("double"))
+    tiers = pairs.withColumn("tier", tier).withColumn("_o", order)
+    short = best_and_counts(tiers, [key, "tier"], ["_o", tie], total)
+    whole = Window.partitionBy(key)
+    sizes = {n: F.sum(F.when(cond, F.col("_count")).otherwise(0)).over(whole) for n, cond in (
+        ("_n", F.lit(True)), ("_na", F.col("tier") == "A"), ("_nb", F.col("tier") == "B"))}
+    short = short.withColumns(sizes).withColumn("_rn", F.row_number().over(Window.partitionBy(key, "tier").orderBy("_o", tie)))
     taken_a = F.least("_na", F.lit(near))
     quota_b = F.lit(middle + near) - taken_a
     taken_b = F.least(F.col("_nb"), quota_b)
@@ -103,8 +107,34 @@ def tier_sample(
         F.when(F.col("tier") == "A", F.lit(near)).when(F.col("tier") == "B", quota_b)
         .when(F.col("tier") == "C", F.lit(total) - taken_a - taken_b).otherwise(0)
     )
-    return (
-        short.join(sizes, key)
-        .where((F.col("_n") <= total) | (F.col("_rn") <= quota))
-        .drop("_k", "_rn", "_n", "_na", "_nb")
-    )
+    return short.where((F.col("_n") <= total) | (F.col("_rn") <= quota)).drop("_o", "_rn", "_n", "_na", "_nb", "_count")
+
+
+def best_and_counts(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The map side of a best-n with counts: rows that can be among the ``n`` first of their group, and ``_count``.
+
+    ``_count`` adds up over the rows left to the size of the whole group. Keeps at most ``n`` rows of a group per
+    Arrow batch, without a shuffle; the final rank is the caller's. NULL keys are a group, NULLs in the order come first.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("_count", T.LongType())])
+
+    def codes(batch: pa.RecordBatch, name: str, ranked: bool) -> np.ndarray:
+        return pd.factorize(batch.column(batch.schema.get_field_index(name)).to_pandas(), sort=ranked)[0]  # NULL: -1
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = [codes(batch, k, False) for k in keys]
+            at = np.lexsort([codes(batch, o, True) for o in reversed(order)] + groups[::-1])
+            new = np.ones(len(at), bool)
+            new[1:] = np.any([g[at][1:] != g[at][:-1] for g in groups], axis=0)
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(at)))
+            place = np.arange(len(at)) - np.repeat(starts, sizes)
+            count = np.where(place == 0, np.repeat(sizes, sizes), 0)
+            kept = place < n
+            out = batch.take(pa.array(at[kept]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(count[kept], pa.int64())], names=[*out.schema.names, "_count"])
+
+    return df.mapInArrow(first, schema)

@@ -1,4 +1,4 @@
-"""General polygons: overlap of pairs, validity, rasterising, and outlines of pixel components.
+"""General polygons: overlap of pairs, validity, rasterising, outlines of pixel components and their nesting.
 
 Only the geometry of one pair (or one ring) runs in Python, inside Arrow UDFs and after the grid join has
 cut the pairs down; everything that grows with the data is joins and aggregates.
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from geoctx.functions import geo
 from geoctx.operators import transfer
 from geoctx.operators.components import pixel_numbers
+from geoctx.operators.ranking import ordered_rank
 from geoctx.operators.spatial_join import bbox_join
 from geoctx.session import cut_lineage
 
@@ -197,24 +198,42 @@ def merge_layers(layers: list[DataFrame], key: str) -> DataFrame:
 
 # ---- rasterising ---------------------------------------------------------------
 
-def burn(polygons: DataFrame, key: str, affine, height: int, width: int, ring: str = "ring") -> DataFrame:
-    """(key, row, col) of the pixels whose centre lies in the polygon.
+def burn_spans(features: DataFrame, key: str, affine, height: int, width: int, ring: str | None = "ring", polygons: str | None = None) -> DataFrame:
+    """(key, row, c0, c1): runs of pixels whose centres lie in a feature, a run per pair of crossings of a row.
 
-    Candidate pixels come from the ring's box, one explode over rows and one over columns.
+    Every edge meets the rows whose centre height it spans; the crossings of a row, sorted, bound the inside by
+    even-odd counting. What is shuffled grows with the outline, not with the area, and no ring is copied. With
+    ``polygons`` (parts of rings) holes stay empty; parts must not overlap. Features of equal key are one.
+    NULL and empty rings give no run.
     """
     a, _, c, _, e, f = affine
-    box = geo.ring_bounds(ring)
-    top, bottom = ("maxy", "miny") if e < 0 else ("miny", "maxy")
-    row_lo = F.greatest(F.floor((box[top] - f) / e), F.lit(0))
-    row_hi = F.least(F.floor((box[bottom] - f) / e), F.lit(height - 1))
-    col_lo = F.greatest(F.floor((box["minx"] - c) / a), F.lit(0))
-    col_hi = F.least(F.floor((box["maxx"] - c) / a), F.lit(width - 1))
-    spans = polygons.select(key, ring, row_lo.alias("_r0"), row_hi.alias("_r1"), col_lo.alias("_c0"), col_hi.alias("_c1"))
-    spans = spans.where((F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")))
-    cells = spans.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn(
-        "col", F.explode(F.sequence("_c0", "_c1")))
-    x, y = geo.pixel_to_map("row", "col", affine)
-    return cells.withColumn("_x", x).withColumn("_y", y).where(geo.ring_contains(ring, "_x", "_y")).select(key, "row", "col")
+    if a <= 0 or e == 0:
+        raise ValueError("columns must run eastwards, rows along y")
+    rings = F.flatten(polygons) if polygons else F.array(ring)
+    edges = F.flatten(F.transform(rings, lambda r: F.zip_with(
+        F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))),
+        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))))
+    sides = features.select(key, F.explode(F.filter(edges, lambda s: s["y1"] != s["y2"])).alias("_s")).select(key, "_s.*")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    ends = [(y - f) / e - 0.5 for y in (low, high)]
+    r0, r1 = F.greatest(F.floor(F.least(*ends)), F.lit(0)), F.least(F.ceil(F.greatest(*ends)), F.lit(height - 1))
+    rows = sides.where(r0 <= r1).select("*", F.explode(F.sequence(r0, r1)).alias("row"))
+    y = (F.col("row") + 0.5) * e + f
+    met = rows.where((low <= y) & (y < high)).select(
+        key, "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("_x"))
+    # centres at x0 <= x < x1 are inside
+    first = F.transform(F.array_sort(F.collect_list("_x")), lambda x: F.ceil((x - c) / a - 0.5))
+    runs = met.groupBy(key, "row").agg(first.alias("_b"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_b") / 2) - 1), lambda i: F.struct(
+        F.greatest(F.element_at("_b", (2 * i + 1).cast("int")), F.lit(0)).alias("c0"),
+        F.least(F.element_at("_b", (2 * i + 2).cast("int")) - 1, F.lit(width - 1)).alias("c1")))
+    return runs.where(F.size("_b") >= 2).select(key, "row", F.explode(pairs).alias("_r")).select(key, "row", "_r.c0", "_r.c1").where("c0 <= c1")
+
+
+def burn(features: DataFrame, key: str, affine, height: int, width: int, ring: str | None = "ring", polygons: str | None = None) -> DataFrame:
+    """(key, row, col) of the pixels whose centre lies in the feature: its runs, spelled out."""
+    runs = burn_spans(features, key, affine, height, width, ring, polygons)
+    return runs.select(key, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 # ---- outlines of components -------------------------------------------------------
@@ -301,3 +320,37 @@ def rings_of(outline: DataFrame, key: str, affine) -> DataFrame:
     g = outline.groupBy(key, "component", "ring").agg(F.array_sort(F.collect_list(point)).alias("_p"))
     pts = F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return g.select(key, "component", "ring", F.concat(pts, F.slice(pts, 1, 1)).alias("outline"))
+
+
+def nested(rings: DataFrame, key: str, number: str = "build_id", cell: float = 64.0, north_up: bool = True) -> DataFrame:
+    """(key, component, ring, polygon, build_id): each shell with the holes in it, numbered from 1 by key, component and ring.
+
+    ``rings`` are those of ``rings_of``: shells and holes run in opposite directions, shells clockwise where y points
+    north. ``polygon`` is the shell, then its holes by ring number. A hole goes to the smallest shell of its component
+    around it; where a component has one shell, as with edge neighbours, that is known without looking. Only components
+    of several shells (corner neighbours) meet in a join of boxes on a grid of ``cell`` map units, then by a point of
+    the hole in the shell.
+    """
+    sign = 1.0 if north_up else -1.0
+    area = geo.ring_signed_area("outline") * F.lit(-sign)  # shells above 0
+    groups = cut_lineage(rings.select(key, "component", "ring", "outline", area.alias("_a")))
+    shells = groups.where("_a > 0").select(key, "component", F.col("ring").alias("shell"), F.col("outline").alias("_s"), F.col("_a").alias("_area"))
+    holes = groups.where("_a < 0").select(key, "component", F.col("ring").alias("_ring"), F.col("outline").alias("_h"))
+    many = shells.groupBy(key, "component").agg(F.count(F.lit(1)).alias("_n"), F.min("shell").alias("_only"))
+    placed = holes.join(many, [key, "component"])
+    direct = placed.where("_n = 1").select(key, "component", "_ring", "_h", F.col("_only").alias("shell"))
+    crowded = shells.join(many.where("_n > 1").select(key, "component"), [key, "component"])
+    open_holes = placed.where("_n > 1").select(key, "component", "_ring", "_h")
+    near = bbox_join(with_box(open_holes, "a_", "_h"), with_box(crowded, "b_", "_s"), cell, by=[key, "component"])
+    # the hole lies to the left of its sides: the middle of the first, moved a millionth of its length
+    p, q = F.col("_h")[0], F.col("_h")[1]
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    near = near.withColumn("_px", (p["x"] + q["x"]) / 2 - dy * (sign * 1e-6)).withColumn("_py", (p["y"] + q["y"]) / 2 + dx * (sign * 1e-6))
+    found = near.where(geo.ring_contains("_s", "_px", "_py")).groupBy(key, "component", "_ring").agg(
+        F.min_by(F.struct("_h", "shell"), F.struct("_area", "shell")).alias("_v"))
+    every = direct.unionByName(found.select(key, "component", "_ring", "_v._h", "_v.shell"))
+    held = every.groupBy(key, "component", "shell").agg(F.array_sort(F.collect_list(F.struct("_ring", "_h"))).alias("_hs"))
+    inner = F.coalesce(F.transform("_hs", lambda h: h["_h"]), F.slice(F.array("_s"), 1, 0))
+    out = shells.join(held, [key, "component", "shell"], "left").select(
+        key, "component", F.col("shell").alias("ring"), F.concat(F.array("_s"), inner).alias("polygon"))
+    return ordered_rank(cut_lineage(out), [key, "component", "ring"], number)

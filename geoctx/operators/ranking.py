@@ -162,3 +162,35 @@ def kth_smallest(df: DataFrame, value: str, k: int, bins: int = 1024, small: int
                 return r.v
             k -= r["count"]
     return part.orderBy("v").limit(k + 1).agg(F.max("v")).first()[0]
+
+
+def order_statistics(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(groups, quantiles array<double>): exact quantiles of every group at once, linear between neighbours.
+
+    Values are counted, counts summed along the values in buckets, and only the values at a wanted rank leave
+    their bucket, so neither the rows nor the distinct values of a group come together in one place. NULL values
+    take no part; a group without values has no row.
+    """
+    groups, probs = list(groups), [float(p) for p in probs]
+    if not all(0 <= p <= 1 for p in probs):
+        raise ValueError(f"shares between 0 and 1: {probs}")
+    keys = [f"_g{i}" for i in range(len(groups))] or ["_g"]  # names of their own; a lone table is one group
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_g")]
+    # a NULL key is a group like any other: joins below compare whole key structs
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*named).alias("_k"), F.col(value).cast("double").alias("_v"))
+    hashed = rows.select("_k", F.xxhash64("_k").alias("_h"), "_v")
+    counts = value_counts(hashed, ["_h", "_k"], "_v")
+    bounds = sampled_bounds(counts, "_v")
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
+    summed = running_sums(counts, ["_h", "_k"], bucket, [F.col("_v")], {"_cum": "freq"})
+    sizes = counts.groupBy("_h", "_k").agg(F.sum("freq").alias("_n")).withColumnsRenamed({"_h": "_h2", "_k": "_k2"})
+    ranked = summed.join(sizes, F.expr("_h = _h2 AND _k = _k2"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_cum") - F.col("freq") <= rank) & (rank < F.col("_cum")), F.col("_v")))
+
+    places = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    wanted = [F.struct(at(F.floor(x)).alias("lo"), at(F.ceil(x)).alias("hi")) for x in places]
+    found = ranked.groupBy("_h", "_k").agg(F.max("_n").alias("_n"), *[w.alias(f"_q{i}") for i, w in enumerate(wanted)])
+    parts = [F.col(f"_q{i}.lo") + (F.col(f"_q{i}.hi") - F.col(f"_q{i}.lo")) * (x - F.floor(x)) for i, x in enumerate(places)]
+    return found.select(*[F.col(f"_k.{k}").alias(g) for g, k in zip(groups, keys)], F.array(*parts).alias("quantiles"))

@@ -33,7 +33,7 @@ def class_weights(df: DataFrame, cls: str = "fun_cls") -> DataFrame:
 def split_distribution(df: DataFrame, split: str = "split", city: str = "city", value: str = "poi_num") -> DataFrame:
     """Per split and city: rows, share of the whole and of the split; per split mean, median and max of ``value``.
 
-    The median is exact and starts from distinct values with their counts, so no group of rows is held.
+    The median is exact and found by ranks in buckets, so no group of rows or distinct values is held.
     """
     whole = Window.partitionBy()
     per_split = Window.partitionBy(split)
@@ -43,12 +43,9 @@ def split_distribution(df: DataFrame, split: str = "split", city: str = "city",
         .withColumn("global_ratio", F.col("n_split") / F.sum("n_city").over(whole))
         .withColumn("city_share", F.col("n_city") / F.col("n_split"))
     )
-    stats = ranking.value_counts(df, [split], value).groupBy(split).agg(
-        (F.sum(F.col(value) * F.col("freq")) / F.sum("freq")).alias("mean"),
-        F.percentile(value, 0.5, F.col("freq")).alias("median"),
-        F.max(value).alias("max"),
-    )
-    return cities.join(stats, split)
+    stats = df.groupBy(split).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    middle = ranking.order_statistics(df, [split], value, [0.5]).select(split, F.col("quantiles")[0].alias("median"))
+    return cities.join(stats, split).join(middle, split, "left")
 
 
 def drop_rare(df: DataFrame, keys: Sequence[str], minimum: int = 3) -> DataFrame:
@@ -58,11 +55,9 @@ def drop_rare(df: DataFrame, keys: Sequence[str], minimum: int = 3) -> DataFrame
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int = 8) -> list[float]:
-    """Inner bin edges at exact quantiles, repeated edges dropped. Starts from value counts."""
-    probs = [i / bins for i in range(bins + 1)]
-    row = ranking.value_counts(df, [], value).agg(F.percentile(value, probs, F.col("freq"))).first()
-    edges = sorted(set(row[0]))
-    return edges[1:-1]
+    """Inner bin edges at exact quantiles, repeated edges dropped; none without values."""
+    found = ranking.order_statistics(df, [], value, [i / bins for i in range(bins + 1)]).first()
+    return sorted(set(found.quantiles))[1:-1] if found else []
 
 
 def bin_of(value: str | Column, edges: Sequence[float]) -> Column:
@@ -143,7 +138,7 @@ def capped_sample(
     quotas = _largest_remainder(cut, [cls], strata, "_cap").select(cls, *strata, "quota")
     whole_classes = sizes.where(F.col("_cap").isNull() | (F.col("_total") <= F.col("_cap"))).select(
         cls, F.lit(True).alias("_whole")).distinct()
-    ranked = ranking.random_rank(df, [cls, *strata], key, id_col, "_rank", buckets=16)
+    ranked = ranking.random_rank(df, [cls, *strata], key, id_col, "_rank")
     return (
         ranked.join(whole_classes, cls, "left").join(quotas, [cls, *strata], "left")
         .where(F.coalesce("_whole", F.lit(False)) | (F.col("_rank") <= F.coalesce("quota", F.lit(0))))
@@ -162,7 +157,7 @@ def stratified_split(
     shares = shares or SHARES
     strata = list(strata)
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranking.random_rank(df, strata, key, id_col, "_rank", buckets=16).join(sizes, strata)
+    ranked = ranking.random_rank(df, strata, key, id_col, "_rank").join(sizes, strata)
     out, total, names = None, 0.0, list(shares)
     for name in names[:-1]:
         total += shares[name]

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,9 +143,11 @@ def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
     return df.withColumn("_cx", F.explode(span("minx", "maxx"))).withColumn("_cy", F.explode(span("miny", "maxy")))
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float, lp: str = "a_", rp: str = "b_") -> DataFrame:
+def bbox_join(left: DataFrame, right: DataFrame, cell: float, lp: str = "a_", rp: str = "b_", by: Sequence[str] = ()) -> DataFrame:
     """Pairs whose boxes touch. Boxes are the columns minx, miny, maxx, maxy behind a prefix.
 
+    ``by`` are columns that must be equal too, for layers that lie over one another.
+
     Both sides are spread over the cells they cover; a pair that meets in several
     cells is kept only in the cell of the lower corner of the common box, so no
     ``distinct`` is needed afterwards.
@@ -157,4 +161,4 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, lp: str = "a_", rp
         (F.col("_cx") == F.floor(F.greatest(F.col(lp + "minx"), F.col(rp + "minx")) / cell))
         & (F.col("_cy") == F.floor(F.greatest(F.col(lp + "miny"), F.col(rp + "miny")) / cell))
     )
-    return a.join(b, ["_cx", "_cy"]).where(touch & corner).drop("_cx", "_cy")
+    return a.join(b, [*by, "_cx", "_cy"]).where(touch & corner).drop("_cx", "_cy")
