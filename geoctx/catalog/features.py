@@ -43,6 +43,18 @@ def m1(spark, d):
     return features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS).withColumn("weight", F.round("weight", 6))
 
 
+@add("m1_tfidf_train_split", f"""
+    WITH {TERMS.replace("FROM tf GROUP BY term", "FROM tf JOIN labels USING (doc_id) GROUP BY term").replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents JOIN labels USING (doc_id))")},
+    w AS (SELECT doc_id, term, tf*idf AS w FROM tf JOIN vocab USING (term))
+    SELECT doc_id, term, round(w / sqrt(sum(w*w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def m1_train(spark, d):
+    """Vocabulary and document frequencies from the training documents (those with labels), weights for all."""
+    docs = _docs(spark, d)
+    train = docs.join(fx.table(spark, d, "labels").select("doc_id"), "doc_id")
+    vocabulary = features.fit_tfidf(train, "doc_id", "text", STOP_WORDS)
+    return features.tfidf_weights(docs, vocabulary, "doc_id", "text", STOP_WORDS).withColumn("weight", F.round("weight", 6))
+
+
 VOCAB = """voc AS (SELECT token, (length(token)*31 + ascii(token)) % (SELECT count(*) FROM embeddings) AS vec_id FROM (
     SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) WHERE length(token) BETWEEN 2 AND 15),
     tok AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (
@@ -165,6 +177,42 @@ def m6(spark, d):
     return fused.select("vec_id", F.size("features").alias("size"), F.round(weighted, 5).alias("weighted"))
 
 
+@add("x2_named_steps", """
+    WITH x AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label < 8),
+    f AS (SELECT vec_id, label, CASE WHEN label % 2 = 1 THEN 63 - pos ELSE pos END AS pos, v FROM x),
+    c AS (SELECT vec_id, pos, least(greatest((v - 0.05) / 0.5, -1.0), 1.0) AS v FROM f)
+    SELECT vec_id, pos::INTEGER AS pos, round(v, 5) AS x FROM c""")
+def x2(spark, d):
+    """Steps by name from a configuration: keep classes, turn samples of odd classes round, normalise, clip."""
+    steps = scoring.Steps()
+    steps.register("keep_classes")(lambda df, below: df.where(F.col("label") < below))
+    steps.register("flip")(lambda df, odd: df.withColumn("x", F.when(F.col("label") % 2 == odd, F.reverse("x")).otherwise(F.col("x"))))
+    steps.register("normalise")(lambda df, mean, std: df.withColumn("x", F.transform("x", lambda v: (v - mean) / std)))
+    steps.register("clip")(lambda df, low, high: df.withColumn("x", F.transform("x", lambda v: F.least(F.greatest(v, F.lit(low)), F.lit(high)))))
+    run = steps.compose([
+        {"type": "keep_classes", "below": 8}, {"type": "flip", "odd": 1},
+        {"type": "normalise", "mean": 0.05, "std": 0.5}, {"type": "clip", "low": -1.0, "high": 1.0}])
+    samples = _emb(spark, d).select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return run(samples).select("vec_id", F.posexplode("x").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
+@add("x3_metric_plug_in", """
+    WITH p AS (SELECT s.pred, s.gt, s.n FROM (SELECT gt, pred, count(*) AS n FROM (
+        SELECT quality AS gt, toxic AS pred FROM labels UNION ALL SELECT toxic, quality FROM labels) GROUP BY ALL) s),
+    k AS (SELECT unnest([0, 1]) AS c),
+    r AS (SELECT c, coalesce(sum(n) FILTER (gt=c AND pred=c), 0) AS tp, coalesce(sum(n) FILTER (gt=c), 0) AS support, coalesce(sum(n) FILTER (pred=c), 0) AS predicted FROM p, k GROUP BY c),
+    f AS (SELECT *, tp/(predicted+1e-10) AS precision, tp/(support+1e-10) AS recall FROM r),
+    g AS (SELECT *, 2*precision*recall/(precision+recall+1e-10) AS f1 FROM f)
+    SELECT round(avg(f1)*100, 5) AS macro_f1, round(avg(precision)*100, 5) AS macro_precision, round(avg(recall)*100, 5) AS macro_recall,
+        round(sum(f1*support)/sum(support)*100, 5) AS weighted_f1, round(sum(tp)/sum(support)*100, 5) AS overall_acc FROM g""")
+def x3(spark, d):
+    """A registered metric over two batches: partials of each, merged, then the final figures."""
+    labels = fx.table(spark, d, "labels")
+    batches = [labels.select(F.col("quality").alias("gt"), F.col("toxic").alias("pred")), labels.select(F.col("toxic").alias("gt"), F.col("quality").alias("pred"))]
+    out = scoring.evaluate("classification", batches)
+    return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
+
+
 # ---- models -------------------------------------------------------------------
 
 @add("m16_batch_scoring", """

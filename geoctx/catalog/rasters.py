@@ -323,6 +323,23 @@ def t9(spark, d):
         F.sum(-geo.ring_signed_area("outline")).alias("area"), F.sum(F.size("outline") - 1).alias("corners"))
 
 
+@add("t9_polygons", with_sql("image", """
+    SELECT image_id, component, row_number() OVER (ORDER BY image_id, component) AS build_id, area, holes, vertices FROM (
+      SELECT image_id, component, (1 - sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND diag THEN 2 ELSE 0 END) / 4)::INTEGER AS holes,
+        string_agg(vc || ' ' || (8 - vr), ',' ORDER BY vr, vc) FILTER (n IN (1,3) OR n = 2 AND diag) AS vertices FROM (
+          SELECT image_id, component, vr, vc, count(*) AS n, min(kind) = max(kind) AS diag FROM (
+            SELECT image_id, component, row+i AS vr, col+j AS vc, (i+j)%2 AS kind FROM comp, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j)) GROUP BY ALL) GROUP BY ALL)
+    JOIN (SELECT image_id, component, count(*)::DOUBLE AS area FROM comp GROUP BY ALL) USING (image_id, component)""", comp_sql(False)))
+def t9_polygons(spark, d):
+    """A numbered polygon per component: area without its holes, their number, and the different vertices by row and column."""
+    rings = polygons.rings_of(polygons.outlines(_components(spark, d, False)), "image_id", (1.0, 0.0, 0.0, 0.0, -1.0, 8.0))
+    found = polygons.nested(rings, "image_id")
+    area = F.aggregate(F.transform("polygon", lambda r: -geo.ring_signed_area(r)), F.lit(0.0), lambda s, v: s + v)
+    points = F.array_sort(F.array_distinct(F.transform(F.flatten("polygon"), lambda p: F.struct((8 - p["y"]).cast("long").alias("r"), p["x"].cast("long").alias("c")))))
+    names = F.transform(points, lambda p: F.concat_ws(" ", p["c"], 8 - p["r"]))
+    return found.select("image_id", "component", "build_id", area.alias("area"), (F.size("polygon") - 1).alias("holes"), F.array_join(names, ",").alias("vertices"))
+
+
 AFFINE = (4.0, 0.0, 0.0, 0.0, -4.0, 10040.0)
 
 
@@ -335,6 +352,25 @@ def t10(spark, d):
     return polygons.burn(b, "build_id", AFFINE, 2510, 2510)
 
 
+@add("t10_rasterise_holes", with_sql("building", """
+    SELECT build_id, r AS row, min(c) AS c0, max(c) AS c1 FROM (
+      SELECT build_id, r, c, c - row_number() OVER (PARTITION BY build_id, r ORDER BY c) AS run FROM (
+        SELECT *, (c+0.5)*4 AS x, 10040-(r+0.5)*4 AS y FROM (SELECT *, unnest(range(floor((10040-maxy)/4)::BIGINT, floor((10040-miny)/4)::BIGINT+1)) AS r FROM building) b,
+          LATERAL (SELECT unnest(range(floor(b.minx/4)::BIGINT, floor((2*b.maxx-b.minx+3)/4)::BIGINT+1)) AS c))
+      WHERE r < 2510 AND c < 2510 AND y >= miny AND y < maxy AND (
+        (x >= minx AND x < maxx AND NOT (x >= minx+4 AND x < maxx-4 AND y >= miny+4 AND y < maxy-4)) OR (x >= maxx+3 AND x < 2*maxx-minx+3)))
+    GROUP BY build_id, r, run"""))
+def t10_holes(spark, d):
+    """Footprints with a courtyard and a second part to the east, as runs of pixels."""
+    b = fx.buildings(spark, d)
+    m = {c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}
+    shell = geo.ring_of_rect(*m.values())
+    yard = F.reverse(geo.ring_of_rect(m["minx"] + 4, m["miny"] + 4, m["maxx"] - 4, m["maxy"] - 4))
+    east = geo.ring_of_rect(m["maxx"] + 3, m["miny"], 2 * m["maxx"] - m["minx"] + 3, m["maxy"])
+    features = b.select("build_id", F.array(F.array(shell, yard), F.array(east)).alias("p"))
+    return polygons.burn_spans(features, "build_id", AFFINE, 2510, 2510, None, "p")
+
+
 # ---- values --------------------------------------------------------------------
 
 @add("t11_palette", with_sql("grey", """
@@ -489,9 +525,13 @@ def t21(spark, d):
 
 @add("s21_class_mask_export", with_sql("seg", "SELECT image_id, row, col, pred + 1 AS value FROM seg"))
 def s21(spark, d):
-    from geoctx.sources.sinks import class_mask
+    """Masks written, clustered by image, and read back."""
+    from geoctx.session import scratch_path
+    from geoctx.sources.sinks import write_class_masks
 
-    return class_mask(fx.seg_pixels(spark, d), reduce_zero_label=True)
+    path = scratch_path(spark, "s21")
+    write_class_masks(fx.seg_pixels(spark, d), path, reduce_zero_label=True)
+    return spark.read.parquet(path)
 
 
 @add("s22_box_export", with_sql("image", """

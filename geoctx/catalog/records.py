@@ -107,6 +107,17 @@ def p11(spark, d):
     return t.select("conv_id", "turn", a.alias("n_text"), b.alias("n_loc"), (a == b).alias("aligned"))
 
 
+@add("p11_violations", r"""
+    SELECT conv_id, turn, len(a)::INTEGER AS n_text, len(b)::INTEGER AS n_location FROM (
+        SELECT conv_id, turn, text, string_split(translate(text, '.,', '??'), '?') AS a, string_split(replace(text, '.', '?'), '?') AS b FROM conversations)
+    WHERE text <> '' AND len(a) <> len(b)""")
+def p11_violations(spark, d):
+    """Packed lists of unequal length as a table: clauses between stops and commas, against sentences between stops."""
+    turns = fx.table(spark, d, "conversations").select(
+        "conv_id", "turn", F.translate("text", ".,", "??").alias("poi_text"), F.replace("text", F.lit("."), F.lit("?")).alias("poi_location"))
+    return lookup.list_violations(turns, {"text": "poi_text", "location": "poi_location"}).select("conv_id", "turn", "n_text", "n_location")
+
+
 @add("p12_plain_type", f"""
     SELECT p_partkey, CASE WHEN p_size = 13 THEN '' ELSE replace({_RAW_TYPE}, ';', ' ') END AS type_text FROM part""")
 def p12(spark, d):

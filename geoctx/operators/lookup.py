@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoctx.functions import text
+
 
 def last_per_key(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Last row per key by ``order``: an aggregate with map-side combine, safe for hot keys."""
@@ -102,3 +104,16 @@ def label_map(old: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
     a = old.select(name, F.col("class_id").alias("old_id"))
     b = new.select(name, F.col("class_id").alias("new_id"))
     return a.join(b, name, "left").select("old_id", F.coalesce("new_id", F.lit(255)).cast("int").alias("new_id"))
+
+
+def list_violations(df: DataFrame, packed: dict[str, str]) -> DataFrame:
+    """Rows whose packed lists differ in length, with ``n_<name>`` for each ``{name: column}``. NULL and empty lists have length 0."""
+    counted = df.select("*", *[text.packed_count(c).alias(f"n_{n}") for n, c in packed.items()])
+    return counted.where(F.size(F.array_distinct(F.array(*[F.col(f"n_{n}") for n in packed]))) > 1)
+
+
+def require_aligned(df: DataFrame, packed: dict[str, str]) -> DataFrame:
+    """``df`` itself; a job that reaches a row with lists of different lengths fails and names the lengths."""
+    sizes = F.array(*[text.packed_count(c) for c in packed.values()])
+    message = F.concat(F.lit(f"lists of unequal length ({', '.join(packed)}): "), F.array_join(sizes.cast("array<string>"), ", "))
+    return df.where(F.when(F.size(F.array_distinct(sizes)) == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

@@ -199,7 +199,7 @@ def merge_layers(layers: list[DataFrame], key: str) -> DataFrame:
 # ---- rasterising ---------------------------------------------------------------
 
 def burn_spans(features: DataFrame, key: str, affine, height: int, width: int, ring: str | None = "ring", polygons: str | None = None) -> DataFrame:
-    """(key, row, c0, c1): runs of pixels whose centres lie in a feature, a run per pair of crossings of a row.
+    """(key, row, c0, c1): runs of pixels whose centres lie in a feature, as long as they can be.
 
     Every edge meets the rows whose centre height it spans; the crossings of a row, sorted, bound the inside by
     even-odd counting. What is shuffled grows with the outline, not with the area, and no ring is copied. With
@@ -224,6 +224,9 @@ def burn_spans(features: DataFrame, key: str, affine, height: int, width: int, r
     # centres at x0 <= x < x1 are inside
     first = F.transform(F.array_sort(F.collect_list("_x")), lambda x: F.ceil((x - c) / a - 0.5))
     runs = met.groupBy(key, "row").agg(first.alias("_b"))
+    # equal ends cancel, so that runs side by side are one: of equal values the last of an odd number stays
+    ends_left = F.filter("_b", lambda v, i: (F.coalesce(F.get("_b", i + 1), v + 1) != v) & ((i + 1 - F.array_position("_b", v)) % 2 == 0))
+    runs = runs.withColumn("_b", ends_left)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_b") / 2) - 1), lambda i: F.struct(
         F.greatest(F.element_at("_b", (2 * i + 1).cast("int")), F.lit(0)).alias("c0"),
         F.least(F.element_at("_b", (2 * i + 2).cast("int")) - 1, F.lit(width - 1)).alias("c1")))
