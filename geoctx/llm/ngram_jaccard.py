@@ -238,6 +238,23 @@ def _compare(a: list[dict], b: list[dict], percent: int) -> list[tuple[int, int]
     return out
 
 
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows (key, check, doc_id, ...)`` with a number of its own for each set, and one row per number.
+
+    ``key`` and ``check`` are two hashes of the set. Different sets that share a key (one expected among some 10^10
+    sets) get new keys from both hashes, until none share; only sets equal in 128 bits are taken for one another.
+    """
+    for turn in range(8):
+        reps = cut_lineage(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high")))
+        shared = reps.where("low <> high").select(F.col("key").alias("__gc_key"))
+        if shared.isEmpty():
+            return rows, reps
+        joined = rows.join(shared, F.col("key") == F.col("__gc_key"), "left")
+        new = F.when(F.col("__gc_key").isNotNull(), F.xxhash64("key", "check", F.lit(turn))).otherwise(F.col("key"))
+        rows = cut_lineage(joined.withColumn("key", new).drop("__gc_key"))
+    raise RuntimeError("shingle sets still share numbers")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text, ...)``.
 
@@ -251,9 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     replies = exchange(blocks.select("block", "doc_id", "texts"), lambda row: _numbered(row, width)[2:], total, BITS)
     rows = cut_lineage(_with_beginnings(blocks, replies, width, percent))
-    reps = cut_lineage(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high")))
-    if not reps.where("low <> high").isEmpty():
-        raise ValueError("two different shingle sets share a 64-bit number")  # about once in 10^19 pairs
+    rows, reps = _told_apart(rows)
     shared = cut_lineage(rows.select(F.explode("sigs").alias("sig"), "key"))
 
     hubs = shared.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("top")).where("a <> top").select("sig", "a")

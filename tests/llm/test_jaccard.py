@@ -97,3 +97,16 @@ def test_short_texts_and_empty_table(spark):
     assert len(shingles(b"", 4)) == 0 and len(shingles(b"one", 4)) == 1 and len(shingles(b"a b c d e", 4)) == 2
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs, 4, 85).collect() == []
+
+
+def test_sets_that_share_a_number_are_told_apart(spark):
+    from geoctx.llm.ngram_jaccard import _told_apart
+
+    data = [(1, 77, 5, "a"), (2, 77, 6, "b"), (3, 77, 5, "a"), (4, 78, 5, "c"), (5, None, None, None), (6, 77, 7, "d")]
+    rows, reps = _told_apart(spark.createDataFrame(data, "doc_id long, key long, check long, sigs string"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert len(got) == 6 and all(got[d].sigs == s for d, _, _, s in data)
+    assert got[1].key == got[3].key and got[4].key == 78 and got[5].key is None
+    assert len({got[d].key for d in (1, 2, 4, 6)}) == 4
+    firsts = {r.key: r.first for r in reps.collect()}
+    assert firsts == {got[d].key: d for d in (1, 2, 4, 6)}
