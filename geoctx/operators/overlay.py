@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from geoctx.functions import geo
 from geoctx.operators import transfer
 from geoctx.operators.spatial_join import bbox_join
+from geoctx.session import cut_lineage
 
 #: Pairs of edges (and cells of edges and slabs) that are looked at together.
 CELLS = 2_000_000
@@ -206,7 +207,8 @@ def transfer_features(ours: DataFrame, theirs: DataFrame, cell: float = 60.0) ->
     Every building once. Status: Invalid_Geometry, No_Match (no box touches), No_Intersect_Precise (only boxes touch),
     else the decision on the scores.
     """
-    scored = candidate_features(ours, theirs.select("cand_id", "func", "polygons"), cell).select("build_id", "cand_id", "func", "touch", "iou", "overlap", "cdist", "score")
+    pairs = candidate_features(ours, theirs.select("cand_id", "func", "polygons"), cell)
+    scored = cut_lineage(pairs.select("build_id", "cand_id", "func", "touch", "iou", "overlap", "cdist", "score"))  # the sweep runs once
     near = scored.groupBy("build_id").agg(F.max("touch").alias("_touch"))
     decided = transfer.decide(scored.where("touch"), "build_id", "cand_id", "func")
     status = (

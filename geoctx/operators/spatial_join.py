@@ -136,11 +136,27 @@ def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int,
     )
 
 
-def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
+def _level(prefix: str, cell: float):
+    """Level of a box: cells of size cell * 4 ** level are no shorter than its sides, so it covers four at most."""
+    side = F.greatest(F.col(prefix + "maxx") - F.col(prefix + "minx"), F.col(prefix + "maxy") - F.col(prefix + "miny"))
+    return F.when(side <= cell, 0).otherwise(F.ceil(F.log(side / cell) / F.log(F.lit(4.0)) - 1e-9)).cast("int")
+
+
+def _levels(df: DataFrame, prefix: str, cell: float) -> list[int]:
+    """Levels in use: one pass, and as many numbers as powers of four between a cell and the largest box."""
+    return sorted(r[0] for r in df.select(_level(prefix, cell).alias("l")).where("l IS NOT NULL").distinct().collect())
+
+
+def _cells(df: DataFrame, prefix: str, cell: float, others: list[int], own: str) -> DataFrame:
+    """The cells of a box at its own level, and at every coarser level that boxes of the other side have."""
+    at = F.filter(F.array_union(F.array(F.col(own)), F.array(*[F.lit(v) for v in others]).cast("array<int>")), lambda v: v >= F.col(own))
+    sized = df.withColumn(own, _level(prefix, cell)).where(F.col(own).isNotNull())
+    sized = sized.withColumn("_lv", F.explode(at)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("_lv")))
+
     def span(lo, hi):
-        return F.sequence(F.floor(F.col(prefix + lo) / cell), F.floor(F.col(prefix + hi) / cell))
+        return F.sequence(F.floor(F.col(prefix + lo) / F.col("_size")), F.floor(F.col(prefix + hi) / F.col("_size")))
 
-    return df.withColumn("_cx", F.explode(span("minx", "maxx"))).withColumn("_cy", F.explode(span("miny", "maxy")))
+    return sized.withColumn("_cx", F.explode(span("minx", "maxx"))).withColumn("_cy", F.explode(span("miny", "maxy")))
 
 
 def bbox_join(left: DataFrame, right: DataFrame, cell: float, lp: str = "a_", rp: str = "b_", by: Sequence[str] = ()) -> DataFrame:
@@ -148,17 +164,20 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, lp: str = "a_", rp
 
     ``by`` are columns that must be equal too, for layers that lie over one another.
 
-    Both sides are spread over the cells they cover; a pair that meets in several
-    cells is kept only in the cell of the lower corner of the common box, so no
-    ``distinct`` is needed afterwards.
+    A box is placed on the grid of its size, on four cells at most whether it is a hut or a province, and once more on
+    each coarser grid that the other side uses; two boxes meet on the grid of the larger. A pair that meets in several
+    cells is kept only in the cell of the lower corner of the common box, so no ``distinct`` is needed afterwards.
+    Boxes with a NULL side meet nothing.
     """
-    a, b = _cells(left, lp, cell), _cells(right, rp, cell)
+    a = _cells(left, lp, cell, _levels(right, rp, cell), "_la")
+    b = _cells(right, rp, cell, _levels(left, lp, cell), "_lb").drop("_size")
     touch = (
         (F.col(lp + "minx") <= F.col(rp + "maxx")) & (F.col(rp + "minx") <= F.col(lp + "maxx"))
         & (F.col(lp + "miny") <= F.col(rp + "maxy")) & (F.col(rp + "miny") <= F.col(lp + "maxy"))
     )
     corner = (
-        (F.col("_cx") == F.floor(F.greatest(F.col(lp + "minx"), F.col(rp + "minx")) / cell))
-        & (F.col("_cy") == F.floor(F.greatest(F.col(lp + "miny"), F.col(rp + "miny")) / cell))
+        (F.col("_cx") == F.floor(F.greatest(F.col(lp + "minx"), F.col(rp + "minx")) / F.col("_size")))
+        & (F.col("_cy") == F.floor(F.greatest(F.col(lp + "miny"), F.col(rp + "miny")) / F.col("_size")))
     )
-    return a.join(b, [*by, "_cx", "_cy"]).where(touch & corner).drop("_cx", "_cy")
+    met = a.join(b, [*by, "_lv", "_cx", "_cy"]).where((F.col("_lv") == F.greatest("_la", "_lb")) & touch & corner)
+    return met.drop("_lv", "_cx", "_cy", "_size", "_la", "_lb")
