@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoctx.session import cut_lineage
+
 
 def with_cell(df: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     return df.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell))
@@ -59,25 +61,54 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     )
 
 
-def _search_radius(centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int) -> DataFrame:
-    """Per occupied finest cell of ``centers``: a radius sure to hold the k nearest points, where it is below ``radius``.
+#: Points in the nine cells around a centre, as a multiple of k, above which the search goes on in finer cells.
+CROWD = 8
+#: Halvings of the radius at most: of 300 m, cells of 5 mm. Points closer together than that are compared as they are.
+FINEST = 16
+
+
+def _held(centers: DataFrame, points: DataFrame, radius: float, k: int, levels: range) -> DataFrame:
+    """Per occupied cell (hx, hy) of ``centers`` on the last of ``levels``: the last level ``_lv`` whose nine cells around it
+    hold k points, and how many ``n`` they hold. No row where no level holds k.
 
-    A pyramid of counts: cells of side radius / 2, / 4, ... / 2 ** depth, each level added up from the finest, which is
-    a map-side combined aggregate, so a crowded place is one row here. Whatever lies in the nine cells around a
-    centre's own is within two cell diagonals; the finest level whose nine cells hold k points gives the radius.
+    A pyramid of counts: cells of side radius / 2 ** level, each level added up from the finest, which is a map-side
+    combined aggregate, so a crowded place is one row here.
     """
-    side = 1 << depth
-    finest = with_cell(points, radius / side).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.array(*[F.lit(v) for v in range(2, depth + 1)])).alias("_lv")  # coarser ones bound nothing
+    depth = levels[-1]
+    finest = with_cell(points, radius / (1 << depth)).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.lit(v) for v in levels])).alias("_lv")
     shrink = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(depth) - F.col("_lv")))
-    pyramid = finest.select("_cx", "_cy", "n", levels).groupBy("_lv", shrink("_cx").alias("_cx"), shrink("_cy").alias("_cy")).agg(F.sum("n").alias("n"))
-    homes = with_cell(centers, radius / side).select("_cx", "_cy").distinct().select(F.col("_cx").alias("hx"), F.col("_cy").alias("hy"), "_cx", "_cy", levels)
+    pyramid = finest.select("_cx", "_cy", "n", each).groupBy("_lv", shrink("_cx").alias("_cx"), shrink("_cy").alias("_cy")).agg(F.sum("n").alias("n"))
+    homes = with_cell(centers, radius / (1 << depth)).select("_cx", "_cy").distinct().select(F.col("_cx").alias("hx"), F.col("_cy").alias("hy"), "_cx", "_cy", each)
     asked = homes.select("hx", "hy", "_lv", F.explode(_steps(1)).alias("_i"), shrink("_cx").alias("_bx"), shrink("_cy").alias("_by"))
     asked = asked.select("hx", "hy", "_lv", (F.col("_bx") + F.col("_i")).alias("_cx"), F.explode(_steps(1)).alias("_j"), "_by")
     near = asked.withColumn("_cy", F.col("_by") + F.col("_j")).join(pyramid, ["_lv", "_cx", "_cy"])
     enough = near.groupBy("hx", "hy", "_lv").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-    best = enough.groupBy("hx", "hy").agg(F.max("_lv").alias("_lv"))
-    return best.select("hx", "hy", (F.lit(2 * math.sqrt(2.0) * radius * (1 + 1e-9)) / F.pow(F.lit(2.0), "_lv")).alias("bound"))
+    return enough.groupBy("hx", "hy").agg(F.max("_lv").alias("_lv"), F.max_by("n", "_lv").alias("n"))
+
+
+def _refined(
+    centers: DataFrame, points: DataFrame, counted: DataFrame, radius: float, k: int, depth: int
+) -> list[tuple[int, DataFrame, DataFrame]]:
+    """Rounds of (depth, ``_held`` as a written table, points that its levels may meet).
+
+    The first round looks at all centres down to ``depth``. Where the nine finest cells still hold more than ``CROWD * k``
+    points, the next round goes four levels down with the centres there and the points near them, until no place is
+    crowded: the depth follows from the counts, and only crowded places pay for it.
+    """
+    rounds, low, depth, near, homes = [], 2, max(depth, 2), points, centers.select("x", "y")  # coarser levels bound nothing
+    while True:
+        held = cut_lineage(_held(homes, near if rounds else counted, radius, k, range(low, depth + 1)))
+        rounds.append((depth, held, near))
+        crowded = held.where((F.col("_lv") == depth) & (F.col("n") > CROWD * k)).select(F.col("hx").alias("_cx"), F.col("hy").alias("_cy"))
+        if depth >= FINEST or crowded.isEmpty():
+            return rounds
+        # finer bounds are below 1.5 cells, so two cells around hold all points they reach
+        around = crowded.withColumn("_i", F.explode(_steps(2))).withColumn("_j", F.explode(_steps(2)))
+        around = around.select((F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy")).distinct()
+        near = with_cell(near, radius / (1 << depth)).join(around, ["_cx", "_cy"], "left_semi").drop("_cx", "_cy")
+        homes = with_cell(homes, radius / (1 << depth)).join(crowded, ["_cx", "_cy"], "left_semi").drop("_cx", "_cy")
+        low, depth = depth + 1, min(depth + 4, FINEST)
 
 
 def nearest_k(
@@ -91,29 +122,41 @@ def nearest_k(
 
     * of points at the very same spot only the k lowest ``tie`` values can ever be among the k nearest,
       so the others are left out before the join;
-    * counts of cells down to ``radius / 2 ** depth`` give each centre a search radius sure to hold its k nearest,
-      and centres look only at cells of that size.
+    * counts of cells give each centre a search radius sure to hold its k nearest, and centres look only at cells of
+      about that size. Cells start at ``radius / 2 ** depth`` and get finer where they are crowded.
     """
     spot = Window.partitionBy("x", "y").orderBy(tie)
-    points = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
-    pairs = _bounded_pairs(centers, points, radius, k, depth)
+    kept = points.withColumn("_s", F.row_number().over(spot)).where(F.col("_s") <= k).drop("_s")
+    pairs = _bounded_pairs(centers, kept, radius, k, depth, points)
     rank = Window.partitionBy(key).orderBy("dist", tie)
     return pairs.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
 
 
-def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int) -> DataFrame:
-    bounds = _search_radius(centers, points, radius, k, depth)
-    sized = (
-        with_cell(centers, radius / (1 << depth)).withColumnsRenamed({"_cx": "hx", "_cy": "hy"})
-        .join(bounds, ["hx", "hy"], "left").drop("hx", "hy")
-        .withColumn("_r", F.coalesce("bound", F.lit(float(radius)))).drop("bound")
-    )
-    # grids of cell size radius, radius/2, radius/4, ...: the smallest that still covers the search radius
-    levels = range(depth + 1)
-    level = F.greatest(
-        F.lit(0), F.least(F.lit(levels[-1]), F.floor(F.log2(F.lit(float(radius)) / F.col("_r"))))
-    ).cast("int")
-    sized = sized.withColumn("_lv", level)
+def _grid(level):
+    """The level of the grid whose cells are no smaller than the search radius that ``level`` of the pyramid gives."""
+    return F.greatest(level - 2, F.lit(0))
+
+
+def _candidates(
+    centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int, counted: DataFrame | None = None
+) -> DataFrame:
+    """Centres next to the points of the nine grid cells around them, with the search radius ``_r`` of the centre.
+
+    What lies in the nine pyramid cells around a centre's own is within two cell diagonals: the search radius.
+    Points stand on those grids only that some centre uses.
+    """
+    rounds = _refined(centers, points, points.select("x", "y") if counted is None else counted.select("x", "y"), radius, k, depth)
+    sized, placed = centers.withColumn("_lv", F.lit(None).cast("int")), None
+    for at, held, near in rounds:
+        found = held.select("hx", "hy", F.col("_lv").alias("_found"))
+        homes = with_cell(sized, radius / (1 << at)).withColumnsRenamed({"_cx": "hx", "_cy": "hy"}).join(found, ["hx", "hy"], "left")
+        sized = homes.withColumn("_lv", F.coalesce("_found", "_lv")).drop("hx", "hy", "_found")
+        grids = {r[0] for r in held.select(_grid(F.col("_lv"))).distinct().collect()} | ({0} if placed is None else set())
+        if grids:
+            there = near.withColumnsRenamed({"x": "_px", "y": "_py"}).withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in sorted(grids)])))
+            placed = there if placed is None else placed.unionByName(there)
+    bound = F.lit(2 * math.sqrt(2.0) * radius * (1 + 1e-6)) / F.pow(F.lit(2.0), F.col("_lv"))
+    sized = sized.withColumn("_r", F.coalesce(bound, F.lit(float(radius)))).withColumn("_lv", F.coalesce(_grid(F.col("_lv")), F.lit(0)))
     size = F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("_lv"))
     a = (
         sized.withColumn("_i", F.explode(_steps(1))).withColumn("_j", F.explode(_steps(1)))
@@ -121,19 +164,15 @@ def _bounded_pairs(centers: DataFrame, points: DataFrame, radius: float, k: int,
         .withColumn("_cy", F.floor(F.col("y") / size) + F.col("_j"))
         .drop("_i", "_j")
     )
-    b = (
-        points.withColumnsRenamed({"x": "_px", "y": "_py"})
-        .withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels])))
-        .withColumn("_cx", F.floor(F.col("_px") / size))
-        .withColumn("_cy", F.floor(F.col("_py") / size))
-    )
-    dist = _distance()
-    return (
-        a.join(b, ["_lv", "_cx", "_cy"])
-        .withColumn("dist", dist)
-        .where((F.col("dist") <= F.col("_r")) & (F.col("dist") <= radius))
-        .drop("_lv", "_cx", "_cy", "_r")
-    )
+    b = placed.withColumn("_cx", F.floor(F.col("_px") / size)).withColumn("_cy", F.floor(F.col("_py") / size))
+    return a.join(b, ["_lv", "_cx", "_cy"]).drop("_lv", "_cx", "_cy")
+
+
+def _bounded_pairs(
+    centers: DataFrame, points: DataFrame, radius: float, k: int, depth: int, counted: DataFrame | None = None
+) -> DataFrame:
+    met = _candidates(centers, points, radius, k, depth, counted).withColumn("dist", _distance())
+    return met.where((F.col("dist") <= F.col("_r")) & (F.col("dist") <= radius)).drop("_r")
 
 
 def _level(prefix: str, cell: float):

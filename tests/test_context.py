@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,27 @@ def test_bounded_search_forms_far_fewer_pairs(spark):
     assert _bounded_pairs(c, p, 300.0, 5, 6).count() < radius_join(c, p, 300.0).count()
 
 
+def test_search_goes_deeper_in_a_crowded_cell(spark):
+    """100,000 distinct spots in one cell of the first depth, and centres inside it, at its edge and far away."""
+    from geoctx.operators.spatial_join import _candidates
+
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([1000 + 9 * rng.random((100_000, 2)), 1000 + 600 * rng.random((500, 2))])
+    pts = pd.DataFrame({"poi_id": np.arange(len(xy)), "x": xy[:, 0], "y": xy[:, 1]})
+    at = np.concatenate([1000 + 9 * rng.random((60, 2)), [[1009.0, 1009.0], [1012.0, 1000.0], [1030.0, 1030.0], [1400.0, 1400.0], [5000.0, 0.0]]])
+    ctr = pd.DataFrame({"build_id": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]})
+    c, p = spark.createDataFrame(ctr), spark.createDataFrame(pts).repartition(8)
+    k = 7
+    got = {(r.build_id, r.poi_id, r.rk) for r in nearest_k(c, p, 300.0, k).select("build_id", "poi_id", "rk").collect()}
+    want = set()
+    for i, (x, y) in enumerate(at.tolist()):
+        d = np.sqrt((x - xy[:, 0]) ** 2 + (y - xy[:, 1]) ** 2)
+        want |= {(i, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(len(d)), d))[:k]) if d[j] <= 300.0}
+    assert got == want
+    inside = _candidates(c.where("build_id < 60"), p, 300.0, k, 4)
+    assert inside.groupBy("build_id").count().agg({"count": "max"}).first()[0] < 16 * 9 * 8 * k  # not 100,000
+
+
 def test_radius_is_inclusive_and_pairs_are_unique(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0)], "build_id long, x double, y double")
     p = spark.createDataFrame([(1, 300.0, 0.0), (2, 0.0, -300.0), (3, 300.0, 0.1), (4, -0.0, 0.0)], "poi_id long, x double, y double")
