@@ -4,6 +4,9 @@ Candidates. Shingles are put in one order for the whole corpus, rarest first, ti
 they share a shingle among the first n - ceil(threshold * n) + 1 of each: so no link is lost, and passages that many
 documents share bring nobody together. In how many documents a shingle occurs is found by a Golomb-coded exchange of
 shingle hashes between blocks of documents; a shingle of one document alone makes no candidate and stays at home.
+The place of a shingle in a set's order bounds what may be shared from there on, and so the sizes of sets that can link
+through it: who finds no partner of such a size under a shingle leaves it. Pages of one site that have much in common, yet
+not enough, never form a family.
 
 Verification. Every set is compared with the smallest member of each such shingle it shares, by bitmaps first: a bit
 of A that B lacks stands for at least one shingle outside the intersection, which bounds the overlap from above.
@@ -36,6 +39,10 @@ BITS = 52
 MAP_BITS = 2048
 #: Sets in a tile, and sets of one component in a size band from which the component has tiles of its own.
 TILE, OWN = 128, 64
+#: Shingles in a tile, for long texts.
+TILE_SHINGLES = 4 << 20
+#: Size ranges, per doubling, in which the partners of a shingle are summed up.
+STEPS = 12
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -77,15 +84,17 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def beginning(hashes: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
+def beginning(hashes: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles by which a set may meet others: of its first ones, rarest first, those that others have too.
 
     A partner shares at least ceil(percent / 100 * n) shingles, so it has one of the first n - that + 1, and the first
-    shared one lies in the beginning of both.
+    shared one lies in the beginning of both. With each shingle goes the largest size of a partner with which this can
+    be the first shared one: at place p at most n - p are shared, and (100 + percent) * shared >= percent * (both sizes).
     """
     n = len(hashes)
     first = np.lexsort((hashes, seen))[:n + (-n * percent // 100) + 1]
-    return hashes[first][seen[first] > 1]
+    places = np.flatnonzero(seen[first] > 1)
+    return hashes[first[places]], (n - places) * (100 + percent) // percent - n
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -119,7 +128,7 @@ def _numbered(row: dict, width: int) -> tuple[list[np.ndarray], list[tuple[int,
 
 def _with_beginnings(blocks: DataFrame, replies: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per document: its set's number and size; for one document of a set and block with company, the rest."""
-    schema = "doc_id long, n long, key long, check long, sigs array<long>, map binary, hashes binary"
+    schema = "doc_id long, n long, key long, check long, sigs array<long>, most array<long>, map binary, hashes binary"
     arrow = pa_schema(blocks.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +138,12 @@ def _with_beginnings(blocks: DataFrame, replies: DataFrame, width: int, percent:
                 sets, numbers, hashes, _ = _numbered(row, width)
                 seen, met, out = unpack(row["replies"].as_py()) if len(hashes) else np.zeros(0, np.uint32), set(), []
                 for doc, own, number in zip(row["doc_id"].values.to_pylist(), sets, numbers):
-                    line = {"doc_id": doc, "n": len(own), "key": number and number[0], "check": number and number[1], "sigs": [], "map": None, "hashes": None}
+                    line = {"doc_id": doc, "n": len(own), "key": number and number[0], "check": number and number[1], "sigs": [], "most": [], "map": None, "hashes": None}
                     if number and number not in met:
                         met.add(number)
-                        sigs = beginning(own, seen[np.searchsorted(hashes, own >> np.uint64(64 - BITS))], percent)
+                        sigs, most = beginning(own, seen[np.searchsorted(hashes, own >> np.uint64(64 - BITS))], percent)
                         if len(sigs):
-                            line |= {"sigs": sigs.view(np.int64).tolist(), "map": bitmap(own), "hashes": own.tobytes()}
+                            line |= {"sigs": sigs.view(np.int64).tolist(), "most": most.tolist(), "map": bitmap(own), "hashes": own.tobytes()}
                     out.append(line)
                     if len(out) == 2000:
                         yield pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -186,7 +195,7 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("family", "band", "comp").count()
     large = sizes.where(F.col("count") >= OWN).select("family", "band", "comp", F.col("comp").alias("own"))
     placed = members.join(large, ["family", "band", "comp"], "left")
-    cells = placed.groupBy("family", "band", "own").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cells = placed.groupBy("family", "band", "own").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     placed = placed.join(cells.withColumnRenamed("own", "_own").withColumnRenamed("family", "_f").withColumnRenamed("band", "_b"), F.expr("family = _f AND band = _b AND own <=> _own"))
     cell = F.concat_ws(":", "family", "band", F.coalesce(F.col("own").cast("string"), F.lit("-")))
     tile = placed.select(cell.alias("cell"), F.pmod(F.xxhash64("key"), F.col("tiles").cast("long")).cast("int").alias("tile"), "key", "comp", "n", "map", "hashes")
@@ -238,6 +247,19 @@ def _compare(a: list[dict], b: list[dict], percent: int) -> list[tuple[int, int]
     return out
 
 
+def _with_partners(shared: DataFrame) -> DataFrame:
+    """Rows of ``shared (sig, key, n, most)`` for whom some size range of the same shingle may hold a partner.
+
+    Two sets of sizes a and b can link by this shingle only if a <= most of b and b <= most of a. A range of sizes is
+    summed up by its least size and its greatest ``most``; a shingle has ``STEPS`` ranges per doubling of sizes at most,
+    however many sets share it.
+    """
+    step = F.floor(F.log2("n") * STEPS)
+    ranges = shared.groupBy("sig", step.alias("step")).agg(F.min("n").alias("n"), F.max("most").alias("most"), F.min("key").alias("a"), F.max("key").alias("z"))
+    others = ranges.groupBy("sig").agg(F.collect_list(F.struct("n", "most")).alias("ranges"), F.min("a").alias("a"), F.max("z").alias("z")).where("a <> z").select("sig", "ranges")
+    return shared.join(others, "sig").where("exists(ranges, r -> r.n <= most AND n <= r.most)").drop("ranges")
+
+
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows (key, check, doc_id, ...)`` with a number of its own for each set, and one row per number.
 
@@ -269,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     replies = exchange(blocks.select("block", "doc_id", "texts"), lambda row: _numbered(row, width)[2:], total, BITS)
     rows = cut_lineage(_with_beginnings(blocks, replies, width, percent))
     rows, reps = _told_apart(rows)
-    shared = cut_lineage(rows.select(F.explode("sigs").alias("sig"), "key"))
+    shared = rows.select(F.explode(F.arrays_zip("sigs", "most")).alias("s"), "key", "n").select("s.sigs", "key", "n", "s.most").withColumnRenamed("sigs", "sig")
+    shared = cut_lineage(_with_partners(cut_lineage(shared)).select("sig", "key"))
 
     hubs = shared.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("top")).where("a <> top").select("sig", "a")
     pairs = cut_lineage(shared.join(hubs, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct())

@@ -3,7 +3,7 @@
 A shard file holds the ids of consecutive documents (ascending doc_id), nothing between them, and in front of
 them an index that leads from a key to its place in constant time. Layout, little-endian:
 
-    magic "GCTOKID1" | width, docs, keys, nulls, ids, part, number, levels, bits (int64 each)
+    magic "GCTOKID2" | width, docs, keys, nulls, ids, part, number, levels, bits, first key, last key (int64 each)
     doc keys int64[docs] | offsets int64[docs + 1] | level sizes int64[levels] | level bits uint8[bits / 8]
     ranks int64[bits / 512 + 1] | fingerprints uint32[keys] | first document uint32[keys] | ids uint16 or uint32[ids]
 
@@ -30,11 +30,11 @@ from pyspark.sql.window import Window
 from geoctx.catalog.base import Catalog
 from geoctx.llm.common import documents, id_text
 from geoctx.llm.word_bpe import word_bpe
-from geoctx.session import scratch_path
+from geoctx.session import cut_lineage, scratch_path
 
 CATALOG = Catalog()
-MAGIC = b"GCTOKID1"
-HEADER = "<8s9q"
+MAGIC = b"GCTOKID2"
+HEADER = "<8s11q"
 #: Bytes of ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_BYTES = 32 << 20
 #: Manifest rows (one per shard) that keyed access looks through in memory.
@@ -106,7 +106,8 @@ def shard_bytes(keys: list[int | None], ids: list[bytes], part: int, number: int
     prints, firsts = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
     prints[slots], firsts[slots] = _fingerprints(distinct), first + nulls
     bits = len(index.bits) * 8
-    head = struct.pack(HEADER, MAGIC, width, len(docs), len(distinct), nulls, len(flat), part, number, len(index.sizes), bits)
+    ends = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (0, -1)
+    head = struct.pack(HEADER, MAGIC, width, len(docs), len(distinct), nulls, len(flat), part, number, len(index.sizes), bits, *ends)
     arrays = (docs, offsets, index.sizes, index.bits, index.ranks, prints, firsts, flat.astype("<u2" if width == 2 else "<u4"))
     return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
@@ -115,7 +116,7 @@ class Shard:
     """A shard's content; arrays are views of the bytes."""
 
     def __init__(self, data: bytes) -> None:
-        magic, width, docs, keys, self.nulls, n, self.part, self.number, levels, bits = struct.unpack_from(HEADER, data)
+        magic, width, docs, keys, self.nulls, n, self.part, self.number, levels, bits, self.first, self.last = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = struct.calcsize(HEADER)
@@ -185,18 +186,20 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``path, docs, ids, first, last, start`` of every shard: ``start`` counts the ids of all shards before it."""
+    """``path, docs, keys, ids, first, last, start`` of every shard: ``first`` and ``last`` are its keys at the ends (NULL
+    where it has none), ``start`` counts the ids of all shards before it."""
+    names = ("docs", "keys", "nulls", "ids", "part", "number", "first", "last")
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, data in zip(batch["path"].to_pylist(), batch["head"].to_pylist()):
-                _, _, docs, _, nulls, n, part, number, _, _ = struct.unpack_from(HEADER, data)
-                rows.append({"path": name, "docs": docs, "ids": n, "part": part, "number": number, "nulls": nulls})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in ("docs", "ids", "part", "number", "nulls")]]))
+                _, _, docs, found, nulls, n, part, number, _, _, first, last = struct.unpack_from(HEADER, data)
+                rows.append({"path": name} | dict(zip(names, (docs, found, nulls, n, part, number, first if found else None, last if found else None))))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in names]]))
 
     heads = _files(spark, path).select("path", F.substring("content", 1, struct.calcsize(HEADER)).alias("head"))
-    shards = heads.mapInArrow(head, "path string, docs long, ids long, part long, number long, nulls long")
+    shards = heads.mapInArrow(head, ", ".join(["path string", *[f"{c} long" for c in names]]))
     # one row per shard of 32 MB: a running sum over them is small at any input size
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -240,20 +243,15 @@ def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFr
 
 
 def lookup_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """``doc_id, ids array<int>`` for the keys (``doc_id``) that the files hold; NULL and unknown keys give no row."""
-    files = spark.read.parquet(f"{path}/manifest")
-    if files.count() > MANIFEST_ROWS:
-        raise ValueError(f"more than {MANIFEST_ROWS} shards: write larger ones")
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch["path"].to_pylist(), batch["content"]):
-                s = Shard(data.as_buffer().to_pybytes())
-                if len(s.keys) > s.nulls:
-                    yield pa.RecordBatch.from_pydict({"path": [name], "first": [int(s.keys[s.nulls])], "last": [int(s.keys[-1])]})
+    """``doc_id, ids array<int>`` for the keys (``doc_id``) that the files hold; NULL and unknown keys give no row.
 
-    spans = _with_files(spark, path).select("path", "content").mapInArrow(ends, "path string, first long, last long").collect()
-    spans.sort(key=lambda r: (r.first, r.last))
+    The manifest tells the shards whose range holds a key; only those are opened, and in them the index gives the place of
+    a key. Needs the manifest's ends (24 bytes a shard and its path) on the driver and in each task.
+    """
+    spans = spark.read.parquet(f"{path}/manifest").where("keys > 0").select("path", "first", "last")
+    if spans.count() > MANIFEST_ROWS:
+        raise ValueError(f"more than {MANIFEST_ROWS} shards: write larger ones")
+    spans = sorted(spans.collect(), key=lambda r: (r.first, r.last))
     first, last, names = np.array([r.first for r in spans], np.int64), np.array([r.last for r in spans], np.int64), [r.path for r in spans]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +262,12 @@ def lookup_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
             at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()], pa.string()), pa.array(np.repeat(wanted, n), pa.int64())], names=["path", "doc_id"])
 
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(place, "path string, doc_id long").groupBy(F.col("path").alias("_path")).agg(F.collect_set("doc_id").alias("keys"))
+    placed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().mapInArrow(place, "path string, doc_id long")
+    # a shard holds a bounded number of keys, so its list is bounded too; as many rows as shards at most
+    asked = cut_lineage(placed.groupBy(F.col("path").alias("_path")).agg(F.collect_set("doc_id").alias("keys")))
+    opened = [r[0] for r in asked.select("_path").collect()]
+    if not opened:
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +276,8 @@ def lookup_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 rows = [{"doc_id": k, "ids": i.astype(np.int32)} for k in wanted for i in s.documents(k)]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return _files(spark, path).join(asked, F.col("path") == F.col("_path")).select("content", "keys").mapInArrow(fetch, "doc_id long, ids array<int>")
+    files = spark.read.format("binaryFile").load(opened)
+    return files.join(asked, F.col("path") == F.col("_path")).select("content", "keys").mapInArrow(fetch, "doc_id long, ids array<int>")
 
 
 @CATALOG.add("op3_token_files")

@@ -90,7 +90,39 @@ def test_linked_sets_meet_in_their_beginnings():
             seen = {int(h): 2 + int(rnd.integers(0, 5)) for h in common}  # how often elsewhere, too
             count = lambda s: np.array([seen.get(int(h), 1) for h in s])  # noqa: B023,E731
             if 100 * n >= percent * (len(a) + len(b) - n):
-                assert np.intersect1d(beginning(a, count(a), percent), beginning(b, count(b), percent)).size
+                (first_a, most_a), (first_b, most_b) = beginning(a, count(a), percent), beginning(b, count(b), percent)
+                met, at_a, at_b = np.intersect1d(first_a, first_b, return_indices=True)
+                assert met.size and ((most_a[at_a] >= len(b)) & (most_b[at_b] >= len(a))).any()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pages_that_share_much_but_too_little_form_no_family(spark, monkeypatch, percent):
+    """One site: 90 words shared, some words of their own each, so that shared shingles stand in all beginnings. Nobody
+    stays but those of a second site whose pages do link."""
+    from geoctx.llm import ngram_jaccard
+
+    rnd, kept = random.Random(percent), []
+    whole = ngram_jaccard._with_partners
+    monkeypatch.setattr(ngram_jaccard, "_with_partners", lambda shared: kept.append((shared, whole(shared))) or kept[-1][1])
+    page = " ".join(f"s{i}" for i in range(90))
+    least = {80: 13, 85: 9}[percent]
+    own = lambda n: "".join(f" o{rnd.randrange(10**9)}" for _ in range(n))
+    texts = [page + own(least + i % 6) for i in range(300)] + [page.replace("s", "t") + own(2 + i % 3) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 4, percent).collect()}
+    assert got == brute(list(enumerate(texts)), 4, percent)
+    (before, after), = kept
+    assert before.select("key").distinct().count() == 312 and after.select("key").distinct().count() == 12
+
+
+def test_partners_by_size_and_place(spark):
+    from geoctx.llm.ngram_jaccard import _with_partners
+
+    rows = [(1, 10, 100, 99), (1, 11, 100, 99),  # each too late in its order
+            (2, 20, 100, 120), (2, 21, 110, 101), (2, 22, 130, 119),  # the third would need 20 to reach 130
+            (3, 30, 50, 60), (3, 30, 50, 60)]  # one set in two blocks
+    got = _with_partners(spark.createDataFrame(rows, "sig long, key long, n long, most long"))
+    assert sorted(map(tuple, got.select("sig", "key").collect())) == [(2, 20), (2, 21)]
 
 
 def test_short_texts_and_empty_table(spark):

@@ -48,6 +48,22 @@ def test_odd_texts_many_shards_and_lookup(spark, tmp_path):
     found = lookup_tokens(spark, str(tmp_path / "a"), keys).collect()
     asked = {-40, 2, 9, *range(50, 70)}
     assert sorted((r.doc_id, list(r.ids)) for r in found) == sorted((k, i) for k, many in by_key.items() if k in asked for i in many)
+    held = spark.read.parquet(str(tmp_path / "a" / "manifest")).orderBy("part", "number").collect()
+    assert len(held) > 3 and all((r.first is None) == (r.keys == 0) for r in held)
+    spans = [(r.first, r.last) for r in held if r.keys]
+    assert all(a <= b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    none = lookup_tokens(spark, str(tmp_path / "a"), spark.createDataFrame([(10**9,), (None,)], "doc_id long"))
+    assert none.columns == ["doc_id", "ids"] and none.collect() == []
+
+
+def test_lookup_opens_only_the_shards_asked_for(spark, tmp_path):
+    write_tokens(spark.range(400).selectExpr("id AS doc_id", "repeat('some words ', 30) AS text"), str(tmp_path / "b"), WORD, shard=2000)
+    spans = spark.read.parquet(str(tmp_path / "b" / "manifest")).select("path", "first", "last").collect()
+    asked = [r for r in spans if r.first <= 150 <= r.last or r.first <= 7 <= r.last]
+    found = lookup_tokens(spark, str(tmp_path / "b"), spark.createDataFrame([(7,), (150,)], "doc_id long"))
+    assert len(spans) > 20 and sorted(found.inputFiles()) and sorted(r.doc_id for r in found.collect()) == [7, 150]
+    opened = {f.rsplit("/", 1)[1] for f in found.inputFiles() if "/shards/" in f}
+    assert opened == {r.path.rsplit("/", 1)[1] for r in asked}
 
 
 def test_empty_table(spark, tmp_path):
