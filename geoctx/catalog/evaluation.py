@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoctx import fixtures as fx
 from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
-from geoctx.operators import losses, metrics, ordered, ranking
+from geoctx.operators import losses, metrics, ordered, ranking, runs
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -168,6 +168,22 @@ def a30(spark, d):
     return metrics.instance_masks(fx.seg_pixels(spark, d))
 
 
+@add("a30_mask_runs", with_sql("seg", """
+    SELECT image_id, cls, row, min(col) AS start, max(col) AS stop FROM (
+      SELECT image_id, gt AS cls, row, col, col - row_number() OVER (PARTITION BY image_id, row, gt ORDER BY col) AS run FROM seg WHERE gt <> 255)
+    GROUP BY image_id, cls, row, run"""))
+def a30_runs(spark, d):
+    return runs.instance_runs(fx.seg_pixels(spark, d))
+
+
+@add("a30_run_areas", with_sql("seg", """
+    SELECT image_id, cls, count(*) FILTER (gt=cls AND pred=cls) AS inter, count(*) FILTER (gt=cls OR pred=cls) AS union_area,
+        count(*) FILTER (pred=cls) AS pred_area, count(*) FILTER (gt=cls) AS label_area
+    FROM seg, (SELECT unnest([0,1]) AS cls) WHERE gt <> 255 GROUP BY image_id, cls HAVING count(*) FILTER (gt=cls OR pred=cls) > 0"""))
+def a30_areas(spark, d):
+    return runs.class_areas(fx.seg_pixels(spark, d))
+
+
 # ---- depth --------------------------------------------------------------------
 
 DEPTH = """dep AS (SELECT l_suppkey AS image_id, l_quantity AS g, l_quantity*(1+l_discount) AS p FROM lineitem WHERE l_quantity > 1 AND l_quantity < 50),

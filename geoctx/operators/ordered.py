@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoctx.session import cut_lineage
+
 
 def carry_step(log: DataFrame, run: str = "run", line: str = "line", step: str = "step", block: int = 65536) -> DataFrame:
     """Adds ``full_step``: the line's step, or the last non-zero step before it in the run (0 at first)."""
@@ -42,17 +44,18 @@ def records(log: DataFrame, run: str = "run", epoch: str = "epoch", metric: str
 
 
 def early_stopping(log: DataFrame, patience: int, min_delta: float = 0.0, start: float = -1.0,
-                   run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:
+                   run: str = "run", epoch: str = "epoch", metric: str = "metric", block: int = 65536) -> DataFrame:
     """Replay of early stopping: an epoch improves if metric > best + min_delta (best starts at ``start``);
     ``patience`` epochs in a row without improvement stop the run.
 
-    An improving epoch is above every earlier one, so only the run's records (few) are folded in order.
+    An improving epoch is above every earlier one, so only the run's records are folded, and those of ``block`` epochs at
+    a time: the state of all runs (one row each) goes from block to block, so that no row holds more than a block.
     Epochs count 1, 2, 3, ... Returns the best epoch and metric when the run stops and the last epoch run.
     """
-    last = log.groupBy(run).agg(F.max(epoch).alias("_last"))
-    rows = records(log, run, epoch, metric).groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(metric).alias("m")))).alias("_r"))
-    state = F.struct(F.lit(0).cast("long").alias("e"), F.lit(float(start)).alias("m"), F.lit(False).alias("done"))
+    found = records(log, run, epoch, metric, block).withColumn("_b", F.floor(F.col(epoch) / block))
+    blocks = cut_lineage(found.groupBy(run, "_b").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(metric).alias("m")))).alias("_r")))
+    first = F.struct(F.lit(0).cast("long").alias("e"), F.lit(float(start)).alias("m"), F.lit(False).alias("done"))
 
     def step(s: Column, r: Column) -> Column:
         late = s["done"] | (r["e"].cast("long") - s["e"] > patience)
@@ -61,7 +64,13 @@ def early_stopping(log: DataFrame, patience: int, min_delta: float = 0.0, start:
             F.when(better, r["e"].cast("long")).otherwise(s["e"]).alias("e"),
             F.when(better, r["m"]).otherwise(s["m"]).alias("m"), late.alias("done"))
 
-    out = rows.select(run, F.aggregate("_r", state, step).alias("_s")).join(last, run)
-    return out.select(
+    state = log.where(F.col(run).isNotNull()).groupBy(run).agg(F.max(epoch).alias("_last")).withColumn("_s", first)
+    for i, (b,) in enumerate(sorted(blocks.select("_b").distinct().collect())):
+        state = state.join(blocks.where(F.col("_b") == b).select(run, "_r"), run, "left")
+        folded = F.when(F.col("_r").isNull(), F.col("_s")).otherwise(F.aggregate("_r", F.col("_s"), step))
+        state = state.withColumn("_s", folded).drop("_r")
+        if i % 8 == 7:
+            state = cut_lineage(state)
+    return state.select(
         run, F.col("_s.e").alias("best_epoch"), F.col("_s.m").alias("best_metric"),
         F.least(F.col("_s.e") + patience, F.col("_last").cast("long")).alias("last_epoch"))

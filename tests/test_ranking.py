@@ -75,6 +75,14 @@ def test_early_stopping(spark, patience, delta):
     assert got == {s: replay(ms, patience, delta) for s, ms in runs.items()}
 
 
+def test_early_stopping_goes_from_block_to_block(spark):
+    runs = {s: [random.Random(s).random() + i * s / 200 for i in range(60 + 5 * s)] for s in range(6)}
+    rows = [(s, i + 1, float(m)) for s, ms in runs.items() for i, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "run int, epoch long, metric double")
+    got = {r.run: (r.best_epoch, r.best_metric, r.last_epoch) for r in ordered.early_stopping(df, 9, 0.03, block=8).collect()}
+    assert got == {s: replay(ms, 9, 0.03) for s, ms in runs.items()}
+
+
 def test_records_and_steps_across_blocks(spark):
     rnd = random.Random(5)
     rows = [(1, i + 1, rnd.random(), rnd.choice([0, 0, i + 1])) for i in range(100)]
