@@ -57,8 +57,8 @@ def band_profile(pairs: DataFrame, key: str = "build_id", top: int = TOP_TYPES)
 def prompts(pairs: DataFrame, key: str = "build_id", words=None, min_count: int = 3) -> DataFrame:
     """Context prompt per building with at least ``min_count`` points.
 
-    ``pairs`` comes hash-partitioned on ``key`` from the ranking, so the aggregations below
-    need no further shuffle.
+    ``pairs`` comes with all rows of a building in one task, so the counts below are as good as final
+    before they are shuffled.
     """
     words = words or text.DENSITY_WORDS_VIVID
     profile = band_profile(pairs, key)
