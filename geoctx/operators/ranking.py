@@ -8,6 +8,8 @@ group holding a third of the rows is still spread over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,6 +76,13 @@ def random_rank(
     return ranked.drop("_key")
 
 
+def _bounds_up_to(bounds: list[Column], key: Column) -> Column:
+    """Number of the ascending ``bounds`` at or below ``key``: every n-th of them first, then n, for n their square root."""
+    n = math.isqrt(len(bounds) - 1) + 1
+    whole = F.size(F.filter(F.array(*bounds[n - 1::n]), lambda b: b <= key)) if len(bounds) >= n else F.lit(0)
+    return whole * n + F.size(F.filter(F.slice(F.array(*bounds), whole * n + 1, F.lit(n)), lambda b: b <= key))
+
+
 def ordered_rank(
     df: DataFrame, order: Sequence[str], name: str = "rank", buckets: int | None = None
 ) -> DataFrame:
@@ -89,8 +98,8 @@ def ordered_rank(
     )
     keys = sorted(tuple(r.k) for r in sample)
     step = max(1, len(keys) // buckets)
-    bounds = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(k, order)]) for k in keys[step::step]])
-    bucket = F.size(F.filter(bounds, lambda b: b <= key)) if len(keys) > step else F.lit(0)
+    listed = [F.struct(*[F.lit(v).alias(c) for v, c in zip(k, order)]) for k in keys[step::step]]
+    bucket = _bounds_up_to(listed, key) if listed else F.lit(0)
     return bucket_rank(df, [], bucket, [F.col(c) for c in order], name)
 
 
