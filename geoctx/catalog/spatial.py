@@ -202,7 +202,8 @@ def _triangles(spark, d):
     """Both layers as triangles; every id ending in 3 is flattened to a line."""
     flat = geo.ring_of_rect("minx", "miny", "maxx", "miny")
     ours = fx.buildings(spark, d).select("build_id", F.when(F.col("build_id") % 10 == 3, flat).otherwise(_triangle()).alias("ring"))
-    return ours, fx.candidates(spark, d).select("cand_id", "func", _triangle().alias("ring"))
+    theirs = fx.candidates(spark, d).select("cand_id", "func", _triangle().alias("ring"))
+    return ours.repartition("build_id"), theirs.repartition("cand_id")  # made once, as a stored layer would be
 
 
 @add("g1_g2_polygon_scores", with_sql("candidate", """
@@ -211,7 +212,7 @@ def g1_polygons(spark, d):
     ours, theirs = _triangles(spark, d)
     a = polygons.with_box(polygons.with_validity(ours).where("valid").select("build_id", F.col("ring").alias("a_ring")), "a_", "a_ring")
     b = polygons.with_box(theirs.select("cand_id", F.col("ring").alias("b_ring")), "b_", "b_ring")
-    scored = polygons.score_polygons(bbox_join(a, b, 60.0))
+    scored = polygons.score_polygons(bbox_join(polygons.with_measures(a, "a_ring"), polygons.with_measures(b, "b_ring"), 60.0))
     return scored.select("build_id", "cand_id", "touch", *[six(c).alias(c) for c in ("overlap", "iou", "cdist", "aratio")], "score")
 
 

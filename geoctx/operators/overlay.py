@@ -7,10 +7,9 @@ both features. Holes and parts need no case of their own, and no step loops over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,24 +115,30 @@ def overlay(a: np.ndarray, b: np.ndarray, pair_a: np.ndarray, pair_b: np.ndarray
     return touch | (area > 0), area
 
 
-def _edges(features: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of all rings of each feature (an array of rings as x and y arrays), and the feature of each."""
-    parts, owner = [np.zeros((0, 4))], [np.zeros(0, np.int64)]
-    for i, rings in enumerate(features):
-        for ring in rings if rings is not None else ():
-            xy = np.array([(p["x"], p["y"]) for p in ring], dtype="float64").reshape(-1, 2)
-            if len(xy) > 1:
-                parts.append(np.hstack([xy[:-1], xy[1:]]))
-                owner.append(np.full(len(xy) - 1, i))
-    return np.concatenate(parts), np.concatenate(owner)
+def _inner(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Number of elements of each list (NULL: none), and the elements of all."""
+    flat = lists.flatten()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0)
+    return sizes.to_numpy(zero_copy_only=False).astype(np.int64), flat
+
+
+def _edges(features: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all rings of each feature (an array of rings of points), and the feature of each; no loop over features."""
+    rings_of, rings = _inner(features)
+    points_of, points = _inner(rings)
+    owner = np.repeat(np.arange(len(rings_of)), rings_of)
+    xy = np.column_stack([pc.struct_field(points, c).to_numpy(zero_copy_only=False).astype("float64") for c in "xy"])
+    ring = np.repeat(np.arange(len(points_of)), points_of)
+    start = np.flatnonzero(ring[1:] == ring[:-1])  # all points but the last of each ring
+    return np.hstack([xy[start], xy[start + 1]]), owner[ring[start]]
 
 
-@F.pandas_udf(T.StructType([T.StructField("touch", T.BooleanType()), T.StructField("inter", T.DoubleType())]))
-def _geometry(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for left, right in batches:
-        (a, pair_a), (b, pair_b) = _edges(left), _edges(right)
-        touch, inter = overlay(a, b, pair_a, pair_b, len(left))
-        yield pd.DataFrame({"touch": touch, "inter": inter})
+@F.arrow_udf(T.StructType([T.StructField("touch", T.BooleanType()), T.StructField("inter", T.DoubleType())]))
+def pair_geometry(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Contact and common area of pairs of features, each an array of rings."""
+    (a, pair_a), (b, pair_b) = _edges(left), _edges(right)
+    touch, inter = overlay(a, b, pair_a, pair_b, len(left))
+    return pa.StructArray.from_arrays([pa.array(touch), pa.array(inter)], names=["touch", "inter"])
 
 
 def all_rings(polygons: str) -> Column:
@@ -184,7 +189,7 @@ def with_measures(features: DataFrame, prefix: str = "") -> DataFrame:
 
 def score_features(pairs: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
     """Adds touch, overlap, IoU, centroid distance, area ratio and score to pairs of features (``with_measures``)."""
-    shaped = pairs.withColumn("_g", _geometry(all_rings(f"{a}polygons"), all_rings(f"{b}polygons")))
+    shaped = pairs.withColumn("_g", pair_geometry(all_rings(f"{a}polygons"), all_rings(f"{b}polygons")))
     inter, area_a, area_b = F.col("_g.inter"), F.col(f"{a}of.area"), F.col(f"{b}of.area")
     dx, dy = (F.col(f"{a}of.{c}") - F.col(f"{b}of.{c}") for c in "xy")
     out = (

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from geoctx.functions import geo
 from geoctx.operators import transfer
 from geoctx.operators.components import pixel_numbers
+from geoctx.operators.overlay import pair_geometry
 from geoctx.operators.ranking import ordered_rank
 from geoctx.operators.spatial_join import bbox_join
 from geoctx.session import cut_lineage
@@ -97,20 +98,6 @@ def _touch(ax, ay, bx, by) -> bool:
     return holds(b, ax[0], ay[0]) or holds(a, bx[0], by[0])
 
 
-_PAIR = T.StructType([T.StructField("touch", T.BooleanType()), T.StructField("inter", T.DoubleType())])
-
-
-@F.pandas_udf(_PAIR)
-def _pair_geometry(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
-    touch, inter = [], []
-    for row in zip(ax, ay, bx, by):
-        row = [np.asarray(v, dtype="float64") for v in row]
-        hit = _touch(*row)
-        touch.append(hit)
-        inter.append(_overlap_area(*row) if hit else 0.0)
-    return pd.DataFrame({"touch": touch, "inter": inter})
-
-
 @F.pandas_udf(T.BooleanType())
 def _simple(x: pd.Series, y: pd.Series) -> pd.Series:
     """No two edges of the ring cross, and only neighbours touch."""
@@ -150,11 +137,21 @@ def with_box(df: DataFrame, prefix: str, ring: str = "ring") -> DataFrame:
     return df.select("*", *[c.alias(prefix + n) for n, c in bounds.items()])
 
 
+def with_measures(df: DataFrame, ring: str) -> DataFrame:
+    """Area and centroid of a polygon beside it, once per polygon and not once per pair."""
+    area, (x, y) = geo.ring_area(ring), geo.ring_centroid(ring)
+    return df.select("*", area.alias(f"{ring}_area"), *[F.when(area > 0, c).alias(f"{ring}_{n}") for n, c in (("x", x), ("y", y))])
+
+
 def score_polygons(pairs: DataFrame, a: str = "a_ring", b: str = "b_ring") -> DataFrame:
     """Adds touch, overlap, IoU, centroid distance, area ratio and score to candidate pairs."""
-    shaped = pairs.withColumn("_g", _pair_geometry(_xs(a), _ys(a), _xs(b), _ys(b)))
-    inter, area_a, area_b = F.col("_g.inter"), geo.ring_area(a), geo.ring_area(b)
-    (ax, ay), (bx, by) = geo.ring_centroid(a), geo.ring_centroid(b)
+    shaped = pairs.withColumn("_g", pair_geometry(F.array(a), F.array(b)))
+    inter = F.col("_g.inter")
+    if f"{a}_area" in pairs.columns:  # once per polygon (``with_measures``)
+        (area_a, ax, ay), (area_b, bx, by) = ([F.col(f"{r}_{c}") for c in ("area", "x", "y")] for r in (a, b))
+    else:
+        area_a, area_b = geo.ring_area(a), geo.ring_area(b)
+        (ax, ay), (bx, by) = geo.ring_centroid(a), geo.ring_centroid(b)
     out = (
         shaped.withColumn("touch", F.col("_g.touch"))
         .withColumn("overlap", geo.overlap_ratio(inter, area_a)).withColumn("iou", geo.iou(inter, area_a, area_b))
@@ -173,8 +170,9 @@ def transfer_polygons(ours: DataFrame, theirs: DataFrame, cell: float = 60.0) ->
     flagged = with_validity(ours).select("build_id", "ring", "valid")
     a = with_box(flagged.where("valid").select("build_id", F.col("ring").alias("a_ring")), "a_", "a_ring")
     b = with_box(theirs.where(geo.ring_is_usable("ring")).select("cand_id", "func", F.col("ring").alias("b_ring")), "b_", "b_ring")
-    scored = score_polygons(bbox_join(a, b, cell)).select(
-        "build_id", "cand_id", "func", "touch", "iou", "overlap", "cdist", "score")
+    met = bbox_join(with_measures(a, "a_ring"), with_measures(b, "b_ring"), cell)
+    scored = cut_lineage(score_polygons(met).select(  # the sweep runs once
+        "build_id", "cand_id", "func", "touch", "iou", "overlap", "cdist", "score"))
     near = scored.groupBy("build_id").agg(F.max("touch").alias("_touch"))
     decided = transfer.decide(scored.where("touch"), "build_id", "cand_id", "func")
     status = (
