@@ -156,29 +156,25 @@ def project(df: DataFrame, model, column: str, unit: bool = True) -> DataFrame:
 MATRIX_CELLS = 50_000_000
 
 
-def _products(idx: list, val: list, m: np.ndarray) -> np.ndarray:
-    """Sparse rows times ``m``, a row each: one gather and one segmented sum."""
-    sizes = np.array([len(i) for i in idx], dtype="int64")
-    out = np.zeros((len(sizes), m.shape[1]))
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        flat, weights = np.concatenate(idx).astype("int64"), np.concatenate(val)
-        starts = (np.cumsum(sizes) - sizes)[filled]
-        out[filled] = np.add.reduceat(m[flat] * weights[:, None], starts, axis=0)
-    return out
-
-
-def _slices(idx: list, cells: int = 16384):
-    """Ranges of rows with about ``cells`` entries, so that the gathered block stays small."""
+def _slices(idx: list, entries: int = 65536, rows: int = 512):
+    """Ranges of rows with about ``entries`` entries and at most ``rows`` rows, so that a block of them stays small."""
     ends = np.cumsum([len(i) for i in idx])
     start = 0
     while start < len(idx):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + cells, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + entries, side="right"))), start + rows)
         yield start, stop
         start = stop
 
 
+def _block(idx: list, val: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse rows as a dense block over the features they use, and these features: its products are matrix products."""
+    used, at = np.unique(np.concatenate(idx).astype("int64"), return_inverse=True)
+    row = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
+    cells = np.bincount(row * len(used) + at.ravel(), np.concatenate(val).astype("float64"), len(idx) * len(used))
+    return cells.astype("float64").reshape(len(idx), len(used)), used
+
+
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """X^T (X q) in one pass: each task sums its rows per feature, features are then added up by key.
 
@@ -192,15 +188,8 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         for pdf in batches:
             idx, val = list(pdf["idx"]), list(pdf["val"])
             for a, b in _slices(idx):
-                part = _products(idx[a:b], val[a:b], m)
-                sizes = [len(i) for i in idx[a:b]]
-                if not sum(sizes):
-                    continue
-                flat = np.concatenate(idx[a:b]).astype("int64")
-                terms = np.repeat(part, sizes, axis=0) * np.concatenate(val[a:b])[:, None]
-                order = np.argsort(flat, kind="stable")
-                found, starts = np.unique(flat[order], return_index=True)
-                acc[found] += np.add.reduceat(terms[order], starts, axis=0)
+                x, used = _block(idx[a:b], val[a:b])
+                acc[used] += x.T @ (x @ m[used])
         used = np.flatnonzero(acc.any(axis=1))
         for at in range(0, len(used), 1024):
             yield pd.DataFrame({"i": used[at:at + 1024].astype("int32"), "z": list(acc[used[at:at + 1024]])})
@@ -244,7 +233,8 @@ def project_svd(rows: DataFrame, v: np.ndarray, name: str = "features") -> DataF
     def times(idx: pd.Series, val: pd.Series) -> pd.Series:
         m = shared.value
         i, v = list(idx), list(val)
-        return pd.Series([row for a, b in _slices(i) for row in _products(i[a:b], v[a:b], m)], dtype=object)
+        blocks = (_block(i[a:b], v[a:b]) for a, b in _slices(i))
+        return pd.Series([row for x, used in blocks for row in x @ m[used]], dtype=object)
 
     return rows.withColumn(name, l2_unit(times("idx", "val"))).drop("idx", "val")
 
