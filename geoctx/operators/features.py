@@ -156,13 +156,13 @@ def project(df: DataFrame, model, column: str, unit: bool = True) -> DataFrame:
 MATRIX_CELLS = 50_000_000
 
 
-def _slices(idx: list, entries: int = 65536, rows: int = 512):
-    """Ranges of rows with about ``entries`` entries and at most ``rows`` rows, so that a block of them stays small."""
+def _slices(idx: list, cells: int = 65536, rows: int = 512):
+    """Ranges of rows with about ``cells`` entries and at most ``rows`` rows, so that a block of them stays small."""
     ends = np.cumsum([len(i) for i in idx])
     start = 0
     while start < len(idx):
         base = ends[start - 1] if start else 0
-        stop = min(max(start + 1, int(np.searchsorted(ends, base + entries, side="right"))), start + rows)
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + cells, side="right"))), start + rows)
         yield start, stop
         start = stop
 
