@@ -10,7 +10,7 @@ from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
 from geoctx.functions import geo
 from geoctx.operators import metrics, ranking
-from geoctx.session import scratch_path
+from geoctx.session import cut_lineage, scratch_path
 from geoctx.sources import jsonl, listing, logs, sinks, tabular, vector
 
 CATALOG = Catalog()
@@ -124,13 +124,13 @@ def s9(spark, d):
 def s10(spark, d):
     """A folder of images and one of masks, some missing; pairs by stem in the order of the image paths."""
     path = scratch_path(spark, "s10")
-    stem = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("_"))
+    stem = F.coalesce(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("_")), F.lit("__HIVE_DEFAULT_PARTITION__"))
     files = fx.table(spark, d, "supplier").select(stem.alias("stem"), F.explode(F.when(F.col("s_suppkey") % 7 != 3, F.array(
         F.lit("img"), F.lit("ann"))).otherwise(F.array(F.lit("img")))).alias("kind"), F.lit("pixels").alias("value"))
-    # image and mask of a stem leave one task, so that their files are named alike below the two folders
-    files.repartition("stem").sortWithinPartitions("stem").write.partitionBy("kind", "stem").text(path)
-    pairs = listing.pair_listing(spark, f"{path}/kind=img", f"{path}/kind=ann", ".txt", ".txt")
-    named = pairs.select("img_path", F.regexp_extract("stem", r"stem=s(\d+)_/", 1).cast("long").alias("s_suppkey"), F.col("seg_map_path").isNotNull().alias("has_mask"))
+    sinks.write_named(files.withColumn("name", F.concat("kind", F.lit("/stem="), "stem", F.lit(".txt"))), path, "name", "value")
+    pairs = listing.pair_listing(spark, f"{path}/img", f"{path}/ann", ".txt", ".txt")
+    named = pairs.select("img_path", F.regexp_extract("stem", r"stem=s(\d+)_$", 1).cast("long").alias("s_suppkey"), F.col("seg_map_path").isNotNull().alias("has_mask"))
+    named = cut_lineage(named)  # the folders are scanned once, and not in each pass of the rank
     ranked = ranking.ordered_rank(named, ["img_path"], "pos")
     return ranked.select("s_suppkey", "has_mask", "pos")
 

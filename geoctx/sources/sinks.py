@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,53 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+def write_named(df: DataFrame, path: str, name: str, value: str, order: Sequence[str] = ()) -> int:
+    """One text file ``path``/``name`` for every name, with the values of its rows by ``order`` line by line; returns their number.
+
+    A partitioned write makes a folder, a task file and a rename for every name, all of them put in place by the
+    driver. Here tasks write the files where they stay, through the file system of ``path``, one open at a time, so a
+    file may be longer than memory. A task that is run again writes its files anew.
+    """
+    files = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    rows = df.select(F.col(name).alias("_name"), F.col(value).alias("_value"), *order)
+    dealt = rows.repartition(files, "_name").sortWithinPartitions("_name", *order).select("_name", "_value")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _file_system(path)
+        made, at, out, n = set(), None, None, 0
+        for batch in batches:
+            names, values = (c.to_pylist() for c in batch.columns)
+            first = 0
+            while first < len(names):
+                end = first
+                while end < len(names) and names[end] == names[first]:
+                    end += 1
+                if names[first] != at:
+                    if out:
+                        out.close()
+                    at, n = names[first], n + 1
+                    target = f"{base}/{at}"
+                    folder = target.rsplit("/", 1)[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    out = store.open_output_stream(target)
+                out.write("".join(f"{v or ''}\n" for v in values[first:end]).encode())
+                first = end
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return dealt.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(path.rstrip("/"))
+
+
 def write_features(df: DataFrame, path: str, key: str = "image_id", mode: str = "errorifexists") -> None:
     """Feature store: one directory per split, rows clustered by sample key.
 

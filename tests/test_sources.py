@@ -106,6 +106,27 @@ def test_listing_pairs_by_stem(spark, tmp_path):
     assert all(r.img_path2.endswith(r.stem + ".png") for r in both) and len(both) == 3
 
 
+def test_named_files(spark, tmp_path):
+    """A file per name, its lines in order, and no folder, task file or rename per name."""
+    rows = [(f"a/{i % 7}.txt", i, f"é{i}") for i in range(30_000)] + [("b/x.txt", 0, None)]
+    df = spark.createDataFrame(rows, "name string, i int, value string").repartition(5)
+    assert sinks.write_named(df, f"file:{tmp_path}/out", "name", "value", ["i"]) == 8
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.txt")) == [f"a/{k}.txt" for k in range(7)] + ["b/x.txt"]
+    assert (tmp_path / "out/a/3.txt").read_text(encoding="utf-8").splitlines() == [f"é{i}" for i in range(30_000) if i % 7 == 3]
+    assert (tmp_path / "out/b/x.txt").read_text() == "\n"
+    assert sinks.write_named(df.limit(0), str(tmp_path / "none"), "name", "value") == 0
+
+
+@pytest.mark.parametrize("name", ["s10_pair_listing", "s16_read_log"])
+def test_no_folder_per_file(spark, tmp_path, monkeypatch, name):
+    from geoctx.catalog import files
+
+    monkeypatch.setattr(files, "scratch_path", lambda *_: str(tmp_path / "w"))
+    found = files.CATALOG.queries[name](spark, "/root/testdata/sf0.001").collect()
+    assert found and not [p for p in tmp_path.glob("w/*/*") if p.is_dir()]
+    assert not [p for p in tmp_path.glob("w/*=*") if p.is_dir()]
+
+
 def test_name_and_pair_lists(spark, tmp_path):
     p = write(tmp_path / "l.txt", "a\n\n b \n")
     assert [r.img_path for r in listing.read_name_list(spark, p, "i", "m").collect()] == ["i/a.jpg", "i/b.jpg"]
