@@ -171,10 +171,11 @@ def s13(spark, d):
 def s16_file(spark, d):
     """Log files, one per run, written and read back with their own line numbers."""
     path = scratch_path(spark, "s16")
-    lines = fx.train_log(spark, d).repartition("run").sortWithinPartitions("run", "ts", "event_id")
-    lines.select("run", F.to_json(F.struct("step", "metric")).alias("value")).write.partitionBy("run").text(path)
-    rows = logs.read_log(spark, f"{path}/*/*.txt").where("metric = 'metric'")
-    run = F.regexp_extract("run", r"run=(\d+)/", 1).cast("long")
+    lines = fx.train_log(spark, d).withColumn("value", F.to_json(F.struct("step", "metric")))
+    name = F.concat(F.lit("run="), F.coalesce(F.col("run").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(".txt"))
+    sinks.write_named(lines.withColumn("name", name), path, "name", "value", ["ts", "event_id"])
+    rows = logs.read_log(spark, path).where("metric = 'metric'")
+    run = F.regexp_extract("run", r"run=(\d+)\.txt$", 1).cast("long")
     return rows.groupBy(run.alias("run"), "full_step").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
 
 
