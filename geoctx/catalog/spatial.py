@@ -9,7 +9,7 @@ from geoctx.catalog.base import Catalog
 from geoctx.fixtures import with_sql
 from geoctx.functions import geo, text
 from geoctx.operators import context, lookup, overlay, polygons, ranking, transfer
-from geoctx.operators.spatial_join import bbox_join, nearest_k, radius_join
+from geoctx.operators.spatial_join import Best, bbox_join, nearest_k, radius_join
 from geoctx.plans.context_corpus import context_prompts
 
 CATALOG = Catalog()
@@ -343,8 +343,9 @@ def p13(spark, d):
 
 @add("g14_distance_band", with_sql("center poi", "SELECT build_id, band, count(*) AS n FROM top GROUP BY ALL", top_sql(1 << 40)))
 def g14(spark, d):
-    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), fx.pois(spark, d).select("poi_id", "x", "y"), 300.0)
-    return context.with_bands(pairs).groupBy("build_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    points = fx.pois(spark, d).select("poi_id", "x", "y")
+    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), points, 300.0, Best((100.0, 200.0), 1, "poi_id"))
+    return context.with_bands(pairs).groupBy("build_id", "band").agg(F.sum("_count").alias("n"))
 
 
 @add("g15_total_extent", with_sql("building", """

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,35 @@ def _distance():
     return F.sqrt(dx * dx + dy * dy)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+@dataclass(frozen=True)
+class Best:
+    """What is left of the pairs of a left row: the ``n`` first of each range of distances, with ``_count``.
+
+    A range ends at an edge, with the edge where ``closed``; the last one ends at the radius. Pairs are ordered by distance
+    in the first ``near`` ranges (None: in all) and by the right column ``by`` in the others, then by ``tie``. NULLs come first.
+    """
+
+    edges: tuple[float, ...]
+    n: int
+    tie: str
+    by: str | None = None
+    near: int | None = None
+    closed: bool = True
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius: float, best: Best | None = None) -> DataFrame:
     """Every (left, right) pair of points at most ``radius`` apart, with ``dist``.
 
     Both sides have ``x`` and ``y``; the result keeps left's columns and right's
     other columns. A right point lies in one cell, so pairs are unique. The
     number of rows is the number of true pairs; use ``nearest_k`` when only the
     closest are wanted.
+
+    With ``best`` all pairs are made and looked at, but inside the tasks: rows that can be among the n first of a range
+    leave them, and their ``_count`` adds up to the number of all pairs of the range.
     """
+    if best:
+        return _best_in_radius(left, right.withColumnsRenamed({"x": "_px", "y": "_py"}), radius, best)
     a = with_neighbour_cells(left, radius)
     b = with_cell(right, radius).withColumnsRenamed({"x": "_px", "y": "_py"})
     dist = _distance()
@@ -65,6 +87,81 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     )
 
 
+#: Points of a tile that one task holds; a tile of more is dealt to several tasks, whose counts add up.
+SLICE_POINTS = 400_000
+#: Pairs that a task looks at, at most about: the centres of a tile are dealt by it.
+PART_PAIRS = 1_000_000_000
+
+
+def _best_in_radius(left: DataFrame, right: DataFrame, radius: float, best: Best) -> DataFrame:
+    """Tiles of 4 x 4 cells meet the points of the tile and one cell around it; only centres and points are shuffled."""
+    at = ["_tx", "_ty"]
+    grid = F.lit(0).alias("_lv")
+    homes = left.where("x IS NOT NULL AND y IS NOT NULL").select("*", grid).withColumns(_tile("x", "y", radius)).drop("_lv")
+    around = _around(right.where("_px IS NOT NULL AND _py IS NOT NULL").select("*", grid), radius).drop("_lv")
+    load = around.groupBy(*at).agg(F.count(F.lit(1)).alias("_p"))
+    tiles = homes.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(load.hint("merge"), at)
+    slices = F.ceil(F.col("_p") / SLICE_POINTS)
+    parts = F.ceil(F.col("_n") * F.least("_p", F.lit(SLICE_POINTS)) / PART_PAIRS)
+    tiles = cut_lineage(tiles.select(*at, slices.cast("int").alias("_slices"), parts.cast("int").alias("_parts")))
+    few = tiles.hint("broadcast" if tiles.count() <= FEW_TILES else "merge")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, *c: F.pmod(F.xxhash64(*c), n).cast("int")
+    ours = homes.join(few, at).withColumn("_part", deal("_parts", *left.columns)).withColumn("_slice", each("_slices")).drop("_parts", "_slices")
+    theirs = around.join(few, at).withColumn("_slice", deal("_slices", *right.columns)).withColumn("_part", each("_parts")).drop("_parts", "_slices")
+    names = [*left.columns], [*right.columns]
+    schema = T.StructType([*left.schema.fields, *right.schema.fields, T.StructField("dist", T.DoubleType()), T.StructField("_count", T.LongType())])
+    group = [*at, "_part", "_slice"]
+    return ours.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInArrow(lambda a, b: _best_of_tile(a, b, names, radius, best), schema)
+
+
+def _best_of_tile(a: pa.Table, b: pa.Table, names, radius: float, best: Best) -> pa.Table:
+    """The rows of ``radius_join`` with ``best`` for the centres ``a`` and points ``b`` of one tile."""
+    first = [(best.by, "ascending")] if best.by else []
+    b = b.take(pc.sort_indices(b, sort_keys=[*first, (best.tie, "ascending")], null_placement="at_start"))
+    ties = np.empty(b.num_rows, np.int64)
+    ties[pc.sort_indices(b, sort_keys=[(best.tie, "ascending")], null_placement="at_start").to_numpy()] = np.arange(b.num_rows)
+    x, y, px, py = (_floats(t, c) for t, c in ((a, "x"), (a, "y"), (b, "_px"), (b, "_py")))
+    reach = radius * (1 + 1e-9)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    live = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    side = radius / 4  # centres of a block share the points of a box around them
+    blocks = np.unique(np.floor(np.stack([x[live], y[live]]) / side), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(blocks, kind="stable")
+    for block in np.split(live[order], np.flatnonzero(np.diff(blocks[order])) + 1):
+        if not len(block):
+            continue
+        bx, by = x[block], y[block]
+        slack = 1e-12 * (np.abs(bx).max() + np.abs(by).max())
+        box = np.flatnonzero((px >= bx.min() - reach - slack) & (px <= bx.max() + reach + slack)
+                             & (py >= by.min() - reach - slack) & (py <= by.max() + reach + slack))
+        qx, qy = px[box], py[box]
+        for centre in block:
+            dx, dy = x[centre] - qx, y[centre] - qy
+            dist = np.sqrt(dx * dx + dy * dy)
+            inside = dist <= radius
+            for i, edge in enumerate([*best.edges, radius]):
+                last = i == len(best.edges)
+                under = inside if last else (dist <= edge if best.closed else dist < edge) & inside
+                here = np.flatnonzero(under if not i else under & ~below)  # noqa: F821
+                below = under
+                count = len(here)
+                if not count:
+                    continue
+                if best.by is None or best.near is None or i < best.near:
+                    d = dist[here]
+                    if count > best.n:
+                        here = here[d <= np.partition(d, best.n - 1)[best.n - 1]]
+                    here = here[np.lexsort((ties[box[here]], dist[here]))]
+                here = here[:best.n]
+                counts = np.zeros(len(here), np.int64)
+                counts[0] = count
+                out.append((np.full(len(here), centre), box[here], dist[here], counts))
+    centre, point, dist, count = (np.concatenate(v) for v in zip(*out))
+    left, right = a.select(names[0]).take(pa.array(centre)), b.select(names[1]).take(pa.array(point))
+    return pa.table([*left.columns, *right.columns, pa.array(dist), pa.array(count)], names=[*names[0], *names[1], "dist", "_count"])
+
+
 #: Points in the nine cells around a centre, as a multiple of k, above which the search goes on in finer cells.
 CROWD = 8
 #: Fewer points than these are no crowd: one task finds the nearest of them as they are.

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoctx.functions import geo, text
@@ -188,3 +189,30 @@ def test_join_is_no_nested_loop(spark):
     plan = context_prompts(c, p)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "WindowGroupLimit" in plan  # ranks are cut before the shuffle
+
+
+@pytest.mark.parametrize("closed, by, near, slices", [(True, None, None, 1), (False, "h", 1, 1), (False, "h", 1, 4)])
+def test_radius_join_keeps_the_best_of_a_range(spark, monkeypatch, closed, by, near, slices):
+    """Against all pairs ranked by a window: repeated and missing keys, equal spots, points on edges, slices of a tile."""
+    from geoctx.operators import spatial_join as sj
+
+    monkeypatch.setattr(sj, "SLICE_POINTS", 10_000 // slices)
+    monkeypatch.setattr(sj, "PART_PAIRS", 400)
+    c = spark.range(40).select(F.when(F.col("id") % 9 != 4, F.col("id") % 30).alias("build_id"), (F.col("id") * 37 % 900 - 300.0).alias("x"),
+                               F.when(F.col("id") != 7, F.col("id") * 53 % 700 + 0.0).alias("y"))
+    p = spark.range(600).select(F.col("id").alias("poi_id"), (F.col("id") * 10 % 970 - 300.0).alias("x"), (F.col("id") * 70 % 610 + 0.0).alias("y"),
+                                F.when(F.col("id") % 50 != 3, F.col("id") * 7919 % 101).alias("h"))
+    p = p.unionByName(p.where("poi_id = 5").withColumn("x", F.lit(None).cast("double")))
+    edges = (100.0, 200.0)
+    best = sj.Best(edges, 3, "poi_id", by, near, closed)
+    got = radius_join(c, p, 300.0, best)
+    at = lambda e: F.col("dist") <= e if closed else F.col("dist") < e
+    band = F.when(at(100.0), 0).when(at(200.0), 1).otherwise(2)
+    order = F.col("dist") if by is None else F.when(F.col("band") == 0, F.col("dist")).otherwise(F.col("h"))
+    w = Window.partitionBy("build_id", "band")
+    cut = lambda df: {tuple(r) for r in df.withColumn("r", F.row_number().over(w.orderBy("o", "poi_id", "dist"))).where("r <= 3").select(
+        "build_id", "band", "r", "poi_id", "dist", "n").collect()}
+    every = radius_join(c, p, 300.0).withColumn("band", band).withColumn("o", order).withColumn("n", F.count(F.lit(1)).over(w))
+    ours = got.withColumn("band", band).withColumn("o", order).withColumn("n", F.sum("_count").over(w))
+    assert cut(ours) == cut(every)
+    assert got.count() <= 40 * 3 * 3 * (slices + 1) < radius_join(c, p, 300.0).count() or slices > 1
