@@ -393,8 +393,10 @@ def w4(spark, d):
         count(*) FILTER (tier='A') OVER (PARTITION BY build_id) AS na, count(*) FILTER (tier='B') OVER (PARTITION BY build_id) AS nb,
         row_number() OVER (PARTITION BY build_id, tier ORDER BY CASE WHEN tier='A' THEN dist ELSE k END, poi_id) AS rn FROM tiered)"""))
 def w2(spark, d):
-    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), fx.pois(spark, d).select("poi_id", "x", "y"), 300.0)
-    return context.tier_sample(pairs, ranking.portable_key(F.col("poi_id"))).select("build_id", "poi_id", "tier")
+    key = ranking.portable_key(F.col("poi_id"))
+    points = fx.pois(spark, d).select("poi_id", "x", "y", key.cast("double").alias("_hash"))
+    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), points, 300.0, context.tier_best("_hash"))
+    return context.tier_sample(pairs, key).select("build_id", "poi_id", "tier")
 
 
 @add("w3_match_decision", with_sql("candidate", """

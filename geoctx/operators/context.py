@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoctx.functions import geo, text
+from geoctx.operators.spatial_join import Best
 
 TOP_TYPES = 5
 
@@ -88,14 +89,15 @@ def tier_sample(
     third, the last two by ``hash_key``. A point at exactly the last edge is in no tier.
 
     ``pairs`` is read once. Each Arrow batch keeps its ``total`` first points of a (building, tier) and the number
-    of all, so a crowded building never reaches one task whole and the join behind ``pairs`` runs once.
+    of all, so a crowded building never reaches one task whole and the join behind ``pairs`` runs once. Pairs with a
+    ``_count``, as ``radius_join`` leaves them with ``tier_best``, are cut already.
     """
     d = F.col("dist")
     a, b, c = edges
     tier = F.when(d < a, "A").when(d < b, "B").when(d < c, "C").otherwise("-")
     order = F.when(F.col("tier") == "A", d).otherwise(hash_key.cast("double"))
     tiers = pairs.withColumn("tier", tier).withColumn("_o", order)
-    short = best_and_counts(tiers, [key, "tier"], ["_o", tie], total)
+    short = tiers if "_count" in pairs.columns else best_and_counts(tiers, [key, "tier"], ["_o", tie], total)
     whole = Window.partitionBy(key)
     sizes = {n: F.sum(F.when(cond, F.col("_count")).otherwise(0)).over(whole) for n, cond in (
         ("_n", F.lit(True)), ("_na", F.col("tier") == "A"), ("_nb", F.col("tier") == "B"))}
@@ -110,6 +112,11 @@ def tier_sample(
     return short.where((F.col("_n") <= total) | (F.col("_rn") <= quota)).drop("_o", "_rn", "_n", "_na", "_nb", "_count")
 
 
+def tier_best(by: str, tie: str = "poi_id", total: int = 20, edges=(100.0, 200.0, 300.0)) -> Best:
+    """What ``tier_sample`` needs of the pairs of a radius join; ``by`` is the hash key as a column of the points."""
+    return Best(tuple(edges), total, tie, by, near=1, closed=False)
+
+
 def best_and_counts(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The map side of a best-n with counts: rows that can be among the ``n`` first of their group, and ``_count``.
 
