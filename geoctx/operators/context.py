@@ -1,4 +1,8 @@
-"""Surroundings of a building: packed lists, per-band statistics, prompts, tier sampling."""
+"""Surroundings of a building: packed lists, per-band statistics, prompts, tier sampling.
+
+``pairs`` are the rows of ``nearest_k``, or its lists (a row per building, with ``items``): these hold all points of a
+building already, so packing, statistics and prompts read them row by row, without a shuffle.
+"""
 
 from __future__ import annotations
 
@@ -18,13 +22,15 @@ TOP_TYPES = 5
 
 
 def with_bands(pairs: DataFrame) -> DataFrame:
+    if "items" in pairs.columns:
+        return pairs.withColumn("items", F.transform("items", lambda i: i.withField("band", geo.distance_band(i["dist"]))))
     return pairs.withColumn("band", geo.distance_band("dist"))
 
 
 def packed_lists(pairs: DataFrame, key: str = "build_id", min_count: int = 1) -> DataFrame:
     """Nearest first, one packed string per attribute; groups are at most k rows after the top-k."""
     item = F.struct("rk", "type_en", "band")
-    grouped = pairs.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = pairs if "items" in pairs.columns else pairs.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return grouped.where(F.size("items") >= min_count).select(
         key,
         F.size("items").alias("n_poi"),
@@ -42,6 +48,8 @@ def type_counts(pairs: DataFrame, key: str = "build_id") -> DataFrame:
 
 def band_profile(pairs: DataFrame, key: str = "build_id", top: int = TOP_TYPES) -> DataFrame:
     """Per band: total, the commonest types (ties: nearest first) and the top type's count."""
+    if "items" in pairs.columns:
+        return _profiles(pairs, key, top).select(key, F.explode("profiles").alias("_b")).select(key, "_b.*")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), "first_rk", "type_en")))
     return (
         type_counts(pairs, key)
@@ -55,19 +63,54 @@ def band_profile(pairs: DataFrame, key: str = "build_id", top: int = TOP_TYPES)
     )
 
 
+def _profiles(lists: DataFrame, key: str, top: int) -> DataFrame:
+    """(key, n_poi, profiles): the rows of ``band_profile`` of a building as a list, counted for an Arrow batch of lists at once."""
+    whole, words = T.LongType(), T.StringType()
+    profile = T.StructType().add("band", words).add("n", whole).add("types", T.ArrayType(words)).add("top_count", whole)
+    schema = T.StructType([lists.schema[key], T.StructField("n_poi", whole), T.StructField("profiles", T.ArrayType(profile))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            items, sizes = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy()
+            band, kind = (items.field(c).dictionary_encode(null_encoding="encode") for c in ("band", "type_en"))
+            bands, kinds = len(band.dictionary), len(kind.dictionary)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            code = (row * bands + band.indices.to_numpy()) * kinds + kind.indices.to_numpy()
+            code, first, cnt = np.unique(code, return_index=True, return_counts=True)
+            at = np.lexsort((first, -cnt, code // kinds))  # items come by rank
+            part, cnt, code = (code // kinds)[at], cnt[at], (code % kinds)[at]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            held = np.diff(np.append(starts, len(part)))
+            best = np.arange(len(part)) - np.repeat(starts, held) < top
+            ends = np.append(0, np.cumsum(np.minimum(held, top)))
+            types = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kind.dictionary.take(pa.array(code[best])))
+            profiles = pa.StructArray.from_arrays(
+                [band.dictionary.take(pa.array(part[starts] % bands)), pa.array(np.add.reduceat(cnt, starts)), types, pa.array(cnt[starts])], profile.names)
+            rows = np.searchsorted(part[starts] // bands, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), profiles)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=schema.names)
+
+    return lists.select(key, "items").mapInArrow(count, schema)
+
+
 def prompts(pairs: DataFrame, key: str = "build_id", words=None, min_count: int = 3) -> DataFrame:
     """Context prompt per building with at least ``min_count`` points.
 
-    ``pairs`` comes with all rows of a building in one task, so the counts below are as good as final
-    before they are shuffled.
+    Rows of ``pairs`` come with all of a building in one task, so the counts below are as good as final
+    before they are shuffled; lists are not shuffled.
     """
     words = words or text.DENSITY_WORDS_VIVID
-    profile = band_profile(pairs, key)
-    picked = []
-    for band in text.BAND_LABELS:
-        here = F.when(F.col("band") == band, F.struct("n", "types", "top_count"))
-        picked.append(F.max_by(here, here.isNotNull()).alias(f"b{band}"))
-    wide = profile.groupBy(key).agg(F.sum("n").alias("n_poi"), *picked)
+    if "items" in pairs.columns:
+        wide = _profiles(pairs, key, TOP_TYPES).select(key, "n_poi", *[
+            F.get(F.filter("profiles", lambda p: p["band"] == band), F.lit(0)).alias(f"b{band}") for band in text.BAND_LABELS])  # noqa: B023
+    else:
+        picked = []
+        for band in text.BAND_LABELS:
+            here = F.when(F.col("band") == band, F.struct("n", "types", "top_count"))
+            picked.append(F.max_by(here, here.isNotNull()).alias(f"b{band}"))
+        wide = band_profile(pairs, key).groupBy(key).agg(F.sum("n").alias("n_poi"), *picked)
     clauses = [
         text.band_sentence(label, F.col(f"b{band}.n"), F.col(f"b{band}.types"), F.col(f"b{band}.top_count"), words)
         for band, label in text.BAND_LABELS.items()

@@ -16,6 +16,6 @@ def context_prompts(
 ) -> DataFrame:
     """``build_id, n_poi, prompt`` for centres (build_id, x, y) and points (poi_id, x, y, type_en)."""
     pairs = nearest_k(
-        centers.select("build_id", "x", "y"), points.select("poi_id", "x", "y", "type_en"), radius, k
-    ).select("build_id", "rk", "dist", "type_en")
+        centers.select("build_id", "x", "y"), points.select("poi_id", "x", "y", "type_en"), radius, k,
+        lists=["type_en"])
     return context.prompts(context.with_bands(pairs), words=words, min_count=min_count)
