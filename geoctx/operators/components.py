@@ -49,6 +49,19 @@ def _label_tiles(tiles: np.ndarray, rows: np.ndarray, cols: np.ndarray, diagonal
 GROUP_PIXELS = 200_000
 
 
+#: Rows of a join or an aggregate that one task holds, at about.
+TASK_ROWS = 200_000
+
+
+def _dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``df`` of about ``rows`` rows in tasks of a fixed size by ``columns``; a few tasks' rows are left to the optimizer.
+
+    The tables here are narrow and shrink much as files, so tasks cut by file size would grow with the input.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *columns) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def pixel_numbers(pixels: DataFrame, width: int | None) -> tuple[int, int]:
     """Number of columns for ``row * width + col``, and the number of pixels. A width that is too small is refused."""
     widest, n = pixels.agg(F.max("col"), F.count(F.lit(1))).first()
@@ -82,15 +95,15 @@ def label_components(pixels: DataFrame, key: str = "image_id", tile: int = 512,
         return pdf.assign(local=(rows * width + cols)[roots])[[key, "row", "col", "local"]]
 
     schema = f"`{key}` {kind}, row int, col int, local long"
-    local = cut_lineage(t.groupBy("_g").applyInPandas(label, schema))
-    seams = _seam_pairs(local, key, tile, diagonal)
+    local = cut_lineage(_dealt(t, n, "_g").groupBy("_g").applyInPandas(label, schema))
+    seams = _seam_pairs(local, key, tile, diagonal, n)
     merged = merge_labels(seams, key)
-    return local.join(merged, [key, "local"], "left").select(
+    return _dealt(local, n, key, "local").join(_dealt(merged, n, key, "local"), [key, "local"], "left").select(
         key, "row", "col", F.coalesce("root", "local").alias("component"))
 
 
-def _seam_pairs(local: DataFrame, key: str, tile: int, diagonal: bool) -> DataFrame:
-    """Distinct pairs of labels that touch across a seam. Only pixels on tile borders take part."""
+def _seam_pairs(local: DataFrame, key: str, tile: int, diagonal: bool, n: int = 0) -> DataFrame:
+    """Distinct pairs of labels that touch across a seam. Only pixels on tile borders take part; ``n`` pixels in all."""
     at_end = (F.col("row") % tile == tile - 1) | (F.col("col") % tile == tile - 1)
     at_start = (F.col("row") % tile == 0) | (F.col("col") % tile == 0)
     border = local.where(at_end | at_start)
@@ -98,8 +111,9 @@ def _seam_pairs(local: DataFrame, key: str, tile: int, diagonal: bool) -> DataFr
     o = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
     asks = border.withColumn("_o", F.explode(o)).select(
         key, F.col("local").alias("a"), (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"))
-    return asks.join(border.withColumnRenamed("local", "b"), [key, "row", "col"]).where(
-        F.col("a") != F.col("b")).select(key, "a", "b").distinct()
+    at, asked = (key, "row", "col"), len(steps) * n
+    met = _dealt(asks, asked, *at).join(_dealt(border.withColumnRenamed("local", "b"), asked, *at), [*at])
+    return _dealt(met.where(F.col("a") != F.col("b")).select(key, "a", "b"), n, key, "a", "b").distinct()
 
 
 def merge_labels(pairs: DataFrame, key: str, rounds: int = 64) -> DataFrame:
@@ -111,17 +125,18 @@ def merge_labels(pairs: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """
     edges = cut_lineage(pairs.select(key, "a", "b").unionByName(
         pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n = edges.count()
     state = cut_lineage(edges.select(key, F.col("a").alias("local")).distinct().withColumn("root", F.col("local")))
     for _ in range(rounds):
         hooked = (
-            edges.join(state.select(key, F.col("local").alias("b"), F.col("root").alias("rb")), [key, "b"])
+            _dealt(edges, n, key, "b").join(_dealt(state.select(key, F.col("local").alias("b"), F.col("root").alias("rb")), n, key, "b"), [key, "b"])
             .join(state.select(key, F.col("local").alias("a"), F.col("root").alias("ra")), [key, "a"])
             .groupBy(key, F.col("ra").alias("local")).agg(F.min("rb").alias("low"))
         )
         # root of a root: the smallest neighbour of any of its members, if smaller
-        roots = state.select(key, F.col("root").alias("local")).distinct().join(hooked, [key, "local"], "left").select(
+        roots = _dealt(state.select(key, F.col("root").alias("local")), n, key, "local").distinct().join(hooked, [key, "local"], "left").select(
             key, F.col("local").alias("r"), F.least("local", F.coalesce("low", "local")).alias("next"))
-        step = state.join(roots.withColumnRenamed("r", "root"), [key, "root"]).select(key, "local", "root", "next")
+        step = _dealt(state, n, key, "root").join(roots.withColumnRenamed("r", "root"), [key, "root"]).select(key, "local", "root", "next")
         # jump once more through the new parent
         jump = step.select(key, F.col("local").alias("next"), F.col("next").alias("next2"))
         new = cut_lineage(step.join(jump, [key, "next"], "left").select(

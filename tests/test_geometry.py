@@ -220,3 +220,19 @@ def test_components_on_wide_rasters_and_text_keys(spark):
     assert got["SH_1", 1, 0] not in (got["SH_1", 0, 2**24 - 1], got["NJ_2", 5, 5])
     with pytest.raises(ValueError):
         label_components(df, width=1 << 24)
+
+
+def test_components_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    """Tasks grow with the pixels and not with the size of files; labels stay the same."""
+    from geoctx.operators import components as co
+
+    rng = np.random.default_rng(8)
+    px = [(i, r, c) for i in range(6) for r in range(12) for c in range(12) if rng.random() < 0.6]
+    df = spark.createDataFrame(px, "image_id long, row int, col int")
+    whole = set(co.label_components(df, tile=4, diagonal=True).collect())
+    monkeypatch.setattr(co, "TASK_ROWS", 10)
+    assert set(co.label_components(df, tile=4, diagonal=True).collect()) == whole
+    local = df.withColumn("local", (F.col("row") * 100 + F.col("col")).cast("long"))
+    for n in (500, 5000):
+        plan = co._seam_pairs(local, "image_id", 4, True, n)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == 3 and f", {n // 10})" in plan and f", {n * 4 // 10})" in plan
