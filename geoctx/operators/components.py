@@ -53,7 +53,7 @@ GROUP_PIXELS = 200_000
 TASK_ROWS = 200_000
 
 
-def _dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     """``df`` of about ``rows`` rows in tasks of a fixed size by ``columns``; a few tasks' rows are left to the optimizer.
 
     The tables here are narrow and shrink much as files, so tasks cut by file size would grow with the input.
@@ -95,10 +95,10 @@ def label_components(pixels: DataFrame, key: str = "image_id", tile: int = 512,
         return pdf.assign(local=(rows * width + cols)[roots])[[key, "row", "col", "local"]]
 
     schema = f"`{key}` {kind}, row int, col int, local long"
-    local = cut_lineage(_dealt(t, n, "_g").groupBy("_g").applyInPandas(label, schema))
+    local = cut_lineage(dealt(t, n, "_g").groupBy("_g").applyInPandas(label, schema))
     seams = _seam_pairs(local, key, tile, diagonal, n)
     merged = merge_labels(seams, key)
-    return _dealt(local, n, key, "local").join(_dealt(merged, n, key, "local"), [key, "local"], "left").select(
+    return dealt(local, n, key, "local").join(dealt(merged, n, key, "local"), [key, "local"], "left").select(
         key, "row", "col", F.coalesce("root", "local").alias("component"))
 
 
@@ -112,8 +112,8 @@ def _seam_pairs(local: DataFrame, key: str, tile: int, diagonal: bool, n: int =
     asks = border.withColumn("_o", F.explode(o)).select(
         key, F.col("local").alias("a"), (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"))
     at, asked = (key, "row", "col"), len(steps) * n
-    met = _dealt(asks, asked, *at).join(_dealt(border.withColumnRenamed("local", "b"), asked, *at), [*at])
-    return _dealt(met.where(F.col("a") != F.col("b")).select(key, "a", "b"), n, key, "a", "b").distinct()
+    met = dealt(asks, asked, *at).join(dealt(border.withColumnRenamed("local", "b"), asked, *at), [*at])
+    return dealt(met.where(F.col("a") != F.col("b")).select(key, "a", "b"), n, key, "a", "b").distinct()
 
 
 def merge_labels(pairs: DataFrame, key: str, rounds: int = 64) -> DataFrame:
@@ -129,14 +129,14 @@ def merge_labels(pairs: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     state = cut_lineage(edges.select(key, F.col("a").alias("local")).distinct().withColumn("root", F.col("local")))
     for _ in range(rounds):
         hooked = (
-            _dealt(edges, n, key, "b").join(_dealt(state.select(key, F.col("local").alias("b"), F.col("root").alias("rb")), n, key, "b"), [key, "b"])
+            dealt(edges, n, key, "b").join(dealt(state.select(key, F.col("local").alias("b"), F.col("root").alias("rb")), n, key, "b"), [key, "b"])
             .join(state.select(key, F.col("local").alias("a"), F.col("root").alias("ra")), [key, "a"])
             .groupBy(key, F.col("ra").alias("local")).agg(F.min("rb").alias("low"))
         )
         # root of a root: the smallest neighbour of any of its members, if smaller
-        roots = _dealt(state.select(key, F.col("root").alias("local")), n, key, "local").distinct().join(hooked, [key, "local"], "left").select(
+        roots = dealt(state.select(key, F.col("root").alias("local")), n, key, "local").distinct().join(hooked, [key, "local"], "left").select(
             key, F.col("local").alias("r"), F.least("local", F.coalesce("low", "local")).alias("next"))
-        step = _dealt(state, n, key, "root").join(roots.withColumnRenamed("r", "root"), [key, "root"]).select(key, "local", "root", "next")
+        step = dealt(state, n, key, "root").join(roots.withColumnRenamed("r", "root"), [key, "root"]).select(key, "local", "root", "next")
         # jump once more through the new parent
         jump = step.select(key, F.col("local").alias("next"), F.col("next").alias("next2"))
         new = cut_lineage(step.join(jump, [key, "next"], "left").select(

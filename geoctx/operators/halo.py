@@ -92,7 +92,7 @@ def shrunk(mask: np.ndarray, reach: int) -> np.ndarray:
     return ~grown(~mask, reach)
 
 
-def _tiles(position: str, halo: int, tile: int) -> Column:
+def tiles_near(position: str, halo: int, tile: int) -> Column:
     """Numbers of the tiles that need a pixel at this position: its own, and neighbours it is near."""
     at = F.col(position)
     return F.array_distinct(F.array(*[F.floor((at + d) / tile).cast("long") for d in sorted({0, -halo, halo})]))
@@ -112,7 +112,7 @@ def neighbourhoods(
     keys = list(keys)
     rows = pixels.where(F.col("row").isNotNull() & F.col("col").isNotNull())
     rows = rows.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[c.alias(n) for n, c in values.items()])
-    rows = rows.withColumn("_tr", F.explode(_tiles("row", halo, tile))).withColumn("_tc", F.explode(_tiles("col", halo, tile)))
+    rows = rows.withColumn("_tr", F.explode(tiles_near("row", halo, tile))).withColumn("_tc", F.explode(tiles_near("col", halo, tile)))
     out = StructType([pixels.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
     arrow = to_arrow_schema(out)
 

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoctx.functions import geo
-from geoctx.operators import transfer
-from geoctx.operators.components import pixel_numbers
+from geoctx.operators import halo, transfer
+from geoctx.operators.components import GROUP_PIXELS, dealt, pixel_numbers
 from geoctx.operators.overlay import pair_geometry
 from geoctx.operators.ranking import ordered_rank
 from geoctx.operators.spatial_join import bbox_join
@@ -247,71 +250,155 @@ _SIDES = [  # direction, neighbour across, start and end corner; the pixel lies
 ]
 
 
-def boundary_edges(labelled: DataFrame, key: str = "image_id") -> DataFrame:
-    """Directed pixel sides between a component and anything else: (key, component, dir, r, c, r2, c2)."""
-    sides = F.array(*[
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(("d", "nr", "nc", "r1", "c1", "r2", "c2"), (d, *n, *s, *e))])
-        for d, n, s, e in _SIDES
-    ])
-    p = labelled.select(key, "component", "row", "col")
-    asks = p.withColumn("_s", F.explode(sides)).select(
-        key, "component", F.col("_s.d").alias("dir"),
-        (F.col("row") + F.col("_s.r1")).alias("r"), (F.col("col") + F.col("_s.c1")).alias("c"),
-        (F.col("row") + F.col("_s.r2")).alias("r2"), (F.col("col") + F.col("_s.c2")).alias("c2"),
-        (F.col("row") + F.col("_s.nr")).alias("_nr"), (F.col("col") + F.col("_s.nc")).alias("_nc"))
-    inner = p.select(key, "component", F.col("row").alias("_nr"), F.col("col").alias("_nc"))
-    return asks.join(inner, [key, "component", "_nr", "_nc"], "left_anti").drop("_nr", "_nc")
+#: Pixels on a side of a tile whose rings are followed in one task.
+TILE = 512
 
 
-def outlines(labelled: DataFrame, key: str = "image_id", width: int | None = None, rounds: int = 40) -> DataFrame:
-    """Corner vertices of every ring in order: (key, component, ring, pos, r, c).
+def _doubled(succ: np.ndarray, longest: int):
+    """Successors 1, 2, 4, ... steps ahead, until ``longest`` steps are covered; the last place stands for the end."""
+    to = np.append(succ, len(succ))
+    for _ in range(longest.bit_length()):
+        yield to
+        to = to[to]
+
+
+def _trace_tiles(pixels: pa.Table, key: str, tile: int, width: int) -> dict[str, np.ndarray]:
+    """Corners of the rings and parts of rings in the tiles of ``pixels``, and a row for each part, as ``outlines`` joins them.
 
-    Edges are linked to their successor (right turn before straight before left, which keeps diagonal
-    neighbours apart), and rings are numbered and ordered by pointer doubling: log2 of the longest ring
-    rounds of equi-joins, with no ring ever in one task.
+    A pixel side between a component and anything else has the pixel to its right. The side that comes next follows from
+    the two pixels ahead: right turn before straight before left, which keeps diagonal neighbours apart. ``_at`` is the
+    row of ``pixels`` that a row stands for.
     """
-    width = pixel_numbers(labelled, width)[0] + 1  # corners lie one column further out than pixels
-    e = boundary_edges(labelled, key).withColumn(
-        "id", (F.col("r") * F.lit(width).cast("long") + F.col("c")) * 4 + F.col("dir"))
-    nxt = e.select(key, "component", F.col("r").alias("r2"), F.col("c").alias("c2"),
-                   F.col("dir").alias("dir2"), F.col("id").alias("next"))
-    turn = F.pmod(F.col("dir") - F.col("dir2"), F.lit(4))  # right turn 3, straight 0, left 1
-    order = F.when(turn == 3, 0).when(turn == 0, 1).otherwise(2)
-    linked = e.join(nxt, [key, "component", "r2", "c2"]).groupBy(key, "component", "id", "dir", "r", "c").agg(
-        F.min_by(F.struct("next", "dir2"), order).alias("_n")).select(
-        key, "component", "id", "dir", "r", "c", "_n.next", "_n.dir2")
-    linked = cut_lineage(linked)
-
-    # ring number: the smallest edge number on the cycle
-    state = linked.select(key, "id", F.col("next").alias("to"), F.col("id").alias("ring"))
-    for _ in range(rounds):
-        ahead = state.select(key, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
-        new = cut_lineage(state.join(ahead, [key, "to"]).select(
-            key, "id", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("_ch")))
+    image = pc.dictionary_encode(pixels.combine_chunks()[key].chunk(0)).indices.to_numpy()
+    component, ty, tx, row, col = (pixels[c].to_numpy() for c in ("component", "_ty", "_tx", "row", "col"))
+    row, col = row.astype(np.int64), col.astype(np.int64)
+    at = np.lexsort((col, row, component, tx, ty, image))
+    owner = np.stack([image[at], ty[at], tx[at], component[at]])
+    owner = np.append(0, np.cumsum((owner[:, 1:] != owner[:, :-1]).any(axis=0)))  # a component in a tile
+    down, right, stride = (row - ty * tile + 1)[at], (col - tx * tile + 1)[at], tile + 4  # a step off an edge meets nobody
+    spot = (owner * stride + down) * stride + right
+    once = np.append(True, spot[1:] != spot[:-1])
+    at, owner, down, right, spot = (v[once] for v in (at, owner, down, right, spot))
+    row, col = row[at], col[at]
+    own = np.flatnonzero((down >= 1) & (down <= tile) & (right >= 1) & (right <= tile))
+
+    def beside(r: int, c: int) -> np.ndarray:
+        """The pixel of the same component beside each own one, or -1."""
+        wanted = spot[own] + r * stride + c
+        found = np.minimum(np.searchsorted(spot, wanted), len(spot) - 1)
+        return np.where(spot[found] == wanted, found, -1)
+
+    sides = []
+    for d, (r, c), *_ in _SIDES:
+        ahead, across = _SIDES[(d + 1) % 4][1], beside(r, c)
+        out = across < 0
+        front, corner = beside(*ahead)[out], beside(ahead[0] + r, ahead[1] + c)[out]
+        turn = np.where(front < 0, 1, np.where(corner < 0, 0, 3))
+        pixel = own[out]
+        sides.append(np.stack([pixel, np.full(len(pixel), d), np.choose(turn % 3 + (turn == 3) * 2, [front, pixel, corner]), (d + turn) % 4]))
+    pixel, way, then, way2 = np.concatenate(sides, axis=1)
+    start, end = (np.array([s[i] for s in _SIDES]) for i in (2, 3))
+    number = lambda p, d: ((row[p] + start[d, 0]) * width + col[p] + start[d, 1]) * 4 + d
+    ids, following, n = number(pixel, way), number(then, way2), len(pixel)
+    place = np.full((4, len(spot)), n)
+    place[way, pixel] = np.arange(n)
+    succ = place[way2, then]  # n: the ring goes on in another tile
+    longest = int(np.bincount(owner[pixel]).max(initial=0))
+    low, ends = np.append(ids, np.iinfo(np.int64).max), np.append(succ, n)
+    for to in _doubled(succ, longest):
+        low, ends = np.minimum(low, low[to]), to[to]
+    low, closed = low[:n], ends[:n] < n  # the smallest side number of a ring, or of the rest of a part
+    first = np.ones(n + 1, bool)
+    first[succ] = False
+    left, last = np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
+    for to in _doubled(np.where(closed & (following == low), n, succ), longest):  # sides to the end, and the last of them
+        left, last = left + left[to], np.where(to < n, last[to], last)
+    head = np.full(n + 1, n)
+    heads = np.flatnonzero(first[:n] & ~closed)
+    head[last[heads]] = heads
+    head = head[last[:n]]  # of the part of each side
+    part = np.where(closed, -1, np.append(ids, -1)[head])
+    least = np.flatnonzero(~closed)
+    least = least[ids[least] == low[head[least]]]
+    mid = np.zeros(n + 1, np.int64)
+    mid[head[least]] = left[least]
+    bend = np.flatnonzero(way != way2)
+    take = np.append(bend, heads)
+    part_row = np.arange(len(take)) >= len(bend)
+    return {
+        "_at": at[pixel[take]], "_part": part[take], "ring": low[take], "left": left[take],
+        "next": np.where(part_row, following[last[take]], -1), "mid": np.where(part_row, mid[take], 0),
+        "r": row[pixel[take]] + end[way[take], 0], "c": col[pixel[take]] + end[way[take], 1],
+    }
+
+
+def _joined_parts(parts: DataFrame, by: list[str], rounds: int) -> DataFrame:
+    """(*by, _part, ring, off, n): parts of rings with their ring, its length, and where the part ends in it.
+
+    Pointer doubling over parts: log2 of the parts of the longest ring rounds of equi-joins, with no ring ever in one task.
+    """
+    state = parts.select(*by, F.col("_part").alias("id"), F.col("next").alias("to"), "ring")
+    for _ in range(rounds):  # ring number: the smallest side number on the cycle
+        ahead = state.select(*by, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
+        new = cut_lineage(state.join(ahead, [*by, "to"]).select(
+            *by, "id", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("_ch")))
         state = new.drop("_ch")
         if new.where("_ch").isEmpty():
             break
     else:
         raise RuntimeError("rings did not close")
-    rings = state.select(key, "id", "ring")
-
-    # distance to the end of the ring, the edge before the ring's first
-    chain = linked.join(rings, [key, "id"])
-    end = F.col("next") == F.col("ring")
-    state = cut_lineage(chain.select(key, "id", F.when(~end, F.col("next")).alias("to"), F.lit(1).cast("long").alias("left")))
+    rings = state.select(*by, F.col("id").alias("_part"), F.col("ring").alias("_ring"))
+    known = parts.join(rings, [*by, "_part"])
+    starts = known.where("ring = _ring").select(*by, "_ring", F.col("_part").alias("_first"), (F.col("left") - F.col("mid")).alias("_skip"))
+    chain = cut_lineage(known.join(starts, [*by, "_ring"]))
+    # sides from the start of a part to the end of the ring, which is where the part with the ring's first side starts
+    state = chain.select(*by, F.col("_part").alias("id"), F.when(F.col("next") != F.col("_first"), F.col("next")).alias("to"), F.col("left").alias("rest"))
     for _ in range(rounds):
-        ahead = state.select(key, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        state = cut_lineage(state.join(ahead, [key, "to"], "left").select(
-            key, "id", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")))
+        ahead = state.select(*by, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("rest").alias("rest2"))
+        state = cut_lineage(state.join(ahead, [*by, "to"], "left").select(
+            *by, "id", F.col("to2").alias("to"), (F.col("rest") + F.coalesce("rest2", F.lit(0))).alias("rest")))
         if state.where(F.col("to").isNotNull()).isEmpty():
             break
     else:
         raise RuntimeError("rings did not close")
-    # a corner is where the direction changes: the end of this edge, start of the next
-    corners = chain.where(F.col("dir") != F.col("dir2")).join(state.select(key, "id", "left"), [key, "id"])
-    starts = linked.select(key, F.col("id").alias("next"), F.col("r").alias("r_at"), F.col("c").alias("c_at"))
-    return corners.join(starts, [key, "next"]).select(
-        key, "component", "ring", (-F.col("left")).alias("pos"), F.col("r_at").alias("r"), F.col("c_at").alias("c"))
+    placed = chain.join(state.select(*by, F.col("id").alias("_part"), "rest"), [*by, "_part"])
+    total = placed.where("_part = _first").select(*by, "_ring", F.col("rest").alias("n"))
+    return placed.join(total, [*by, "_ring"]).select(
+        *by, "_part", F.col("_ring").alias("ring"), (F.col("n") - F.col("rest") + F.col("left") - F.col("_skip")).alias("off"), "n")
+
+
+def outlines(labelled: DataFrame, key: str = "image_id", width: int | None = None, rounds: int = 40, tile: int = TILE) -> DataFrame:
+    """Corner vertices of every ring in order: (key, component, ring, pos, r, c).
+
+    Pixels go to their tile, with copies of border pixels, and rings are followed there: those inside a tile are
+    numbered and ordered at once. Only parts of rings that cross tiles, a row each, are joined over the seams.
+    A ring's number is its smallest side number; ``pos`` counts the sides up to the ring's end, below 0.
+    """
+    by = [key, "component"]
+    p = cut_lineage(labelled.select(*by, "row", "col").dropna())
+    width, n = pixel_numbers(p, width)
+    width += 1  # corners lie one column further out than pixels
+    groups = max(-(-n // GROUP_PIXELS), p.sparkSession.sparkContext.defaultParallelism)
+    near = p.withColumn("_ty", F.explode(halo.tiles_near("row", 1, tile))).withColumn("_tx", F.explode(halo.tiles_near("col", 1, tile)))
+    near = near.withColumn("_g", F.pmod(F.xxhash64(key, "_ty", "_tx"), F.lit(groups)))
+    long = [T.StructField(c, T.LongType()) for c in ("_part", "ring", "left", "next", "mid")]
+    schema = T.StructType([*[p.schema[c] for c in by], *long, T.StructField("r", p.schema["row"].dataType), T.StructField("c", p.schema["col"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def trace(pixels: pa.Table) -> pa.Table:
+        made = _trace_tiles(pixels, key, tile, width)
+        same = pixels.select(by).take(pa.array(made["_at"]))
+        return pa.table([same[f.name].cast(f.type) if f.name in by else pa.array(made[f.name]).cast(f.type) for f in arrow], schema=arrow)
+
+    made = cut_lineage(dealt(near, n, "_g").groupBy("_g").applyInArrow(trace, schema))
+    corners, parts = made.where("next < 0"), made.where("next >= 0")
+    done = corners.where("_part < 0").select(*by, "ring", (-F.col("left")).alias("pos"), "r", "c")
+    if parts.isEmpty():
+        return done
+    ends = _joined_parts(parts.select(*by, "_part", "ring", "left", "next", "mid"), by, rounds)
+    over = corners.where("_part >= 0").drop("ring").join(ends, [*by, "_part"])
+    pos = F.pmod(F.col("off") - F.col("left"), F.col("n")) - F.col("n")
+    return done.unionByName(over.select(*by, "ring", pos.alias("pos"), "r", "c"))
 
 
 def rings_of(outline: DataFrame, key: str, affine) -> DataFrame:

@@ -210,6 +210,29 @@ def test_burning_an_outline_gives_the_pixels_back(spark):
     assert odd == cells
 
 
+def test_rings_inside_a_tile_need_no_rounds_and_those_over_seams_are_the_same(spark):
+    rng = np.random.default_rng(11)
+    snake = [(r, c) for r in range(11) for c in range(11) if r % 2 == 0 or (c == 10 if r % 4 == 1 else c == 0)]
+    rows = [(f"i{i}", r, c) for i in range(3) for r in range(11) for c in range(11) if rng.random() < 0.6] + [("s", r, c) for r, c in snake]
+    rows += [("d", r, c) for r, c in [(2, 2), (2, 2), (3, 3), (2, 3), (7, 0)]] + [(None, 0, 0)]
+    df = spark.createDataFrame(rows, "image_id string, row int, col int")
+    for diagonal in (False, True):
+        lab = components.label_components(df, tile=4, diagonal=diagonal).localCheckpoint()
+        whole = sorted(map(tuple, polygons.outlines(lab, rounds=0).collect()))
+        sides = {(r.image_id, r.component): 0 for r in lab.collect() if r.image_id}
+        assert {v[:2] for v in whole} == set(sides)
+        at = {}
+        for image, component, ring, pos, r, c in whole:
+            at.setdefault((image, component, ring), []).append((pos, r, c))
+        for (_, _, ring), points in at.items():  # corners in order, the first side's start is the ring's number, the last is its end
+            turns = [(r, c) for _, r, c in points]
+            steps = [abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(turns, turns[1:] + turns[:1])]
+            assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(turns, turns[1:] + turns[:1]))
+            assert steps[:-1] == [b[0] - a[0] for a, b in zip(points, points[1:])] and points[-1][0] <= -1
+        for tile in (1, 3, 5):
+            assert sorted(map(tuple, polygons.outlines(lab, tile=tile).collect())) == whole
+
+
 def test_components_on_wide_rasters_and_text_keys(spark):
     from geoctx.operators.components import label_components
 
