@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,17 +41,79 @@ def with_terms(docs: DataFrame, key: str, content: str, stop_words: Sequence[str
     return kept.select(key, F.concat("_w", pairs).alias("terms"))
 
 
+#: Bytes of text whose terms are counted together; a longer text is counted by itself.
+SLICE_BYTES = 16 << 20
+
+
+def _text_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of neighbouring texts, at most about ``SLICE_BYTES``, and where each text begins and ends in them."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data, start = np.frombuffer(data or b"", np.uint8), 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1)
+        stop = min(stop, start + 65536)
+        yield data[ends[start]:ends[stop]], ends[start:stop + 1] - ends[start]
+        start = stop
+
+
+def _count_terms(raw: np.ndarray, ends: np.ndarray, stop_words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of lower-case texts as ``with_terms`` makes them, once each, with their occurrences and their texts.
+
+    Words and pairs of words are numbers here; number and text are sorted as one number, so that equal terms lie together.
+    """
+    letter = (raw - np.uint8(97)) < 26
+    cuts = ends[1:-1]  # a word ends with its text
+    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+    begins, stops = letter.copy(), letter.copy()
+    begins[1:] &= ~letter[:-1]
+    stops[:-1] &= ~letter[1:]
+    begins[cuts], stops[cuts - 1] = letter[cuts], letter[cuts - 1]
+    at = np.flatnonzero(begins)
+    size = np.flatnonzero(stops) + 1 - at
+    spelled = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(raw[letter]))
+    coded = spelled.dictionary_encode()
+    words, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    good = pc.and_(pc.greater_equal(pc.binary_length(words), 2), pc.invert(pc.is_in(words, value_set=stop_words))).to_numpy(zero_copy_only=False)
+    kept = good[word]
+    word, doc = word[kept], np.searchsorted(ends, at[kept], side="right") - 1
+    next_to = doc[1:] == doc[:-1]
+    docs, n = len(ends) - 1, len(words)
+    # at most n * (n + 1) * docs: 16 MB hold 2 ** 23 words and 2 ** 16 texts, a longer text is alone
+    found = np.sort(np.append(word, ((word[:-1] + 1) * n + word[1:])[next_to]) * docs + np.append(doc, doc[1:][next_to]))
+    if not len(found):
+        return words[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    term = found // docs
+    starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    tf = np.diff(np.append(starts, len(term)))
+    df = np.add.reduceat(np.append(True, found[1:] != found[:-1]).astype(np.int64), starts)
+    term = term[starts]
+    single, pair = term[term < n], term[term >= n]
+    pairs = pc.binary_join_element_wise(words.take(pa.array(pair // n - 1)), words.take(pa.array(pair % n)), pa.scalar(" ", pa.large_string()))
+    return pa.concat_arrays([words.take(pa.array(single)), pairs]), tf, df
+
+
+def _term_counts(docs: DataFrame, content: str, stop_words: Sequence[str]) -> DataFrame:
+    """(term, tf, df): occurrences of a term and the documents that have it, added up for slices of an Arrow batch."""
+    stops = pa.array(list(stop_words), pa.large_string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, ends in _text_slices(batch.column(0)):
+                term, tf, df = _count_terms(raw, ends, stops)
+                yield pa.RecordBatch.from_arrays([term.cast(pa.string()), pa.array(tf), pa.array(df)], names=["term", "tf", "df"])
+
+    return docs.select(F.lower(content).alias("_t")).mapInArrow(count, "term string, tf long, df long")
+
+
 def fit_tfidf(docs: DataFrame, key: str, content: str, stop_words: Sequence[str], max_features: int = 5000) -> DataFrame:
     """Vocabulary (term, total, df, idf): the terms of the highest corpus count, ties by term.
 
     A top-k over term counts, so at most ``max_features`` rows. idf = ln((1 + n) / (1 + df)) + 1.
     """
-    # a document is one row: its distinct terms are found in the row, and one map-side combined
-    # aggregate by term counts occurrences and documents together
-    every = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    rows = with_terms(docs, key, content, stop_words).select(explode_once(F.concat(every, once)).alias("t"))
-    counts = rows.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
+    # a document is one row; what leaves an Arrow batch is a row per distinct term of 16 MB of text
+    counts = _term_counts(docs, content, stop_words).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     top = counts.orderBy(F.desc("total"), "term").limit(max_features)
     fitted = top.join(n).withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")

@@ -65,6 +65,26 @@ def test_tfidf_by_hand(spark):
     assert sum(v * v for k, v in w.items() if k[0] == 1) == pytest.approx(1.0)
 
 
+def test_vocabulary_counts_leave_batches_added_up(spark, monkeypatch):
+    """A row per distinct term and slice, equal to the terms of the documents counted one by one."""
+    texts = ["The cat, the CAT and\u212aat dog", None, "", "x yy", "yy", "\u00fcber-all ÉcOle the\u0130the the", "9", "cat dog cat dog"] * 3 + ["ab " * 50, "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    terms = [r.terms for r in features.with_terms(df, "id", "t", ["the", "and"]).collect()]
+    want = {}
+    for row in filter(None, terms):
+        for t in row:
+            tf, docs = want.get(t, (0, 0))
+            want[t] = (tf + 1, docs)
+        for t in set(row):
+            want[t] = (want[t][0], want[t][1] + 1)
+    got = features._term_counts(df, "t", ["the", "and"]).collect()
+    assert len(got) == len(want) and {r.term: (r.tf, r.df) for r in got} == want
+    monkeypatch.setattr(features, "SLICE_BYTES", 8)
+    counts = features.fit_tfidf(df, "id", "t", ["the", "and"]).collect()
+    assert {r.term: (r.total, r.df) for r in counts} == want
+    assert features.fit_tfidf(df.where("id < 0"), "id", "t", []).collect() == []
+
+
 def test_sequences_and_means(spark):
     docs = spark.createDataFrame([(1, "aa bb zz aa"), (2, "zz")], "id int, t string")
     vocab = spark.createDataFrame([("aa", 0), ("bb", 1)], "token string, vec_id long")
