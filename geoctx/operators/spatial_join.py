@@ -63,7 +63,9 @@ class Best:
     closed: bool = True
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, best: Best | None = None) -> DataFrame:
+def radius_join(
+    left: DataFrame, right: DataFrame, radius: float, best: Best | None = None, key: str | None = None, lists: Sequence[str] = (),
+) -> DataFrame:
     """Every (left, right) pair of points at most ``radius`` apart, with ``dist``.
 
     Both sides have ``x`` and ``y``; the result keeps left's columns and right's
@@ -71,11 +73,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, best: Best | N
     number of rows is the number of true pairs; use ``nearest_k`` when only the
     closest are wanted.
 
-    With ``best`` all pairs are made and looked at, but inside the tasks: rows that can be among the n first of a range
+    With ``best`` all pairs are counted, but inside the tasks: rows that can be among the n first of a range
     leave them, and their ``_count`` adds up to the number of all pairs of the range.
+
+    With ``key`` too, a key with any pair is one row: ``key`` and ``ranges``, for each range the number ``n`` of its pairs and
+    its first as ``items`` (dist, *lists). The tasks that find them write the lists, so what is made of them needs no shuffle.
     """
     if best:
-        return _best_in_radius(left, right.withColumnsRenamed({"x": "_px", "y": "_py"}), radius, best)
+        return _best_in_radius(left, right.withColumnsRenamed({"x": "_px", "y": "_py"}), radius, best, key, lists)
     a = with_neighbour_cells(left, radius)
     b = with_cell(right, radius).withColumnsRenamed({"x": "_px", "y": "_py"})
     dist = _distance()
@@ -87,78 +92,274 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, best: Best | N
     )
 
 
-#: Points of a tile that one task holds; a tile of more is dealt to several tasks, whose counts add up.
-SLICE_POINTS = 400_000
-#: Pairs that a task looks at, at most about: the centres of a tile are dealt by it.
-PART_PAIRS = 1_000_000_000
+#: Points of a tile that one task holds. A tile of more is cut into smaller ones; a cell of more is dealt to several
+#: tasks, whose counts add up.
+SLICE_POINTS = 1_000_000
+#: Pairs of a task, at most about: the centres of a tile are dealt by it, but only to as many tasks as they fill.
+PART_PAIRS, PART_CENTERS = 1_000_000_000, 100_000
 
 
-def _best_in_radius(left: DataFrame, right: DataFrame, radius: float, best: Best) -> DataFrame:
-    """Tiles of 4 x 4 cells meet the points of the tile and one cell around it; only centres and points are shuffled."""
-    at = ["_tx", "_ty"]
-    grid = F.lit(0).alias("_lv")
-    homes = left.where("x IS NOT NULL AND y IS NOT NULL").select("*", grid).withColumns(_tile("x", "y", radius)).drop("_lv")
-    around = _around(right.where("_px IS NOT NULL AND _py IS NOT NULL").select("*", grid), radius).drop("_lv")
-    load = around.groupBy(*at).agg(F.count(F.lit(1)).alias("_p"))
-    tiles = homes.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(load.hint("merge"), at)
-    slices = F.ceil(F.col("_p") / SLICE_POINTS)
-    parts = F.ceil(F.col("_n") * F.least("_p", F.lit(SLICE_POINTS)) / PART_PAIRS)
-    tiles = cut_lineage(tiles.select(*at, slices.cast("int").alias("_slices"), parts.cast("int").alias("_parts")))
-    few = tiles.hint("broadcast" if tiles.count() <= FEW_TILES else "merge")
+def _sized_tiles(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, int]:
+    """Tiles for the cells of centres and for those of points, and how many rows these tables have at most.
+
+    A tile is 4 x 4 cells, 2 x 2 or one: the largest with no more than SLICE_POINTS points in it and one cell around. Made
+    from counts of cells.
+    """
+    cells = with_cell(left, radius).select("_cx", "_cy", F.lit(1).alias("n"), F.lit(0).alias("p")).unionByName(
+        with_cell(right, radius, "_px", "_py").select("_cx", "_cy", F.lit(0).alias("n"), F.lit(1).alias("p")))
+    cells = cut_lineage(cells.groupBy("_cx", "_cy").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
+    at = ["_side", "_gx", "_gy"]
+    sized = cells.withColumn("_side", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / F.col("_side")), F.floor((F.col(c) + 1) / F.col("_side"))))
+    held = sized.where("p > 0").withColumn("_gx", reach("_cx")).withColumn("_gy", reach("_cy")).groupBy(*at).agg(F.sum("p").alias("p"))
+    homes = sized.where("n > 0").drop("p").withColumns({g: F.floor(F.col(c) / F.col("_side")) for g, c in (("_gx", "_cx"), ("_gy", "_cy"))}).join(held, at)
+    fits = F.max(F.when(F.col("p") <= SLICE_POINTS, F.struct(*at))).alias("fit")
+    homes = homes.groupBy("_cx", "_cy").agg(F.first("n").alias("n"), F.coalesce(fits, F.min(F.struct(*at))).alias("t")).select("_cx", "_cy", "n", "t.*")
+    homes = cut_lineage(homes)
+    tiles = homes.groupBy(*at).agg(F.sum("n").alias("n")).join(held, at)
+    slices = F.ceil(F.col("p") / SLICE_POINTS)
+    parts = F.least(F.ceil(F.col("n") * F.least("p", F.lit(SLICE_POINTS)) / PART_PAIRS), F.ceil(F.col("n") / PART_CENTERS))
+    tiles = cut_lineage(tiles.select(*at, F.monotonically_increasing_id().alias("_tile"), slices.cast("int").alias("_slices"), parts.cast("int").alias("_parts")))
+    span = lambda g: F.explode(F.sequence(F.col(g) * F.col("_side") - 1, F.col(g) * F.col("_side") + F.col("_side")))
+    around = tiles.withColumn("_cx", span("_gx")).withColumn("_cy", span("_gy")).groupBy("_cx", "_cy").agg(
+        F.collect_list(F.struct("_tile", "_slices", "_parts")).alias("_t"))
+    return homes.join(tiles, at).drop("n", *at), around, cells.count() * 9
+
+
+def _best_in_radius(left: DataFrame, right: DataFrame, radius: float, best: Best, key: str | None, lists: Sequence[str]) -> DataFrame:
+    """Tiles of cells meet the points of the tile and one cell around it; only centres and points are shuffled."""
+    centers, points = left.where("x IS NOT NULL AND y IS NOT NULL"), right.where("_px IS NOT NULL AND _py IS NOT NULL")
+    homes, around, most = _sized_tiles(centers, points, radius)
+    few = lambda df: df.hint("broadcast" if most <= FEW_TILES else "merge")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, *c: F.pmod(F.xxhash64(*c), n).cast("int")
-    ours = homes.join(few, at).withColumn("_part", deal("_parts", *left.columns)).withColumn("_slice", each("_slices")).drop("_parts", "_slices")
-    theirs = around.join(few, at).withColumn("_slice", deal("_slices", *right.columns)).withColumn("_part", each("_parts")).drop("_parts", "_slices")
-    names = [*left.columns], [*right.columns]
-    schema = T.StructType([*left.schema.fields, *right.schema.fields, T.StructField("dist", T.DoubleType()), T.StructField("_count", T.LongType())])
-    group = [*at, "_part", "_slice"]
-    return ours.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInArrow(lambda a, b: _best_of_tile(a, b, names, radius, best), schema)
+    cell = ["_cx", "_cy"]
+    ours = with_cell(centers, radius).join(few(homes), cell).drop(*cell).withColumn("_part", deal("_parts", *left.columns)).withColumn("_slice", each("_slices"))
+    theirs = with_cell(points, radius, "_px", "_py").join(few(around), cell).select(*right.columns, F.explode("_t").alias("_t")).select(*right.columns, "_t.*")
+    theirs = theirs.withColumn("_slice", deal("_slices", *right.columns)).withColumn("_part", each("_parts"))
+    dist, whole = T.StructField("dist", T.DoubleType()), T.LongType()
+
+    def rows_of(columns):
+        items = T.ArrayType(T.StructType([dist, *[T.StructField(c, right.schema[c].dataType) for c in columns]]))
+        return T.StructType([left.schema[key], T.StructField("ranges", T.ArrayType(T.StructType().add("n", whole).add("items", items)))]), items
+
+    if key is None:
+        names = [*left.columns], [*right.columns]
+        schema = T.StructType([*left.schema.fields, *right.schema.fields, dist, T.StructField("_count", whole)])
+    else:
+        names = [key], [*lists]
+        schema, items = rows_of(lists)
+    group = ["_tile", "_part", "_slice"]
 
+    def found(a: DataFrame, b: DataFrame, names, schema) -> DataFrame:
+        a, b = (df.drop("_parts", "_slices").groupBy(*group) for df in (a, b))
+        return a.cogroup(b).applyInArrow(lambda a, b: _best_of_tile(a, b, names, radius, best, key is not None), schema)
 
-def _best_of_tile(a: pa.Table, b: pa.Table, names, radius: float, best: Best) -> pa.Table:
+    if key is None:
+        return found(ours, theirs, names, schema)
+    # keys that come again, and centres whose points are dealt to several tasks, have several rows to put together
+    again = cut_lineage(centers.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    same, once, rest = F.col(key).eqNullSafe(F.col("_key")), ours.where("_slices = 1"), ours.where("_slices > 1")
+    repeated = not again.isEmpty()
+    if not repeated and homes.where("_slices > 1").isEmpty():
+        return found(ours, theirs, names, schema)
+    if repeated:
+        rest = ours.join(again.hint("merge"), same, "left_semi").unionByName(rest.join(again.hint("merge"), same, "left_anti"))
+        once = once.join(again.hint("merge"), same, "left_anti")
+    # what the rows are sorted by goes along
+    by = [*dict.fromkeys([*lists, *([best.by] if best.by else []), best.tie])]
+    put = found(rest, theirs, ([key], by), rows_of(by)[0]).select(key, F.posexplode("ranges").alias("_i", "_r"))
+    near = F.lit(True) if best.by is None or best.near is None else F.col("_i") < best.near
+    order = F.struct(F.when(near, F.col("_v.dist")).alias("d"), (F.lit(None) if best.by is None else F.when(~near, F.col(f"_v.{best.by}"))).alias("b"), F.col(f"_v.{best.tie}").alias("t"))
+    counts = put.groupBy(key, "_i").agg(F.sum("_r.n").alias("n"))
+    firsts = put.select(key, "_i", F.explode("_r.items").alias("_v")).withColumn("_o", order).withColumn(
+        "_k", F.row_number().over(Window.partitionBy(key, "_i").orderBy("_o"))).where(F.col("_k") <= best.n)
+    firsts = firsts.groupBy(F.col(key).alias("_key"), F.col("_i").alias("_j")).agg(F.array_sort(F.collect_list(F.struct(
+        "_k", F.struct("_v.dist", *[f"_v.{c}" for c in lists]).alias("_v")))).alias("_l"))
+    items = F.coalesce(F.transform("_l", lambda v: v["_v"]), F.array().cast(items))
+    ranges = counts.join(firsts, same & (F.col("_i") == F.col("_j")), "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "n", items.alias("items")))).alias("_l"))
+    return found(once, theirs, names, schema).unionByName(ranges.select(key, F.transform("_l", lambda v: F.struct(v["n"].alias("n"), v["items"].alias("items"))).alias("ranges")))
+
+
+class _Grid:
+    """Points in strips along x and bands along y, each about equally full: what surely lies in a disc is counted by cells."""
+
+    def __init__(self, px: np.ndarray, py: np.ndarray):
+        side = int(min(max(math.sqrt(len(px)), 1), 2048))  # strips and bands each, about a point in a cell
+        strip, self.x0, self.x1 = self._cut(px, side)
+        band, self.y0, self.y1 = self._cut(py, side)
+        self.bands = len(self.y0)
+        code = strip * self.bands + band
+        self.order = np.argsort(code, kind="stable")
+        self.px, self.py = px[self.order], py[self.order]
+        self.start = np.append(0, np.cumsum(np.bincount(code, minlength=len(self.x0) * self.bands)))
+        self.big = max(abs(v) for v in (self.x0[0], self.x1[-1], self.y0[0], self.y1[-1]))
+
+    @staticmethod
+    def _cut(v: np.ndarray, side: int):
+        """(class of each value, least and greatest value of each class)."""
+        ranked = np.sort(v)
+        cuts = np.unique(ranked[np.arange(1, side) * len(v) // side])
+        cuts = cuts[cuts > ranked[0]]
+        first = np.append(0, np.searchsorted(ranked, cuts, "left"))
+        return np.searchsorted(cuts, v, "right"), ranked[first], ranked[np.append(first[1:], len(v)) - 1]
+
+    def spans(self, x, y, hole, outer):
+        """Ranges (centre, from, to) of ``order`` with all points within ``outer`` of a centre but those surely within ``hole``; and how many these are."""
+        n, slack = len(x), 1e-12 * (np.abs(x) + np.abs(y) + self.big)
+        wide = outer * (1 + 1e-9) + slack
+        c0, c1 = np.searchsorted(self.x1, x - wide, "left"), np.searchsorted(self.x0, x + wide, "right")
+        own, k = _spans(np.maximum(c1 - c0, 0))
+        s = c0[own] + k
+        x, y, slack, wide, hole = x[own], y[own], slack[own], wide[own], hole[own] * (1 - 1e-9) - slack[own]
+        left, right = x - self.x0[s], self.x1[s] - x
+        out = np.sqrt(np.maximum(wide * wide - np.square(np.maximum(np.maximum(-left, -right), 0)), 0)) + slack
+        room = np.where(hole > 0, hole * hole - np.square(np.maximum(left, right)), -1.0)
+        sure = np.sqrt(np.maximum(room, 0)) - slack
+        lo, hi = np.searchsorted(self.y1, y - out, "left"), np.searchsorted(self.y0, y + out, "right")
+        hi = np.maximum(lo, hi)
+        in0, in1 = np.searchsorted(self.y0, y - sure, "left"), np.searchsorted(self.y1, y + sure, "right")
+        none = (room <= 0) | (sure <= 0) | (in1 <= in0)
+        in0, in1 = np.where(none, hi, in0), np.where(none, hi, in1)
+        lo, in0, in1, hi = (self.start[s * self.bands + v] for v in (lo, in0, in1, hi))
+        held = np.bincount(own, in1 - in0, n).astype(np.int64)
+        return np.repeat(own, 2), np.stack([lo, in1], 1).ravel(), np.stack([in0, hi], 1).ravel(), held
+
+    def meet(self, x, y, hole, outer, cells: int = 250_000):
+        """For some centres at a time: (first, end, how many points surely lie within the hole of each, and the other pairs
+        within ``outer``, and a little more, as centre, place in ``order``, distance)."""
+        step = max(1, cells // len(self.x0))
+        for a in range(0, len(x), step):
+            b = min(a + step, len(x))
+            own, lo, hi, sure = self.spans(x[a:b], y[a:b], hole[a:b], outer[a:b])
+            weight = np.cumsum(hi - lo)
+            ends = np.searchsorted(own, np.arange(b - a), "right")
+            total = np.append(0, weight)[ends]
+            i = 0
+            while i < b - a:
+                done = total[i - 1] if i else 0
+                j = max(int(np.searchsorted(total, done + cells, "right")), i + 1)
+                rows = slice(ends[i - 1] if i else 0, ends[j - 1])
+                at, k = _spans((hi - lo)[rows])
+                point = lo[rows][at] + k
+                centre = a + own[rows][at]
+                dx, dy = x[centre] - self.px[point], y[centre] - self.py[point]
+                yield a + i, a + j, sure[i:j], centre, point, np.sqrt(dx * dx + dy * dy)
+                i = j
+
+
+def _firsts(x, y, px, py, ties, radius: float, best: Best, window: int = 512, cells: int = 2_000_000):
+    """The first pairs of each range as (centre, range, point, distance), in this order, and the number of all pairs (centre, range).
+
+    Points come by ``best.by`` and tie; ``ties`` is their place by the tie alone.
+    """
+    tops = np.minimum([*best.edges, radius], radius)
+    grid, last = _Grid(px, py), len(tops) - 1
+
+    def under(dist, i):
+        if i < 0:
+            return np.zeros(len(dist), bool)
+        return dist <= radius if i == last else (dist <= radius) & (dist <= best.edges[i] if best.closed else dist < best.edges[i])
+
+    within = np.zeros((len(x), len(tops) + 1), np.int64)
+    for i, top in enumerate(tops):
+        every = np.full(len(x), top)
+        for a, b, sure, centre, _, dist in grid.meet(x, y, every, every):
+            within[a:b, i + 1] = sure + np.bincount(centre[under(dist, i)] - a, minlength=b - a)
+    counts = np.diff(within, axis=1)
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none, np.zeros(0))]
+
+    def keep(i, centre, point, dist, want, order):
+        """The first of each centre; ``order`` are keys, the weakest first."""
+        at = np.lexsort([*order, centre])
+        centre, point, dist = centre[at], point[at], dist[at]
+        new = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]]) if len(centre) else none
+        place = np.arange(len(centre)) - np.repeat(new, np.diff(np.append(new, len(centre))))
+        top = place < want[centre]
+        out.append((centre[top], np.full(int(top.sum()), i), point[top], dist[top]))
+
+    for i, top in enumerate(tops):
+        want = np.minimum(counts[:, i], best.n)
+        todo = np.flatnonzero(want)
+        hole = tops[i - 1] if i else -1.0
+        if best.by is None or best.near is None or i < best.near:
+            low = max(hole, 0.0) ** 2
+            share = np.minimum(1.0, 4.0 * (best.n + 1) / np.maximum(counts[:, i], 1))
+            while len(todo):  # rings around the hole that get wider until they hold enough
+                reach = np.where(share[todo] < 1, np.sqrt(low + (top * top - low) * share[todo]), top)
+                short = []
+                for a, b, _, at, point, dist in grid.meet(x[todo], y[todo], np.full(len(todo), hole), reach):
+                    here = under(dist, i) & ~under(dist, i - 1) & (dist <= reach[at])
+                    held = np.bincount(at[here] - a, minlength=b - a)
+                    enough = (held >= want[todo[a:b]]) | (share[todo[a:b]] >= 1)
+                    short.append(todo[a:b][~enough])
+                    here &= enough[at - a]
+                    point = grid.order[point[here]]
+                    keep(i, todo[at[here]], point, dist[here], want, (ties[point], dist[here]))
+                todo = np.concatenate(short)
+                share[todo] = np.minimum(1.0, share[todo] * 8)
+            continue
+        # in their order points are looked at until enough are found; few points of a range are all looked at instead
+        most = 8.0 * best.n * len(px) / np.maximum(counts[:, i], 1)
+        few = counts[todo, i].astype(float) ** 2 <= float(best.n) * len(px)
+        rest, todo = [todo[few]], todo[~few]
+        for some in np.array_split(todo, max(1, -(-len(todo) * window // cells))):
+            got, start, wide = np.zeros(len(some), np.int64), 0, window
+            hits = []
+            live = np.arange(len(some))
+            while len(live) and start < len(px):
+                end = min(start + wide, len(px))
+                dx, dy = x[some[live], None] - px[None, start:end], y[some[live], None] - py[None, start:end]
+                dist = np.sqrt(dx * dx + dy * dy)
+                row, col = np.nonzero(under(dist.ravel(), i).reshape(dist.shape) & ~under(dist.ravel(), i - 1).reshape(dist.shape))
+                hits.append((live[row], start + col, dist[row, col]))
+                got += np.bincount(live[row], minlength=len(some))
+                start, wide = end, max(window, min(2 * wide, cells // max(len(live), 1)))
+                live = live[(got[live] < want[some[live]]) & (start < most[some[live]])]
+            enough = got >= want[some]
+            rest.append(some[~enough])
+            at, point, dist = (np.concatenate(v) for v in zip(*hits)) if hits else (none, none, np.zeros(0))
+            at, point, dist = (v[enough[at]] for v in (at, point, dist))
+            keep(i, some[at], point, dist, want, (point,))
+        todo = np.sort(np.concatenate(rest))
+        for a, b, _, at, point, dist in grid.meet(x[todo], y[todo], np.full(len(todo), hole), np.full(len(todo), top)):
+            here = under(dist, i) & ~under(dist, i - 1)
+            point = grid.order[point[here]]
+            keep(i, todo[at[here]], point, dist[here], want, (point,))
+    centre, ring, point, dist = (np.concatenate(v) for v in zip(*out))
+    at = np.argsort(centre * len(tops) + ring, kind="stable")  # each centre and range was kept once, in its order
+    return centre[at], ring[at], point[at], dist[at], counts
+
+
+def _best_of_tile(a: pa.Table, b: pa.Table, names, radius: float, best: Best, lists: bool = False) -> pa.Table:
     """The rows of ``radius_join`` with ``best`` for the centres ``a`` and points ``b`` of one tile."""
     first = [(best.by, "ascending")] if best.by else []
-    b = b.take(pc.sort_indices(b, sort_keys=[*first, (best.tie, "ascending")], null_placement="at_start"))
+    if a.num_rows and b.num_rows:
+        b = b.take(pc.sort_indices(b, sort_keys=[*first, (best.tie, "ascending")], null_placement="at_start"))
     ties = np.empty(b.num_rows, np.int64)
     ties[pc.sort_indices(b, sort_keys=[(best.tie, "ascending")], null_placement="at_start").to_numpy()] = np.arange(b.num_rows)
     x, y, px, py = (_floats(t, c) for t, c in ((a, "x"), (a, "y"), (b, "_px"), (b, "_py")))
-    reach = radius * (1 + 1e-9)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
-    live = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-    side = radius / 4  # centres of a block share the points of a box around them
-    blocks = np.unique(np.floor(np.stack([x[live], y[live]]) / side), axis=1, return_inverse=True)[1].ravel()
-    order = np.argsort(blocks, kind="stable")
-    for block in np.split(live[order], np.flatnonzero(np.diff(blocks[order])) + 1):
-        if not len(block):
-            continue
-        bx, by = x[block], y[block]
-        slack = 1e-12 * (np.abs(bx).max() + np.abs(by).max())
-        box = np.flatnonzero((px >= bx.min() - reach - slack) & (px <= bx.max() + reach + slack)
-                             & (py >= by.min() - reach - slack) & (py <= by.max() + reach + slack))
-        qx, qy = px[box], py[box]
-        for centre in block:
-            dx, dy = x[centre] - qx, y[centre] - qy
-            dist = np.sqrt(dx * dx + dy * dy)
-            inside = dist <= radius
-            for i, edge in enumerate([*best.edges, radius]):
-                last = i == len(best.edges)
-                under = inside if last else (dist <= edge if best.closed else dist < edge) & inside
-                here = np.flatnonzero(under if not i else under & ~below)  # noqa: F821
-                below = under
-                count = len(here)
-                if not count:
-                    continue
-                if best.by is None or best.near is None or i < best.near:
-                    d = dist[here]
-                    if count > best.n:
-                        here = here[d <= np.partition(d, best.n - 1)[best.n - 1]]
-                    here = here[np.lexsort((ties[box[here]], dist[here]))]
-                here = here[:best.n]
-                counts = np.zeros(len(here), np.int64)
-                counts[0] = count
-                out.append((np.full(len(here), centre), box[here], dist[here], counts))
-    centre, point, dist, count = (np.concatenate(v) for v in zip(*out))
-    left, right = a.select(names[0]).take(pa.array(centre)), b.select(names[1]).take(pa.array(point))
+    live, there = np.flatnonzero(np.isfinite(x) & np.isfinite(y)), np.flatnonzero(np.isfinite(px) & np.isfinite(py))
+    if len(live) and len(there):
+        live = live[np.lexsort((y[live], np.floor(x[live] / radius * 8)))]  # neighbours look at the same points
+        centre, ring, point, dist, counts = _firsts(x[live], y[live], px[there], py[there], ties[there], radius, best)
+    else:
+        centre, ring, point = (np.zeros(0, np.int64) for _ in range(3))
+        dist, counts, live, there = np.zeros(0), np.zeros((0, len(best.edges) + 1), np.int64), live[:0], there[:0]
+    right = b.select(names[1]).take(pa.array(there[point]))
+    if lists:
+        met = np.flatnonzero(counts.sum(axis=1))
+        sizes = np.minimum(counts[met], best.n).ravel()
+        items = pa.StructArray.from_arrays([pa.array(dist), *[_whole(c) for c in right.columns]], ["dist", *names[1]])
+        items = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), items)
+        ranges = pa.StructArray.from_arrays([pa.array(counts[met].ravel()), items], ["n", "items"])
+        ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * counts.shape[1], pa.int32()), ranges)
+        left = a.select(names[0]).take(pa.array(live[met]))
+        return pa.table([*left.columns, ranges], names=[*names[0], "ranges"])
+    new = np.r_[True, (centre[1:] != centre[:-1]) | (ring[1:] != ring[:-1])][:len(centre)]
+    left = a.select(names[0]).take(pa.array(live[centre]))
+    count = np.where(new, counts[centre, ring], 0)
     return pa.table([*left.columns, *right.columns, pa.array(dist), pa.array(count)], names=[*names[0], *names[1], "dist", "_count"])
 
 

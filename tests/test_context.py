@@ -216,3 +216,33 @@ def test_radius_join_keeps_the_best_of_a_range(spark, monkeypatch, closed, by, n
     ours = got.withColumn("band", band).withColumn("o", order).withColumn("n", F.sum("_count").over(w))
     assert cut(ours) == cut(every)
     assert got.count() <= 40 * 3 * 3 * (slices + 1) < radius_join(c, p, 300.0).count() or slices > 1
+
+
+def odd_points(spark):
+    """Centres with repeated and missing keys, points with repeated and missing places and hashes; lattice, so that many lie on edges."""
+    c = spark.range(60).select(F.when(F.col("id") % 9 != 4, F.col("id") % 45).alias("build_id"), (F.col("id") * 37 % 900 - 300.0).alias("x"),
+                               F.when(F.col("id") != 7, F.col("id") * 53 % 700 + 0.0).alias("y"))
+    p = spark.range(900).select(F.col("id").alias("poi_id"), (F.col("id") * 10 % 970 - 300.0).alias("x"),
+                                F.when(F.col("id") != 11, F.col("id") * 70 % 610 + 0.0).alias("y"))
+    return c, p.withColumn("h", ranking.portable_key(F.col("poi_id")).cast("double"))
+
+
+def test_tiles_are_sized_by_points_and_points_copied_for_full_tasks_only(spark, monkeypatch):
+    """Points went to as many tasks as a tile's pairs filled, so that their copies grew with the square of the input."""
+    from geoctx.operators import spatial_join as sj
+
+    monkeypatch.setattr(sj, "PART_PAIRS", 1)
+    c, p = (df.where("y IS NOT NULL").withColumns({v: F.col(v) * 4 for v in "xy"}) for df in odd_points(spark))
+    p = p.withColumnsRenamed({"x": "_px", "y": "_py"})
+    for most, cells in ((1_000_000, 16), (200, 4), (5, 1)):
+        monkeypatch.setattr(sj, "SLICE_POINTS", most)
+        homes, around, _ = sj._sized_tiles(c, p, 300.0)
+        tiles = {}
+        for r in homes.collect():
+            tiles.setdefault((r._tile, r._slices, r._parts), set()).add((r._cx, r._cy))
+        assert max(map(len, tiles.values())) <= cells and len(tiles) > 1
+        near = sj.with_cell(p, 300.0, "_px", "_py").join(around, ["_cx", "_cy"]).select(F.explode("_t").alias("t")).groupBy("t._tile").count()
+        held = dict(map(tuple, near.collect()))
+        for (tile, slices, parts), own in tiles.items():
+            assert parts == 1 and slices == math.ceil(held[tile] / most)
+            assert slices == 1 or len(own) == 1
