@@ -401,7 +401,7 @@ def w4(spark, d):
 def w2(spark, d):
     key = ranking.portable_key(F.col("poi_id"))
     points = fx.pois(spark, d).select("poi_id", "x", "y", key.cast("double").alias("_hash"))
-    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), points, 300.0, context.tier_best("_hash"))
+    pairs = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), points, 300.0, context.tier_best("_hash"), "build_id", ["poi_id"])
     return context.tier_sample(pairs, key).select("build_id", "poi_id", "tier")
 
 

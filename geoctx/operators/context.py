@@ -133,8 +133,11 @@ def tier_sample(
 
     ``pairs`` is read once. Each Arrow batch keeps its ``total`` first points of a (building, tier) and the number
     of all, so a crowded building never reaches one task whole and the join behind ``pairs`` runs once. Pairs with a
-    ``_count``, as ``radius_join`` leaves them with ``tier_best``, are cut already.
+    ``_count``, as ``radius_join`` leaves them with ``tier_best``, are cut already. Its ``ranges`` (a row per building)
+    are sampled row by row, without a shuffle, and come in the order of ``hash_key`` already.
     """
+    if "ranges" in pairs.columns:
+        return _tiers(pairs, key, total, near, middle)
     d = F.col("dist")
     a, b, c = edges
     tier = F.when(d < a, "A").when(d < b, "B").when(d < c, "C").otherwise("-")
@@ -155,6 +158,19 @@ def tier_sample(
     return short.where((F.col("_n") <= total) | (F.col("_rn") <= quota)).drop("_o", "_rn", "_n", "_na", "_nb", "_count")
 
 
+def _tiers(lists: DataFrame, key: str, total: int, near: int, middle: int) -> DataFrame:
+    """``tier_sample`` of the ranges of ``tier_best``: its tiers, and what lies at the last edge."""
+    n = [F.col("ranges")[i]["n"] for i in range(4)]
+    taken_a = F.least(n[0], F.lit(near))
+    quota_b = F.lit(middle + near) - taken_a
+    quotas = [F.lit(near), quota_b, F.lit(total) - taken_a - F.least(n[1], quota_b), F.lit(0)]
+    every = n[0] + n[1] + n[2] + n[3] <= total
+    picked = [
+        F.transform(F.slice(F.col("ranges")[i]["items"], F.lit(1), F.when(every, total).otherwise(quota).cast("int")), lambda v: F.struct(v.alias("v"), F.lit(tier).alias("tier")))  # noqa: B023
+        for i, (tier, quota) in enumerate(zip("ABC-", quotas))]
+    return lists.select(key, F.explode(F.concat(*picked)).alias("_p")).select(key, "_p.v.*", "_p.tier")
+
+
 def tier_best(by: str, tie: str = "poi_id", total: int = 20, edges=(100.0, 200.0, 300.0)) -> Best:
     """What ``tier_sample`` needs of the pairs of a radius join; ``by`` is the hash key as a column of the points."""
     return Best(tuple(edges), total, tie, by, near=1, closed=False)

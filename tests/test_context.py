@@ -227,6 +227,36 @@ def odd_points(spark):
     return c, p.withColumn("h", ranking.portable_key(F.col("poi_id")).cast("double"))
 
 
+@pytest.mark.parametrize("points, centers", [(1_000_000, 100_000), (300, 5), (40, 3)])
+def test_tiers_of_lists_are_those_of_all_pairs(spark, monkeypatch, points, centers):
+    """Whole tiles, smaller ones, and cells dealt by points and by centres, against the sample of all pairs."""
+    from geoctx.operators import spatial_join as sj
+
+    monkeypatch.setattr(sj, "SLICE_POINTS", points)
+    monkeypatch.setattr(sj, "PART_CENTERS", centers)
+    monkeypatch.setattr(sj, "PART_PAIRS", 100)
+    c, p = odd_points(spark)
+    rows = lambda df: sorted(map(tuple, df.select("build_id", "poi_id", "tier").collect()), key=str)
+    key = ranking.portable_key(F.col("poi_id"))
+    want = rows(context.tier_sample(radius_join(c, p, 300.0), key))
+    lists = radius_join(c, p, 300.0, context.tier_best("h"), "build_id", ["poi_id"])
+    assert rows(context.tier_sample(lists, key)) == want and {t for *_, t in want} >= {"A", "B", "C"}
+    counts = {r.build_id: [v.n for v in r.ranges] for r in lists.collect()}
+    d = F.col("dist")
+    every = radius_join(c, p, 300.0).groupBy("build_id").agg(*[F.count_if(x) for x in (d < 100, (d >= 100) & (d < 200), (d >= 200) & (d < 300), d >= 300)])
+    assert counts == {r[0]: [*r[1:]] for r in every.collect()}
+
+
+def test_tiers_of_lists_need_no_shuffle(spark):
+    c, p = odd_points(spark)
+    c = c.dropDuplicates(["build_id"])
+    sample = context.tier_sample(radius_join(c, p, 300.0, context.tier_best("h"), "build_id", ["poi_id"]), F.lit(0))
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    plan = plan.split("FlatMapCoGroupsInArrow")[0]
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_tiles_are_sized_by_points_and_points_copied_for_full_tasks_only(spark, monkeypatch):
     """Points went to as many tasks as a tile's pairs filled, so that their copies grew with the square of the input."""
     from geoctx.operators import spatial_join as sj
