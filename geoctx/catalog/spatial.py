@@ -83,6 +83,13 @@ def _lists(spark, d, k):
     return context.with_bands(lists)
 
 
+def _counts(spark, d):
+    """How many points lie around a building, with those behind the k nearest."""
+    points = fx.pois(spark, d).select("poi_id", "x", "y")
+    near = radius_join(fx.centers(spark, d).select("build_id", "x", "y"), points, 300.0, Best((), 1, "poi_id"))
+    return near.groupBy("build_id").agg(F.sum("_count").alias("n_poi"))
+
+
 def _scored(spark, d):
     cols = ("minx", "miny", "maxx", "maxy")
     a = fx.buildings(spark, d).select("build_id", *[F.col(c).alias("a_" + c) for c in cols])
@@ -429,7 +436,8 @@ def a6(spark, d):
 @add("p10_minimum_points", with_sql("center poi", """
     SELECT build_id, count(*) AS n FROM near GROUP BY build_id HAVING count(*) >= 40""", NEAR))
 def p10(spark, d):
-    return context.packed_lists(_lists(spark, d, 100), min_count=40).select("build_id", F.col("n_poi").cast("long").alias("n"))
+    packed = context.packed_lists(_lists(spark, d, 100), min_count=40, counts=_counts(spark, d))
+    return packed.select("build_id", F.col("n_poi").cast("long").alias("n"))
 
 
 @add("f4_unpack_lists", with_sql("center poi", "SELECT build_id, rk AS pos, type_en AS type, band FROM top", top_sql(20)))

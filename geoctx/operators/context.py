@@ -27,13 +27,20 @@ def with_bands(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("band", geo.distance_band("dist"))
 
 
-def packed_lists(pairs: DataFrame, key: str = "build_id", min_count: int = 1) -> DataFrame:
-    """Nearest first, one packed string per attribute; groups are at most k rows after the top-k."""
+def packed_lists(pairs: DataFrame, key: str = "build_id", min_count: int = 1, counts: DataFrame | None = None) -> DataFrame:
+    """Nearest first, one packed string per attribute; groups are at most k rows after the top-k.
+
+    ``counts`` (key, n_poi), of all points around a building, stand for the lengths of lists that end at k.
+    """
     item = F.struct("rk", "type_en", "band")
     grouped = pairs if "items" in pairs.columns else pairs.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return grouped.where(F.size("items") >= min_count).select(
+    n = F.size("items")
+    if counts is not None:
+        every = counts.select(F.col(key).alias("_key"), F.col("n_poi").alias("_all"))
+        grouped, n = grouped.join(every, F.col(key).eqNullSafe(F.col("_key"))), F.col("_all")
+    return grouped.where(n >= min_count).select(
         key,
-        F.size("items").alias("n_poi"),
+        n.alias("n_poi"),
         text.pack(F.transform("items", lambda i: i["type_en"])).alias("poi_text"),
         text.pack(F.transform("items", lambda i: i["band"])).alias("poi_distance"),
     )

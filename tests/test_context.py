@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from geoctx import fixtures as fx
 from geoctx.functions import geo, text
 from geoctx.operators import context, ranking
-from geoctx.operators.spatial_join import nearest_k, radius_join
+from geoctx.operators.spatial_join import Best, nearest_k, radius_join
 from geoctx.plans.context_corpus import context_prompts
 
 
@@ -276,3 +277,23 @@ def test_tiles_are_sized_by_points_and_points_copied_for_full_tasks_only(spark,
         for (tile, slices, parts), own in tiles.items():
             assert parts == 1 and slices == math.ceil(held[tile] / most)
             assert slices == 1 or len(own) == 1
+
+
+def test_minimum_count_takes_in_what_lies_behind_the_k_nearest(spark):
+    c = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0), (None, 0.0, 10.0), (3, 0.0, 0.0), (3, 5000.0, 0.0)], "build_id long, x double, y double")
+    p = spark.createDataFrame([(i, float(i), 0.0, "a") for i in range(9)] + [(20 + i, 5000.0 + i, 0.0, "b") for i in range(4)], "poi_id long, x double, y double, type_en string")
+    lists = context.with_bands(nearest_k(c, p, 300.0, 3, lists=["type_en"]))
+    counts = radius_join(c, p.drop("type_en"), 300.0, Best((), 1, "poi_id")).groupBy("build_id").agg(F.sum("_count").alias("n_poi"))
+    got = {tuple(r)[:3] for r in context.packed_lists(lists, min_count=5, counts=counts).collect()}
+    assert got == {(1, 9, "a?a?a"), (None, 9, "a?a?a"), (3, 13, "a?b?a")}
+
+
+def test_p10_counts_every_point(spark, tmp_path):
+    """A building with 130 points around it counted 100."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, 0)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    centre = fx.centers(spark, str(tmp_path)).first()
+    near = [k for k in range(200_000) if ((k * 6151) % 9949 - centre.x) ** 2 + ((k * 4219) % 9941 - centre.y) ** 2 <= 90_000][:130]
+    spark.createDataFrame([(k, "a") for k in near], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in entry.queries()["p10_minimum_points"](spark, str(tmp_path)).collect()] == [(1, 130)]
