@@ -63,21 +63,51 @@ def _meetings(a: np.ndarray, b: np.ndarray, pair_a: np.ndarray, pair_b: np.ndarr
     return touch, np.concatenate(heights), np.concatenate(owners)
 
 
+def _common(a: np.ndarray, b: np.ndarray, pair_a: np.ndarray, pair_b: np.ndarray, n: int) -> list[np.ndarray]:
+    """The box ``x1, y1, x2, y2`` that the boxes of both features of a pair share; turned about where they share none."""
+    box = np.repeat([[-np.inf], [-np.inf], [np.inf], [np.inf]], n, axis=1)
+    for edges, pair in ((a, pair_a), (b, pair_b)):
+        own = np.full((4, n), np.nan)
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][:len(pair)])
+        if len(starts):
+            for i, (ends, of) in enumerate(((np.fmin, 0), (np.fmin, 1), (np.fmax, 0), (np.fmax, 1))):
+                own[i, pair[starts]] = ends.reduceat(ends(edges[:, of], edges[:, of + 2]), starts)
+        box[:2], box[2:] = np.maximum(box[:2], np.where(np.isnan(own[:2]), np.inf, own[:2])), np.minimum(box[2:], np.where(np.isnan(own[2:]), -np.inf, own[2:]))
+    return list(box)
+
+
 def overlay(a: np.ndarray, b: np.ndarray, pair_a: np.ndarray, pair_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(touch, common area)`` of ``n`` pairs from their edges ``x1, y1, x2, y2``, sorted by pair."""
-    touch, met, owner = _meetings(a, b, pair_a, pair_b, n)
+    """``(touch, common area)`` of ``n`` pairs from their edges ``x1, y1, x2, y2``, sorted by pair.
+
+    Edges meet inside the box that both features share, and all common area lies there: edges above, below and
+    to the right of it are left out, those to the left still count for even and odd.
+    """
+    x1, y1, x2, y2 = _common(a, b, pair_a, pair_b, n)
+
+    def within(e: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = (np.maximum(e[:, 1], e[:, 3]) < y1[pair]) | (np.minimum(e[:, 1], e[:, 3]) > y2[pair]) | (np.minimum(e[:, 0], e[:, 2]) > x2[pair])
+        return e[~apart], pair[~apart]
+
+    def meeting(e: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = np.maximum(e[:, 0], e[:, 2]) < x1[pair]
+        return e[~left], pair[~left]
+
+    (a, pair_a), (b, pair_b) = within(a, pair_a), within(b, pair_b)
+    (near_a, own_a), (near_b, own_b) = meeting(a, pair_a), meeting(b, pair_b)
+    touch, met, owner = _meetings(near_a, near_b, own_a, own_b, n)
     edges, pair = np.concatenate([a, b]), np.concatenate([pair_a, pair_b])
     is_b = np.arange(len(edges)) >= len(a)
+    up = edges[:, 1] < edges[:, 3]
+    low, high = np.where(up, edges[:, 1], edges[:, 3]), np.where(up, edges[:, 3], edges[:, 1])
+    low, high = np.maximum(low, y1[pair]), np.minimum(high, y2[pair])
     # the heights of each pair, once each
-    y = np.concatenate([edges[:, 1], edges[:, 3], met])
+    y = np.concatenate([low, high, met])
     owner = np.concatenate([pair, pair, owner])
     order = np.lexsort((y, owner))
     y, owner = y[order], owner[order]
     new = np.r_[True, (y[1:] != y[:-1]) | (owner[1:] != owner[:-1])] if len(y) else np.zeros(0, bool)
     y, owner = y[new], owner[new]
     area = np.zeros(n)
-    up = edges[:, 1] < edges[:, 3]
-    low, high = np.where(up, edges[:, 1], edges[:, 3]), np.where(up, edges[:, 3], edges[:, 1])
     levels, rank = np.unique(y, return_inverse=True)
     code = owner * len(levels) + rank.ravel()
     place = lambda v: np.searchsorted(code, pair * len(levels) + np.searchsorted(levels, v))
@@ -202,7 +232,8 @@ def score_features(pairs: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
 
 def candidate_features(ours: DataFrame, theirs: DataFrame, cell: float = 60.0) -> DataFrame:
     """Scored pairs of usable features (build_id, polygons) and (cand_id, ..., polygons) whose boxes meet."""
-    a, b = (with_measures(df.where(usable("polygons")), s) for df, s in ((ours.select("build_id", "polygons"), "a_"), (theirs, "b_")))
+    # measured once, not again for the sizes of boxes and for the join; the layer is a table before, or what makes its features goes into every expression on them
+    a, b = (cut_lineage(with_measures(cut_lineage(df).where(usable("polygons")), s)) for df, s in ((ours.select("build_id", "polygons"), "a_"), (theirs, "b_")))
     return score_features(bbox_join(a, b, cell))
 
 

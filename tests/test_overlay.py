@@ -105,3 +105,26 @@ def test_features_in_tables(spark):
     rows = {r.build_id: r.of for r in ov.with_measures(ours.where("build_id < 3")).collect()}
     assert tuple(rows[2]) == pytest.approx((20, (4 * 1 + 16 * 102) / 20, (4 * 1 + 16 * 2) / 20))
     assert tuple(rows[1]) == pytest.approx((72, 4.5, 4.5))
+
+
+def test_only_edges_in_the_common_box_are_compared(monkeypatch):
+    """Combs whose boxes share a corner: every edge of one met every edge of the other, and every height cut all of them."""
+    teeth = lambda x, y: [rect(x + 2 * i, y, x + 2 * i + 1, y + 9) for i in range(50)]
+    seen = []
+    meet = ov._meetings
+    monkeypatch.setattr(ov, "_meetings", lambda a, b, *rest: (seen.append((len(a), len(b))), meet(a, b, *rest))[1])
+    pairs = [(teeth(0, 0), teeth(98, 8)), (teeth(0, 0), teeth(99, 0)), (teeth(0, 0), teeth(0, 20))]
+    touch, area = batch(pairs)
+    assert touch.tolist() == [True, True, False] and area == pytest.approx([1, 0, 0])
+    assert max(seen[0]) < 20  # of 600
+    assert batch([([], teeth(0, 0)), (teeth(0, 0), [])])[0].tolist() == [False, False]
+
+
+def test_features_are_measured_once(spark):
+    """What makes the features stood in the sizes of boxes, and on both sides of the join, each time anew."""
+    box = "array(array(array(struct(d as x, d as y), struct(d + 3 as x, d as y), struct(d + 3 as x, d + 3 as y), struct(d as x, d as y))))"
+    ours, theirs = (spark.range(6).selectExpr(f"id as {k}", "cast(id * 2 as double) as d").selectExpr(k, f"{box} as polygons") for k in ("build_id", "cand_id"))
+    scored = ov.candidate_features(ours, theirs)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and "aggregate(" not in plan
+    assert {(r.build_id, r.cand_id) for r in scored.where("touch").collect()} == {(i, j) for i in range(6) for j in range(6) if abs(i - j) < 2}
