@@ -297,3 +297,10 @@ def test_p10_counts_every_point(spark, tmp_path):
     near = [k for k in range(200_000) if ((k * 6151) % 9949 - centre.x) ** 2 + ((k * 4219) % 9941 - centre.y) ** 2 <= 90_000][:130]
     spark.createDataFrame([(k, "a") for k in near], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in entry.queries()["p10_minimum_points"](spark, str(tmp_path)).collect()] == [(1, 130)]
+
+
+def test_all_pairs_do_not_pass_a_side_through_the_driver(spark):
+    """Centres of a small file, nine times as many in cells, were broadcast and filled the driver's memory."""
+    c, p = odd_points(spark)
+    plan = radius_join(c, p, 300.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
